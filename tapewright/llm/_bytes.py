@@ -88,9 +88,10 @@ class Words:
         return self.blob[self.starts[i] : self.ends[i]]
 
 
-def words_of(texts: list[bytes], inside: bytes = ALNUM) -> Words:
-    """Lower-cases A-Z and finds the maximal runs of bytes in the class."""
-    blob = b"\n".join([*texts, b""]).translate(FOLD)
+def words_of(texts: list[bytes], inside: bytes = ALNUM, fold: bool = True) -> Words:
+    """Lower-cases A-Z (if fold) and finds the maximal runs of bytes in the class."""
+    blob = b"\n".join([*texts, b""])
+    blob = blob.translate(FOLD) if fold else blob
     n = len(blob)
     ends_of_text = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     flags = np.zeros(n + 2, np.int8)
