@@ -51,7 +51,7 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for n in (2, 3, 4):
         h = h[:-1] * np.uint32(0x01000193) + raw[n - 1 :] if len(h) > 1 else h[:0]
         inside = left[: len(h)] >= n
-        grams.append((h[inside] * np.uint32(0x85EBCA6B) ^ np.uint32(n * 0x68E31DA4)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
+        grams.append((h[inside] * np.uint32(0x85EBCA6B) ^ np.uint32(n * 0x28E31DA4)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
         owners.append(owner[: len(h)][inside])
     chars = _grouped(np.concatenate(grams), np.concatenate(owners), len(texts))
     w = words_of(texts, NOT_SPACE, fold=False)
