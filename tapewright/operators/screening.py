@@ -112,10 +112,10 @@ def scope_peer_group(pool: DataFrame, scope: str = "industry", cap: int = 100) -
 
 
 def universe_peer_group(pool: DataFrame, members: DataFrame, cap: int = 100) -> DataFrame:
-    """As scope_peer_group within a named list (Ticker); every pool ticker is a subject beside the members."""
-    own = pool.select(F.col("Ticker").alias("subject"), F.col("mcap").alias("_own"))
-    listed = pool.join(members.select("Ticker").distinct(), "Ticker", "left_semi")
-    pairs = own.crossJoin(F.broadcast(listed)).unionByName(pool.join(own.withColumn("Ticker", F.col("subject")), "Ticker").select("subject", "_own", *pool.columns)).dropDuplicates(["subject", "Ticker"])
+    """As scope_peer_group within named lists (list, Ticker): every member is compared with the others of each of its lists."""
+    listed = members.select("list", "Ticker").distinct().join(pool, "Ticker")
+    own = listed.select("list", F.col("Ticker").alias("subject"), F.col("mcap").alias("_own"))
+    pairs = own.join(listed, "list").drop("list").dropDuplicates(["subject", "Ticker"])
     return _capped(pairs, cap)
 
 
