@@ -15,12 +15,11 @@ SHARED = ["Industry", "Sector", "NrEmployees", "CompanyName", "BusinessSummary"]
 
 def merge_companies(first: DataFrame, second: DataFrame) -> DataFrame:
     """Full outer by Ticker with InFirst and InSecond; in shared columns the first source's value wins."""
-    a, b = first.withColumn("_a", F.lit(True)), second.withColumn("_b", F.lit(True))
-    own = lambda df, c: df[c] if c in df.columns else F.lit(None)
+    a, b = first.withColumn("_a", F.lit(True)).alias("a"), second.withColumn("_b", F.lit(True)).alias("b")
     names = [c for c in dict.fromkeys([*first.columns, *second.columns]) if c != "Ticker"]
-    picked = [F.coalesce(*(own(df, c) for df in (a, b) if c in df.columns)).alias(c) for c in names]
-    joined = a.join(b, a["Ticker"] == b["Ticker"], "full")
-    return joined.select(F.coalesce(a["Ticker"], b["Ticker"]).alias("Ticker"), F.col("_a").isNotNull().alias("InFirst"), F.col("_b").isNotNull().alias("InSecond"), *picked)
+    picked = [F.coalesce(*(F.col(f"{s}.`{c}`") for s, df in (("a", first), ("b", second)) if c in df.columns)).alias(c) for c in names]
+    joined = a.join(b, F.col("a.Ticker") == F.col("b.Ticker"), "full")
+    return joined.select(F.coalesce("a.Ticker", "b.Ticker").alias("Ticker"), F.col("a._a").isNotNull().alias("InFirst"), F.col("b._b").isNotNull().alias("InSecond"), *picked)
 
 
 def company_counts(merged: DataFrame) -> DataFrame:

@@ -1,11 +1,689 @@
-"""Queries over the panel views, with their SQL."""
+"""Queries over the panel views, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapewright.functions.columns import col, dbl
+from tapewright.operators import cleaning, factors, joins, mldata, mleval, quality, reporting, screening, series, similarity, statements, windows
+from tapewright.sources import panels, sinks
+from tapewright.sources.panel import Panel, with_views
+from tapewright.streaming import ingest
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[Panel], DataFrame]):
+        name = f.__name__.strip("_")
+        _QUERIES[name] = lambda spark, sf_dir: f(Panel(spark, sf_dir))
+        if sql:
+            _SQL[name] = with_views(sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(col(c), digits).alias(c) if t in ("double", "float") else col(c) for c, t in df.dtypes))
+
+
+def _market(p: Panel) -> DataFrame:
+    return p.market_data.filter("Ticker = '^N'").select("Date", "C")
+
+
+def _factors(p: Panel) -> DataFrame:
+    return factors.build_factors(p.prices, p.dividends, _market(p), p.income, p.balance, p.cashflow, p.companies)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted closes to trailing factors, oriented ranks and an equal-weight score."""
+    p = Panel(spark, sf_dir)
+    chosen = ["ret_12_1", "ret_6m", "high_52w", "vol_252", "beta"]
+    ranked = screening.compute_ranks(factors.price_factors(p.prices, _market(p)), chosen)
+    return screening.composite_score(ranked, chosen).orderBy(F.col("score").desc_nulls_last(), "Ticker")
+
+
+# Checks -------------------------------------------------------------------------------------------------------------
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.drop("Details")
+
+
+_F = "select '{}' SrcTable, Ticker, cast({} as date) Date, cast({} as varchar) Key from {}"
+_KEY = """concat(Market,'|',Period,'|',cast("Fiscal Year" as varchar),'|',"Fiscal Period",'|',cast(IsRestated as varchar))"""
+_BAD = "H<L or O>H or O<L or C>H or C<L"
+
+
+def _sum(table: str, parts: str, total: str) -> str:
+    return _F.format(table, "null", _KEY, f"""{table} where abs({parts} - "{total}") > greatest(0.01*abs("{total}"), 100000)""")
+
+
+@_query(_F.format("prices", "Date", "null", "faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0") + " union all " + _F.format("market_data", "Date", "null", "market_data where AssetClass<>'bonds' and (O<=0 or H<=0 or L<=0 or C<=0)"))
+def i01_nonpositive_price(p):
+    return _found(quality.nonpositive_price(p.faulty, p.market_data))
+
+
+@_query(_F.format("prices", "Date", "null", f"faulty where {_BAD}") + " union all " + _F.format("market_data", "Date", "null", f"market_data where {_BAD}"))
+def i02_ohlc_inconsistent(p):
+    return _found(quality.ohlc_inconsistent(p.faulty, p.market_data))
+
+
+@_query(_F.format("prices", "Date", "null", "faulty where V<0"))
+def i03_negative_volume(p):
+    return _found(quality.negative_volume(p.faulty))
+
+
+@_query(_F.format("market_data", "Date", "null", "market_data where AssetClass='bonds' and abs(C)>50"))
+def i04_bond_yield_bound(p):
+    return _found(quality.bond_yield_bound(p.market_data))
+
+
+@_query("""select 'prices' SrcTable, x.Ticker, x.Date, cast(null as varchar) Key from (select Ticker, Date, C, lag(C) over (partition by Ticker order by Date) b from bars where C>0) x
+  left join splits s on s.Ticker=x.Ticker and s.Date=x.Date where s.Ticker is null and abs(ln(C/b)) > ln(2)""")
+def i05_extreme_return(p):
+    return _found(quality.extreme_return(p.bars, p.splits))
+
+
+@_query("""select 'prices' SrcTable, Ticker, max(Date) Date, cast(null as varchar) Key from (select *, sum(n) over (partition by Ticker order by Date) run from
+  (select *, case when C = lag(C) over (partition by Ticker order by Date) then 0 else 1 end n from rounded)) group by Ticker, run having count(*) >= 3""")
+def i06_stale_run(p):
+    return _found(quality.stale_run(p.rounded, 3))
+
+
+@_query("""select 'prices' SrcTable, Ticker, Date, cast(null as varchar) Key from (select Ticker, Date, date_diff('day', lag(Date) over (partition by Ticker order by Date), Date) d from bars) where d > 12""")
+def i07_date_gap(p):
+    return _found(quality.date_gap(p.bars, 12))
+
+
+@_query(_F.format("dividends", "Date", "null", "dividends where Dividend - 0.9 <= 0"))
+def i08_nonpositive_dividend(p):
+    return _found(quality.nonpositive_dividend(p.dividends.withColumn("Dividend", F.col("Dividend") - 0.9)))
+
+
+@_query("select 'dividends' SrcTable, d.Ticker, d.Date, cast(null as varchar) Key from dividends d join bars b on b.Ticker=d.Ticker and b.Date=d.Date where C>0 and Dividend*300 > 0.25*C")
+def i09_oversized_dividend(p):
+    return _found(quality.oversized_dividend(p.dividends.withColumn("Dividend", F.col("Dividend") * 300), p.bars))
+
+
+@_query(_F.format("splits", "Date", "null", "(select Ticker, Date, Ratio - 5 - dayofyear(Date)%3 Ratio from splits) where Ratio <= 0 or Ratio = 1"))
+def i10_invalid_split_ratio(p):
+    return _found(quality.invalid_split_ratio(p.splits.withColumn("Ratio", F.col("Ratio") - 5 - F.dayofyear("Date") % 3)))
+
+
+@_query(_sum("balance", '"Total Liabilities"+"Total Equity"', "Total Assets"))
+def i11_balance_identity(p):
+    return _found(quality.balance_identity(p.balance))
+
+
+@_query(_sum("balance", '"Total Current Assets"+"Total Noncurrent Assets"', "Total Assets"))
+def i12_balance_subtotals(p):
+    return _found(quality.balance_subtotals(p.balance))
+
+
+@_query(_sum("income", '"Revenue"+"Cost of Revenue"', "Gross Profit") + " union all " + _sum("income", '"Gross Profit"+"Operating Expenses"', "Operating Income (Loss)"))
+def i13_income_chain(p):
+    return _found(quality.income_chain(p.income))
+
+
+@_query(_sum("cashflow", '"Net Cash from Operating Activities"+"Net Cash from Investing Activities"+"Net Cash from Financing Activities"', "Net Change in Cash"))
+def i14_cashflow_identity(p):
+    return _found(quality.cashflow_identity(p.cashflow))
+
+
+_LESS = {t: f"""(select * replace ("Shares (Basic)"-1050 as "Shares (Basic)") from {t})""" for t in ("income", "balance", "cashflow")}
+
+
+@_query(" union all ".join(_F.format(t, "null", _KEY, f"""{_LESS[t]} where "Shares (Basic)" <= 0 or "Shares (Diluted)" <= 0""") for t in _LESS) + " union all " + _F.format("balance", "null", _KEY, """balance where "Total Assets" < 0"""))
+def i15_hard_invariants(p):
+    less = lambda df: df.withColumn("Shares (Basic)", col("Shares (Basic)") - 1050)
+    return _found(quality.hard_invariants(less(p.income), less(p.balance), less(p.cashflow)))
+
+
+@_query(_F.format("income", "null", _KEY, """(select * replace ("Revenue"-100000 as "Revenue") from income) where "Revenue" < 0"""))
+def i16_negative_revenue(p):
+    return _found(quality.negative_revenue(p.income.withColumn("Revenue", F.col("Revenue") - 100000)))
+
+
+def _qsum(table: str, item: str) -> str:
+    return f"""select '{table}' SrcTable, a.Ticker, cast(null as date) Date, concat(a.Market,'|',a.Period,'|',cast(a."Fiscal Year" as varchar),'|',a."Fiscal Period",'|',cast(a.IsRestated as varchar)) Key from {table} a join
+      (select Ticker, Market, IsRestated, "Fiscal Year", sum("{item}") s from {table} where Period='Q' and "{item}" is not null group by 1,2,3,4 having count(*)=4) q
+      on q.Ticker=a.Ticker and q.Market=a.Market and q.IsRestated=a.IsRestated and q."Fiscal Year"=a."Fiscal Year" where a.Period='A' and abs(s - a."{item}") > greatest(0.01*abs(a."{item}"), 100000)"""
+
+
+@_query(" union all ".join(_qsum(t, i) for t, i in (("income", "Revenue"), ("income", "Net Income"), ("cashflow", "Net Cash from Operating Activities"))))
+def i17_quarters_vs_fy(p):
+    return _found(quality.quarters_vs_fy({"income": p.income, "cashflow": p.cashflow}))
+
+
+@_query("""select 'nonpositive_price' CheckName, 'error' Severity, count(*) n, count(distinct Ticker) tickers from faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0 having count(*)>0
+  union all select 'negative_volume', 'error', count(*), count(distinct Ticker) from faulty where V<0 having count(*)>0""")
+def i19_run_checks(p):
+    found = quality.run_checks({"prices": p.faulty, "market_data": p.market_data.filter("C < 0")}, ["nonpositive_price", "negative_volume"])
+    return found.groupBy("CheckName", "Severity").agg(F.count("*").alias("n"), F.countDistinct("Ticker").alias("tickers"))
+
+
+# Repairs ------------------------------------------------------------------------------------------------------------
+
+_BARS = ["Ticker", "Date", "O", "H", "L", "C", "V", "AC"]
+
+
+@_query("select Ticker, Date, round(C,8) C from bars where not (Ticker in ('1','2') and Date between date '1994-01-01' and date '1996-12-31')")
+def j1_delete_date_range(p):
+    return _rounded(cleaning.apply_fix(p.bars, cleaning.Fix("delete_date_range", "prices", ("1", "2"), "1994-01-01", "1996-12-31")).select("Ticker", "Date", "C"),8)
+
+
+@_query("""select Ticker, Date, round(case when O<=0 and H>0 and C>0 and AC>0 then C else O end,8) O, round(case when L<=0 and H>0 and C>0 and AC>0 then case when O>0 then least(O,C) else C end else L end,8) L from faulty""")
+def j2_repair_zero_bars(p):
+    fixes = [cleaning.Fix("repair_zero_low", "prices"), cleaning.Fix("repair_zero_open", "prices")]
+    return _rounded(cleaning.apply_all(p.faulty, fixes).select("Ticker", "Date", "O", "L"),8)
+
+
+@_query("select Ticker, Date, round(case when Ticker in ('3','4') then AC else C end,8) AC from prices")
+def j3_rebuild_adjusted_close(p):
+    stale = p.bars.withColumn("AC", F.col("C"))
+    return _rounded(cleaning.apply_fix(stale, cleaning.Fix("rebuild_adjusted_close", "prices", ("3", "4")), p.dividends).select("Ticker", "Date", "AC"),8)
+
+
+@_query("select Ticker, Date, case when Ticker = '5' and Date >= date '1995-01-01' then null else V end V from bars")
+def j4_set_value(p):
+    return cleaning.apply_fix(p.bars, cleaning.Fix("set_value", "prices", ("5",), "1995-01-01", column="V")).select("Ticker", "Date", "V")
+
+
+@_query("select 'delete_date_range' fix_type, Ticker, min(Date) \"start\", max(Date) \"end\" from faulty where V<0 group by Ticker")
+def j6_fix_entries(p):
+    return cleaning.fix_entries("delete_span", quality.negative_volume(p.faulty), reason="negative volume").select("fix_type", F.element_at("tickers", 1).alias("Ticker"), "start", "end")
+
+
+# Series -------------------------------------------------------------------------------------------------------------
+
+
+@_query("select Ticker, Date, round(AC,8) AC from prices")
+def m1_adjusted_close(p):
+    return _rounded(p.prices.select("Ticker", "Date", "AC"),8)
+
+
+@_query("select Ticker, round(coalesce(max(case when C>0 then abs(AC-C)/C end),0),6) max_diff, coalesce(max(case when C>0 then abs(AC-C)/C end),0) > 0.001 exceeds from prices group by Ticker")
+def m2_max_difference(p):
+    return _rounded(series.max_difference(p.prices, p.bars.withColumn("AC", F.col("C"))))
+
+
+_HISTORY = "h as (select p.Ticker, p.Date, p.AC, m.C Market from prices p join market_data m on m.Date=p.Date and m.Ticker='^N')"
+
+
+def _history(p: Panel) -> DataFrame:
+    return series.benchmark_history(p.prices, _market(p))
+
+
+@_query(f"""select Ticker, Date, round(AC/first_value(AC) over w*100,4) AC, round(Market/first_value(Market) over w*100,4) Market from (select *, row_number() over (partition by Ticker order by Date desc) r from (with {_HISTORY} select * from h)) where r<=250 window w as (partition by Ticker order by Date)""")
+def m4_rebased(p):
+    return _rounded(series.rebased(_history(p), 250), 4)
+
+
+@_query("""select Ticker, round(min(dd),6) max_drawdown, round(arg_max(dd, Date),6) current_drawdown from (select Ticker, Date, AC/max(AC) over (partition by Ticker order by Date rows unbounded preceding)-1 dd from prices) group by Ticker""")
+def m5_drawdown(p):
+    return _rounded(series.drawdown_summary(p.prices))
+
+
+@_query(f"""select Ticker, hz horizon, round(max(case when r=1 then AC end)/max(case when r=n+1 then AC end)-1,6) ret, round(max(case when r=1 then Market end)/max(case when r=n+1 then Market end)-1,6) market_ret
+  from (select *, row_number() over (partition by Ticker order by Date desc) r from (with {_HISTORY} select * from h)) cross join (values ('1m',21),('3m',63),('6m',126),('1y',252),('3y',756),('5y',1260)) v(hz,n) group by Ticker, hz""")
+def m6_trailing_returns(p):
+    return _rounded(series.trailing_returns(_history(p)))
+
+
+@_query("""select Ticker, "Report Date" report_date, cast(rev as double) revenue, round(eps,4) eps, round(gm,6) gross_margin, cast(cfo+capex as double) fcf from (select i.Ticker, i."Report Date", row_number() over w rn,
+  sum("Revenue") over f rev, sum("Net Income (Common)") over f/nullif(i."Shares (Diluted)",0) eps, sum("Gross Profit") over f/nullif(case when sum("Revenue") over f > 0 then sum("Revenue") over f end,0) gm,
+  sum("Net Cash from Operating Activities") over f cfo, sum("Change in Fixed Assets & Intangibles") over f capex
+  from income i join cashflow c on c.Ticker=i.Ticker and c.Period=i.Period and c.IsRestated=i.IsRestated and c."Report Date"=i."Report Date" where i.Period='Q' and i.IsRestated
+  window w as (partition by i.Ticker order by i."Report Date"), f as (partition by i.Ticker order by i."Report Date" rows between 3 preceding and current row)) where rn>3""")
+def m8_ttm_history(p):
+    out = series.ttm_history(series.fundamentals_history(p.income, p.balance, p.cashflow))
+    return out.select("Ticker", "report_date", "revenue", F.round("eps", 4).alias("eps"), F.round("gross_margin", 6).alias("gross_margin"), "fcf")
+
+
+@_query("""select f.Ticker, f.Date flagged, b.Date, round(b.C,8) C from (select distinct Ticker, Date from faulty where V<0) f join bars b on b.Ticker=f.Ticker and b.Date between f.Date - 20 and f.Date + 20""")
+def m14_window_around(p):
+    return _rounded(series.window_around(quality.negative_volume(p.faulty), p.bars, 20).select("Ticker", "flagged", "Date", "C"),8)
+
+
+@_query("""select a.Ticker, a."Report Date" flagged, b."Report Date" report_date, cast(b.rn-a.rn as bigint) "offset" from (select *, row_number() over (partition by Ticker order by "Report Date") rn from income where Period='Q' and IsRestated) a
+  join (select *, row_number() over (partition by Ticker order by "Report Date") rn from income where Period='Q' and IsRestated) b on a.Ticker=b.Ticker and abs(a.rn-b.rn)<=2 where a."Shares (Basic)"%11=0""")
+def m15_neighbouring_periods(p):
+    flagged = p.income.filter((col("Period") == "Q") & col("IsRestated") & (col("Shares (Basic)") % 11 == 0))
+    return series.neighbouring_periods(flagged, p.income).select("Ticker", "flagged", col("Report Date").alias("report_date"), F.col("offset").cast("long").alias("offset"))
+
+
+# Factors and screening ----------------------------------------------------------------------------------------------
+
+_TTM = """ttm as (select Ticker, case when count(*) filter (where r<=4)=4 then sum(rev) filter (where r<=4) end revenue, case when count(*) filter (where r>4)=4 then sum(rev) filter (where r>4) end revenue_prior,
+  case when count(*) filter (where r<=4)=4 then sum(net) filter (where r<=4) end net from (select Ticker, cast("Revenue" as double) rev, cast("Net Income" as double) net, row_number() over (partition by Ticker order by "Report Date" desc) r from income where Period='Q' and IsRestated) where r<=8 group by Ticker)"""
+
+
+@_query(f"with {_TTM} select * from ttm")
+def k1_ttm(p):
+    return factors.ttm(p.income, {"revenue": "Revenue", "net": "Net Income"}).select("Ticker", "revenue", "revenue_prior", "net")
+
+
+@_query("""select Ticker, arg_max(cast("Total Equity" as double), "Report Date") equity, arg_max(cast("Total Assets" as double), "Report Date") assets,
+  max(case when r=1 then coalesce("Short Term Debt",0)+coalesce("Long Term Debt",0)+0.0 end)::double debt, max(case when r=1 then coalesce("Cash & Cash Equivalents",0)+0.0 end)::double cash
+  from (select *, row_number() over (partition by Ticker order by "Report Date" desc) r from balance where Period='Q' and IsRestated) group by Ticker""")
+def k2_latest_balance(p):
+    return factors.latest_balance(p.balance)
+
+
+@_query("""select Ticker, round(pow(max(case when r=1 then v end)/max(case when r=4 then v end), 1/3.0)-1,6) revenue_3y from (select Ticker, cast("Revenue" as double) v, row_number() over (partition by Ticker order by "Report Date" desc) r from income where Period='A' and IsRestated) where r<=4 group by Ticker""")
+def k4_revenue_cagr(p):
+    return _rounded(factors.revenue_cagr_3y(p.income))
+
+
+@_query("""select p.Ticker, coalesce(c.CompanyName,'') "name", coalesce(c.Sector,'unknown') sector, coalesce(c.Industry,'unknown') industry, round(cl,8) "close", round(cl*sh,8) mcap from (select Ticker, arg_max(C, Date) cl from bars group by 1) p
+  left join (select Ticker, arg_max("Shares (Basic)", "Report Date") sh from income where Period='Q' and IsRestated group by 1) s on s.Ticker=p.Ticker left join companies c on c.Ticker=p.Ticker""")
+def k5_identity(p):
+    out = factors.identity(p.bars, p.income, p.companies)
+    return out.select("Ticker", "name", "sector", "industry", F.round("close",8).alias("close"), F.round("mcap", 8).alias("mcap"))
+
+
+@_query(f"""select t.Ticker, round(case when mcap>0 then revenue/mcap end,6) sales_yield, round(case when equity>0 then net/equity end,6) roe, round(case when revenue_prior>0 then revenue/revenue_prior-1 end,6) revenue_yoy from (with {_TTM} select * from ttm) t
+  join (select Ticker, arg_max("Total Equity","Report Date") equity from balance where Period='Q' and IsRestated group by 1) b on b.Ticker=t.Ticker
+  join (select p.Ticker, cl*sh mcap from (select Ticker, arg_max(C, Date) cl from bars group by 1) p join (select Ticker, arg_max("Shares (Basic)", "Report Date") sh from income where Period='Q' and IsRestated group by 1) s on s.Ticker=p.Ticker) m on m.Ticker=t.Ticker""")
+def k6_fundamental_factors(p):
+    ident = factors.identity(p.bars, p.income, p.companies)
+    return _rounded(factors.fundamental_factors(ident, p.income, p.balance, p.cashflow).select("Ticker", "sales_yield", "roe", "revenue_yoy"))
+
+
+@_query("""select d.Ticker, round(case when sum(case when age>=365 and age<730 then Dividend else 0 end)>0 then sum(case when age>=0 and age<365 then Dividend else 0 end)/nullif(sum(case when age>=365 and age<730 then Dividend else 0 end),0)-1 end,6) div_growth
+  from (select *, date_diff('day', Date, (select max(Date) from bars)) age from dividends) d group by d.Ticker""")
+def k7_dividend_growth(p):
+    return _rounded(factors.dividend_growth(p.dividends, p.bars))
+
+
+_PF = """pf as (select Ticker, max(case when r=22 then AC end)/max(case when r=253 then AC end)-1 ret_12_1, max(case when r=1 then AC end)/max(case when r=127 then AC end)-1 ret_6m, max(case when r=1 then AC end)/max(AC) high_52w,
+  case when count(ret)>=200 then stddev_samp(ret)*sqrt(252) end vol_252, case when count(case when mret is not null then ret end)>=200 and var_samp(case when ret is not null then mret end)>0 then covar_samp(ret, mret)/var_samp(case when ret is not null then mret end) end beta
+  from (select x.*, AC/nullif(lag(AC) over (partition by Ticker order by x.Date),0)-1 ret, mret from (select Ticker, Date, AC, row_number() over (partition by Ticker order by Date desc) r from prices) x
+  left join (select Date, C/nullif(lag(C) over (order by Date),0)-1 mret from (select Date, C from market_data where Ticker='^N' order by Date desc limit 253)) m on m.Date=x.Date where r<=253) group by Ticker)"""
+
+
+@_query(f"with {_PF} select Ticker, round(ret_12_1,6) ret_12_1, round(ret_6m,6) ret_6m, round(high_52w,6) high_52w, round(vol_252,6) vol_252, round(beta,4) beta from pf")
+def k8_price_factors(p):
+    out = _rounded(factors.price_factors(p.prices, _market(p)))
+    return out.withColumn("beta", F.round("beta", 4))
+
+
+@_query()
+def k9_build_factors(p):
+    return _rounded(_factors(p))
+
+
+@_query("""select b.Ticker, min(Date) first_date, max(Date) last_date, count(*) n_days, round(arg_max(C, Date),4) "close", round(date_diff('day', min(Date), max(Date))/365.25,1) "years", max(Date) >= (select max(Date) from bars) - 7 active,
+  round((select median(C*V) from (select C, V from bars x where x.Ticker=b.Ticker order by Date desc limit 252)),2) dollar_vol from bars b group by b.Ticker""")
+def l1_metrics(p):
+    none = p.bars.filter("1 = 0").select("Ticker")
+    out = screening.build_metrics(p.bars, p.income, p.companies, none)
+    return out.select("Ticker", "first_date", "last_date", "n_days", F.round("close", 4).alias("close"), "years", "active", F.round("dollar_vol", 2).alias("dollar_vol"))
+
+
+@_query(f"""with {_PF} select Ticker, round(case when vol_252 is not null then 100*(rank() over (order by -vol_252)+(count(*) over (partition by vol_252)-1)/2.0)/count(vol_252) over () end,4) rank_vol_252,
+  round(case when ret_6m is not null then 100*(rank() over (order by ret_6m)+(count(*) over (partition by ret_6m)-1)/2.0)/count(ret_6m) over () end,4) rank_ret_6m from pf""")
+def l3_ranks(p):
+    out = screening.compute_ranks(factors.price_factors(p.prices, _market(p)), ["vol_252", "ret_6m"])
+    return _rounded(out.select("Ticker", "rank_vol_252", "rank_ret_6m"), 4)
+
+
+@_query()
+def l7_screen(p):
+    none = quality.negative_volume(p.faulty)
+    pool = screening.merge_pool(screening.build_metrics(p.prices, p.income, p.companies, none), _factors(p))
+    return _rounded(screen_columns(screening.screen(pool, ["ret_6m", "roe", "vol_252"], {"rank_ret_6m": (20, None)}, status="active", min_years=1.0)))
+
+
+def screen_columns(df: DataFrame) -> DataFrame:
+    return df.select("Ticker", "sector", "rank_ret_6m", "rank_roe", "rank_vol_252", "score")
+
+
+@_query("""select subject, Ticker, place from (select a.Ticker subject, b.Ticker, row_number() over (partition by a.Ticker order by case when a.Ticker=b.Ticker then 0 else 1 end, abs(log10(b.mcap)-log10(a.mcap)) nulls last, b.Ticker) place
+  from pool a join pool b on a.sector=b.sector) where place <= 10""".replace("from pool a", "from (select c.Ticker, Sector sector, cast(1000+length(CompanyName)*cast(c.Ticker as int)*7919%100003 as double) mcap from companies c) a").replace("join pool b", "join (select c.Ticker, Sector sector, cast(1000+length(CompanyName)*cast(c.Ticker as int)*7919%100003 as double) mcap from companies c) b"))
+def m9_peer_groups(p):
+    pool = p.companies.select("Ticker", F.col("Sector").alias("sector"), (F.lit(1000) + F.length("CompanyName") * F.col("Ticker").cast("int") * 7919 % 100003).cast("double").alias("mcap"))
+    return screening.scope_peer_group(pool, "sector", 10).select("subject", "Ticker", F.col("place").cast("long").alias("place"))
+
+
+@_query()
+def m11_peer_percentiles(p):
+    pool = screening.merge_pool(screening.build_metrics(p.prices, p.income, p.companies, quality.negative_volume(p.faulty)), _factors(p))
+    return _rounded(screening.peer_percentiles(screening.scope_peer_group(pool, "sector", 50)))
+
+
+@_query("""select Ticker, round(greatest(lo, q1-1.5*(q3-q1)),8) low, round(least(hi, q3+1.5*(q3-q1)),8) high from (select Ticker, quantile_cont(C,0.25) q1, quantile_cont(C,0.75) q3, min(C) lo, max(C) hi from bars group by 1) where greatest(lo, q1-1.5*(q3-q1)) < least(hi, q3+1.5*(q3-q1))""")
+def m13_robust_fences(p):
+    return _rounded(screening.robust_fences(p.bars, "Ticker", "C").filter("low is not null"),8)
+
+
+# Statement views ----------------------------------------------------------------------------------------------------
+
+
+@_query("""select Ticker, "Fiscal Year" fy, "Fiscal Period" fp, case when "Fiscal Period"='FY' then concat('FY ', cast("Fiscal Year" as varchar)) else concat(cast("Fiscal Year" as varchar),' ',"Fiscal Period") end "label", "Restated Date" restated from income where IsRestated""")
+def n1_latest_restated(p):
+    twice = p.income.unionByName(p.income.withColumn("Restated Date", F.date_sub(col("Restated Date"), 3))).filter("IsRestated")
+    return statements.latest_restated(twice).select("Ticker", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), statements.period_label().alias("label"), col("Restated Date").alias("restated"))
+
+
+@_query("""select Ticker, "Period", IsRestated, item, count(*) n, sum(v) total from (select Ticker, "Period", IsRestated, "Revenue" v, 'Revenue' item from income union all select Ticker, "Period", IsRestated, "Net Income", 'Net Income' from income) group by 1,2,3,4""")
+def n2_line_items(p):
+    long = statements.line_items(p.income, ["Revenue", "Net Income"])
+    return long.groupBy("Ticker", "Period", "IsRestated", "item").agg(F.count("*").alias("n"), F.sum("value").cast("decimal(38,0)").alias("total"))
+
+
+@_query("""select a.Ticker, a.IsRestated, a."Fiscal Year" fy, a."Fiscal Period" fp, round((a."Revenue"-b."Revenue")/nullif(abs(b."Revenue"),0)*100,4) yoy from income a left join income b on a.Ticker=b.Ticker and a.Period=b.Period and a.IsRestated=b.IsRestated and a."Fiscal Period"=b."Fiscal Period" and a."Fiscal Year"=b."Fiscal Year"+1""")
+def n4_yoy(p):
+    out = statements.yoy(statements.line_items(p.income, ["Revenue"]))
+    return out.select("Ticker", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.round("value", 4).alias("yoy"))
+
+
+@_query("""select c.Ticker, c.IsRestated, c."Fiscal Year" fy, c."Fiscal Period" fp, round(c."Net Cash from Operating Activities"/nullif(abs(i."Revenue"),0)*100,4) pct from cashflow c left join income i on c.Ticker=i.Ticker and c.Period=i.Period and c.IsRestated=i.IsRestated and c."Fiscal Year"=i."Fiscal Year" and c."Fiscal Period"=i."Fiscal Period" """)
+def n5_common_size(p):
+    out = statements.common_size(p.cashflow, "cashflow", p.income).filter("item = 'Net Cash from Operating Activities'")
+    return out.select("Ticker", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.round("value", 4).alias("pct"))
+
+
+@_query("""select Ticker, IsRestated, "Fiscal Year" fy, "Fiscal Period" fp, round("Net Income"/nullif("Shares (Diluted)",0),4) v from income""")
+def n6_per_share(p):
+    out = statements.per_share(p.income).filter("item = 'Net Income'")
+    return out.select("Ticker", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.round("value", 4).alias("v"))
+
+
+@_query("""select r.Ticker, r."Fiscal Year" fy, r."Fiscal Period" fp, cast(r."Revenue"-f."Revenue" as double) delta from income r join income f on r.Ticker=f.Ticker and r.Period=f.Period and r."Fiscal Year"=f."Fiscal Year" and r."Fiscal Period"=f."Fiscal Period" and r.IsRestated and not f.IsRestated where r."Revenue"<>f."Revenue" """)
+def n7_vintage_diff(p):
+    long = statements.line_items(p.income, ["Revenue"])
+    out = statements.vintage_diff(long.filter("IsRestated"), long.filter("not IsRestated")).filter("value is not null")
+    return out.select("Ticker", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.col("value").alias("delta"))
+
+
+# Sources and sinks --------------------------------------------------------------------------------------------------
+
+
+@_query("select Ticker, Date, round(case when k%5=0 then C*2 else C end,8) C from (select *, cast(Ticker as int)+dayofyear(Date) k from bars)")
+def a12_upsert(p):
+    half = p.bars.filter((F.col("Ticker").cast("int") + F.dayofyear("Date")) % 5 == 0).withColumn("C", F.col("C") * 2).select("Ticker", "Date", "C")
+    return _rounded(sinks.upsert(p.bars, half, ["Ticker", "Date"]).select("Ticker", "Date", "C"),8)
+
+
+@_query("select Ticker, Date, round(C,8) C from bars where Ticker in ('1','7') and Date >= date '1995-01-01'")
+def a19_panel_scan(p):
+    return _rounded(panels.ohlcv_series(p.prices, ["1", "7"], start=F.to_date(F.lit("1995-01-01"))).select("Ticker", "Date", "C"),8)
+
+
+@_query("select AssetClass, count(*) n, count(distinct Ticker) tickers from (select Ticker, 'stocks' AssetClass from bars union all select Ticker, AssetClass from market_data) group by 1")
+def a20_price_series(p):
+    return panels.price_series(p.prices, p.market_data).groupBy("AssetClass").agg(F.count("*").alias("n"), F.countDistinct("Ticker").alias("tickers"))
+
+
+@_query("select distinct Ticker from bars union select distinct Ticker from market_data where AssetClass='bonds'")
+def a21_list_tickers(p):
+    return panels.list_tickers(p.bars, p.market_data, ("stocks", "bonds"))
+
+
+@_query("""select Ticker, "last", batch, min("last") over (partition by batch) - 5 "start" from (select Ticker, "last", cast(floor((row_number() over (order by "last", Ticker)-1)/10) as bigint) batch from (select Ticker, max(Date) "last" from bars group by 1))""")
+def a26_plan_increments(p):
+    return panels.plan_increments(p.bars, p.bars.select("Ticker"), 10)
+
+
+@_query("select Ticker from companies where Ticker not in (select Ticker from dividends where Dividend > 0.95 and Date > date '2000-09-01')")
+def a28_todo(p):
+    return panels.todo(p.companies, p.dividends.filter("Dividend > 0.95 and Date > date '2000-09-01'"))
+
+
+@_query("select Ticker, count(*) n from bars where Ticker in (select Ticker from dividends where Date >= date '1998-11-01') group by 1")
+def a31_needs_readjustment(p):
+    return panels.needs_readjustment(p.bars, p.dividends.filter("Date >= date '1998-11-01'")).groupBy("Ticker").agg(F.count("*").alias("n"))
+
+
+@_query("""select d.Ticker, d.Date, s.Date split from dividends d left join lateral (select Date from splits s where s.Ticker=d.Ticker and abs(date_diff('day', s.Date, d.Date))<=5 order by abs(date_diff('day', s.Date, d.Date)), s.Date limit 1) s on true""")
+def c14_nearest_join(p):
+    left = p.dividends.select("Ticker", "Date").withColumn("id", F.concat_ws("|", "Ticker", "Date"))
+    return joins.nearest_join(left, p.splits.select("Ticker", F.col("Date").alias("split")), ["Ticker"], "id", "Date", "split", 5).select("Ticker", "Date", "split")
+
+
+@_query("""select b.Ticker, b.Date, round(i."Revenue",2) revenue from bars b asof left join (select Ticker, "Publish Date" pd, max("Revenue") "Revenue" from income where Period='Q' and not IsRestated group by 1,2) i on b.Ticker=i.Ticker and b.Date >= i.pd""")
+def c17_as_of_join(p):
+    known = p.income.filter((col("Period") == "Q") & ~col("IsRestated")).groupBy("Ticker", col("Publish Date").alias("pd")).agg(F.max("Revenue").alias("revenue"))
+    return joins.as_of_join(p.bars.select("Ticker", "Date"), known, ["Ticker"], "Date", "pd").select("Ticker", "Date", F.round(F.col("revenue"), 2).alias("revenue"))
+
+
+# Reporting ----------------------------------------------------------------------------------------------------------
+
+
+@_query("""select coalesce(a.Ticker,b.Ticker) Ticker, a.Ticker is not null InFirst, b.Ticker is not null InSecond, coalesce(a.Sector,b.Sector) Sector from (select Ticker, Sector from companies where cast(Ticker as int)%3<>0) a full join (select Ticker, Industry Sector from companies where cast(Ticker as int)%5<>0) b on a.Ticker=b.Ticker""")
+def r1_merge_companies(p):
+    n = F.col("Ticker").cast("int")
+    a, b = p.companies.filter(n % 3 != 0).select("Ticker", "Sector"), p.companies.filter(n % 5 != 0).select("Ticker", F.col("Industry").alias("Sector"))
+    return reporting.merge_companies(a, b)
+
+
+@_query("""(select Ticker, 'left' side from companies where cast(Ticker as int)%3=0 except select Ticker, 'left' from companies where cast(Ticker as int)%5=0) union all (select Ticker, 'right' from companies where cast(Ticker as int)%5=0 except select Ticker, 'right' from companies where cast(Ticker as int)%3=0)""")
+def r3_ticker_diff(p):
+    n = F.col("Ticker").cast("int")
+    return reporting.ticker_diff(p.companies.filter(n % 3 == 0), p.companies.filter(n % 5 == 0))
+
+
+@_query("select Ticker, count(*) findings, count(distinct c) checks from (select Ticker, 'v' c from faulty where V<0 union all select Ticker, 'p' from faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0) group by 1 order by 2 desc, 1 limit 10")
+def r4_worst_tickers(p):
+    return reporting.worst_tickers(quality.run_checks({"prices": p.faulty, "market_data": p.market_data.filter("C < 0")}, ["nonpositive_price", "negative_volume"]))
+
+
+@_query("""select f.Ticker, f.Date, f.Ticker in (select Ticker from companies where cast(Ticker as int)%2=0) IsStock from faulty f where V<0 and dayofyear(Date)%2=0""")
+def r5_open_anomalies(p):
+    found = quality.run_checks({"prices": p.faulty}, ["negative_volume"])
+    log = found.filter(F.dayofyear("Date") % 2 == 1).select(F.col("CheckName").alias("check"), F.col("Ticker").alias("ticker"), F.col("Date").alias("date"), F.col("Key").alias("key"))
+    return reporting.open_anomalies(found, log, p.companies.filter(F.col("Ticker").cast("int") % 2 == 0)).select("Ticker", "Date", "IsStock")
+
+
+@_query("select 'bars' \"table\", max(Date) \"last\", date_diff('day', max(Date), date '2000-01-01') age_days from bars union all select 'market_data', max(Date), date_diff('day', max(Date), date '2000-01-01') from market_data")
+def r6_freshness(p):
+    out = reporting.freshness({"bars": (p.bars, "Date"), "market_data": (p.market_data, "Date")}, F.to_date(F.lit("2000-01-01")))
+    return out.withColumn("age_days", F.col("age_days").cast("long"))
+
+
+@_query("select 'lineitem' \"table\", count(*) \"rows\" from lineitem union all select 'orders', count(*) from orders union all select 'events', count(*) from events")
+def r7_row_counts(p):
+    return reporting.row_counts({t: p[t] for t in ("lineitem", "orders", "events")})
+
+
+@_query("""select Period, IsRestated, count(*) "rows", count(distinct Ticker) tickers from income group by 1,2""")
+def r8_statement_coverage(p):
+    return reporting.statement_coverage(p.income)
+
+
+@_query("""select Period, count(*) "rows", round(quantile_cont(d,0.5),4) p50, round(quantile_cont(d,0.9),4) p90, min(d) least, max(d) most from (select Period, date_diff('day', "Report Date", "Publish Date") d from income where not IsRestated) group by 1""")
+def r9_publish_lag(p):
+    out = reporting.publish_lag(p.income)
+    return out.select("Period", "rows", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"), F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"))
+
+
+@_query("""select item, count(*) pairs, count(*) filter (where abs(r-f) > greatest(0.01*abs(f),100000)) differ, round(quantile_cont(case when abs(r-f) > greatest(0.01*abs(f),100000) then abs(r-f)/nullif(abs(f),0)*100 end,0.5),4) median_pct from
+  (select 'Revenue' item, cast(f."Revenue" as double) f, cast(r."Revenue" as double) r from income f join income r on f.Ticker=r.Ticker and f.Period=r.Period and f."Fiscal Year"=r."Fiscal Year" and f."Fiscal Period"=r."Fiscal Period" and not f.IsRestated and r.IsRestated) group by 1""")
+def r10_restatement_impact(p):
+    return reporting.restatement_impact(p.income, ["Revenue"]).select("item", "pairs", "differ", F.round("median_pct", 4).alias("median_pct"))
+
+
+@_query("""select 'Short Term Debt' "column", round(count("Short Term Debt") filter (where Period='A')*1.0/count(*) filter (where Period='A'),6) A, round(count("Short Term Debt") filter (where Period='Q')*1.0/count(*) filter (where Period='Q'),6) Q from balance""")
+def r11_fill_rates(p):
+    return _rounded(reporting.fill_rates(p.balance).filter(F.col("column") == "Short Term Debt").select("column", "A", "Q"))
+
+
+@_query("""select 'o_orderstatus' "column", count(o_orderstatus) filled, count(try_cast(o_orderstatus as double)) castable from orders union all select 'o_orderpriority', count(o_orderpriority), count(try_cast(o_orderpriority as double)) from orders""")
+def r12_castability(p):
+    return reporting.castability(p.orders)
+
+
+@_query("select 'C' \"column\", count(C) n, round(min(C),4) least, round(max(C),4) most, round(avg(C),4) mean, round(stddev_samp(C),4) std from bars")
+def r13_profile(p):
+    return _rounded(reporting.profile(p.bars.select("C")), 4)
+
+
+@_query("select Ticker, round(max(C)/min(C),4) spread, cast(floor(log10(max(C)/min(C))) as bigint) magnitude from bars where C>0 group by 1")
+def r15_dynamic_range(p):
+    return _rounded(reporting.dynamic_range(p.bars), 4)
+
+
+# Windows, similarity, data sets -------------------------------------------------------------------------------------
+
+
+@_query("""select Ticker, cast(ofs as bigint) "offset", min(Date) start_date, max(Date) end_date, count(*) n, round(sum(AC),3) total from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from prices) p, range(0, 6000, 15) t(ofs) where ofs+30<=k and i>=ofs and i<ofs+30 group by Ticker, ofs having min(AC)>0""")
+def o1_segments(p):
+    out = windows.build_segments(panels.price_series(p.prices, p.market_data.filter("1 = 0")), 30, 15)
+    return out.select("Ticker", "offset", "start_date", "end_date", F.size("w").cast("long").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+@_query("""select Ticker, start_date, round((fin-m)/case when sd>0 then sd else 1 end,5) last_z from (select Ticker, ofs, min(Date) start_date, avg(C) filter (where i<ofs+20) m, stddev_pop(C) filter (where i<ofs+20) sd, arg_max(C,i) fin from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,30) t(ofs) where ofs+30<=k and i>=ofs and i<ofs+30 group by Ticker, ofs)""")
+def o3_zscore(p):
+    out = windows.encode(windows.build_segments(p.bars.select("Ticker", "Date", F.col("C").alias("Price")), 30, 30), "zscore", 20)
+    return out.select("Ticker", "start_date", F.round(F.element_at("xf", -1), 5).alias("last_z"))
+
+
+@_query("""select vec_id id, arg_min(other, d) other, round(min(d),4) distance from (select a.vec_id, b.vec_id other, list_distance(a.embedding::double[], b.embedding::double[]) d from embeddings a join embeddings b on a.vec_id<>b.vec_id) group by 1""")
+def o9_nearest_other(p):
+    return similarity.nearest_others(p.embeddings, "vec_id", "embedding").select("id", "other", F.round("distance", 4).alias("distance"))
+
+
+@_query("""select id, other, place from (select a.vec_id id, b.vec_id other, row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) place from embeddings a join embeddings b on a.vec_id<>b.vec_id where a.vec_id%20=0) where place<=10""")
+def o10_nearest_others(p):
+    found = similarity.nearest_others(p.embeddings, "vec_id", "embedding", 10, p.embeddings.filter("vec_id % 20 = 0"))
+    return found.select("id", "other", F.col("place").cast("long").alias("place"))
+
+
+@_query("""select i, j, round(d,4) distance from (select least(a.vec_id,b.vec_id) i, greatest(a.vec_id,b.vec_id) j, min(list_distance(a.embedding::double[], b.embedding::double[])) d from embeddings a join embeddings b on a.vec_id<>b.vec_id group by 1,2) order by d, i, j limit 20""")
+def o11_closest_pairs(p):
+    return _rounded(similarity.closest_pairs(similarity.nearest_others(p.embeddings, "vec_id", "embedding"), 20), 4)
+
+
+@_query()
+def o8_pca(p):
+    out = similarity.pca_reduce(p.embeddings, "embedding", n_components=4)
+    return out.select("vec_id", F.transform("reduced", lambda x: F.round(F.abs(x), 4)).alias("size"))
+
+
+def _future(label: str, half: int = 0):
+    return lambda p: windows.build_windows_with_future_return(p.prices, 20, 10, 5, label, half)
+
+
+_DATES = "dd as (select Date, row_number() over (order by Date) d, count(*) over () n from (select distinct Date from prices)), ref as (select Date from dd where d>=20 and d<=n-5 and (d-20)%10=0), pp as (select *, row_number() over w rn, count(*) over (partition by Ticker) k, lead(AC,5) over w a5 from prices window w as (partition by Ticker order by Date))"
+
+
+@_query(f"select Ticker, Date end_date, round(a5/AC-1,6) \"label\" from (with {_DATES} select pp.* from pp join ref on ref.Date=pp.Date) where rn>=20 and rn+5<=k")
+def p2_future_point(p):
+    return _rounded(_future("point")(p).select("Ticker", "end_date", "label"))
+
+
+@_query(f"""select Ticker, Date end_date, round(case when vy>1e-12 then pow(cov,3)/(4*25*vy)*1.0 else 0 end,5) "label" from (select *, (s2+2*s3+3*s4+4*s5+5*s6)-3*(s2+s3+s4+s5+s6) cov, (s2*s2+s3*s3+s4*s4+s5*s5+s6*s6)-pow(s2+s3+s4+s5+s6,2)/5 vy from
+  (with {_DATES}, l as (select *, ln(lead(AC,1) over w) s2, ln(lead(AC,2) over w) s3, ln(lead(AC,3) over w) s4, ln(lead(AC,4) over w) s5, ln(lead(AC,5) over w) s6 from pp window w as (partition by Ticker order by Date)) select l.* from l join ref on ref.Date=l.Date)) where rn>=20 and rn+5<=k""")
+def p2_future_trend(p):
+    return _label5(_future("trend")(p))
+
+
+def _label5(df: DataFrame) -> DataFrame:
+    return df.select("Ticker", "end_date", F.round("label", 5).alias("label"))
+
+
+@_query(f"select Ticker, Date end_date, round(a5/AC-1 - avg(a5/AC-1) over (partition by Date),6) excess from (with {_DATES} select pp.* from pp join ref on ref.Date=pp.Date) where rn>=20 and rn+5<=k")
+def p4_demean_by_date(p):
+    return _rounded(mldata.demean_by_date(_future("point")(p)).select("Ticker", "end_date", "excess"))
+
+
+def _set(p: Panel) -> DataFrame:
+    return mldata.split_windows(windows.build_windows(p.prices, 20, 10), 0.2, "recent", 2)
+
+
+@_query()
+def p8_split_windows(p):
+    return _set(p).groupBy("Ticker", "split").agg(F.count("*").alias("n"), F.min("start_date").alias("first"), F.max("end_date").alias("last"))
+
+
+@_query()
+def p10_label_index(p):
+    df = mldata.encode_labels(mldata.attach_labels(_set(p), mldata.ticker_labels(p.companies, "Sector")))
+    return df.groupBy("label", "label_index", "split").agg(F.count("*").alias("n"))
+
+
+@_query("select o_orderpriority \"label\", round((select count(*) from orders)*1.0/((select count(distinct o_orderpriority) from orders)*count(*)),6) weight from orders group by 1")
+def p11_class_weights(p):
+    return _rounded(mldata.class_weights(p.orders.withColumnRenamed("o_orderpriority", "label"), "label"))
+
+
+_PRED = "(select Ticker, Date, C target, H - L*0.5 pred from bars where dayofyear(Date)%10=0)"
+
+
+def _pred(p: Panel) -> DataFrame:
+    return p.bars.filter(F.dayofyear("Date") % 10 == 0).select("Ticker", "Date", F.col("C").alias("target"), (F.col("H") - F.col("L") * 0.5).alias("pred"))
+
+
+@_query(f"""select round(avg(c),6) spearman, count(c) "groups" from (select Date, case when count(*)>=2 and stddev_pop(a)>0 and stddev_pop(b)>0 then corr(a,b) end c from (select Date, rank() over (partition by Date order by pred)+(count(*) over (partition by Date, pred)-1)/2.0 a, rank() over (partition by Date order by target)+(count(*) over (partition by Date, target)-1)/2.0 b from {_PRED}) group by Date)""")
+def q4_spearman(p):
+    return _rounded(mleval.spearman_by_group(_pred(p), "pred", "target", "Date"))
+
+
+@_query(f"select Ticker, Date, cast(least(floor((rank() over (partition by Date order by target)+(count(*) over (partition by Date, target)-1)/2.0)/count(*) over (partition by Date)*5),4) as integer) grade from {_PRED}")
+def q5_relevance_grades(p):
+    return mldata.relevance_grades(_pred(p), "target", "Date").select("Ticker", "Date", "grade")
+
+
+@_query(f"""select round(avg(h),6) "precision", count(*) "groups" from (select Date, count(*) filter (where pp<=k and tt<=k)*1.0/max(k) h from (select *, greatest(1, cast(round_even(n*0.2,0) as integer)) k from (select Date, count(*) over (partition by Date) n, row_number() over (partition by Date order by pred desc, Ticker) pp, row_number() over (partition by Date order by target desc, Ticker) tt from {_PRED})) where n>=2 group by Date)""")
+def q6_precision_at_k(p):
+    return _rounded(mleval.precision_at_k(_pred(p), "pred", "target", "Date", 0.2))
+
+
+_CLS = "(select l_linenumber%7 pred, (l_linenumber + cast(l_quantity as int)%3)%7 truth from lineitem)"
+
+
+def _cls(p: Panel) -> DataFrame:
+    return p.lineitem.select((F.col("l_linenumber") % 7).alias("pred"), ((F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3) % 7).alias("truth"))
+
+
+@_query(f"select round(avg(r),6) macro_accuracy from (select truth, avg(case when pred=truth then 1.0 else 0.0 end) r from {_CLS} group by 1)")
+def q7_macro_accuracy(p):
+    return _rounded(mleval.macro_accuracy(_cls(p), "pred", "truth"))
+
+
+@_query(f"select truth, pred, count(*) n, round(count(*)*1.0/sum(count(*)) over (partition by truth),6) share from {_CLS} group by 1,2")
+def q8_confusion(p):
+    return _rounded(mleval.confusion_matrix(_cls(p), "pred", "truth"))
+
+
+@_query(f"select truth, pred, count(*) n from {_CLS} where pred<>truth group by 1,2 order by n desc, truth, pred limit 15")
+def q9_top_confused(p):
+    return mleval.top_confused(_cls(p), "pred", "truth")
+
+
+@_query(f"select pred, count(*) n, count(distinct truth) sources from {_CLS} where pred<>truth group by 1 order by n desc, pred limit 10")
+def q10_worst_predicted(p):
+    return mleval.worst_predicted(_cls(p), "pred", "truth")
+
+
+@_query(f"""select Ticker, pred_rank, true_rank, abs(pred_rank-true_rank) <= greatest(1, cast(round_even(n*0.1,0) as integer)) success from (select Ticker, rank() over (order by avg(pred) desc) pred_rank, rank() over (order by avg(target) desc) true_rank, count(*) over () n from {_PRED} group by Ticker)""")
+def q11_rank_success(p):
+    return mleval.rank_success(_pred(p), "pred", "target").select("Ticker", F.col("pred_rank").cast("long").alias("pred_rank"), F.col("true_rank").cast("long").alias("true_rank"), "success")
+
+
+@_query(f"select median(n) median, max(n) most from (select Date, count(*) n from {_PRED} group by 1)")
+def q12_cross_section_sizes(p):
+    return mleval.cross_section_sizes(_pred(p), "Date")
+
+
+# Streaming ----------------------------------------------------------------------------------------------------------
+
+
+@_query("""select Ticker, Date, c CheckName from (select Ticker, Date, 'nonpositive_price' c from faulty where O<=0 or H<=0 or L<=0 or C<=0 union all select Ticker, Date, 'ohlc_inconsistent' from faulty where H<L or O>H or O<L or C>H or C<L)""")
+def s3_row_checks(p):
+    return ingest.row_checks(p.faulty.withColumn("AssetClass", F.lit("stocks")))

@@ -35,7 +35,7 @@ VIEWS = {
       union all select Ticker, 'us', 'A', IsRestated, fy, 'FY', make_date(cast(fy as int), 12, 28), make_date(cast(fy as int), 12, 28) + cast(30+sum(qty)%60 as int), make_date(cast(fy as int), 12, 28) + cast(120+sum(qty)%400 as int),
       1000+max(qty), 1010+max(qty), cast(sum(rev) as bigint) + (case when sum(qty)%7=0 then 5000000 else 0 end), -cast(sum(rev*6 div_ 10) as bigint), cast(sum(rev-(rev*6 div_ 10)) as bigint), -cast(sum(rev div_ 5) as bigint),
       cast(sum(rev-(rev*6 div_ 10)-(rev div_ 5)) as bigint), -cast(sum(rev div_ 50) as bigint), -cast(sum(rev div_ 100) as bigint), cast(sum((qty%17-3)*rev div_ 100) as bigint), cast(sum((qty%17-3)*rev div_ 110) as bigint) from quarters group by Ticker, IsRestated, fy""",
-    "balance": """select Ticker, Market, Period, IsRestated, "Fiscal Year", "Fiscal Period", "Report Date", "Publish Date", "Restated Date", "Shares (Basic)", "Shares (Diluted)", "Revenue"*3 "Total Assets", "Revenue"*2 "Total Current Assets", "Revenue" "Total Noncurrent Assets",
+    "balance": """select Ticker, Market, Period, IsRestated, "Fiscal Year", "Fiscal Period", "Report Date", "Publish Date", "Restated Date", "Shares (Basic)", "Shares (Diluted)", "Revenue"*3 "Total Assets", "Revenue"*2 "Total Current Assets", "Revenue"+(case when "Shares (Basic)"%23=0 then "Revenue" div_ 8 else 0 end) "Total Noncurrent Assets",
       "Revenue"+"Revenue" div_ 2 "Total Liabilities", "Revenue"*3-("Revenue"+"Revenue" div_ 2)-(case when "Shares (Basic)"%11=0 then "Revenue" div_ 4 else 0 end) "Total Equity",
       case when "Shares (Basic)"%5=0 then null else "Revenue" div_ 10 end "Short Term Debt", case when "Shares (Basic)"%3=0 then null else "Revenue" div_ 4 end "Long Term Debt", "Revenue" div_ 8 "Cash & Cash Equivalents" from income""",
     "cashflow": """select Ticker, Market, Period, IsRestated, "Fiscal Year", "Fiscal Period", "Report Date", "Publish Date", "Restated Date", "Shares (Basic)", "Shares (Diluted)", "Net Income"+"Revenue" div_ 20 "Net Cash from Operating Activities",
@@ -45,6 +45,13 @@ VIEWS = {
 }
 
 
+#: Only for the oracle: Spark's come from operators.series.adjusted_close.
+DUCK_VIEWS = {
+    "exdays": """select b.*, case when d.Dividend is not null then 1 - d.Dividend/nullif(lag(C) over (partition by b.Ticker order by b.Date), 0) end f from bars b left join dividends d on b.Ticker=d.Ticker and b.Date=d.Date""",
+    "prices": """select Ticker, Date, O, H, L, C, V, C*coalesce(product(coalesce(f,1)) over (partition by Ticker order by Date rows between 1 following and unbounded following),1) AC from exdays""",
+}
+
+
 def spark_sql(text: str) -> str:
     return text.replace('"', "`").replace("div_", "div")
 
@@ -55,7 +62,9 @@ def duck_sql(text: str) -> str:
 
 def with_views(sql: str) -> str:
     """DuckDB SQL that has the panel views as common table expressions."""
-    return "with recursive " + ", ".join(f"{name} as ({duck_sql(text)})" for name, text in VIEWS.items()) + " " + sql
+    if sql.startswith("with "):
+        sql = ", " + sql.removeprefix("with ")
+    return "with recursive " + ", ".join(f"{name} as ({duck_sql(text)})" for name, text in {**VIEWS, **DUCK_VIEWS}.items()) + " " + sql
 
 
 class Panel:

@@ -17,7 +17,7 @@ def stream_bars(spark: SparkSession, path: str) -> DataFrame:
     return bars.filter("AssetClass is not null")
 
 
-def upsert_stream(bars: DataFrame, target: str, checkpoint: str, key: tuple[str, ...] = ("Ticker", "Date"), parallel_snapshots: int = 2) -> StreamingQuery:
+def upsert_stream(bars: DataFrame, target: str, checkpoint: str, key: tuple[str, ...] = ("Ticker", "Date")) -> StreamingQuery:
     """Merges every micro-batch into a table kept as numbered snapshots below target; the later arrival of a key wins.
 
     A batch that is run again after a failure writes the same snapshot again.
