@@ -327,12 +327,12 @@ def k9_build_factors(p):
     return _rounded(_factors(p))
 
 
-@_query("""select b.Ticker, min(Date) first_date, max(Date) last_date, count(*) n_days, round(arg_max(C, Date),4) "close", round(date_diff('day', min(Date), max(Date))/365.25,1) "years", max(Date) >= (select max(Date) from bars) - 7 active,
+@_query("""select b.Ticker, min(Date) first_date, max(Date) last_date, count(*) n_days, round(arg_max(C, Date),8) "close", round(date_diff('day', min(Date), max(Date))/365.25,1) "years", max(Date) >= (select max(Date) from bars) - 7 active,
   round((select median(C*V) from (select C, V from bars x where x.Ticker=b.Ticker order by Date desc limit 252))+1e-5,2) dollar_vol from bars b group by b.Ticker""")
 def l1_metrics(p):
     none = p.bars.filter("1 = 0").select("Ticker")
     out = screening.build_metrics(p.bars, p.income, p.companies, none)
-    return out.select("Ticker", "first_date", "last_date", "n_days", F.round("close", 4).alias("close"), "years", "active", F.round(F.col("dollar_vol") + 1e-5, 2).alias("dollar_vol"))
+    return out.select("Ticker", "first_date", "last_date", "n_days", F.round("close", 8).alias("close"), "years", "active", F.round(F.col("dollar_vol") + 1e-5, 2).alias("dollar_vol"))
 
 
 @_query(f"""with {_PF} select Ticker, round(case when vol_252 is not null then 100*(rank() over (order by -vol_252)+(count(*) over (partition by vol_252)-1)/2.0)/count(vol_252) over () end,4) rank_vol_252,
