@@ -30,6 +30,10 @@ from ._graph import components
 from ._spark import map_batches, settle
 
 
+#: A shingle outside its centre is rare if at most so many documents of a star hold it.
+RARE = 32
+
+
 @dataclass(frozen=True)
 class MinHash:
     """At a similarity of 0.75, 32 bands of 4 rows miss a pair with probability (1 - 0.75**4)**32 = 5e-6."""
@@ -145,17 +149,18 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     # The document with most company in all its buckets is the likely original of its copies: it is the star's centre.
     company = buckets.groupBy("doc").agg(F.sum("held").alias("company"))
     buckets = buckets.join(company, "doc").withColumn("rank", F.struct("company", (-F.col("doc")).alias("d")))
-    centres = buckets.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.d")).alias("a"))
-    stars = settle(buckets.select("key", F.col("doc").alias("b")).join(centres, "key").filter("a <> b").select("a", "b").distinct(), "stars")
+    centres = buckets.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.d")).alias("a"), F.col("top.company").alias("company"))
+    stars = buckets.select("key", F.col("doc").alias("b")).join(centres, "key").filter("a <> b").groupBy("a", "b").agg(F.first("company").alias("company"))
+    stars = settle(stars, "stars")
     wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = settle(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), p.words), "sets")
+    sets = settle(shingle_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), p.words), "sets")
 
     scored = _beside(stars, sets).select("a", "b", F.size("s_a").alias("na"), F.size("s_b").alias("nb"), F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
     scored = scored.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "shared")))
     scored = settle(scored.withColumn("linked", _enough(F.col("shared"), F.col("na") + F.col("nb"), p.percent)), "scored")
     links = scored.filter("linked").select("a", "b")
     labels = components(links)
-    rest = settle(_rest(scored, labels, sets, p.percent), "rest")
+    rest = settle(_rest(scored, stars, labels, sets, p.percent), "rest")
     if not rest.isEmpty():
         links = links.unionByName(rest)
         labels = components(links)
@@ -172,32 +177,47 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _rest(scored: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(scored: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between documents of one star that neither their centre nor other links have brought together.
 
     Two sets share at most the lesser of what they share with the centre, and
     besides that what they share outside it.  So a pair can only link if it
-    shares a shingle that the centre lacks (found by an equi-join on these), or
-    if both share enough with the centre; the bound then leaves few pairs to
-    confirm on full sets.
+    shares a shingle that the centre lacks and few of the star hold (found by an
+    equi-join on these), or if what both share with the centre and the shingles
+    that many hold are enough; the bound then leaves few pairs to confirm on
+    full sets.  Two documents that are in several stars together are
+    looked at in one: a document's home is the star with the most central
+    centre, and pairs with one home are left to it.
     """
+    homes = stars.groupBy("b").agg(F.max_by("a", F.struct("company", (-F.col("a")).alias("d"))).alias("home"))
     named = labels.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
     centre = labels.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
-    stars = scored.join(named, "b", "left").join(centre, "a", "left")
-    stars = stars.select("a", "b", "nb", "shared", F.coalesce("of_b", "b").alias("of_b"), (F.coalesce("of_b", "b") != F.coalesce("of_a", "a")).alias("apart"))
-    split = stars.groupBy("a").agg(F.max("apart").alias("some"), F.count("*").alias("held")).filter("some and held > 1").select("a")
+    stars = scored.join(homes, "b").join(named, "b", "left").join(centre, "a", "left")
+    stars = stars.select("a", "b", "nb", "shared", "home", F.coalesce("of_b", "b").alias("of_b"), (F.coalesce("of_b", "b") != F.coalesce("of_a", "a")).alias("apart"))
+    split = stars.groupBy("a").agg(F.max("apart").alias("some"), F.count("*").alias("held"), F.min("home").alias("h1"), F.max("home").alias("h2")).filter("some and held > 1 and (h1 <> h2 or h1 = a)").select("a")
     stars = settle(stars.join(split, "a", "left_semi"), "apart")
-    outside = _beside(stars, sets).select("a", "b", "nb", "shared", "of_b", "apart", F.explode(F.array_except("s_b", "s_a")).alias("h"))
+    outside = _beside(stars, sets).select("a", "b", "nb", "shared", "home", "of_b", "apart", F.explode(F.array_except("s_b", "s_a")).alias("h"))
     outside = settle(outside, "outside")
-    several = outside.groupBy("a", "h").agg(F.count("*").alias("held"), F.max("apart").alias("some")).filter("held > 1 and some").select("a", "h")
-    outside = outside.join(several, ["a", "h"], "left_semi")
-    names = ("b", "nb", "shared", "of_b")
+    counts = outside.groupBy("a", "h").agg(F.count("*").alias("held"), F.max("apart").alias("some")).filter("held > 1 and some")
+    counts = settle(counts.select("a", "h", "held"), "shared")
+    rare, common = (counts.filter(f"held {op} {RARE}").select("a", "h") for op in ("<=", ">"))
+    # What each document has of the shingles that many of the star hold outside the centre, and whether that could make a link with any other.
+    held = outside.join(common, ["a", "h"], "left_semi").groupBy("a", "b").agg(F.collect_set("h").alias("common"))
+    least = stars.groupBy("a").agg(F.min("nb").alias("least"))
+    stars = stars.join(held, ["a", "b"], "left").join(least, "a").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))).withColumn("q", F.size("common"))
+    viable = _enough(F.col("shared") + F.col("q"), F.col("nb") + F.col("least"), percent)
+    stars = settle(stars.withColumn("viable", viable).drop("least"), "apart")
+    names = ("b", "nb", "shared", "of_b", "home", "q", "common")
     one, other = (["a", *(F.col(c).alias(f"{c}_{k}") for c in names)] for k in (1, 2))
-    together = outside.filter("apart").select("h", *one).join(outside.select("h", *other), ["a", "h"]).filter("of_b_1 <> of_b_2")
-    together = together.groupBy("a", "b_1", "b_2", "nb_1", "nb_2", "shared_1", "shared_2").agg(F.count("*").alias("beyond"))
-    most = F.least("shared_1", "shared_2")
-    together = together.filter(_enough(most + F.col("beyond"), F.col("nb_1") + F.col("nb_2"), percent)).select("b_1", "b_2")
-    near = stars.filter("apart").select(*one).join(stars.select(*other), "a").filter((F.col("of_b_1") != F.col("of_b_2")) & _enough(most, F.col("nb_1") + F.col("nb_2"), percent)).select("b_1", "b_2")
+    new = "of_b_1 <> of_b_2 and (home_1 <> home_2 or home_1 = a)"
+    most, united = F.least("shared_1", "shared_2"), F.col("nb_1") + F.col("nb_2")
+    near = stars.filter("apart and viable").select(*one).join(stars.filter("viable").select(*other), "a").filter(new).filter(_enough(most + F.least("q_1", "q_2"), united, percent))
+    near = near.filter(_enough(most + F.size(F.array_intersect("common_1", "common_2")), united, percent)).select("b_1", "b_2")
+    lists = outside.join(rare, ["a", "h"], "left_semi").select("a", "h", "b", "apart").join(stars.drop("apart", "common"), ["a", "b"])
+    one, other = (["a", "h", *(F.col(c).alias(f"{c}_{k}") for c in names[:-1])] for k in (1, 2))
+    together = lists.filter("apart").select(*one).join(lists.select(*other), ["a", "h"]).filter(new)
+    together = together.groupBy("a", "b_1", "b_2", "nb_1", "nb_2", "shared_1", "shared_2", "q_1", "q_2").agg(F.count("*").alias("beyond"))
+    together = together.filter(_enough(most + F.col("beyond") + F.least("q_1", "q_2"), united, percent)).select("b_1", "b_2")
     pairs = together.union(near).select(F.least("b_1", "b_2").alias("a"), F.greatest("b_1", "b_2").alias("b")).distinct()
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return _beside(pairs, sets).filter(_enough(shared, F.size("s_a") + F.size("s_b"), percent)).select("a", "b").distinct()
