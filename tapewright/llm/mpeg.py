@@ -4,7 +4,8 @@ write_stream lays a payload out as the ancillary bytes of MPEG-1 Layer III
 frames (mono, 48 kHz, checksummed, silent), 192 bytes to a frame, at two bit
 rates, behind an ID3v2 tag and a frame with a Xing table.  read_stream parses
 tags at either end, finds frame headers, resynchronises after foreign bytes
-(a header counts only if another one, the end or a tag follows its frame),
+(a header that does not directly follow a frame counts only if another one or
+the end follows its own frame),
 checks the checksums, reads the Xing table, and gives exact durations (samples
 and rate) and the byte offset of every frame, which is the seek table.
 
@@ -152,15 +153,15 @@ def read_stream(data: bytes) -> Stream:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         s.tags.append("ID3v1")
         end -= 128
-    first = True
+    first, synced = True, False
     while at < end:
         h = _header_at(data, at)
         after = at + h.size if h else 0
-        if h is None or after > end or after < end and _header_at(data, after) is None:
+        if h is None or after > end or not synced and after < end and _header_at(data, after) is None:
             onward = data.find(b"\xff", at + 1, end)
             onward = end if onward < 0 else onward
             s.skipped += onward - at
-            at = onward
+            at, synced = onward, False
             continue
         mark = at + 4 + 2 * h.checked + h.side
         if first and data[mark : mark + 4] in (b"Xing", b"Info"):
@@ -174,7 +175,7 @@ def read_stream(data: bytes) -> Stream:
         else:
             s.offsets.append(at)
             s.headers.append(h)
-        first, at = False, after
+        first, synced, at = False, True, after
     _check(s, data)
     return s
 
