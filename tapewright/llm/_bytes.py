@@ -36,7 +36,7 @@ _STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text hashed at once; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import cache
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ._spark import map_batches
 
 #: Text given to the tokenizer at once; a longer one is a slice of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def byte_characters() -> list[str]:
@@ -67,13 +68,11 @@ class ByteBPE:
         self.find = regex.compile(pattern).findall
         self.spaced = re.compile(r"\s[ \n]|\s\Z").search
         self.coarse = re.compile(r"\s*\S+|\s+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.single: dict[str, tuple[int, ...]] = {}
-        back = {c: b for b, c in enumerate(shown)}
-        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.single: dict[str, bytes] = {}
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, r in ranks.items():
-            self.pieces[r] = bytes(back[c] for c in name[t])
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+            self.lengths[r] = len(t)
 
     def _units(self, text: str) -> list[str]:
         """Cuts where a space or line break follows something else: no match of the pattern reaches over such a place."""
@@ -88,18 +87,32 @@ class ByteBPE:
             out += [" " + w for w in words[1:]]
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [self._units(t) for t in texts]
-        if len(self.known) > self.REMEMBERED:
+        if len(self.known) + len(self.single) > self.REMEMBERED:
             self.known.clear()
             self.single.clear()
         new = list(set(chain.from_iterable(units)).difference(self.known))
         matches = [self.find(u) for u in new]
         single = list(set(chain.from_iterable(matches)).difference(self.single))
-        self.single.update(zip(single, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False))))
+        for i in range(0, len(single), 5000):
+            part = single[i : i + 5000]
+            self.single.update(zip(part, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
         get = self.single.__getitem__
-        self.known.update(zip(new, (get(m[0]) if len(m) == 1 else tuple(chain.from_iterable(map(get, m))) for m in matches)))
-        return [list(chain.from_iterable(map(self.known.__getitem__, u))) for u in units]
+        self.known.update(zip(new, (get(m[0]) if len(m) == 1 else b"".join(map(get, m)) for m in matches)))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, u)), np.int32) for u in units]
+
+
+class Decoder:
+    """Bytes by id."""
+
+    def __init__(self, content: bytes):
+        shown = byte_characters()
+        back = {c: b for b, c in enumerate(shown)}
+        ranks = parse_ranks(content)
+        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.pieces[r] = bytes(back[c] for c in "".join(shown[b] for b in t))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -110,6 +123,11 @@ def _loaded(content: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(content, pattern)
 
 
+@cache
+def _decoder(content: bytes) -> Decoder:
+    return Decoder(content)
+
+
 def _chunks(texts: list[str]):
     first, held = 0, 0
     for i, t in enumerate(texts):
@@ -125,7 +143,7 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def _lists(values: list[np.ndarray] | list[list[int]]) -> pa.Array:
+def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.asarray(v, np.int32) for v in values])))
 
@@ -143,17 +161,17 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """encoded (doc_id, ids) with the bytes that the ids stand for; as text where they are whole characters."""
-    shared = encoded.sparkSession.sparkContext.broadcast((ranks, pattern))
+def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
+    """encoded (doc_id, ids) with the bytes that the ids stand for."""
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def work(batch: pa.RecordBatch):
-        bpe = _loaded(*shared.value)
+        table = _decoder(shared.value)
         ids = batch.column(1)
         ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
         for a in range(0, len(ids), 256):
             b = min(len(ids), a + 256)
-            data = [bpe.decode(flat[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)]
+            data = [table.decode(flat[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)]
             yield {"doc_id": batch.column(0).slice(a, b - a), "ids": ids.slice(a, b - a), "decoded": pa.array(data, pa.binary())}
 
     return map_batches(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, decoded binary")

@@ -113,4 +113,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window; all columns are kept."""
     bad = contamination(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["_bad"], "left_anti")

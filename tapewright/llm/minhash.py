@@ -226,4 +226,4 @@ def _rest(scored: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFram
 def drop_near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """docs without the documents of which another one of the same component stays; all columns are kept."""
     gone = near_duplicates(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")

@@ -33,7 +33,7 @@ BITS, DIM, GROUPS = 16, 8, 3
 class Training:
     """sample bounds the labelled rows that the model is fitted on."""
 
-    sample: int = 4000
+    sample: int = 2000
     epochs: int = 6
     rate: float = 0.5
     seed: int = 5
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def work(batch: pa.RecordBatch):
         table, bias = shared.value
         texts = texts_of(batch.column(1))
-        for a, b in slices(texts, 1 << 20):
+        for a, b in slices(texts, 1 << 18):
             z = np.full(b - a, bias)
             for g, (buckets, bounds) in enumerate(features(texts[a:b])):
                 sums = np.concatenate([[0.0], np.cumsum(table[g][buckets].astype(np.float64))])
@@ -152,4 +152,4 @@ def learnable(labels: DataFrame) -> DataFrame:
 def drop_low_quality(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
     """docs without those that score under 0.5; all columns are kept."""
     bad = score(docs, train(docs, learnable(labels), t)).filter("score < 0.5").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["_bad"], "left_anti")
