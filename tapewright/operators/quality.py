@@ -6,13 +6,14 @@ from collections.abc import Callable
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl
 
+from .series import by_date
+
 FINDINGS = ["SrcTable", "Ticker", "Date", "Key", "Details"]
-BY_DATE = Window.partitionBy("Ticker").orderBy("Date")
 
 
 def _findings(df: DataFrame, table: str, details: Column, date: str | None = "Date", key: Column | None = None) -> DataFrame:
@@ -49,7 +50,7 @@ def bond_yield_bound(market_data: DataFrame, max_abs_yield: float = 50.0) -> Dat
 
 
 def extreme_return(prices: DataFrame, splits: DataFrame, max_abs_log_return: float = log(2)) -> DataFrame:
-    steps = prices.filter("C > 0").select("Ticker", "Date", "C", F.lag("C").over(BY_DATE).alias("before"), F.lead("C").over(BY_DATE).alias("after"))
+    steps = prices.filter("C > 0").select("Ticker", "Date", "C", F.lag("C").over(by_date()).alias("before"), F.lead("C").over(by_date()).alias("after"))
     move, back = F.log(F.col("C") / F.col("before")), F.log(F.col("after") / F.col("before"))
     found = steps.filter(F.abs(move) > max_abs_log_return).join(splits.select("Ticker", "Date"), ["Ticker", "Date"], "left_anti")
     tag = F.when(F.abs(back) < 0.25 * F.abs(move), " spike-and-revert").otherwise("")
@@ -57,14 +58,14 @@ def extreme_return(prices: DataFrame, splits: DataFrame, max_abs_log_return: flo
 
 
 def stale_run(prices: DataFrame, min_stale_run: int = 20) -> DataFrame:
-    new = F.when(F.col("C") == F.lag("C").over(BY_DATE), 0).otherwise(1)
-    runs = prices.select("Ticker", "Date", "C", new.alias("new")).withColumn("run", F.sum("new").over(BY_DATE))
+    new = F.when(F.col("C") == F.lag("C").over(by_date()), 0).otherwise(1)
+    runs = prices.select("Ticker", "Date", "C", new.alias("new")).withColumn("run", F.sum("new").over(by_date()))
     runs = runs.groupBy("Ticker", "run").agg(F.count("*").alias("n"), F.max("Date").alias("Date"), F.max("C").alias("C")).filter(F.col("n") >= min_stale_run)
     return _findings(runs, "prices", F.concat(F.col("n").cast("string"), F.lit(" equal closes")))
 
 
 def date_gap(prices: DataFrame, max_gap_days: int = 30) -> DataFrame:
-    gaps = prices.select("Ticker", "Date", F.datediff("Date", F.lag("Date").over(BY_DATE)).alias("days")).filter(F.col("days") > max_gap_days)
+    gaps = prices.select("Ticker", "Date", F.datediff("Date", F.lag("Date").over(by_date())).alias("days")).filter(F.col("days") > max_gap_days)
     return _findings(gaps, "prices", F.concat(F.col("days").cast("string"), F.lit(" days")))
 
 

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl, ratio_if_positive
 
-BY_DATE = Window.partitionBy("Ticker").orderBy("Date")
-BY_DATE_DESC = Window.partitionBy("Ticker").orderBy(F.col("Date").desc())
-ALL_ROWS = Window.partitionBy("Ticker")
 HORIZONS = {"1m": 21, "3m": 63, "6m": 126, "1y": 252, "3y": 756, "5y": 1260}
 
 
+def by_date() -> WindowSpec:
+    return Window.partitionBy("Ticker").orderBy("Date")
+
+
+def by_date_desc() -> WindowSpec:
+    return Window.partitionBy("Ticker").orderBy(F.col("Date").desc())
+
+
 def _with_factor(prices: DataFrame, dividends: DataFrame) -> DataFrame:
     paid = dividends.groupBy("Ticker", "Date").agg(F.sum("Dividend").alias("_div"))
     joined = prices.join(paid, ["Ticker", "Date"], "left")
-    return joined.withColumn("_before", F.lag("C").over(BY_DATE)).withColumn("_factor", F.when(F.col("_div").isNotNull(), 1 - F.try_divide("_div", "_before")))
+    return joined.withColumn("_before", F.lag("C").over(by_date())).withColumn("_factor", F.when(F.col("_div").isNotNull(), 1 - F.try_divide("_div", "_before")))
 
 
 def _adjusted(df: DataFrame, factor: Column) -> DataFrame:
-    later = F.product("_f").over(BY_DATE.rowsBetween(1, Window.unboundedFollowing))
+    later = F.product("_f").over(by_date().rowsBetween(1, Window.unboundedFollowing))
     return df.withColumn("_f", F.coalesce(factor, F.lit(1.0))).withColumn("AC", F.col("C") * F.coalesce(later, F.lit(1.0))).drop("_div", "_before", "_factor", "_f")
 
 
@@ -54,13 +59,13 @@ def benchmark_history(prices: DataFrame, benchmark: DataFrame) -> DataFrame:
 def rebased(history: DataFrame, sessions: int | None = None) -> DataFrame:
     """Both series over the last `sessions` rows (None or 0: all), 100 at the first."""
     if sessions:
-        history = history.withColumn("_r", F.row_number().over(BY_DATE_DESC)).filter(F.col("_r") <= sessions).drop("_r")
-    first = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
+        history = history.withColumn("_r", F.row_number().over(by_date_desc())).filter(F.col("_r") <= sessions).drop("_r")
+    first = by_date().rowsBetween(Window.unboundedPreceding, 0)
     return history.select("Ticker", "Date", *((F.try_divide(c, F.first(c).over(first)) * 100).alias(c) for c in ("AC", "Market")))
 
 
 def drawdown(history: DataFrame) -> DataFrame:
-    peak = F.max("AC").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("AC").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     return history.select("Ticker", "Date", (F.try_divide("AC", peak) - 1).alias("drawdown"))
 
 
@@ -70,7 +75,7 @@ def drawdown_summary(history: DataFrame) -> DataFrame:
 
 def trailing_returns(history: DataFrame) -> DataFrame:
     """(Ticker, horizon, ret, market_ret) for each horizon; null where there are not more rows than it has sessions."""
-    ranked = history.withColumn("_r", F.row_number().over(BY_DATE_DESC))
+    ranked = history.withColumn("_r", F.row_number().over(by_date_desc()))
     at = lambda c, n: F.max(F.when(F.col("_r") == n + 1, F.col(c)))
     wide = ranked.filter(F.col("_r") <= max(HORIZONS.values()) + 1).groupBy("Ticker").agg(*(at(c, n).alias(f"{c}_{n}") for c in ("AC", "Market") for n in (0, *HORIZONS.values())))
     rows = F.array(*(F.struct(F.lit(h).alias("horizon"), (F.try_divide("AC_0", f"AC_{n}") - 1).alias("ret"), (F.try_divide("Market_0", f"Market_{n}") - 1).alias("market_ret")) for h, n in HORIZONS.items()))
@@ -112,7 +117,7 @@ def window_around(findings: DataFrame, prices: DataFrame, days: int = 120, last:
     marks = findings.select("Ticker", F.col("Date").alias("flagged")).distinct()
     dated = marks.filter("flagged is not null")
     near = dated.join(prices, "Ticker").filter(F.col("Date").between(F.date_sub("flagged", days), F.date_add("flagged", days)))
-    tail = prices.withColumn("_r", F.row_number().over(BY_DATE_DESC)).filter(F.col("_r") <= last).drop("_r")
+    tail = prices.withColumn("_r", F.row_number().over(by_date_desc())).filter(F.col("_r") <= last).drop("_r")
     return near.unionByName(marks.filter("flagged is null").join(tail, "Ticker"))
 
 
