@@ -107,21 +107,26 @@ def _std(a: Column, mean: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(a))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value bound: it is computed once, not again for each element of an array that body maps."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _or_one(d: Column) -> Column:
     return F.when(d > 0, d).otherwise(1.0)
 
 
 def zscore(h: Column, w: Column) -> Column:
     """w by mean and deviation of its history h; a flat history divides by 1."""
-    return F.transform(w, lambda x: (x - _mean(h)) / _or_one(_std(h, _mean(h))))
+    return _let(_mean(h), lambda m: _let(_or_one(_std(h, m)), lambda s: F.transform(w, lambda x: (x - m) / s)))
 
 
 def minmax(h: Column, w: Column) -> Column:
-    return F.transform(w, lambda x: (x - F.array_min(h)) / _or_one(F.array_max(h) - F.array_min(h)))
+    return _let(F.array_min(h), lambda lo: _let(_or_one(F.array_max(h) - lo), lambda d: F.transform(w, lambda x: (x - lo) / d)))
 
 
 def demean(h: Column, w: Column) -> Column:
-    return F.transform(w, lambda x: x - _mean(h))
+    return _let(_mean(h), lambda m: F.transform(w, lambda x: x - m))
 
 
 def rebase(to: float) -> Callable[[Column, Column], Column]:
