@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl
 from tapewright.operators import cleaning, factors, joins, mldata, mleval, quality, reporting, screening, series, similarity, statements, windows
-from tapewright.sources import panels, sinks
+from tapewright.sources import files, panels, sinks
 from tapewright.sources.panel import Panel, with_views
 from tapewright.streaming import ingest
 
@@ -687,3 +687,305 @@ def q12_cross_section_sizes(p):
 @_query("""select Ticker, Date, c CheckName from (select Ticker, Date, 'nonpositive_price' c from faulty where O<=0 or H<=0 or L<=0 or C<=0 union all select Ticker, Date, 'ohlc_inconsistent' from faulty where H<L or O>H or O<L or C>H or C<L)""")
 def s3_row_checks(p):
     return ingest.row_checks(p.faulty.withColumn("AssetClass", F.lit("stocks")))
+
+
+# Scans of documents, ledgers and further views ----------------------------------------------------------------------
+
+
+@_query("select Ticker, Date, round(O,8) O, round(H,8) H, 'indices' AssetClass from market_data")
+def a4_canonical_bars(p):
+    """Raw flat rows of all instruments; stocks are out of scope and go."""
+    both = p.market_data.select("Ticker", "Date", *"OHLC").unionByName(p.bars.select("Ticker", "Date", *"OHLC"))
+    text = {n: F.col(c).cast("string") for n, c in (("open", "O"), ("high", "H"), ("low", "L"), ("close", "C"))}
+    raw = both.select(F.concat(F.lower("Ticker"), F.lit(".x")).alias("ticker"), F.date_format("Date", "yyyyMMdd").alias("date"), *(v.alias(n) for n, v in text.items()))
+    found = files.canonical_bars(raw, files.asset_class(F.col("ticker"))).filter("AssetClass is not null")
+    return found.select("Ticker", "Date", F.round("O", 8).alias("O"), F.round("H", 8).alias("H"), "AssetClass")
+
+
+def _vendor(p: Panel) -> DataFrame:
+    named = p.bars.select("Ticker", "Date", *(F.col(c[0]).alias(c) for c in ("Open", "High", "Low", "Close")), F.col("V").alias("Volume"))
+    paid, split = p.dividends.withColumnRenamed("Dividend", "Dividends"), p.splits.withColumnRenamed("Ratio", "Stock Splits")
+    return named.join(paid, ["Ticker", "Date"], "left").join(split, ["Ticker", "Date"], "left")
+
+
+@_query("select Ticker, Date, round(O,8) O, round(H,8) H, round(L,8) L, round(C,8) C, V from bars")
+def a7_vendor_prices(p):
+    return _rounded(files.to_prices(_vendor(p)), 8)
+
+
+@_query("select Ticker, Date, 'dividend' event, round(Dividend,6) amount from dividends union all select Ticker, Date, 'split', Ratio from splits")
+def a8_vendor_events(p):
+    paid, split = files.to_dividends(_vendor(p)), files.to_splits(_vendor(p))
+    rows = paid.select("Ticker", "Date", F.lit("dividend").alias("event"), F.col("Dividend").alias("amount")).unionByName(split.select("Ticker", "Date", F.lit("split").alias("event"), F.col("Ratio").alias("amount")))
+    return _rounded(rows)
+
+
+@_query("select Ticker, Date, round(O,8) O, round(H,8) H from market_data")
+def a9_unpivot_batch(p):
+    """A wide frame with a column for each of the three instruments and fields."""
+    wide = p.market_data.groupBy("Date").agg(*(F.max(F.when(F.col("Ticker") == t, F.col(f))).alias(f"{t}|{f}") for t in ("^A", "^N", "^R") for f in "OH"))
+    return _rounded(files.unpivot_batch(wide, ["O", "H"]).select("Ticker", "Date", "O", "H"), 8)
+
+
+@_query("select Ticker, CompanyName longName, Sector sector, Industry industry, cast(null as varchar) country from companies")
+def a10_profiles(p):
+    docs = p.companies.select("Ticker", F.to_json(F.struct(F.col("CompanyName").alias("longName"), F.col("Sector").alias("sector"), F.col("Industry").alias("industry"))).alias("info"), F.lit(None).cast("date").alias("FetchedOn"))
+    return files.to_profiles(docs).select("Ticker", "longName", "sector", "industry", "country")
+
+
+@_query("select cast(c_nationkey as varchar) Ticker, c_name \"name\", cast(20+c_custkey%50 as integer) age, cast(c_custkey as double) totalPay from customer where c_custkey%3=0")
+def a11_officers(p):
+    """Each nation's document lists some of its customers; a nation without any gives no row."""
+    officer = F.struct(F.col("c_name").alias("name"), (20 + F.col("c_custkey") % 50).cast("int").alias("age"), F.col("c_custkey").cast("double").alias("totalPay"))
+    docs = p.customer.groupBy(F.col("c_nationkey").cast("string").alias("Ticker")).agg(F.to_json(F.struct(F.collect_list(F.when(F.col("c_custkey") % 3 == 0, officer)).alias("companyOfficers"))).alias("info"))
+    return files.to_officers(docs).select("Ticker", "name", "age", "totalPay")
+
+
+@_query()
+def a22_sample_tickers(p):
+    return panels.sample_tickers(p.bars, 5, exclude=("1",))
+
+
+@_query("select Ticker, Sector \"label\" from companies where trim(Sector) <> ''")
+def a23_ticker_labels(p):
+    return mldata.ticker_labels(p.companies, "Sector")
+
+
+@_query("select Ticker, Date, round(C,8) C from bars where Ticker = '3'")
+def a25_rows_of(p):
+    return _rounded(panels.rows_of(p.bars, "3").select("Ticker", "Date", "C"), 8)
+
+
+@_query("select Ticker, max(Date) FetchedOn from bars group by 1 having date_diff('day', max(Date), date '1998-12-31') >= 30")
+def a27_due(p):
+    return panels.due(p.bars.groupBy("Ticker").agg(F.max("Date").alias("FetchedOn")), 30, "1998-12-31")
+
+
+_LEDGER = "(select Ticker ticker, cast(1+cast(Ticker as int)%3 as integer) attempts from companies where cast(Ticker as int)%2=0)"
+
+
+def _ledger(p: Panel) -> DataFrame:
+    day = F.to_date(F.lit("1998-01-01"))
+    n = F.col("Ticker").cast("int")
+    return p.companies.filter(n % 2 == 0).select(F.col("Ticker").alias("ticker"), F.lit("us").alias("market"), (1 + n % 3).cast("int").alias("attempts"), day.alias("first_blacklisted"), day.alias("last_checked"))
+
+
+@_query(f"""select ticker, case when cast(ticker as int)%4=0 then 'revived' when attempts+1<3 then 'ledger' else 'dead' end state, case when cast(ticker as int)%4=0 then null else attempts+1 end attempts from {_LEDGER}""")
+def a29_ledger_recheck(p):
+    outcomes = p.companies.select(F.col("Ticker").alias("ticker"), (F.col("Ticker").cast("int") % 4 == 0).alias("ok"))
+    sides = sinks.ledger_recheck(_ledger(p), outcomes, "1998-02-01")
+    parts = [df.select("ticker", F.lit(s).alias("state"), (F.lit(None).cast("int") if s == "revived" else F.col("attempts")).alias("attempts")) for s, df in sides.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query(f"""select ticker, attempts from {_LEDGER} union all select Ticker, 1 from companies where cast(Ticker as int)%2<>0 and cast(Ticker as int)%3=0""")
+def a30_ledger_append(p):
+    failed = p.companies.filter(F.col("Ticker").cast("int") % 3 == 0).select(F.col("Ticker").alias("ticker"), F.lit("us").alias("market"))
+    return sinks.ledger_append(_ledger(p), failed, "1998-02-01").select("ticker", "attempts")
+
+
+@_query("""select q.Ticker, q.d report_date, s.Date filed from (select distinct Ticker, "Publish Date" d from income where Period='Q' and not IsRestated) q left join lateral (select Date from bars s where s.Ticker=q.Ticker and abs(date_diff('day', s.Date, q.d))<=2 order by abs(date_diff('day', s.Date, q.d)), s.Date limit 1) s on true""")
+def c15_nearest_filing(p):
+    left = p.income.filter((col("Period") == "Q") & ~col("IsRestated")).select("Ticker", col("Publish Date").alias("report_date")).distinct()
+    left = left.withColumn("id", F.concat_ws("|", "Ticker", "report_date"))
+    return joins.nearest_join(left, p.bars.select("Ticker", F.col("Date").alias("filed")), ["Ticker"], "id", "report_date", "filed", 2).select("Ticker", "report_date", "filed")
+
+
+@_query("""select Ticker, cast(max(case when r=1 then s end) as double) shares, cast(max(case when r=5 then s end) as double) shares_prior from (select Ticker, "Shares (Diluted)" s, row_number() over (partition by Ticker order by "Report Date" desc) r from income where Period='Q' and IsRestated) group by 1""")
+def k3_shares_by_rank(p):
+    return factors.shares_by_rank(p.income)
+
+
+_POOL = """pool as (select c.Ticker, CompanyName "name", Sector sector, Industry industry, cl*1000.0 mcap, cl, n from companies c join (select Ticker, arg_max(C, Date) cl, count(*) n from bars group by 1) b on b.Ticker=c.Ticker)"""
+
+
+def _pool(p: Panel) -> DataFrame:
+    last = p.bars.groupBy("Ticker").agg(F.max_by("C", "Date").alias("cl"), F.count("*").alias("n"))
+    return p.companies.join(last, "Ticker").select("Ticker", F.col("CompanyName").alias("name"), F.col("Sector").alias("sector"), F.col("Industry").alias("industry"), (F.col("cl") * 1000.0).alias("mcap"), "cl", "n")
+
+
+@_query(f"with {_POOL} select Ticker, n from pool where n >= 20 and cl <= 50000")
+def l4_rank_filters(p):
+    return screening.apply_filters(_pool(p), {"n": (20, None), "cl": (None, 50000), "mcap": (None, None)}).select("Ticker", "n")
+
+
+@_query(f"""with {_PF} select Ticker, round((coalesce(rv,0)+coalesce(rr,0))/nullif((rv is not null)::int+(rr is not null)::int,0),4) score from (select Ticker,
+  case when vol_252 is not null then 100*(rank() over (order by -vol_252)+(count(*) over (partition by vol_252)-1)/2.0)/count(vol_252) over () end rv,
+  case when ret_6m is not null then 100*(rank() over (order by ret_6m)+(count(*) over (partition by ret_6m)-1)/2.0)/count(ret_6m) over () end rr from pf)""")
+def l5_composite_score(p):
+    chosen = ["vol_252", "ret_6m"]
+    ranked = screening.compute_ranks(factors.price_factors(p.prices, _market(p)), chosen)
+    return _rounded(screening.composite_score(ranked, chosen).select("Ticker", "score"), 4)
+
+
+@_query(f"with {_POOL} select Ticker, sector from pool where (upper(Ticker) like '%1%' or upper(\"name\") like '%1%') and sector in ('ASIA','EUROPE')")
+def l6_metadata_filters(p):
+    return screening.apply_metadata_filters(_pool(p), search="1", sectors=("ASIA", "EUROPE")).select("Ticker", "sector")
+
+
+@_query("select p.Ticker, p.Date, round(p.AC+1e-9,6) AC, round(m.O,8) Market from prices p join market_data m on m.Date=p.Date and m.Ticker='^N'")
+def m3_benchmark_history(p):
+    opens = p.market_data.filter("Ticker = '^N'").select("Date", F.col("O").alias("C"))
+    return series.benchmark_history(p.prices, opens).select("Ticker", "Date", F.round(F.col("AC") + 1e-9, 6).alias("AC"), F.round("Market", 8).alias("Market"))
+
+
+@_query("""select coalesce(i.Ticker, b.Ticker) Ticker, coalesce(i."Report Date", b."Report Date") report_date, cast(i."Revenue" as double) revenue, cast(c."Net Cash from Operating Activities" as double) cfo, cast(b."Total Equity" as double) equity
+  from (select * from income where Period='Q' and IsRestated) i full join (select * from cashflow where Period='Q' and IsRestated) c on c.Ticker=i.Ticker and c."Report Date"=i."Report Date"
+  full join (select * from balance where Period='Q' and IsRestated and "Shares (Basic)"%4<>0) b on b.Ticker=i.Ticker and b."Report Date"=i."Report Date" """)
+def m7_fundamentals_history(p):
+    out = series.fundamentals_history(p.income, p.balance.filter(col("Shares (Basic)") % 4 != 0), p.cashflow)
+    return out.select("Ticker", col("Report Date").alias("report_date"), col("Revenue").alias("revenue"), col("Net Cash from Operating Activities").alias("cfo"), col("Total Equity").alias("equity"))
+
+
+_LISTS = f"with {_POOL}, m as (select Ticker, sector, mcap, n, cast(Ticker as int)%2 list from pool)"
+
+
+@_query(f"""{_LISTS} select subject, Ticker, place from (select a.Ticker subject, b.Ticker, row_number() over (partition by a.Ticker order by case when a.Ticker=b.Ticker then 0 else 1 end, abs(log10(b.mcap)-log10(a.mcap)) nulls last, b.Ticker) place from m a join m b on a.list=b.list) where place<=10""")
+def m10_listed_peers(p):
+    pool = _pool(p)
+    members = pool.select((F.col("Ticker").cast("int") % 2).alias("list"), "Ticker")
+    return screening.universe_peer_group(pool.select("Ticker", "mcap"), members, 10).select("subject", "Ticker", F.col("place").cast("long").alias("place"))
+
+
+@_query(f"""{_LISTS} select Ticker, round(p,4) percentile, case when p>=80 then 'strong' when p>=60 then 'good' when p>=40 then 'average' when p>=20 then 'weak' else 'poor' end verdict from (select a.Ticker, avg(case when b.n<=a.n then 100.0 else 0 end) p from m a join m b on a.sector=b.sector and a.Ticker<>b.Ticker group by 1)""")
+def m12_own_vs_peers(p):
+    peers = screening.scope_peer_group(_pool(p), "sector", 100_000)
+    return _rounded(screening.own_vs_peers(peers, ["n"]).select("Ticker", "percentile", "verdict"), 4)
+
+
+@_query("""select Ticker, Key, case when abs("Total Liabilities"+"Total Equity"-"Total Assets") > greatest(0.01*abs("Total Assets"),100000) then 3 end n from (select *, """ + _KEY + """ Key from balance) where abs("Total Liabilities"+"Total Equity"-"Total Assets") > greatest(0.01*abs("Total Assets"),100000)""")
+def n8_involved_items(p):
+    found = quality.balance_identity(p.balance).withColumn("CheckName", F.lit("balance_identity"))
+    items = p.spark.createDataFrame([("balance_identity", "", ["Total Liabilities", "Total Equity", "Total Assets"])], "CheckName string, prefix string, items array<string>")
+    return statements.involved_items(found, items).select("Ticker", "Key", F.size("items").alias("n"))
+
+
+# Each encoding's last future value, against statistics of the first 20 of 30 closes.
+_SEG = """seg as (select Ticker, ofs, min(Date) start_date, avg(C) filter (where i<ofs+20) m, min(C) filter (where i<ofs+20) lo, max(C) filter (where i<ofs+20) hi, arg_min(C,i) fst, arg_max(C,i) fin, max(case when i=ofs+28 then C end) prev, max(case when i=ofs+19 then C end) last_h, max(case when i=ofs+20 then C end) first_f
+  from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,30) t(ofs) where ofs+30<=k and i>=ofs and i<ofs+30 group by Ticker, ofs)"""
+
+
+def _segments(p: Panel) -> DataFrame:
+    return windows.build_segments(p.bars.select("Ticker", "Date", F.col("C").alias("Price")), 30, 30)
+
+
+def _last(p: Panel, encoder: str, digits: int = 4) -> DataFrame:
+    return windows.encode(_segments(p), encoder, 20).select("Ticker", "start_date", F.round(F.element_at("xf", -1), digits).alias("x"))
+
+
+@_query(f"with {_SEG} select Ticker, start_date, round(last_h,8) h, round(first_f,8) f from seg")
+def o2_split_history(p):
+    h, f = windows.split_history(F.col("w"), 20)
+    return _rounded(_segments(p).select("Ticker", "start_date", F.element_at(h, -1).cast("double").alias("h"), F.element_at(f, 1).cast("double").alias("f")), 8)
+
+
+@_query(f"with {_SEG} select Ticker, start_date, round((fin-lo)/case when hi>lo then hi-lo else 1 end,4) x from seg")
+def o4_minmax(p):
+    return _last(p, "minmax")
+
+
+@_query(f"with {_SEG} select Ticker, start_date, round(fin-m,4) x from seg")
+def o5_demean(p):
+    return _last(p, "demean")
+
+
+@_query(f"with {_SEG} select Ticker, start_date, round(fin/fst*100,4) x from seg")
+def o6_rebase(p):
+    return _last(p, "rebase_100")
+
+
+@_query(f"with {_SEG} select Ticker, start_date, round(ln(fin/prev),5) x, round(ln(first_f/last_h),5) bridge from seg")
+def o7_log_returns(p):
+    out = windows.encode(_segments(p), "log_returns", 20)
+    return out.select("Ticker", "start_date", F.round(F.element_at("xf", -1), 5).alias("x"), F.round(F.element_at("xf", 1), 5).alias("bridge"))
+
+
+@_query("""select 'rebase_100' encoding, count(*) pairs, round(corr(d,f),4) correlation from (select a.vec_id i, b.vec_id j, list_distance(a.embedding::double[], b.embedding::double[]) d, list_distance(list_slice(a.embedding,1,8)::double[], list_slice(b.embedding,1,8)::double[]) f
+  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)""")
+def o12_distance_correlation(p):
+    v = p.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    both = v.withColumnRenamed("vec_id", "i").join(v.select((F.col("vec_id") - 1).alias("i"), F.col("v").alias("u")), "i")
+    gap = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    pairs = both.select(F.lit("rebase_100").alias("encoding"), "i", (F.col("i") + 1).alias("j"), gap.alias("distance"))
+    futures = v.select(F.lit("rebase_100").alias("encoding"), F.col("vec_id").alias("id"), F.slice("v", 1, 8).alias("v"))
+    return _rounded(similarity.distance_correlation(pairs, futures), 4)
+
+
+_WIN = """win as (select Ticker, ofs, min(Date) start_date, max(Date) end_date, sum(C) c from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,10) t(ofs) where ofs+20<=k and i>=ofs and i<ofs+20 group by Ticker, ofs)"""
+
+
+def _wins(p: Panel) -> DataFrame:
+    return windows.build_windows(p.bars, 20, 10)
+
+
+@_query(f"with {_WIN} select Ticker, cast(ofs as bigint) \"offset\", start_date, end_date, 20 n from win")
+def p1_ohlcv_windows(p):
+    return _wins(p).select("Ticker", "offset", "start_date", "end_date", F.size("V").alias("n"))
+
+
+@_query(f"with {_WIN} select Ticker, start_date, Sector \"label\" from win join companies using (Ticker) where cast(Ticker as int)%2=0")
+def p3_attach_labels(p):
+    labels = mldata.ticker_labels(p.companies.filter(F.col("Ticker").cast("int") % 2 == 0), "Sector")
+    return mldata.attach_labels(_wins(p), labels).select("Ticker", "start_date", "label")
+
+
+_CARVED = f"""{_WIN}, ranked as (select *, row_number() over (partition by Ticker order by start_date desc, end_date desc) <= 2 test from win),
+  carved as (select *, not test and coalesce(end_date < min(case when test then start_date end) over (partition by Ticker), true) pool from ranked),
+  cuts as (select Ticker, quantile_cont(epoch_us(end_date::timestamp), 0.8) cut from carved where pool group by 1),
+  sides as (select c.Ticker, start_date, end_date, case when test then 'test' when epoch_us(start_date::timestamp) > cut then 'valid' when epoch_us(end_date::timestamp) <= cut then 'train' end split from carved c left join cuts using (Ticker) where test or pool),
+  kept as (select * from sides where split is not null and Ticker in (select Ticker from sides where split='train'))"""
+
+
+@_query(f"with {_CARVED} select * from kept")
+def p6_split_recent(p):
+    return mldata.split_windows(_wins(p), 0.2, "recent", 2).select("Ticker", "start_date", "end_date", "split")
+
+
+@_query()
+def p7_split_random(p):
+    return mldata.split_windows(_wins(p), 0.2, "random", 2, seed=3).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@_query(f"with {_WIN} select Ticker, start_date, 40 n from win")
+def p9_encode_flat(p):
+    return windows.encode_flat(_wins(p), "zscore", ["C", "V"]).select("Ticker", "start_date", F.size("flat").alias("n"))
+
+
+@_query(f"with {_WIN} select Ticker, start_date, dense_rank() over (order by end_date) - 1 qid from win")
+def p12_group_ids(p):
+    return mldata.group_ids(_wins(p)).select("Ticker", "start_date", F.col("qid").cast("long").alias("qid"))
+
+
+@_query("select Ticker, count(*) n from bars where Date <= date '1995-06-30' group by 1")
+def r14_rows_before(p):
+    return panels.ohlcv_series(p.bars.withColumn("AC", F.col("C")), end=F.to_date(F.lit("1995-06-30"))).groupBy("Ticker").agg(F.count("*").alias("n"))
+
+
+# Models: Spark ML on flat windows; no SQL can say what they give.
+
+
+def _flat(p: Panel) -> DataFrame:
+    flat = windows.encode_flat(_future("point")(p), "zscore", ["C", "V"])
+    return mldata.demean_by_date(mldata.split_windows(flat, 0.2, "recent", 2))
+
+
+@_query()
+def q1_excess_regressor(p):
+    df = _flat(p)
+    return mleval.spearman_by_group(mleval.predict(mleval.fit_regressor(df, rounds=5), df.filter("split = 'test'")), "prediction", "excess", "end_date")
+
+
+@_query()
+def q2_window_classifier(p):
+    df = mldata.encode_labels(mldata.attach_labels(_flat(p).drop("label"), mldata.ticker_labels(p.companies, "Sector")))
+    df = df.filter("label_index >= 0")
+    weighted = df.join(F.broadcast(mldata.class_weights(df.filter("split = 'train'"))), "label_index")
+    found = mleval.predict(mleval.fit_classifier(weighted, trees=5), weighted.filter("split = 'test'"))
+    return mleval.macro_accuracy(found.withColumn("prediction", F.col("prediction").cast("int")), "prediction", "label_index")
+
+
+@_query()
+def q3_ranker(p):
+    df = mldata.relevance_grades(_flat(p), "excess", "end_date")
+    ranked = mleval.predict(mleval.fit_ranker(df, rounds=5), df.filter("split = 'test'"))
+    return mleval.precision_at_k(ranked, "prediction", "excess", "end_date", 0.2)
