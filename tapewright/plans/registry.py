@@ -689,6 +689,33 @@ def s3_row_checks(p):
     return ingest.row_checks(p.faulty.withColumn("AssetClass", F.lit("stocks")))
 
 
+_EVENTS = "select event_id, user_id, event_type, round(value,6) \"value\" from events"
+
+
+def _event_columns(df: DataFrame) -> DataFrame:
+    return _rounded(df.select("event_id", "user_id", "event_type", "value"))
+
+
+@_query(_EVENTS)
+def s1_stream_upsert(p):
+    """events as a stream, merged by event_id micro-batch for micro-batch."""
+    root = ingest.stream_root(p.spark)
+    query = ingest.upsert_stream(ingest.stream_table(p.spark, p.sf_dir, "events"), f"{root}/table", f"{root}/progress", ("event_id",))
+    query.awaitTermination()
+    last = max(x["batchId"] for x in query.recentProgress if x["numInputRows"])
+    return _event_columns(p.spark.read.parquet(f"{root}/table/snapshot={last}"))
+
+
+@_query(_EVENTS)
+def s2_stream_without_repeats(p):
+    """events twice over as one stream; the repeats go."""
+    root = ingest.stream_root(p.spark)
+    once = ingest.stream_table(p.spark, p.sf_dir, "events")
+    rows = ingest.latest_per_key(once.union(once).withColumn("ts", F.col("ts").cast("timestamp")))
+    ingest.append_stream(rows, f"{root}/table", f"{root}/progress").awaitTermination()
+    return _event_columns(p.spark.read.parquet(f"{root}/table"))
+
+
 # Scans of documents, ledgers and further views ----------------------------------------------------------------------
 
 

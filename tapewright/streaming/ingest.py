@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,6 +34,22 @@ def upsert_stream(bars: DataFrame, target: str, checkpoint: str, key: tuple[str,
     return bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The file name.parquet of a folder as a stream."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def stream_root(spark: SparkSession) -> str:
+    """A new folder for a stream's table and progress, below the shared one of spark.checkpoint.dir; an own one only where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tapewright-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+
+
+def append_stream(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_per_key(events: DataFrame, key: str = "event_id", time: str = "ts", delay: str = "1 day") -> DataFrame:
     """A stream without exact repeats of a key within the watermark."""
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
