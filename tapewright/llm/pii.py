@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|(?<=0))"
 
 #: Possessive forms of the plain expressions.  A match that begins inside a run of its first class would also begin at the
 #: run's start, so only that place, or where the match before ended (\G), is tried.

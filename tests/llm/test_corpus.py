@@ -198,6 +198,13 @@ def test_personal_data_matches_brute_force(spark):
     assert {r.doc_id: [s.kind for s in r.spans if s.kind not in BASE] for r in added} == {1: ["iban"], 2: [], 3: ["ssn"], 4: []}
 
 
+def test_ip_parts_may_be_zero(spark):
+    good, bad = ["192.168.0.1", "10.0.0.1", "0.0.0.0", "000.1.2.3", "1.2.3.0", "0255.00.1.010"], ["0.0.0.256", "0.0.0.0256", "1.2.3."]
+    docs = list(enumerate(good + bad))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data(frame(spark, docs)).collect()}
+    assert got == {i: [("ip", 0, len(t))] if t in good else [] for i, t in docs}
+
+
 def test_quality_learns_and_scores_every_row(spark):
     rng = random.Random(17)
     good = lambda: prose(rng, 60)
