@@ -5,7 +5,8 @@ characters and split apart; a running sum of the stretches' lengths gives
 places in code points.  Those two characters are in no expression, so a text
 that holds them is searched with a third one in their place.
 
-email, ip, card and phone are always reported.  iban (confirmed by mod 97) and
+email, ip, card and phone are always reported.  iban (as long as its country's
+are, so that what follows is never part of it, and confirmed by mod 97) and
 ssn (a weak pattern, which needs a context word) are added by score.  Edge
 cases: null and empty texts have no spans; every row is returned once, repeated
 ones too; a run of any length of digits or letters is one match at most, as
@@ -22,6 +23,29 @@ BASE = KINDS[:4]
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|(?<=0))"
 
+#: Countries of the IBAN registry by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK|FI|FK|FO|GL|NL|SD",
+    19: "MK|SI",
+    20: "AT|BA|EE|KZ|LT|LU|MN|XK",
+    21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "LY|PT|ST",
+    26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE",
+    31: "MT|SC",
+    32: "LC",
+    33: "RU",
+}
+_IBAN = "|".join(rf"(?:{codes})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+
 #: Possessive forms of the plain expressions.  A match that begins inside a run of its first class would also begin at the
 #: run's start, so only that place, or where the match before ended (\G), is tried.
 PATTERNS = {
@@ -29,7 +53,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Words near a span that raise the score of its kind.

@@ -205,6 +205,14 @@ def test_ip_parts_may_be_zero(spark):
     assert got == {i: [("ip", 0, len(t))] if t in good else [] for i, t in docs}
 
 
+def test_iban_ends_where_its_country_says(spark):
+    spaced, solid, other = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947"
+    docs = {1: f"{spaced} Bank", 2: f"{solid} Please", 3: f"{spaced} BIC COBADEFF", 4: f"{solid} 4711 and", 5: f"{other} {solid} A1", 6: f"{solid}X", 7: f"{spaced[:-1]}1 Bank"}
+    want = {1: [spaced], 2: [solid], 3: [spaced], 4: [solid], 5: [other, solid], 6: [], 7: []}
+    got = {r.doc_id: [docs[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.personal_data(frame(spark, list(docs.items()))).collect()}
+    assert got == want
+
+
 def test_quality_learns_and_scores_every_row(spark):
     rng = random.Random(17)
     good = lambda: prose(rng, 60)
