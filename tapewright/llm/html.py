@@ -4,9 +4,10 @@ Every page is parsed into elements (unclosed and stray tags are put right the
 way browsers do for the common cases).  Container elements are hashed as
 subtrees, and Spark counts in how many different articles of a host each hash
 recurs; subtrees that recur in many are the host's template and are deleted.
-Besides those, elements whose tag, role, class or id says that they are no
-article text (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) are left out.  If a page has article elements, or
+Besides those, elements whose tag, or whole role, class name or id, says that
+they are no article text (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, comments) are left out; articles and what holds them
+are never left out by class, nor headings and paragraphs by id.  If a page has article elements, or
 else a main element, only these count.
 
 A subtree is counted once for each different article text, so copies of an
@@ -35,20 +36,26 @@ from ._spark import map_batches, settle
 _ATTRS = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>|<[!?/][^>]*+>|<[a-zA-Z][^<>]*+(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""", re.I)
+_OPEN = re.compile(r"\bopen\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe svg canvas object video audio button select textarea input dialog menu head title math map".split())
+LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea input dialog menu head title".split())
 CONTAINERS = frozenset("div section aside ul ol dl table form figure nav header footer menu details fieldset center".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp math object audio video canvas map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("table td th button article section div ul ol dl body html".split())
-#: Words in class, id or role that mark an element as no article text.
+#: Whole class names, ids or roles that mark an element as no article text.
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs
 footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments
-disqus respond reply replies login signup toolbar pagination pager widget widgets complementary contentinfo search skip""".split())
+disqus respond reply replies login signup toolbar pagination pager widget widgets complementary contentinfo search skip site-header site-footer site-nav main-nav nav-menu ad-banner ad-slot cookie-banner cookie-notice cookie-consent
+share-buttons social-share related-posts related-articles comments-area comment-list skip-link""".split())
+#: Never marked; the second ones not by their id, which names what they are about.
+UNMARKED, BY_CLASS = frozenset("html body main article".split()), frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Marks that hold also around articles, if another one stands outside.
+AROUND = frozenset("comment comments comments-area comment-list disqus replies related related-posts related-articles recommended recommendations".split())
 
 
 @dataclass(frozen=True)
@@ -68,6 +75,7 @@ class Page:
         self.spans: list[list[int]] = [[0, 0]]
         self.places: list[list[int]] = [[0, len(source)]]
         self.out: list[bool] = [False]
+        self.marks: dict[int, frozenset[str]] = {}
         self.pieces: list[str | None] = []
         self.source = source
         self._parse(source)
@@ -120,7 +128,10 @@ class Page:
             self.parents.append(stack[-1])
             self.spans.append([len(self.pieces), 0])
             self.places.append([m.start(), n])
-            self.out.append(tag in LEFT_OUT or bool(m[3]) and tag not in ("html", "body", "main") and self._marked(m[3], tag))
+            hidden, marks = self._marked(m[3], tag) if m[3] else (False, frozenset())
+            if marks:
+                self.marks[len(self.out)] = marks
+            self.out.append(hidden or bool(marks) or tag in LEFT_OUT and not (tag == "dialog" and _OPEN.search(m[3])))
             stack.append(len(self.tags) - 1)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -128,16 +139,31 @@ class Page:
                 close(len(stack) - 1, at)
         close(1, n)
         self.spans[0][1] = len(self.pieces)
+        if self.marks:
+            self._unmark_wrappers()
 
     @staticmethod
-    def _marked(attrs: str, tag: str) -> bool:
+    def _marked(attrs: str, tag: str) -> tuple[bool, frozenset[str]]:
+        """Whether the element is hidden, and its marks."""
+        marks = set()
         for name, value in _NAMED.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
-        return False
+            if (name == "hidden" or name == "aria-hidden" and value == "true") and tag not in ("html", "body", "main"):
+                return True, frozenset()
+            if name in ("class", "role") or name == "id" and tag not in BY_CLASS:
+                marks |= MARKS.intersection(value.split())
+        return False, frozenset(marks) if tag not in UNMARKED else frozenset()
+
+    def _unmark_wrappers(self) -> None:
+        """Marks say nothing of what holds an article or main element, but for comments and links beside another one."""
+        held = [e for e, t in enumerate(self.tags) if t in ("article", "main")]
+        holders = {a for e in held for a in self._above(e)} & self.marks.keys()
+        for a in holders - {a for a in holders if self.marks[a] & AROUND}:
+            self.out[a] = self.tags[a] in LEFT_OUT
+        hidden = self.hidden()
+        if all(hidden[e] for e in held):
+            for a in holders:
+                self.out[a] = self.tags[a] in LEFT_OUT
 
     def roots(self) -> list[int]:
         """Elements whose text counts: articles, or else main elements, or else everything."""

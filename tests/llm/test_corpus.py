@@ -234,6 +234,16 @@ def test_html_keeps_the_article_only():
     assert html.Page("").text() == "" and html.Page("<p>a<p>b").text() == "a b" and html.Page("a < b <").text() == "a < b <"
 
 
+def test_html_marks_are_whole_names_and_spare_articles():
+    text = lambda source: html.Page(source).text()
+    assert text('<article class="post has-sidebar">a</article>') == "a" == text('<article class="sidebar">a</article>')
+    assert text('<article class="category-notices tag-search">a</article>') == "a" == text('<div id=page class="with-sidebar">a</div>')
+    assert text('<div class="sidebar"><article>a</article></div>') == "a" == text('<div class=widget><main>a</main></div>')
+    assert text('<h2 id="related-work">a</h2><section id="comment-on-the-budget">b</section><p id=search>c</p>') == "a b c"
+    assert text("<article>a<math><mi>x</mi></math> <video>b</video><object>c</object><audio>d</audio><canvas>e</canvas><map>f</map><dialog open>g</dialog><dialog>no</dialog></article>") == "a x bcdef g"
+    assert text('<article>a</article><div id="comments"><article>no</article></div>') == "a" == text('<article>a<div class="x sidebar">no</div><p class="ad">no</p></article>')
+
+
 def test_html_deletes_templates_but_not_copies(spark):
     box = "<section><b>Read our other stories today</b></section>"
     pages = [(i, f"https://h.example/{i}", f"<body>{box}<p>story {i} is here</p></body>") for i in range(20)]
