@@ -142,6 +142,21 @@ def test_span_dedup_removes_later_passages_only(spark):
     assert all(got[i].text == dict(docs)[i] for i in (0, 2, 4, 6, 8)) and got[None].text == passage and got[50].text == ""
 
 
+def test_span_dedup_finds_passages_amid_sentences(spark):
+    rng = random.Random(21)
+    passages = [prose(rng, 60), prose(rng, 50), ". ".join((prose(rng, 9), prose(rng, 30), prose(rng, 16)))]
+    docs = [(10 * k + i, f"{prose(rng, 40 + i)} {p} {prose(rng, 30 + i)}") for k, p in enumerate(passages) for i in range(4)]
+    docs += [(100 + i, f"{prose(rng, 3 + i)} {passages[0]} {prose(rng, 5)}.") for i in range(4)] + [(200, "word " * 500)]
+    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, docs)).collect()}
+    for i, t in docs[:-1]:
+        if i % 10 == 0 and i < 100:
+            assert got[i].text == t and got[i].n_words_removed == 0
+        else:
+            n = len(passages[0 if i >= 100 else i // 10].split())
+            assert n - 16 <= got[i].n_words_removed <= n and len(got[i].text.split()) == len(t.split()) - got[i].n_words_removed
+    assert len(got[200].text.split()) >= spans.LEAST_WORDS
+
+
 def test_byte_bpe_equals_tiktoken_and_returns_the_text(spark):
     tiktoken = pytest.importorskip("tiktoken")
     ranks, pattern = queries.vocabulary()
