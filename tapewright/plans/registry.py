@@ -566,7 +566,7 @@ def o10_nearest_others(p):
 
 @_query("""select i, j, round(d,4) distance from (select least(a.vec_id,b.vec_id) i, greatest(a.vec_id,b.vec_id) j, min(list_distance(a.embedding::double[], b.embedding::double[])) d from embeddings a join embeddings b on a.vec_id<>b.vec_id group by 1,2) order by d, i, j limit 20""")
 def o11_closest_pairs(p):
-    return _rounded(similarity.closest_pairs(similarity.nearest_others(p.embeddings, "vec_id", "embedding"), 20), 4)
+    return _rounded(similarity.closest_pairs(similarity.nearest_others(p.embeddings, "vec_id", "embedding", 20), 20), 4)
 
 
 @_query()

@@ -179,3 +179,17 @@ def test_beta_by_construction(spark):
     m = bars(spark, market).select("Date", "C")
     out = factors.price_factors(bars(spark, closes), m).first()
     assert out.beta == pytest.approx(2.0) and out.vol_252 is not None
+
+
+def test_neighbours_break_ties_by_id_and_pairs_are_all_pairs(spark):
+    rows = [(i, [float(i % 3), 0.1 * (i % 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in similarity.nearest_others(df, "id", "v", 4, blocks=2, block_rows=20).collect():
+        got.setdefault(r.id, {})[r.place] = r.other
+    for i, _ in rows:
+        same = [j for j, _ in rows if j % 3 == i % 3 and j != i]
+        assert [got[i][k] for k in range(1, 5)] == same[:4]
+    line = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [1.5]), (3, [10.0])], "id long, v array<double>")
+    pairs = similarity.closest_pairs(similarity.nearest_others(line, "id", "v", 3), 3).collect()
+    assert [(r.i, r.j, r.distance) for r in pairs] == [(1, 2, 0.5), (0, 1, 1.0), (0, 2, 1.5)]
