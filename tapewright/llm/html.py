@@ -10,9 +10,11 @@ forms, scripts, styles, comments) are left out; articles and what holds them
 are never left out by class, nor headings and paragraphs by id.  If a page has article elements, or
 else a main element, only these count.
 
-A subtree is counted once for each different article text, so copies of an
-article are no template of their host; and inside an article only containers
-can be template, not paragraphs or headings.
+Paragraphs, headings, list items and the like are hashed as well as containers.
+What recurs with 3 different articles of a host is template.  Articles count as
+different by their first h1 or h2, or else by their longest block other than
+the one counted (without one, by their text), so copies and near copies of an article are no template of their
+host.
 
 Edge cases: null and empty pages have an empty text; pages that share a
 page_id are each extracted; pages without page_id or host lose no template
@@ -43,6 +45,8 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea input dialog menu head title".split())
 CONTAINERS = frozenset("div section aside ul ol dl table form figure nav header footer menu details fieldset center".split())
+#: Blocks that are hashed as well, where they hold no other block.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote address pre".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp math object audio video canvas map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -60,10 +64,9 @@ AROUND = frozenset("comment comments comments-area comment-list disqus replies r
 
 @dataclass(frozen=True)
 class Template:
-    """A subtree is template if it stands in at least `articles` different articles of its host, and in at least `share` of all of them."""
+    """A subtree is template if it stands in at least `articles` different articles of its host, however many the host has."""
 
-    articles: int = 10
-    share: float = 0.3
+    articles: int = 3
 
 
 class Page:
@@ -186,12 +189,25 @@ class Page:
     def subtrees(self) -> dict[int, int]:
         """Hash by container element, over its tags and text with white space evened out; none for those that hold an article."""
         holds = {a for e in range(1, len(self.tags)) if self.tags[e] in ("article", "main") for a in self._above(e)}
+        parts = {self.parents[e] for e, tag in enumerate(self.tags) if tag in CONTAINERS or tag in LEAVES}
         out = {}
         for e, tag in enumerate(self.tags):
-            if tag in CONTAINERS and e not in holds:
+            if (tag in CONTAINERS or tag in LEAVES and e not in parts) and e not in holds:
                 out[e] = xxhash.xxh64_intdigest(_SPACE.sub(" ", self.source[self.places[e][0] : self.places[e][1]]).encode("utf-8", "replace"))
         return out
 
+    def longest(self, hashes: dict[int, int]) -> list[int]:
+        """By hash, what near copies of an article mostly share: its first h1 or h2, or else its two longest leaf blocks."""
+        hidden, found = self.hidden(), self.roots()
+        roots = [self.places[r] for r in found]
+        if found != [0]:
+            for e in sorted(hashes):
+                if self.tags[e] in ("h1", "h2") and not hidden[e] and any(a <= self.places[e][0] < b for a, b in roots):
+                    return [hashes[e]] * 2
+        size = lambda e: self.places[e][1] - self.places[e][0]
+        own = {h: size(e) for e, h in hashes.items() if self.tags[e] in LEAVES and not hidden[e] and any(a <= self.places[e][0] < b for a, b in roots)}
+        return sorted(own, key=lambda h: (-own[h], h))[:2]
+
     def text(self, template: set[int] = frozenset()) -> str:
         gone = np.zeros(len(self.pieces) + 1, np.int32)
         drop = [e for e, out in enumerate(self.out) if out]
@@ -221,9 +237,10 @@ def _subtrees(pages: DataFrame) -> DataFrame:
         rows = []
         for page_id, host, source in zip(ids, hosts, sources):
             page = Page(source or "")
-            own = {_signed(h) for h in page.subtrees().values()}
-            article = _signed(xxhash.xxh64_intdigest(page.text().encode("utf-8", "replace")))
-            rows += [(page_id, host, article, h) for h in own]
+            hashes = page.subtrees()
+            longest = page.longest(hashes)
+            article = xxhash.xxh64_intdigest(page.text().encode("utf-8", "replace"))
+            rows += [(page_id, host, _signed(longest[0] if longest and longest[:1] == longest[1:] else next((x for x in longest if x != h), article)), _signed(h)) for h in set(hashes.values())]
         names = ("page_id", "host", "article", "h")
         yield dict(zip(names, map(list, zip(*rows)))) if rows else {c: [] for c in names}
 
@@ -237,10 +254,8 @@ def extract(pages: DataFrame, t: Template = Template()) -> DataFrame:
     pages = pages.withColumn("host", host)
     known = pages.filter("page_id is not null and host <> ''")
     trees = settle(_subtrees(known), "subtrees")
-    articles = trees.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
     counts = trees.select("host", "h", "article").distinct().groupBy("host", "h").agg(F.count("*").alias("held")).filter(F.col("held") >= t.articles)
-    template = counts.join(articles, "host").filter(F.col("held") >= t.share * F.col("of_host")).select("host", "h")
-    found = trees.join(template, ["host", "h"]).groupBy("page_id").agg(F.collect_set("h").alias("template"))
+    found = trees.join(counts.select("host", "h"), ["host", "h"]).groupBy("page_id").agg(F.collect_set("h").alias("template"))
     joined = pages.select("page_id", "url", "html").join(found.hint("shuffle_hash"), "page_id", "left")
 
     def work(batch: pa.RecordBatch):

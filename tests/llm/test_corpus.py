@@ -270,6 +270,20 @@ def test_html_deletes_templates_but_not_copies(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_templates_of_small_hosts_and_of_a_section(spark):
+    rng = random.Random(23)
+    notice, body = "<p>This story first appeared elsewhere.</p>", prose(rng, 40)
+    pages = [(i, f"https://small.example/{i}", f"<article><p>{prose(rng, 20)}</p>{notice}</article>") for i in range(3)]
+    pages += [(10 + i, f"https://two.example/{i}", f"<article><p>{prose(rng, 20)}</p>{notice}</article>") for i in range(2)]
+    pages += [(100 + i, f"https://large.example/{i}", f"<article><p>{prose(rng, 20)}</p>{notice if i < 4 else ''}</article>") for i in range(40)]
+    pages += [(200 + i, f"https://near.example/{i}", f"<article><p>{body}</p><p>one more shared paragraph</p><p>{i}</p></article>") for i in range(6)]
+    pages += [(300 + i, f"https://titles.example/{i}", f"<article><h1>one title</h1><p>one lead</p><p>{prose(rng, 30)}</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, source in pages:
+        want = source.replace(notice, "") if i < 10 or 100 <= i < 200 else source
+        assert got[i] == re.sub(r"\s+", " ", re.sub("<[^>]*>", " ", want)).strip()
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
