@@ -4,7 +4,8 @@ Words are found on the bytes themselves: both word definitions used in this
 subpackage are closed under UTF-8 (every byte of a code point from U+0080 on
 is itself at least 0x80), so no text is decoded.  A word's hash is a
 polynomial over random byte values modulo 2**64, taken for all words of a
-slice at once from one running sum, and then mixed.
+block at once from one running sum, and then mixed.  Only a slice of a batch
+is held as Python objects, and only a block of a slice as 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _UPPER = bytes(range(65, 91))
 FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -33,10 +35,11 @@ _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
 
-#: Bytes of text hashed at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text taken out of a batch at once; a longer document is a slice of its own.
+SLICE_BYTES = 1 << 18
+#: Bytes of text hashed at once; a longer word is a block of its own.
+BLOCK_BYTES = 1 << 16
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -46,32 +49,36 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    """The texts as UTF-8; null gives an empty one."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+_up, _down = _powers_to(BLOCK_BYTES + 1)
+
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; those beyond a block aren't kept."""
+    return (_up[:n], _down[:n]) if n <= len(_up) else _powers_to(n)
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most `limit` bytes together, or of one row."""
+
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of at most `limit` bytes together, or of one row, and their texts as UTF-8 (null: empty)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
-            yield first, i
+    for i, size in enumerate([*sizes, None]):
+        if size is None or held and held + size > limit:
+            if i > first:
+                yield first, i, [x or b"" for x in column.slice(first, i - first).to_pylist()]
             first, held = i, 0
-        held += len(text) + 1
-    if first < len(texts):
-        yield first, len(texts)
+        held += (size or 0) + 1
 
 
 @dataclass
@@ -88,6 +95,21 @@ class Words:
         return self.blob[self.starts[i] : self.ends[i]]
 
 
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out, i, n = np.zeros(len(starts), np.uint64), 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
+        base = starts[i]
+        up, down = powers(int(ends[j - 1] - base) + 1)
+        sums = np.zeros(len(up), np.uint64)
+        np.multiply(_BYTE_VALUES[raw[base : ends[j - 1]]], up[:-1], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        begin = starts[i:j] - base
+        out[i:j] = (sums[ends[i:j] - base] - sums[begin]) * down[begin]
+        i = j
+    return mix64(out)
+
+
 def words_of(texts: list[bytes], inside: bytes = ALNUM, fold: bool = True) -> Words:
     """Lower-cases A-Z (if fold) and finds the maximal runs of bytes in the class."""
     blob = b"\n".join([*texts, b""])
@@ -98,10 +120,7 @@ def words_of(texts: list[bytes], inside: bytes = ALNUM, fold: bool = True) -> Wo
     flags[1:-1] = np.frombuffer(blob.translate(inside), np.int8)
     edges = np.flatnonzero(np.diff(flags))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _power(max(n, 1))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[np.frombuffer(blob, np.uint8)] * up, out=sums[1:], dtype=np.uint64)
-    hashes = mix64((sums[ends] - sums[starts]) * down[np.minimum(starts, n - 1)] if n else sums[:0])
+    hashes = _word_hashes(np.frombuffer(blob, np.uint8), starts, ends)
     bounds = np.concatenate([[0], np.searchsorted(starts, ends_of_text)]).astype(np.int64)
     return Words(blob, starts, ends, hashes, bounds)
 

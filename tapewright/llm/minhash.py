@@ -11,9 +11,11 @@ bucket is lost.
 
 Edge cases: null or blank texts have no shingles, stay alone and are kept;
 documents with equal sets are one class and are compared once; rows that share
-a doc_id count as one document (their links are united, each row is returned);
+a doc_id count as one document (their links are united, each row is returned;
+of those that stay and have equal texts too, drop_near_duplicates keeps one);
 rows without a doc_id stay alone with a null component_id and are kept; extra
-columns are ignored; an empty table gives an empty result.
+columns are ignored, or kept by drop_near_duplicates, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import NOT_SPACE, mix64, shingles, signed, slices, texts_of, words_of
+from ._bytes import NOT_SPACE, mix64, shingles, signed, slices, words_of
 from ._graph import components
-from ._spark import map_batches, settle
+from ._spark import MOST_BITS, BitFilter, columns_of, map_batches, settle, whole_row
 
 
 #: A shingle outside its centre is rare if at most so many documents of a star hold it.
@@ -94,9 +96,9 @@ def _signatures(docs: DataFrame, p: MinHash) -> DataFrame:
     """doc_id, n_shingles, s1 and s2 (the set's 128-bit digest) and band keys for each row."""
 
     def work(batch: pa.RecordBatch):
-        texts, ids = texts_of(batch.column(1)), batch.column(0)
-        for a, b in slices(texts):
-            sets = _sets(texts[a:b], p.words)
+        ids = batch.column(0)
+        for a, b, texts in slices(batch.column(1)):
+            sets = _sets(texts, p.words)
             n = np.array([len(s) for s in sets])
             digests, keys = np.zeros((2, b - a), np.uint64), np.zeros((b - a, p.bands), np.uint64)
             if some := np.flatnonzero(n).tolist():
@@ -112,17 +114,25 @@ def _signatures(docs: DataFrame, p: MinHash) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes, for documents that have any."""
+def shingle_sets(docs: DataFrame, words: int = 5, wanted: DataFrame | None = None) -> DataFrame:
+    """doc_id and its sorted distinct shingle hashes, for documents that have any; wanted (doc_id) leaves out most others, by a bit filter, so that no text is shuffled."""
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    maybe = wanted and BitFilter(wanted.select(F.xxhash64("doc_id").alias("h")))
+    if maybe and maybe.held > 2 ** (MOST_BITS - 3):
+        # The filter would let too many pass.
+        docs, maybe = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), None
+    shared = docs.sparkSession.sparkContext.broadcast(maybe)
 
     def work(batch: pa.RecordBatch):
-        texts, ids = texts_of(batch.column(1)), batch.column(0)
-        for a, b in slices(texts):
-            sets = _sets(texts[a:b], words)
+        if shared.value:
+            batch = batch.filter(pa.array(shared.value.may_hold(batch.column(2).to_numpy())))
+        ids = batch.column(0)
+        for a, b, texts in slices(batch.column(1)):
+            sets = _sets(texts, words)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield {"doc_id": ids.slice(a, b - a), "shingles": pa.ListArray.from_arrays(ends, signed(np.concatenate(sets)))}
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, shingles array<long>").filter(F.size("shingles") > 0)
+    return map_batches(docs.select("doc_id", "text", "h"), work, "doc_id long, shingles array<long>").filter(F.size("shingles") > 0)
 
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,11 +162,12 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     centres = buckets.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.d")).alias("a"), F.col("top.company").alias("company"))
     stars = buckets.select("key", F.col("doc").alias("b")).join(centres, "key").filter("a <> b").groupBy("a", "b").agg(F.first("company").alias("company"))
     stars = settle(stars, "stars")
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = settle(shingle_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), p.words), "sets")
+    wanted = settle(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), "wanted")
+    sets = settle(shingle_sets(docs, p.words, wanted), "sets")
 
     scored = _beside(stars, sets).select("a", "b", F.size("s_a").alias("na"), F.size("s_b").alias("nb"), F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
-    scored = scored.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "shared")))
+    # Dealt anew by both, as all rows of a star would else be grouped in the task that joined its centre.
+    scored = scored.repartition("a", "b").groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "shared")))
     scored = settle(scored.withColumn("linked", _enough(F.col("shared"), F.col("na") + F.col("nb"), p.percent)), "scored")
     links = scored.filter("linked").select("a", "b")
     labels = components(links)
@@ -225,5 +236,11 @@ def _rest(scored: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFram
 
 def drop_near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """docs without the documents of which another one of the same component stays; all columns are kept."""
-    gone = near_duplicates(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    found = settle(near_duplicates(docs, p), "near")
+    gone = settle(found.filter("not kept").select("doc_id").distinct(), "gone")
+    twice = settle(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "twice")
+    rows = docs.select(whole_row(docs).alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long")).join(gone, "doc_id", "left_anti")
+    if not twice.isEmpty():
+        again = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id", F.md5(F.col("row.text").cast("string").cast("binary")).alias("digest")).agg(F.first("row").alias("row"))
+        rows = rows.join(twice, "doc_id", "left_anti").select("row").unionByName(again.select("row"))
+    return rows.select(*columns_of(F.col("row"), docs.columns))

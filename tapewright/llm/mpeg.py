@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import slices, texts_of
+from ._bytes import slices
 from ._spark import map_batches
 
 UNIT = 192
@@ -203,9 +203,8 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (of the text) and media, the stream that holds it."""
 
     def work(batch: pa.RecordBatch):
-        texts = texts_of(batch.column(1))
-        for a, b in slices(texts):
-            yield {"doc_id": batch.column(0).slice(a, b - a), "n_bytes": [len(t) for t in texts[a:b]], "media": pa.array([write_stream(padded(t)) for t in texts[a:b]], pa.binary())}
+        for a, b, texts in slices(batch.column(1)):
+            yield {"doc_id": batch.column(0).slice(a, b - a), "n_bytes": [len(t) for t in texts], "media": pa.array([write_stream(padded(t)) for t in texts], pa.binary())}
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, n_bytes long, media binary")
 
@@ -214,9 +213,8 @@ def read(media: DataFrame) -> DataFrame:
     """media (doc_id, n_bytes, media) with what parsing the stored bytes gives."""
 
     def work(batch: pa.RecordBatch):
-        streams = texts_of(batch.column(2))
-        for a, b in slices(streams):
-            s = [read_stream(x) for x in streams[a:b]]
+        for a, b, streams in slices(batch.column(2)):
+            s = [read_stream(x) for x in streams]
             ends = np.concatenate([[0], np.cumsum([len(x.offsets) for x in s])]).astype(np.int32)
             yield {
                 "doc_id": batch.column(0).slice(a, b - a), "n_bytes": batch.column(1).slice(a, b - a), "media": batch.column(2).slice(a, b - a),

@@ -9,8 +9,11 @@ vectors once, which leaves one number for each bucket.
 
 Edge cases: null and empty texts have no n-grams and get the score of the bias
 alone; without usable labels every score is 0.5; labels that a doc_id has
-twice count by their least; every row is scored, repeated ones too; extra
-columns are ignored.
+twice count by their least, and of its texts the least is learned from; every
+row is scored by its own text, repeated ones and those without a doc_id too;
+a text longer than a slice is scored by stretches, with the same result; extra
+columns are ignored, or kept by drop_low_quality, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import NOT_SPACE, mix64, shingles, slices, texts_of, words_of
-from ._spark import map_batches
+from ._bytes import NOT_SPACE, SLICE_BYTES, mix64, shingles, slices, words_of
+from ._spark import bounded_batches, map_batches
 
 BITS, DIM, GROUPS = 16, 8, 3
 
@@ -39,21 +42,30 @@ class Training:
     seed: int = 5
 
 
+def char_grams(text: bytes, starts: int) -> Iterator[np.ndarray]:
+    """Buckets of the byte 2- to 4-grams that begin at the first `starts` places of a text."""
+    h = raw = np.frombuffer(text, np.uint8).astype(np.uint32)
+    h = h * np.uint32(0x9E3779B1)
+    for n in (2, 3, 4):
+        h = h[:-1] * np.uint32(0x01000193) + raw[n - 1 :] if len(h) > 1 else h[:0]
+        yield (h[:starts] * np.uint32(0x85EBCA6B) ^ np.uint32(n * 0x28E31DA4)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
+
+
 def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each group the buckets of all texts' features, and their bounds by text."""
-    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts = ends - [len(t) + 1 for t in texts]
+    sizes = np.array([len(t) + 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    left = np.cumsum(sizes)[owner] - 1 - np.arange(len(owner))
     grams, owners = [], []
-    owner = np.repeat(np.arange(len(texts)), ends - starts)
-    left = ends[owner] - 1 - np.arange(len(raw))
-    h = raw * np.uint32(0x9E3779B1)
-    for n in (2, 3, 4):
-        h = h[:-1] * np.uint32(0x01000193) + raw[n - 1 :] if len(h) > 1 else h[:0]
-        inside = left[: len(h)] >= n
-        grams.append((h[inside] * np.uint32(0x85EBCA6B) ^ np.uint32(n * 0x28E31DA4)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
-        owners.append(owner[: len(h)][inside])
-    chars = _grouped(np.concatenate(grams), np.concatenate(owners), len(texts))
+    for n, buckets in enumerate(char_grams(b"\n".join([*texts, b""]), len(owner)), 2):
+        inside = left[: len(buckets)] >= n
+        grams.append(buckets[inside])
+        owners.append(owner[: len(buckets)][inside])
+    return [_grouped(np.concatenate(grams), np.concatenate(owners), len(texts)), *word_features(texts)]
+
+
+def word_features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The groups of words and word pairs, and of repeats."""
     w = words_of(texts, NOT_SPACE, fold=False)
     text_of = np.repeat(np.arange(len(texts)), np.diff(w.bounds))
     pairs = shingles(w.hashes, 2)
@@ -64,7 +76,7 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for lag in (1, 2):
         if len(again) > lag:
             again[lag:] |= ((w.hashes[lag:] == w.hashes[:-lag]) & (text_of[lag:] == text_of[:-lag])).astype(np.int64)
-    return [chars, words, (again, w.bounds)]
+    return [words, (again, w.bounds)]
 
 
 def _grouped(buckets: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,36 +117,62 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> tuple
     """The folded model, fitted in one task on at most t.sample rows of labels (doc_id, label), dealt by a hash of doc_id."""
     chosen = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.filter("text <> ''").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for b in batches:
-            found += zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist())
-        found = [x for x in sorted(found) if x[1]]
+        for batch in batches:
+            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for a, b, texts in slices(batch.column(1)):
+                found += zip(ids[a:b], texts, marks[a:b])
         if found:
+            found.sort()
             table, bias = fit([x[1] for x in found], [int(x[2]) for x in found], t)
             yield pa.RecordBatch.from_pydict({"table": pa.array([table.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
+    bounded_batches(docs.sparkSession)
     model = rows.repartition(1).mapInArrow(work, "table binary, bias double").collect()
     if not model:
         return np.zeros((GROUPS, 2**BITS), np.float32), 0.0
     return np.frombuffer(bytes(model[0]["table"]), np.float32).reshape(GROUPS, 2**BITS), model[0]["bias"]
 
 
+def _means(texts: list[bytes], table: np.ndarray) -> np.ndarray:
+    """Of each text, the sum of its groups' means."""
+    z = np.zeros(len(texts))
+    for g, (buckets, bounds) in enumerate(features(texts)):
+        sums = np.concatenate([[0.0], np.cumsum(table[g][buckets].astype(np.float64))])
+        z += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
+    return z
+
+
+def _mean_of_long(text: bytes, table: np.ndarray) -> np.ndarray:
+    """_means of a single text, whose byte n-grams are taken by stretches."""
+    sums, n = 0.0, 0
+    for a in range(0, len(text), SLICE_BYTES):
+        for buckets in char_grams(text[a : a + SLICE_BYTES + 3], SLICE_BYTES):
+            sums, n = sums + table[0][buckets].sum(dtype=np.float64), n + len(buckets)
+    z = sums / max(n, 1)
+    for g, buckets in enumerate(word_features([text])[:2], 1):
+        z += table[g][buckets[0]].sum(dtype=np.float64) / max(len(buckets[0]), 1)
+    return np.array([z])
+
+
+def scores(column: pa.Array, model: tuple[np.ndarray, float]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of rows of a column of texts and their scores."""
+    table, bias = model
+    for a, b, texts in slices(column):
+        z = bias + (_mean_of_long(texts[0], table) if len(texts[0]) > SLICE_BYTES else _means(texts, table))
+        yield a, b, 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id and score (0 to 1) for each row of docs; the model has a fixed size and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch):
-        table, bias = shared.value
-        texts = texts_of(batch.column(1))
-        for a, b in slices(texts, 1 << 18):
-            z = np.full(b - a, bias)
-            for g, (buckets, bounds) in enumerate(features(texts[a:b])):
-                sums = np.concatenate([[0.0], np.cumsum(table[g][buckets].astype(np.float64))])
-                n = np.diff(bounds)
-                z += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)
-            yield {"doc_id": batch.column(0).slice(a, b - a), "score": 1 / (1 + np.exp(-np.clip(z, -500, 500)))}
+        for a, b, found in scores(batch.column(1), shared.value):
+            yield {"doc_id": batch.column(0).slice(a, b - a), "score": found}
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, score double")
 
@@ -150,6 +188,14 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
-    """docs without those that score under 0.5; all columns are kept."""
-    bad = score(docs, train(docs, learnable(labels), t)).filter("score < 0.5").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["_bad"], "left_anti")
+    """docs without the rows whose own text scores under 0.5; all columns are kept, and no row is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, learnable(labels), t))
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, bool), *(found >= 0.5 for _, _, found in scores(batch.column(at), shared.value))]
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(work, docs.schema)
