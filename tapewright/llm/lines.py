@@ -10,8 +10,10 @@ no Python sees a row.
 A key is the line without ASCII white space at its ends, A-Z lower-cased.  It
 is carried as 128 bits of hash.  Edge cases: a null or empty text is one empty
 line; keys under `least` code points are never dropped; rows that share a
-doc_id count as one document; rows without a doc_id neither drop nor are
-dropped from; extra columns stay; an empty table gives an empty result.
+doc_id count as one document, of which each row loses those of its own lines
+that an earlier document holds; rows without a doc_id neither drop nor are
+dropped from; extra columns stay, whatever their names, but for n_lines and
+n_dropped, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import settle
+from ._spark import columns_of, settle, whole_row
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -78,7 +80,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc_id, places): the lines to drop from each document that has any."""
+    """(doc_id, places): where lines to drop stand in any row of a document, and the first half of their keys."""
     lines = settle(_lines(docs, least), "lines")
     cuts = lines.agg(F.expr(f"approx_percentile(doc_id, {'array(' + ', '.join(str(i / batches) for i in range(1, batches)) + ')'}, 1000)").alias("q")).first().q or []
     bounds = sorted(set(cuts))
@@ -87,20 +89,21 @@ def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: i
         batch = lines if low is None else lines.filter(F.col("doc_id") > low)
         runs.add(batch if high is None else batch.filter(F.col("doc_id") <= high))
     late = lines.join(runs.keys(docs.sparkSession), KEY).filter("doc_id > first_doc")
-    return late.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    return late.groupBy("doc_id").agg(F.collect_set(F.struct("at", "k1")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs with the text that stays; n_lines and n_dropped come last. A null text stays null."""
     places = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), least, batches, fanout)
-    joined = docs.withColumn("_id", F.col("doc_id").cast("long")).join(places.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), "_id", "left").drop("_id")
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    joined = joined.withColumn("_lines", lines)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "places")
-    kept = F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n")
-    dropped = F.size(F.array_intersect(F.col("places"), F.sequence(F.lit(0), F.size("_lines") - 1)))
-    return joined.select(
-        *(docs[c] if c != "text" else F.when(F.col("places").isNull(), docs["text"].cast("string")).otherwise(kept).alias("text") for c in docs.columns),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(F.col("places").isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"),
-    )
+    rows = docs.select(whole_row(docs).alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    text = F.col("row.text").cast("string")
+    joined = rows.join(places.hint("shuffle_hash"), "doc_id", "left").withColumn("lines", F.split(F.coalesce(text, F.lit("")), "\n"))
+    # Another row of the document may have other lines at these places.
+    own = F.filter("places", lambda p: F.xxhash64(line_key(F.get("lines", p["at"]))) == p["k1"])
+    joined = joined.withColumn("gone", F.when(F.col("places").isNotNull(), F.transform(own, lambda p: p["at"])))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n")
+    text = F.when(F.size("gone") > 0, kept).otherwise(text)
+    columns = dict(zip(docs.columns, columns_of(F.col("row"), docs.columns))) | {"text": text.alias("text")}
+    counts = {"n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    return joined.select(*(c for k, c in columns.items() if k not in counts), *(c.alias(k) for k, c in counts.items()))
