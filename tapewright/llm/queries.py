@@ -31,9 +31,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = vocabulary()
-    encoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    encoded = bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, pattern)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest(ids).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest(ids).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
