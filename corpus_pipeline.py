@@ -42,7 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document; decoded tells whether they give its text back."""
     ranks, pattern = vocabulary()
-    encoded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    encoded = bpe.round_trip(docs, ranks, pattern)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
