@@ -6,28 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _within(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, before: int, after: int) -> DataFrame:
+    """Left rows with all right rows of equal keys whose date lies at most `before` days before theirs and `after` days after it; rows without any stay, with nulls, perhaps twice.
+
+    The range is turned into an equi join on spans of before + after + 1 days,
+    of which a left row meets two at most.
+    """
+    width = before + after + 1
+    span = lambda date: F.floor(F.unix_date(date) / width)
+    r = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys), span(F.col(right_date)).alias("_at"))
+    a = left.withColumn("_span", F.explode_outer(F.array_distinct(F.array(span(F.date_sub(left_date, before)), span(F.date_add(left_date, after))))))
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    near = F.col(right_date).between(F.date_sub(left_date, before), F.date_add(left_date, after))
+    return a.join(r, [*on, F.col("_span") == F.col("_at"), near], "left").drop("_span", "_at", *(f"_k{i}" for i in range(len(keys))))
+
+
+def _best(pairs: DataFrame, left_id: str, *order: Column) -> DataFrame:
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(left_id).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_date: str, right_date: str, tolerance: int, order: list[Column] | None = None) -> DataFrame:
     """Each left row with the right row of equal keys whose date is closest within `tolerance` days; ties by `order`, then date. Unmatched left rows stay."""
-    r = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
-    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    gap = F.abs(F.datediff(left_date, right_date))
-    pairs = left.join(r, [*on, F.col(right_date).between(F.date_sub(left_date, tolerance), F.date_add(left_date, tolerance))], "left").drop(*(f"_k{i}" for i in range(len(keys))))
-    best = Window.partitionBy(left_id).orderBy(gap.asc_nulls_last(), *(order or []), F.col(right_date))
-    return pairs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-
-
-def nearest_with_fallback(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_date: str, report_date: str, filing_date: str, tolerance: int = 10, reach: Column | None = None) -> DataFrame:
-    """As nearest_join on report_date; where none is near, the earliest filing on or after the left date within `reach` days. `match` says which."""
-    near = nearest_join(left, right, keys, left_id, left_date, report_date, tolerance)
-    hit = near.filter(F.col(report_date).isNotNull()).withColumn("match", F.lit("report"))
-    rest = left.join(hit.select(left_id), left_id, "left_anti")
-    reach = F.lit(60) if reach is None else reach
-    r = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
-    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    late = rest.join(r, [*on, F.datediff(filing_date, left_date).between(F.lit(0), reach)], "left").drop(*(f"_k{i}" for i in range(len(keys))))
-    first = Window.partitionBy(left_id).orderBy(F.col(filing_date).asc_nulls_last(), F.col(report_date))
-    late = late.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    return hit.unionByName(late.withColumn("match", F.when(F.col(filing_date).isNotNull(), "filing")))
+    pairs = _within(left, right, keys, left_date, right_date, tolerance, tolerance)
+    return _best(pairs, left_id, F.abs(F.datediff(left_date, right_date)).asc_nulls_last(), *(order or []), F.col(right_date))
+
+
+#: Forms of a year's report and of a quarter's, and days until either is filed at the latest.
+FORMS = {"10-K": ("10-K", "10-K405", "10-KSB"), "10-Q": ("10-Q", "10-QSB")}
+REACH = {"10-K": 150, "10-Q": 60}
+
+
+def nearest_filing(left: DataFrame, filings: DataFrame, keys: list[str], left_id: str, left_date: str, fiscal_period: str, tolerance: int = 10) -> DataFrame:
+    """Each left row with the filing of its form family whose report date is closest within `tolerance` days; where none is, with the first filed on or after its date within the family's reach.
+
+    Years and fourth quarters have the forms of a year.  filings has form,
+    report_date, filing_date and seq, which decides ties; match says by which
+    date a filing was found.
+    """
+    family = F.when(F.col(fiscal_period).isin("FY", "Q4"), "10-K").otherwise("10-Q")
+    kind = F.coalesce(*(F.when(F.col("form").isin(*forms), name) for name, forms in FORMS.items()))
+    known = filings.withColumn("_family", kind).filter("_family is not null")
+    asked = left.withColumn("_family", family)
+    on = [*keys, "_family"]
+    near = nearest_join(asked, known.filter("report_date is not null"), on, left_id, left_date, "report_date", tolerance, [F.col("seq")])
+    hit = near.filter("report_date is not null").withColumn("match", F.lit("report"))
+    rest = asked.join(hit.select(left_id), left_id, "left_anti")
+    late = _within(rest, known.filter("filing_date is not null"), on, left_date, "filing_date", 0, max(REACH.values()))
+    in_reach = F.coalesce(*(F.when(F.col("_family") == name, F.datediff("filing_date", left_date) <= days) for name, days in REACH.items()))
+    found = [c for c in known.columns if c not in on]
+    late = late.select(*asked.columns, *(F.when(in_reach, F.col(c)).alias(c) for c in found))
+    late = _best(late, left_id, F.col("filing_date").asc_nulls_last(), F.col("seq"))
+    return hit.unionByName(late.withColumn("match", F.when(F.col("filing_date").isNotNull(), "filing"))).drop("_family")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str) -> DataFrame:

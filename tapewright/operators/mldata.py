@@ -42,7 +42,9 @@ def split_windows(windows: DataFrame, valid_frac: float = 0.2, method: str = "re
         start = F.unix_micros(F.col("start_date").cast("timestamp"))
         side = F.when(start > F.col("_cut"), "valid").when(end <= F.col("_cut"), "train")
     elif method == "random":
-        draw = F.pmod(F.xxhash64(F.lit(seed), "Ticker", "start_date", "end_date"), F.lit(1_000_000)) / 1_000_000
+        # The first 32 bits of a digest: the same draw wherever it runs.
+        name = F.concat_ws("|", F.lit(str(seed)), "Ticker", F.col("start_date").cast("string"), F.col("end_date").cast("string"))
+        draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") / 2**32
         side = F.when(draw < valid_frac, "valid").otherwise("train")
     else:
         raise ValueError(f"unknown method: {method}")

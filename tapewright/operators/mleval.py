@@ -66,22 +66,22 @@ def _features(df: DataFrame, flat: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(F.col(flat), lambda x: x.cast("double"))))
 
 
-def fit_regressor(df: DataFrame, flat: str = "flat", target: str = "excess", rounds: int = 20, seed: int = 0):
-    """Boosted trees on flat windows; rows of split valid tell when to stop."""
+def fit_regressor(df: DataFrame, flat: str = "flat", target: str = "excess", rounds: int = 500, seed: int = 0):
+    """Boosted trees on flat windows; `rounds` is an upper bound, as rows of split valid tell when to stop."""
     from pyspark.ml.regression import GBTRegressor
 
-    rows = _features(df.filter("split in ('train', 'valid')"), flat).withColumn("_valid", F.col("split") == "valid")
+    rows = _features(df.filter("split in ('train', 'valid')"), flat).withColumn("_valid", F.col("split") == "valid").select("features", target, "_valid")
     return GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=4, seed=seed, validationIndicatorCol="_valid").fit(rows)
 
 
-def fit_classifier(df: DataFrame, flat: str = "flat", label: str = "label_index", trees: int = 20, seed: int = 0):
+def fit_classifier(df: DataFrame, flat: str = "flat", label: str = "label_index", trees: int = 100, seed: int = 0):
     """A weighted forest on flat windows of train rows (df has weight)."""
     from pyspark.ml.classification import RandomForestClassifier
 
     return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=6, seed=seed).fit(_features(df.filter("split = 'train'"), flat))
 
 
-def fit_ranker(df: DataFrame, flat: str = "flat", grade: str = "grade", rounds: int = 20, seed: int = 0):
+def fit_ranker(df: DataFrame, flat: str = "flat", grade: str = "grade", rounds: int = 500, seed: int = 0):
     """Pointwise: boosted trees on relevance grades; order within a date by their prediction."""
     return fit_regressor(df.withColumn(grade, F.col(grade).cast("double")), flat, grade, rounds, seed)
 

@@ -62,23 +62,40 @@ def worst_tickers(anomalies: DataFrame, n: int = 10) -> DataFrame:
     return anomalies.groupBy("Ticker").agg(F.count("*").alias("findings"), F.countDistinct("CheckName").alias("checks")).orderBy(F.desc("findings"), "Ticker").limit(n)
 
 
+def worst_tickers_of(anomalies: DataFrame, check: str, n: int = 20) -> DataFrame:
+    """Tickers with most findings of one check, and from when to when."""
+    return anomalies.filter(F.col("CheckName") == check).groupBy("Ticker").agg(F.count("*").alias("findings"), F.min("Date").alias("first"), F.max("Date").alias("last")).orderBy(F.desc("findings"), "Ticker").limit(n)
+
+
 def worst_findings(anomalies: DataFrame, check: str, n: int = 20) -> DataFrame:
     """Findings of a check, the greatest percentage in Details first."""
     size = F.coalesce(F.expr(r"try_cast(regexp_extract(Details, '(-?[0-9]+\\.?[0-9]*) %', 1) as double)"), F.lit(0.0))
     return anomalies.filter(F.col("CheckName") == check).withColumn("size", size).orderBy(F.desc("size"), "Ticker", "Date", "Key").limit(n)
 
 
-def open_anomalies(anomalies: DataFrame, triage: DataFrame, stocks: DataFrame, check: str | None = None, severity: str | None = None, ticker: str = "") -> DataFrame:
+def open_anomalies(anomalies: DataFrame, triage: DataFrame, stocks: DataFrame, check: str | list[str] | None = None, severity: str | None = None, ticker: str = "", tables: list[str] | None = None) -> DataFrame:
     """Findings without an entry in the triage log (check, ticker, date, key; null dates and keys match nulls), with IsStock."""
     df = anomalies
     for c, v in (("CheckName", check), ("Severity", severity)):
-        df = df if v is None else df.filter(F.col(c) == v)
-    df = df.filter(F.col("Ticker").ilike(f"%{ticker}%")) if ticker else df
+        df = df if v is None else df.filter(F.col(c).isin(*([v] if isinstance(v, str) else v)))
+    df = df if tables is None else df.filter(F.col("SrcTable").isin(*tables))
+    df = df.filter(F.upper("Ticker").contains(ticker.strip().upper())) if ticker.strip() else df
     log = triage.select(F.col("check").alias("_c"), F.col("ticker").alias("_t"), F.col("date").alias("_d"), F.col("key").alias("_k"))
     df = df.join(log, (F.col("CheckName") == F.col("_c")) & (F.col("Ticker") == F.col("_t")) & F.col("Date").eqNullSafe(F.col("_d")) & F.col("Key").eqNullSafe(F.col("_k")), "left_anti")
     return df.join(stocks.select("Ticker").distinct().withColumn("IsStock", F.lit(True)), "Ticker", "left").withColumn("IsStock", F.coalesce("IsStock", F.lit(False)))
 
 
+def open_page(anomalies: DataFrame, triage: DataFrame, stocks: DataFrame, limit: int = 500, **filters) -> dict[str, DataFrame]:
+    """A page of open findings: rows (the first `limit` by severity, check and ticker), total (all that the filters leave), checks and tables (those of all findings)."""
+    found = open_anomalies(anomalies, triage, stocks, **filters)
+    return {
+        "rows": found.orderBy("Severity", "CheckName", "Ticker", "Date", "Key", "SrcTable").limit(limit),
+        "total": found.agg(F.count("*").alias("total")),
+        "checks": anomalies.select("CheckName").distinct().orderBy("CheckName"),
+        "tables": anomalies.select("SrcTable").distinct().orderBy("SrcTable"),
+    }
+
+
 def freshness(tables: dict[str, tuple[DataFrame, str]], today: Column | None = None) -> DataFrame:
     """(table, last, age_days) of the greatest date of each (table, column)."""
     today = F.current_date() if today is None else today
@@ -118,6 +135,11 @@ def lag_histogram(df: DataFrame, bins: int = 73, top: int = 365) -> DataFrame:
     return df.filter(~col("IsRestated")).select("Period", F.width_bucket(lag.cast("double"), F.lit(0.0), F.lit(float(top)), F.lit(bins)).alias("bin")).filter(F.col("bin").between(1, bins)).groupBy("Period", "bin").agg(F.count("*").alias("rows"))
 
 
+def frequent_dates(df: DataFrame, n: int = 10) -> DataFrame:
+    """The most frequent publish dates, which may be placeholders."""
+    return df.groupBy(col("Publish Date").alias("date")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "date").limit(n)
+
+
 def restatement_impact(df: DataFrame, items: list[str], rel_tol: float = 0.01, floor: float = 100_000) -> DataFrame:
     """By item, over pairs of as-filed and restated rows: nulls on one side, pairs that differ, and by how much."""
     keys = ["Ticker", "Market", "Period", "Fiscal Year", "Fiscal Period"]

@@ -75,20 +75,21 @@ def composite_score(df: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def apply_metadata_filters(df: DataFrame, search: str = "", sectors=(), industries=(), buckets=(), min_dollar_vol_mn: float | None = None, min_years: float | None = None, status: str = "all", max_anomalies: int | None = None) -> DataFrame:
-    cond = []
-    if search:
-        needle = search.upper()
-        cond.append(F.upper("Ticker").contains(needle) | F.upper("name").contains(needle))
-    cond += [F.col(c).isin(*v) for c, v in (("sector", sectors), ("industry", industries), ("mcap_bucket", buckets)) if v]
-    if min_dollar_vol_mn is not None:
-        cond.append(F.col("dollar_vol") >= min_dollar_vol_mn * 1e6)
-    if min_years is not None:
-        cond.append(F.col("years") >= min_years)
-    if status in ("active", "delisted"):
-        cond.append(F.col("active") if status == "active" else ~F.col("active"))
-    if max_anomalies is not None:
-        cond.append(F.col("n_anomalies") <= max_anomalies)
-    return df.filter(all_of(cond))
+    """Rows that meet every filter given: part of ticker or name (any case, blanks around it ignored), one of some values, bounds, and whether still traded."""
+    part = search.strip().upper()
+    at_least = lambda c, bound: None if bound is None else F.col(c) >= bound
+    one_of = lambda c, values: F.col(c).isin(*values) if values else None
+    conditions = {
+        "search": F.upper("Ticker").contains(part) | F.upper("name").contains(part) if part else None,
+        "sector": one_of("sector", sectors),
+        "industry": one_of("industry", industries),
+        "bucket": one_of("mcap_bucket", buckets),
+        "dollar volume": at_least("dollar_vol", None if min_dollar_vol_mn is None else min_dollar_vol_mn * 1e6),
+        "years": at_least("years", min_years),
+        "status": {"active": F.col("active"), "delisted": ~F.col("active")}.get(status),
+        "anomalies": None if max_anomalies is None else F.col("n_anomalies") <= max_anomalies,
+    }
+    return df.filter(all_of([c for c in conditions.values() if c is not None]))
 
 
 def screen(pool: DataFrame, selected: list[str], filters: dict | None = None, exclude=(), **metadata) -> DataFrame:
@@ -145,3 +146,13 @@ def robust_fences(values: DataFrame, group: str, value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low, high = F.greatest(F.col("least"), F.col("q1") - reach), F.least(F.col("most"), F.col("q3") + reach)
     return out.select(group, F.when(low < high, low).alias("low"), F.when(low < high, high).alias("high"))
+
+
+def detail_lookup(income: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """(Ticker, latest, findings) for every ticker that has either: its newest income row, and its findings by date."""
+    shown = ["Fiscal Year", "Fiscal Period", "Revenue", "Gross Profit", "Operating Income (Loss)", "Net Income", "Shares (Basic)"]
+    # Of rows with one date, as filed and restated or of a quarter and a year, the restated and the longer one.
+    order = F.struct(col("Report Date"), col("IsRestated"), F.col("Period") == "A")
+    newest = income.filter(col("Report Date").isNotNull()).groupBy("Ticker").agg(F.max_by(F.struct("Report Date", *(col(c) for c in shown)), order).alias("latest"))
+    listed = anomalies.groupBy("Ticker").agg(F.sort_array(F.collect_list(F.struct("Date", "CheckName", "Severity", "Details"))).alias("findings"))
+    return newest.join(listed, "Ticker", "full")

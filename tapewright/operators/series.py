@@ -85,28 +85,36 @@ def trailing_returns(history: DataFrame) -> DataFrame:
 FLOWS = ["Revenue", "Gross Profit", "Operating Income (Loss)", "Net Income (Common)", "Net Cash from Operating Activities", "Change in Fixed Assets & Intangibles"]
 
 
+#: Names of the balance item for cash, the widest first.
+CASH = ["Cash, Cash Equivalents & Short Term Investments", "Cash & Cash Equivalents"]
+
+
 def fundamentals_history(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFrame:
     """Restated quarterly items of the three statements, full-joined on Ticker and Report Date."""
     keys, out = ["Ticker", "Report Date"], None
     wanted = ((income, [*FLOWS[:4], "Shares (Diluted)"]), (cashflow, FLOWS[4:]), (balance, ["Short Term Debt", "Long Term Debt", "Total Equity"]))
     for df, items in wanted:
-        part = df.filter((col("Period") == "Q") & col("IsRestated")).select(*(col(k) for k in keys), *(dbl(i).alias(i) for i in items))
+        values = {i: dbl(i) for i in items}
+        if df is balance:
+            values["cash"] = F.coalesce(F.lit(None).cast("double"), *(dbl(c) for c in CASH if c in df.columns))
+        part = df.filter((col("Period") == "Q") & col("IsRestated")).select(*(col(k) for k in keys), *(v.alias(i) for i, v in values.items()))
         out = part if out is None else out.join(part, keys, "full")
     return out
 
 
 def ttm_history(quarters: DataFrame) -> DataFrame:
-    """Rolling sums of four quarters, margins, per-share items and debt; the first three rows of a ticker are left out."""
+    """Rolling sums of four quarters beside shares and equity of the row, margins, per-share items and debt; the first three rows of a ticker are left out."""
     order = Window.partitionBy("Ticker").orderBy(col("Report Date"))
     four = order.rowsBetween(-3, 0)
     ttm = {i: F.when(F.count(col(i)).over(four) == 4, F.sum(col(i)).over(four)) for i in FLOWS}
+    names = dict(zip(FLOWS, ("revenue", "gross_profit", "op_income", "net_income", "cfo", "capex")))
     df = quarters.withColumn("_n", F.row_number().over(order))
-    df = df.select("Ticker", col("Report Date"), "_n", col("Shares (Diluted)").alias("shares"), col("Short Term Debt").alias("_s"), col("Long Term Debt").alias("_l"), *(v.alias(f"ttm{k}") for k, v in enumerate(ttm.values())))
-    df = df.filter("_n > 3").withColumnsRenamed({"ttm0": "revenue", "ttm1": "gross_profit", "ttm2": "op_income", "ttm3": "net_income", "ttm4": "cfo", "ttm5": "capex"})
+    stocks = {"shares": "Shares (Diluted)", "equity": "Total Equity", "cash": "cash", "_s": "Short Term Debt", "_l": "Long Term Debt"}
+    df = df.select("Ticker", col("Report Date").alias("report_date"), "_n", *(col(c).alias(n) for n, c in stocks.items()), *(v.alias(names[i]) for i, v in ttm.items())).filter("_n > 3")
     fcf = F.col("cfo") + F.col("capex")
     debt = F.when(F.col("_s").isNotNull() | F.col("_l").isNotNull(), F.coalesce("_s", F.lit(0.0)) + F.coalesce("_l", F.lit(0.0)))
     return df.select(
-        "Ticker", col("Report Date").alias("report_date"), "revenue", "net_income", "cfo", fcf.alias("fcf"),
+        "Ticker", "report_date", *names.values(), "shares", "equity", "cash", fcf.alias("fcf"),
         *(ratio_if_positive(c, "revenue").alias(n) for c, n in (("gross_profit", "gross_margin"), ("op_income", "op_margin"), ("net_income", "net_margin"))),
         ratio_if_positive("net_income", "shares").alias("eps"), ratio_if_positive(fcf, "shares").alias("fcf_per_share"), debt.alias("debt"),
     )
@@ -115,8 +123,11 @@ def ttm_history(quarters: DataFrame) -> DataFrame:
 def window_around(findings: DataFrame, prices: DataFrame, days: int = 120, last: int = 500) -> DataFrame:
     """Prices within `days` of each dated finding; for undated ones the ticker's last rows."""
     marks = findings.select("Ticker", F.col("Date").alias("flagged")).distinct()
-    dated = marks.filter("flagged is not null")
-    near = dated.join(prices, "Ticker").filter(F.col("Date").between(F.date_sub("flagged", days), F.date_add("flagged", days)))
+    # Dates meet by spans of time, so a ticker's findings aren't set against its whole history.
+    spans = F.sequence(*(F.floor(F.unix_date(F.date_add("flagged", d)) / (2 * days + 1)) for d in (-days, days)))
+    dated = marks.filter("flagged is not null").withColumn("_span", F.explode(spans))
+    placed = prices.withColumn("_span", F.floor(F.unix_date("Date") / (2 * days + 1)))
+    near = dated.join(placed, ["Ticker", "_span"]).drop("_span").filter(F.col("Date").between(F.date_sub("flagged", days), F.date_add("flagged", days)))
     tail = prices.withColumn("_r", F.row_number().over(by_date_desc())).filter(F.col("_r") <= last).drop("_r")
     return near.unionByName(marks.filter("flagged is null").join(tail, "Ticker"))
 

@@ -15,26 +15,33 @@ def _checked(length: int, stride: int) -> None:
         raise ValueError("window length and stride must be positive")
 
 
-def _windows(df: DataFrame, channels: list[str], length: int, stride: int, ends: Column) -> DataFrame:
-    """Windows of `length` rows that end at rows where `ends` holds (given the row number _n), all channels positive numbers throughout."""
+def _windows(df: DataFrame, channels: list[str], length: int, stride: int, ends: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Windows of `length` rows that end at rows where `ends` holds (given the row number _n), all channels positive numbers throughout; with the columns `keep` of their last row.
+
+    A ticker's rows, one for each of its dates, are gathered once, in the
+    partition that the row numbers need anyway; each window is a slice of them.
+    """
     by_date = Window.partitionBy("Ticker").orderBy("Date")
-    span = by_date.rowsBetween(1 - length, 0)
     good = F.lit(True)
     for c in channels:
         good = good & F.coalesce((dbl(c) > 0) & ~F.isnan(dbl(c)), F.lit(False))
     df = df.withColumn("_n", F.row_number().over(by_date)).withColumn("_good", good.cast("int"))
-    # A window is cut only where all its rows are sound, so no array is built in vain.
-    df = df.withColumn("_sound", F.sum("_good").over(span)).withColumn("_ends", ends)
-    df = df.withColumns({"start_date": F.first("Date").over(span), **{f"w_{c}": F.collect_list(F.when(F.col("_good") == 1, F.col(c))).over(span) for c in channels}})
-    return df.filter((F.col("_n") >= length) & (F.col("_sound") == length) & F.col("_ends")).withColumn("offset", F.col("_n") - length)
+    df = df.withColumn("_sound", F.sum("_good").over(by_date.rowsBetween(1 - length, 0)))
+    df = df.withColumn("_cut", F.coalesce((F.col("_n") >= length) & (F.col("_sound") == length) & ends, F.lit(False)))
+    row = F.struct("_n", "Date", "_cut", F.struct(*(F.col(c) for c in channels)).alias("_v"), F.when(F.col("_cut"), F.struct(F.lit(True).alias("_"), *keep)).alias("_keep"))
+    rows = df.groupBy("Ticker").agg(F.array_sort(F.collect_list(row), lambda a, b: a["_n"] - b["_n"]).alias("_rows"))
+    cut = rows.select("Ticker", "_rows", F.explode(F.filter("_rows", lambda r: r["_cut"])).alias("_e"))
+    cut = cut.select("Ticker", (F.col("_e._n") - length).cast("long").alias("offset"), F.col("_e.Date").alias("end_date"), *(F.col(f"_e._keep.{c}").alias(c) for c in keep), F.slice("_rows", F.col("_e._n") - length + 1, F.lit(length)).alias("_w"))
+    channel = lambda c: F.transform("_w", lambda r: r["_v"][c])
+    return cut.withColumn("start_date", F.element_at("_w", 1)["Date"]).withColumns({f"w_{c}": channel(c) for c in channels}).drop("_w")
 
 
 def build_segments(series: DataFrame, length: int, stride: int) -> DataFrame:
     """(Ticker, AssetClass?, offset, start_date, end_date, w): windows at offsets 0, stride, ... of Price; unsound ones are left out."""
     _checked(length, stride)
     extra = [c for c in ("AssetClass",) if c in series.columns]
-    out = _windows(series, ["Price"], length, stride, (F.col("_n") - length) % stride == 0)
-    return out.select("Ticker", *extra, F.col("offset").cast("long").alias("offset"), "start_date", F.col("Date").alias("end_date"), F.col("w_Price").alias("w"))
+    out = _windows(series, ["Price"], length, stride, (F.col("_n") - length) % stride == 0, tuple(extra))
+    return out.select("Ticker", *extra, "offset", "start_date", "end_date", F.col("w_Price").alias("w"))
 
 
 def with_window_id(windows: DataFrame) -> DataFrame:
@@ -49,7 +56,7 @@ def build_windows(series: DataFrame, length: int, stride: int, channels: tuple[s
     """As build_segments over several channels: a column of 32-bit arrays for each."""
     _checked(length, stride)
     out = _windows(series, list(channels), length, stride, (F.col("_n") - length) % stride == 0)
-    return out.select("Ticker", F.col("offset").cast("long").alias("offset"), "start_date", F.col("Date").alias("end_date"), *(F.col(f"w_{c}").cast("array<float>").alias(c) for c in channels))
+    return out.select("Ticker", "offset", "start_date", "end_date", *(F.col(f"w_{c}").cast("array<float>").alias(c) for c in channels))
 
 
 def build_windows_with_future_return(series: DataFrame, length: int, stride: int, horizon: int, label: str = "point", exit_halfwidth: int = 0, channels: tuple[str, ...] = ("O", "H", "L", "C", "V")) -> DataFrame:
@@ -91,8 +98,8 @@ def build_windows_with_future_return(series: DataFrame, length: int, stride: int
         cov, var_x, var_y = xy - mean_x * y, F.lit(h * (h * h - 1) / 12), yy - y * y / h
         ret = F.when(var_y > 1e-12, F.pow(cov, F.lit(3)) / (F.pow(var_x, F.lit(2)) * var_y)).otherwise(0.0)
     df = df.withColumn("_label", ret)
-    out = _windows(df, list(channels), length, stride, F.col("_ref").isNotNull() & (F.col("_ok") == 1) & (F.col("_later") == horizon + half) & F.col("_label").isNotNull())
-    return out.select("Ticker", "start_date", F.col("Date").alias("end_date"), F.col("_label").alias("label"), *(F.col(f"w_{c}").cast("array<float>").alias(c) for c in channels))
+    out = _windows(df, list(channels), length, stride, F.col("_ref").isNotNull() & (F.col("_ok") == 1) & (F.col("_later") == horizon + half) & F.col("_label").isNotNull(), ("_label",))
+    return out.select("Ticker", "start_date", "end_date", F.col("_label").alias("label"), *(F.col(f"w_{c}").cast("array<float>").alias(c) for c in channels))
 
 
 def split_history(w: Column, history: int) -> tuple[Column, Column]:

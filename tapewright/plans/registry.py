@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl
@@ -59,121 +59,166 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Checks -------------------------------------------------------------------------------------------------------------
 
 
-def _found(df: DataFrame) -> DataFrame:
-    return df.drop("Details")
+def _numbers(df: DataFrame, *names: str) -> DataFrame:
+    """Findings with the numbers of their details (name=number ...) as columns, a little off ties; their text may differ by engine in the last digit shown."""
+    number = lambda n: F.round(F.regexp_extract("Details", rf"(?:^| ){n}=(\S+)", 1).try_cast("double") + 1e-8, 6)
+    return df.select("SrcTable", "Ticker", "Date", "Key", *(number(n).alias(f"d_{n}") for n in names))
 
 
-_F = "select '{}' SrcTable, Ticker, cast({} as date) Date, cast({} as varchar) Key from {}"
+# Table, date, key, details, source.
+_F = "select '{}' SrcTable, Ticker, cast({} as date) Date, cast({} as varchar) Key, {} from {}"
+_O4 = ", ".join(f"round({c}+1e-8,6) d_{c}" for c in "OHLC")
 _KEY = """concat(Market,'|',Period,'|',cast("Fiscal Year" as varchar),'|',"Fiscal Period",'|',cast(IsRestated as varchar))"""
 _BAD = "H<L or O>H or O<L or C>H or C<L"
 
 
-def _sum(table: str, parts: str, total: str) -> str:
-    return _F.format(table, "null", _KEY, f"""{table} where abs({parts} - "{total}") > greatest(0.01*abs("{total}"), 100000)""")
+def _sum(table: str, parts: str, total: str, label: str) -> str:
+    return _F.format(table, "null", _KEY, f"""printf('{label}: off by %.1f %%', coalesce(abs({parts} - "{total}")/nullif(abs("{total}"::double),0)*100, 100.0)) Details""", f"""{table} where abs({parts} - "{total}") > greatest(0.01*abs("{total}"), 100000)""")
 
 
-@_query(_F.format("prices", "Date", "null", "faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0") + " union all " + _F.format("market_data", "Date", "null", "market_data where AssetClass<>'bonds' and (O<=0 or H<=0 or L<=0 or C<=0)"))
+@_query(_F.format("prices", "Date", "null", _O4, "faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0") + " union all " + _F.format("market_data", "Date", "null", _O4, "market_data where AssetClass<>'bonds' and (O<=0 or H<=0 or L<=0 or C<=0)"))
 def i01_nonpositive_price(p):
-    return _found(quality.nonpositive_price(p.faulty, p.market_data))
+    return _numbers(quality.nonpositive_price(p.faulty, p.market_data), *"OHLC")
 
 
-@_query(_F.format("prices", "Date", "null", f"faulty where {_BAD}") + " union all " + _F.format("market_data", "Date", "null", f"market_data where {_BAD}"))
+@_query(_F.format("prices", "Date", "null", _O4, f"faulty where {_BAD}") + " union all " + _F.format("market_data", "Date", "null", _O4, f"market_data where {_BAD}"))
 def i02_ohlc_inconsistent(p):
-    return _found(quality.ohlc_inconsistent(p.faulty, p.market_data))
+    return _numbers(quality.ohlc_inconsistent(p.faulty, p.market_data), *"OHLC")
 
 
-@_query(_F.format("prices", "Date", "null", "faulty where V<0"))
+@_query(_F.format("prices", "Date", "null", "concat('V=', V) Details", "faulty where V<0"))
 def i03_negative_volume(p):
-    return _found(quality.negative_volume(p.faulty))
+    return quality.negative_volume(p.faulty)
 
 
-@_query(_F.format("market_data", "Date", "null", "market_data where AssetClass='bonds' and abs(C)>50"))
+@_query(_F.format("market_data", "Date", "null", "round(C,6) d_C", "market_data where AssetClass='bonds' and abs(C)>50"))
 def i04_bond_yield_bound(p):
-    return _found(quality.bond_yield_bound(p.market_data))
+    found = quality.bond_yield_bound(p.market_data)
+    exact = p.market_data.select("Ticker", "Date", F.round("C", 6).alias("d_C"))
+    # Four digits are shown; the close itself is compared where they are its own.
+    near = F.abs(F.regexp_extract("Details", r"C=(\S+)", 1).cast("double") - F.col("d_C")) <= 0.0000501
+    return found.join(exact, ["Ticker", "Date"]).select("SrcTable", "Ticker", "Date", "Key", F.when(near, F.col("d_C")).alias("d_C"))
 
 
-@_query("""select 'prices' SrcTable, x.Ticker, x.Date, cast(null as varchar) Key from (select Ticker, Date, C, lag(C) over (partition by Ticker order by Date) b from bars where C>0) x
+@_query("""select 'prices' SrcTable, x.Ticker, x.Date, cast(null as varchar) Key, printf('ret=%.0f %%', (C/b-1)*100) || case when abs(ln(a/b)) < 0.25*abs(ln(C/b)) then ' spike-and-revert' else '' end Details
+  from (select Ticker, Date, C, lag(C) over w b, lead(C) over w a from bars where C>0 window w as (partition by Ticker order by Date)) x
   left join splits s on s.Ticker=x.Ticker and s.Date=x.Date where s.Ticker is null and abs(ln(C/b)) > ln(2)""")
 def i05_extreme_return(p):
-    return _found(quality.extreme_return(p.bars, p.splits))
+    return quality.extreme_return(p.bars, p.splits)
 
 
-@_query("""select 'prices' SrcTable, Ticker, max(Date) Date, cast(null as varchar) Key from (select *, sum(n) over (partition by Ticker order by Date) run from
+@_query("""select 'prices' SrcTable, Ticker, max(Date) Date, cast(null as varchar) Key, concat(count(*), ' equal closes') Details from (select *, sum(n) over (partition by Ticker order by Date) run from
   (select *, case when C = lag(C) over (partition by Ticker order by Date) then 0 else 1 end n from rounded)) group by Ticker, run having count(*) >= 3""")
 def i06_stale_run(p):
-    return _found(quality.stale_run(p.rounded, 3))
+    return quality.stale_run(p.rounded, 3)
 
 
-@_query("""select 'prices' SrcTable, Ticker, Date, cast(null as varchar) Key from (select Ticker, Date, date_diff('day', lag(Date) over (partition by Ticker order by Date), Date) d from bars) where d > 12""")
+@_query("""select 'prices' SrcTable, Ticker, Date, cast(null as varchar) Key, concat(d, ' days') Details from (select Ticker, Date, date_diff('day', lag(Date) over (partition by Ticker order by Date), Date) d from bars) where d > 12""")
 def i07_date_gap(p):
-    return _found(quality.date_gap(p.bars, 12))
+    return quality.date_gap(p.bars, 12)
 
 
-@_query(_F.format("dividends", "Date", "null", "dividends where Dividend - 0.9 <= 0"))
+@_query(_F.format("dividends", "Date", "null", "round(Dividend - 0.9 + 1e-8, 6) d_Dividend", "dividends where Dividend - 0.9 <= 0"))
 def i08_nonpositive_dividend(p):
-    return _found(quality.nonpositive_dividend(p.dividends.withColumn("Dividend", F.col("Dividend") - 0.9)))
+    return _numbers(quality.nonpositive_dividend(p.dividends.withColumn("Dividend", F.col("Dividend") - 0.9)), "Dividend")
 
 
-@_query("select 'dividends' SrcTable, d.Ticker, d.Date, cast(null as varchar) Key from dividends d join bars b on b.Ticker=d.Ticker and b.Date=d.Date where C>0 and Dividend*300 > 0.25*C")
+@_query("select 'dividends' SrcTable, d.Ticker, d.Date, cast(null as varchar) Key, printf('%.1f %% of close', Dividend*300/C*100) Details from dividends d join bars b on b.Ticker=d.Ticker and b.Date=d.Date where C>0 and Dividend*300 > 0.25*C")
 def i09_oversized_dividend(p):
-    return _found(quality.oversized_dividend(p.dividends.withColumn("Dividend", F.col("Dividend") * 300), p.bars))
+    return quality.oversized_dividend(p.dividends.withColumn("Dividend", F.col("Dividend") * 300), p.bars)
 
 
-@_query(_F.format("splits", "Date", "null", "(select Ticker, Date, Ratio - 5 - dayofyear(Date)%3 Ratio from splits) where Ratio <= 0 or Ratio = 1"))
+@_query(_F.format("splits", "Date", "null", "round(Ratio + 1e-8, 6) d_Ratio", "(select Ticker, Date, Ratio - 5 - dayofyear(Date)%3 Ratio from splits) where Ratio <= 0 or Ratio = 1"))
 def i10_invalid_split_ratio(p):
-    return _found(quality.invalid_split_ratio(p.splits.withColumn("Ratio", F.col("Ratio") - 5 - F.dayofyear("Date") % 3)))
+    return _numbers(quality.invalid_split_ratio(p.splits.withColumn("Ratio", F.col("Ratio") - 5 - F.dayofyear("Date") % 3)), "Ratio")
 
 
-@_query(_sum("balance", '"Total Liabilities"+"Total Equity"', "Total Assets"))
+@_query(_sum("balance", '"Total Liabilities"+"Total Equity"', "Total Assets", "L + E vs A"))
 def i11_balance_identity(p):
-    return _found(quality.balance_identity(p.balance))
+    return quality.balance_identity(p.balance)
 
 
-@_query(_sum("balance", '"Total Current Assets"+"Total Noncurrent Assets"', "Total Assets"))
+_LIABILITIES = """(select *, cast(floor("Total Liabilities" - "Total Liabilities"*2/5.0) as bigint) "Total Current Liabilities", cast(floor(case when "Shares (Basic)"%7=0 then "Total Liabilities"/2.0 else "Total Liabilities"*2/5.0 end) as bigint) "Total Noncurrent Liabilities" from balance)"""
+
+
+@_query(_sum("balance", '"Total Current Assets"+"Total Noncurrent Assets"', "Total Assets", "assets") + " union all " + _sum(_LIABILITIES, '"Total Current Liabilities"+"Total Noncurrent Liabilities"', "Total Liabilities", "liabilities").replace(f"'{_LIABILITIES}'", "'balance'"))
 def i12_balance_subtotals(p):
-    return _found(quality.balance_subtotals(p.balance))
+    owed = col("Total Liabilities")
+    split = {"Total Current Liabilities": owed - owed * 2 / 5, "Total Noncurrent Liabilities": F.when(col("Shares (Basic)") % 7 == 0, owed / 2).otherwise(owed * 2 / 5)}
+    return quality.balance_subtotals(p.balance.withColumns({c: F.floor(v).cast("bigint") for c, v in split.items()}))
+
 
+_PRETAX = """(select *, -("Revenue" // 40) "Non-Operating Income (Loss)", "Operating Income (Loss)" - "Revenue" // 40 - (case when "Shares (Basic)"%9=0 then "Revenue" // 6 else 0 end) "Pretax Income (Loss), Adj." from income)"""
 
-@_query(_sum("income", '"Revenue"+"Cost of Revenue"', "Gross Profit") + " union all " + _sum("income", '"Gross Profit"+"Operating Expenses"', "Operating Income (Loss)"))
+
+@_query(_sum("income", '"Revenue"+"Cost of Revenue"', "Gross Profit", "gross profit") + " union all " + _sum("income", '"Gross Profit"+"Operating Expenses"', "Operating Income (Loss)", "operating income") + " union all " + _sum(_PRETAX, '"Operating Income (Loss)"+"Non-Operating Income (Loss)"', "Pretax Income (Loss), Adj.", "pretax income").replace(f"'{_PRETAX}'", "'income'"))
 def i13_income_chain(p):
-    return _found(quality.income_chain(p.income))
+    rest = -F.floor(col("Revenue") / 40).cast("bigint")
+    gap = F.when(col("Shares (Basic)") % 9 == 0, F.floor(col("Revenue") / 6).cast("bigint")).otherwise(0)
+    return quality.income_chain(p.income.withColumns({"Non-Operating Income (Loss)": rest, "Pretax Income (Loss), Adj.": col("Operating Income (Loss)") + rest - gap}))
 
 
-@_query(_sum("cashflow", '"Net Cash from Operating Activities"+"Net Cash from Investing Activities"+"Net Cash from Financing Activities"', "Net Change in Cash"))
+@_query(_sum("cashflow", '"Net Cash from Operating Activities"+"Net Cash from Investing Activities"+"Net Cash from Financing Activities"', "Net Change in Cash", "cash flow"))
 def i14_cashflow_identity(p):
-    return _found(quality.cashflow_identity(p.cashflow))
+    return quality.cashflow_identity(p.cashflow)
 
 
 _LESS = {t: f"""(select * replace ("Shares (Basic)"-1050 as "Shares (Basic)") from {t})""" for t in ("income", "balance", "cashflow")}
 
 
-@_query(" union all ".join(_F.format(t, "null", _KEY, f"""{_LESS[t]} where "Shares (Basic)" <= 0 or "Shares (Diluted)" <= 0""") for t in _LESS) + " union all " + _F.format("balance", "null", _KEY, """balance where "Total Assets" < 0"""))
+@_query(" union all ".join(_F.format(t, "null", _KEY, "'nonpositive shares' Details", f"""{_LESS[t]} where "Shares (Basic)" <= 0 or "Shares (Diluted)" <= 0""") for t in _LESS) + " union all " + _F.format("balance", "null", _KEY, "'negative assets' Details", """balance where "Total Assets" < 0"""))
 def i15_hard_invariants(p):
     less = lambda df: df.withColumn("Shares (Basic)", col("Shares (Basic)") - 1050)
-    return _found(quality.hard_invariants(less(p.income), less(p.balance), less(p.cashflow)))
+    return quality.hard_invariants(less(p.income), less(p.balance), less(p.cashflow))
 
 
-@_query(_F.format("income", "null", _KEY, """(select * replace ("Revenue"-100000 as "Revenue") from income) where "Revenue" < 0"""))
+@_query(_F.format("income", "null", _KEY, "concat('Revenue=', \"Revenue\") Details", """(select * replace ("Revenue"-100000 as "Revenue") from income) where "Revenue" < 0"""))
 def i16_negative_revenue(p):
-    return _found(quality.negative_revenue(p.income.withColumn("Revenue", F.col("Revenue") - 100000)))
+    return quality.negative_revenue(p.income.withColumn("Revenue", F.col("Revenue") - 100000))
 
 
 def _qsum(table: str, item: str) -> str:
-    return f"""select '{table}' SrcTable, a.Ticker, cast(null as date) Date, concat(a.Market,'|',a.Period,'|',cast(a."Fiscal Year" as varchar),'|',a."Fiscal Period",'|',cast(a.IsRestated as varchar)) Key from {table} a join
+    return f"""select '{table}' SrcTable, a.Ticker, cast(null as date) Date, concat(a.Market,'|',a.Period,'|',cast(a."Fiscal Year" as varchar),'|',a."Fiscal Period",'|',cast(a.IsRestated as varchar)) Key, '{item}: quarters vs year' Details from {table} a join
       (select Ticker, Market, IsRestated, "Fiscal Year", sum("{item}") s from {table} where Period='Q' and "{item}" is not null group by 1,2,3,4 having count(*)=4) q
       on q.Ticker=a.Ticker and q.Market=a.Market and q.IsRestated=a.IsRestated and q."Fiscal Year"=a."Fiscal Year" where a.Period='A' and abs(s - a."{item}") > greatest(0.01*abs(a."{item}"), 100000)"""
 
 
 @_query(" union all ".join(_qsum(t, i) for t, i in (("income", "Revenue"), ("income", "Net Income"), ("cashflow", "Net Cash from Operating Activities"))))
 def i17_quarters_vs_fy(p):
-    return _found(quality.quarters_vs_fy({"income": p.income, "cashflow": p.cashflow}))
-
-
-@_query("""select 'nonpositive_price' CheckName, 'error' Severity, count(*) n, count(distinct Ticker) tickers from faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0 having count(*)>0
-  union all select 'negative_volume', 'error', count(*), count(distinct Ticker) from faulty where V<0 having count(*)>0""")
+    return quality.quarters_vs_fy({"income": p.income, "cashflow": p.cashflow})
+
+
+def _tables(p: Panel) -> dict[str, DataFrame]:
+    return {"prices": p.faulty, "market_data": p.market_data, "dividends": p.dividends, "splits": p.splits, "income": p.income, "balance": p.balance, "cashflow": p.cashflow}
+
+
+_SPLIT_FREE = "from (select Ticker, Date, C, lag(C) over (partition by Ticker order by Date) b from faulty where C>0) x left join splits s on s.Ticker=x.Ticker and s.Date=x.Date where s.Ticker is null and abs(ln(C/b)) > ln(2)"
+#: Every check on the tables of _tables: severity and the rows of its findings, by Ticker.
+_ALL = {
+    "nonpositive_price": ("error", "select Ticker from faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0 union all select Ticker from market_data where AssetClass<>'bonds' and (O<=0 or H<=0 or L<=0 or C<=0)"),
+    "ohlc_inconsistent": ("error", f"select Ticker from faulty where {_BAD} union all select Ticker from market_data where {_BAD}"),
+    "negative_volume": ("error", "select Ticker from faulty where V<0"),
+    "bond_yield_bound": ("warn", "select Ticker from market_data where AssetClass='bonds' and abs(C)>50"),
+    "extreme_return": ("warn", f"select x.Ticker {_SPLIT_FREE}"),
+    "stale_run": ("warn", "select Ticker from (select *, sum(n) over (partition by Ticker order by Date) run from (select *, case when C = lag(C) over (partition by Ticker order by Date) then 0 else 1 end n from faulty)) group by Ticker, run having count(*) >= 20"),
+    "date_gap": ("warn", "select Ticker from (select Ticker, date_diff('day', lag(Date) over (partition by Ticker order by Date), Date) d from faulty) where d > 30"),
+    "nonpositive_dividend": ("error", "select Ticker from dividends where Dividend <= 0"),
+    "oversized_dividend": ("warn", "select d.Ticker from dividends d join faulty b on b.Ticker=d.Ticker and b.Date=d.Date where C>0 and Dividend > 0.25*C"),
+    "invalid_split_ratio": ("error", "select Ticker from splits where Ratio <= 0 or Ratio = 1"),
+    "balance_identity": ("warn", """select Ticker from balance where abs("Total Liabilities"+"Total Equity"-"Total Assets") > greatest(0.01*abs("Total Assets"),100000)"""),
+    "balance_subtotals": ("warn", """select Ticker from balance where abs("Total Current Assets"+"Total Noncurrent Assets"-"Total Assets") > greatest(0.01*abs("Total Assets"),100000)"""),
+    "income_chain": ("warn", """select Ticker from income where abs("Revenue"+"Cost of Revenue"-"Gross Profit") > greatest(0.01*abs("Gross Profit"),100000) union all select Ticker from income where abs("Gross Profit"+"Operating Expenses"-"Operating Income (Loss)") > greatest(0.01*abs("Operating Income (Loss)"),100000)"""),
+    "cashflow_identity": ("warn", """select Ticker from cashflow where abs("Net Cash from Operating Activities"+"Net Cash from Investing Activities"+"Net Cash from Financing Activities"-"Net Change in Cash") > greatest(0.01*abs("Net Change in Cash"),100000)"""),
+    "hard_invariants": ("error", " union all ".join(f"""select Ticker from {t} where "Shares (Basic)" <= 0 or "Shares (Diluted)" <= 0""" for t in ("income", "balance", "cashflow")) + """ union all select Ticker from balance where "Total Assets" < 0"""),
+    "negative_revenue": ("warn", """select Ticker from income where "Revenue" < 0"""),
+    "quarters_vs_fy": ("warn", " union all ".join(f"select Ticker from ({_qsum(t, i)})" for t, i in (("income", "Revenue"), ("income", "Net Income"), ("cashflow", "Net Cash from Operating Activities")))),
+}
+_FOUND = "anomalies as (" + " union all ".join(f"select '{n}' CheckName, '{v}' Severity, Ticker from ({q})" for n, (v, q) in _ALL.items()) + ")"
+
+
+@_query(f"with {_FOUND} select CheckName, Severity, count(*) n, count(distinct Ticker) tickers from anomalies group by 1,2")
 def i19_run_checks(p):
-    found = quality.run_checks({"prices": p.faulty, "market_data": p.market_data.filter("C < 0")}, ["nonpositive_price", "negative_volume"])
-    return found.groupBy("CheckName", "Severity").agg(F.count("*").alias("n"), F.countDistinct("Ticker").alias("tickers"))
+    return quality.run_checks(_tables(p)).groupBy("CheckName", "Severity").agg(F.count("*").alias("n"), F.countDistinct("Ticker").alias("tickers"))
 
 
 # Repairs ------------------------------------------------------------------------------------------------------------
@@ -244,14 +289,24 @@ def m6_trailing_returns(p):
     return _rounded(series.trailing_returns(_history(p)))
 
 
-@_query("""select Ticker, "Report Date" report_date, cast(rev as double) revenue, round(eps,4) eps, round(gm,6) gross_margin, cast(cfo+capex as double) fcf from (select i.Ticker, i."Report Date", row_number() over w rn,
-  sum("Revenue") over f rev, sum("Net Income (Common)") over f/nullif(i."Shares (Diluted)",0) eps, sum("Gross Profit") over f/nullif(case when sum("Revenue") over f > 0 then sum("Revenue") over f end,0) gm,
-  sum("Net Cash from Operating Activities") over f cfo, sum("Change in Fixed Assets & Intangibles") over f capex
-  from income i join cashflow c on c.Ticker=i.Ticker and c.Period=i.Period and c.IsRestated=i.IsRestated and c."Report Date"=i."Report Date" where i.Period='Q' and i.IsRestated
+@_query("""select Ticker, report_date, revenue, gross_profit, op_income, net_income, cfo, capex, shares, equity, cash, cfo+capex fcf, debt, round(case when revenue>0 then gross_profit/revenue end,6) gross_margin, round(case when revenue>0 then op_income/revenue end,6) op_margin,
+  round(case when revenue>0 then net_income/revenue end,6) net_margin, round(case when shares>0 then net_income/shares end,4) eps, round(case when shares>0 then (cfo+capex)/shares end,4) fcf_per_share from (select i.Ticker, i."Report Date" report_date, row_number() over w rn,
+  (sum("Revenue") over f)::double revenue, (sum("Gross Profit") over f)::double gross_profit, (sum("Operating Income (Loss)") over f)::double op_income, (sum("Net Income (Common)") over f)::double net_income, (sum("Net Cash from Operating Activities") over f)::double cfo,
+  (sum("Change in Fixed Assets & Intangibles") over f)::double capex, i."Shares (Diluted)"::double shares, "Total Equity"::double equity, "Cash & Cash Equivalents"::double cash,
+  case when "Short Term Debt" is not null or "Long Term Debt" is not null then coalesce("Short Term Debt",0)::double + coalesce("Long Term Debt",0)::double end debt
+  from income i join cashflow c on c.Ticker=i.Ticker and c.Period=i.Period and c.IsRestated=i.IsRestated and c."Report Date"=i."Report Date" join balance b on b.Ticker=i.Ticker and b.Period=i.Period and b.IsRestated=i.IsRestated and b."Report Date"=i."Report Date" where i.Period='Q' and i.IsRestated
   window w as (partition by i.Ticker order by i."Report Date"), f as (partition by i.Ticker order by i."Report Date" rows between 3 preceding and current row)) where rn>3""")
 def m8_ttm_history(p):
     out = series.ttm_history(series.fundamentals_history(p.income, p.balance, p.cashflow))
-    return out.select("Ticker", "report_date", "revenue", F.round("eps", 4).alias("eps"), F.round("gross_margin", 6).alias("gross_margin"), "fcf")
+    return out.withColumns({c: F.round(c, 6) for c in ("gross_margin", "op_margin", "net_margin")} | {c: F.round(c, 4) for c in ("eps", "fcf_per_share")})
+
+
+@_query("""select f.Ticker, f.flagged, b.Date, round(b.C,8) C from (select distinct Ticker, case when dayofyear(Date)%2=0 then Date end flagged from faulty where V<0) f join (select *, row_number() over (partition by Ticker order by Date desc) r from bars) b
+  on b.Ticker=f.Ticker and case when f.flagged is null then r<=30 else b.Date between f.flagged - 20 and f.flagged + 20 end""")
+def m14_window_around_or_last(p):
+    """Findings on every other day have no date here, as those of statements."""
+    found = quality.negative_volume(p.faulty).withColumn("Date", F.when(F.dayofyear("Date") % 2 == 0, F.col("Date")))
+    return _rounded(series.window_around(found, p.bars, 20, 30).select("Ticker", "flagged", "Date", "C"), 8)
 
 
 @_query("""select f.Ticker, f.Date flagged, b.Date, round(b.C,8) C from (select distinct Ticker, Date from faulty where V<0) f join bars b on b.Ticker=f.Ticker and b.Date between f.Date - 20 and f.Date + 20""")
@@ -296,16 +351,40 @@ def k5_identity(p):
     return out.select("Ticker", "name", "sector", "industry", F.round("close",8).alias("close"), F.round(F.col("mcap") + 1e-7, 4).alias("mcap"))
 
 
-@_query(f"""select t.Ticker, round(case when mcap>0 then revenue/mcap end,6) sales_yield, round(case when equity>0 then net/equity end,6) roe, round(case when revenue_prior>0 then revenue/revenue_prior-1 end,6) revenue_yoy from (with {_TTM} select * from ttm) t
-  join (select Ticker, arg_max("Total Equity","Report Date") equity from balance where Period='Q' and IsRestated group by 1) b on b.Ticker=t.Ticker
-  join (select p.Ticker, cl*sh mcap from (select Ticker, arg_max(C, Date) cl from bars group by 1) p join (select Ticker, arg_max("Shares (Basic)", "Report Date") sh from income where Period='Q' and IsRestated group by 1) s on s.Ticker=p.Ticker) m on m.Ticker=t.Ticker""")
+def _four(names: str, extra: str = "") -> str:
+    """Sums of the newest four quarters and the four before them of columns ranked by r."""
+    part = lambda c, lo, hi, to: f"case when count(*) filter (where r between {lo} and {hi})=4 then sum({c}) filter (where r between {lo} and {hi}) end {c}{to}"
+    return "Ticker, " + ", ".join(part(c, *x) for c in names.split() for x in ((1, 4, ""), (5, 8, "_prior"))) + extra
+
+
+_NEWEST = """row_number() over (partition by Ticker order by "Report Date" desc) r"""
+_FUND = f"""inc as (select {_four("revenue gross op da interest net common", ", max(dil) filter (where r=1) shares, max(dil) filter (where r=5) shares_prior")} from (select Ticker, {_NEWEST}, "Revenue"::double revenue, "Gross Profit"::double gross, "Operating Income (Loss)"::double op, "Depreciation & Amortization"::double da,
+    "Interest Expense"::double interest, "Net Income"::double net, "Net Income (Common)"::double common, "Shares (Diluted)"::double dil from income where Period='Q' and IsRestated) group by 1),
+  cas as (select {_four("cfo capex")} from (select Ticker, {_NEWEST}, "Net Cash from Operating Activities"::double cfo, "Change in Fixed Assets & Intangibles"::double capex from cashflow where Period='Q' and IsRestated) group by 1),
+  bal as (select Ticker, arg_max("Total Equity"::double, "Report Date") equity, arg_max("Total Assets"::double, "Report Date") assets, max(case when r=1 then coalesce("Short Term Debt",0)::double+coalesce("Long Term Debt",0)::double end) debt, max(case when r=1 then coalesce("Cash & Cash Equivalents",0)::double end) cash from (select *, {_NEWEST} from balance where Period='Q' and IsRestated) group by 1),
+  cagr as (select Ticker, case when min(v)>0 and count(*)=4 then pow(max(case when r=1 then v end)/max(case when r=4 then v end), 1/3.0)-1 end revenue_3y from (select Ticker, "Revenue"::double v, {_NEWEST} from income where Period='A' and IsRestated and "Revenue" is not null) where r<=4 group by 1),
+  ident as (select p.Ticker, coalesce(CompanyName,'') "name", coalesce(Sector,'unknown') sector, coalesce(Industry,'unknown') industry, cl "close", cl*sh mcap, round(cl*sh/1e9,3) mcap_bn from (select Ticker, arg_max(C, Date) cl from bars group by 1) p
+    left join (select Ticker, arg_max("Shares (Basic)"::double, "Report Date") sh from income where Period='Q' and IsRestated group by 1) s using (Ticker) left join companies using (Ticker)),
+  wide as (select *, cfo+capex fcf, cfo_prior+capex_prior fcf_prior, mcap+debt-cash ev, case when shares>0 then common/shares end eps, case when shares_prior>0 then common_prior/shares_prior end eps_prior, op-da ebitda
+    from ident left join inc using (Ticker) left join cas using (Ticker) left join bal using (Ticker) left join cagr using (Ticker)),
+  fund as (select Ticker, case when mcap>0 then common/mcap end earnings_yield, case when mcap>0 then fcf/mcap end fcf_yield, case when mcap>0 then revenue/mcap end sales_yield, case when mcap>0 then equity/mcap end book_to_market, case when ebitda>0 and ev>0 then ebitda/ev end ebitda_ev,
+    case when equity>0 then net/equity end roe, case when assets>0 then net/assets end roa, case when revenue>0 then gross/revenue end gross_margin, case when revenue>0 then op/revenue end op_margin, case when revenue>0 then op/revenue end - case when revenue_prior>0 then op_prior/revenue_prior end margin_trend,
+    case when assets>0 then (net-cfo)/assets end accruals, case when equity>0 then debt/equity end debt_to_equity, op/nullif(abs(interest),0) interest_coverage, case when revenue_prior>0 then revenue/revenue_prior-1 end revenue_yoy, revenue_3y,
+    case when eps_prior>0 then eps/eps_prior-1 end eps_yoy, case when fcf_prior>0 then fcf/fcf_prior-1 end fcf_yoy, case when shares_prior>0 then shares/shares_prior-1 end share_change_1y from wide)"""
+_SIX = ", ".join(f"round({f},6) {f}" for f in factors.FACTORS if f not in ("beta", *factors.FAMILIES["momentum"], "vol_252", "div_growth"))
+
+
+@_query(f"with {_FUND} select Ticker, {_SIX} from fund")
 def k6_fundamental_factors(p):
     ident = factors.identity(p.bars, p.income, p.companies)
-    return _rounded(factors.fundamental_factors(ident, p.income, p.balance, p.cashflow).select("Ticker", "sales_yield", "roe", "revenue_yoy"))
+    return _rounded(factors.fundamental_factors(ident, p.income, p.balance, p.cashflow))
+
 
+_GROWTH = """growth as (select d.Ticker, case when sum(case when age>=365 and age<730 then Dividend end)>0 then sum(case when age>=0 and age<365 then Dividend end)/sum(case when age>=365 and age<730 then Dividend end)-1 end div_growth
+  from (select *, date_diff('day', Date, (select max(Date) from bars)) age from dividends) d group by d.Ticker)"""
 
-@_query("""select d.Ticker, round(case when sum(case when age>=365 and age<730 then Dividend else 0 end)>0 then sum(case when age>=0 and age<365 then Dividend else 0 end)/nullif(sum(case when age>=365 and age<730 then Dividend else 0 end),0)-1 end,6) div_growth
-  from (select *, date_diff('day', Date, (select max(Date) from bars)) age from dividends) d group by d.Ticker""")
+
+@_query(f"with {_GROWTH} select Ticker, round(div_growth,6) div_growth from growth")
 def k7_dividend_growth(p):
     return _rounded(factors.dividend_growth(p.dividends, p.bars))
 
@@ -322,17 +401,42 @@ def k8_price_factors(p):
     return out.withColumn("beta", F.round("beta", 4))
 
 
-@_query()
+_ALL_FACTORS = f"{_FUND}, {_PF}, {_GROWTH}, factors as (select * from ident left join fund using (Ticker) left join pf using (Ticker) left join growth using (Ticker))"
+
+
+@_query(f"""with {_ALL_FACTORS} select Ticker, "name", sector, industry, round("close"+1e-8,6) "close", round(mcap+1.3e-5,2) mcap, mcap_bn, {_SIX}, round(ret_12_1,6) ret_12_1, round(ret_6m,6) ret_6m, round(high_52w,6) high_52w, round(vol_252,6) vol_252, round(beta,4) beta, round(div_growth,6) div_growth from factors""")
 def k9_build_factors(p):
-    return _rounded(_factors(p))
+    built = _factors(p).withColumns({"close": F.col("close") + 1e-8, "mcap": F.round(F.col("mcap") + 1.3e-5, 2), "beta": F.round("beta", 4)})
+    return _rounded(built)
 
 
-@_query("""select b.Ticker, min(Date) first_date, max(Date) last_date, count(*) n_days, round(arg_max(C, Date),8) "close", round(date_diff('day', min(Date), max(Date))/365.25,1) "years", max(Date) >= (select max(Date) from bars) - 7 active,
-  round((select median(C*V) from (select C, V from bars x where x.Ticker=b.Ticker order by Date desc limit 252))+1e-5,2) dollar_vol from bars b group by b.Ticker""")
+_METRICS = """metrics as (select b.Ticker, coalesce(CompanyName,'') "name", coalesce(Sector,'unknown') sector, coalesce(Industry,'unknown') industry, first_date, last_date, n_days, cl "close", dollar_vol, coalesce(n_periods,0) n_periods, coalesce(n_anomalies,0) n_anomalies,
+    round(date_diff('day', first_date, last_date)/365.25,1) "years", last_date >= (select max(Date) from bars) - 7 active, cl*sh mcap,
+    case when cl*sh<=0 or cl*sh is null then 'unknown' when cl*sh<=50e6 then 'nano' when cl*sh<=300e6 then 'micro' when cl*sh<=2e9 then 'small' when cl*sh<=10e9 then 'mid' when cl*sh<=200e9 then 'large' else 'mega' end mcap_bucket
+  from (select Ticker, min(Date) first_date, max(Date) last_date, count(*) n_days, arg_max(C, Date) cl from bars group by 1) b
+  left join (select Ticker, median(C*V) dollar_vol from (select *, row_number() over (partition by Ticker order by Date desc) r from bars) where r<=252 group by 1) t using (Ticker)
+  left join (select Ticker, max(case when r=1 then "Shares (Basic)"::double end) sh, count(*) n_periods from (select *, row_number() over (partition by Ticker order by "Report Date" desc, IsRestated desc, Period desc) r from income) group by 1) i using (Ticker)
+  left join (select Ticker, count(*) n_anomalies from faulty where V<0 group by 1) a using (Ticker) left join companies using (Ticker))"""
+_FULL = f"{_ALL_FACTORS}, {_METRICS}, pool as (select metrics.*, {', '.join(factors.FACTORS)} from metrics left join factors using (Ticker))"
+
+
+def _metrics(p: Panel) -> DataFrame:
+    return screening.build_metrics(p.prices, p.income, p.companies, quality.negative_volume(p.faulty))
+
+
+def _full_pool(p: Panel) -> DataFrame:
+    return screening.merge_pool(_metrics(p), _factors(p))
+
+
+@_query(f"""with {_FULL} select Ticker, sector, mcap_bucket, n_anomalies, round(roe,6) roe, round(vol_252,6) vol_252, round(div_growth,6) div_growth from pool""")
+def l2_merge_pool(p):
+    return _rounded(_full_pool(p).select("Ticker", "sector", "mcap_bucket", "n_anomalies", "roe", "vol_252", "div_growth"))
+
+
+@_query(f"""with {_METRICS} select Ticker, "name", sector, industry, first_date, last_date, n_days, round("close",8) "close", round(dollar_vol+1e-5,2) dollar_vol, n_periods, n_anomalies, "years", active, round(mcap+1.3e-5,2) mcap, mcap_bucket from metrics""")
 def l1_metrics(p):
-    none = p.bars.filter("1 = 0").select("Ticker")
-    out = screening.build_metrics(p.bars, p.income, p.companies, none)
-    return out.select("Ticker", "first_date", "last_date", "n_days", F.round("close", 8).alias("close"), "years", "active", F.round(F.col("dollar_vol") + 1e-5, 2).alias("dollar_vol"))
+    out = _metrics(p)
+    return out.withColumns({"close": F.round("close", 8), "dollar_vol": F.round(F.col("dollar_vol") + 1e-5, 2), "mcap": F.round(F.col("mcap") + 1.3e-5, 2), "n_periods": F.col("n_periods").cast("long"), "n_anomalies": F.col("n_anomalies").cast("long")})
 
 
 @_query(f"""with {_PF} select Ticker, round(case when vol_252 is not null then 100*(rank() over (order by -vol_252)+(count(*) over (partition by vol_252)-1)/2.0)/count(vol_252) over () end,4) rank_vol_252,
@@ -342,11 +446,32 @@ def l3_ranks(p):
     return _rounded(out.select("Ticker", "rank_vol_252", "rank_ret_6m"), 4)
 
 
-@_query()
+def _rank100(c: str, by: str = "") -> str:
+    """The percentile rank of c, higher is better, of rows where it is known."""
+    key = f"-{c}" if c in factors.LOWER_IS_BETTER else c
+    known = f"partition by {by + ', ' if by else ''}({c} is null)"
+    return f"case when {c} is not null then 100*(rank() over ({known} order by {key})+(count(*) over ({known}, {c})-1)/2.0)/count({c}) over ({'partition by ' + by if by else ''}) end"
+
+
+_CHOSEN = ["ret_6m", "roe", "vol_252"]
+
+
+@_query(f"""with {_FULL}, chosen as (select * from pool where active and "years" >= 1.0), ranked as (select Ticker, sector, {', '.join(f'{_rank100(c)} rank_{c}' for c in _CHOSEN)} from chosen)
+  select Ticker, sector, {', '.join(f'round(rank_{c},6) rank_{c}' for c in _CHOSEN)}, round(({'+'.join(f'coalesce(rank_{c},0)' for c in _CHOSEN)})/nullif({'+'.join(f'(rank_{c} is not null)::int' for c in _CHOSEN)},0),6) score from ranked where rank_ret_6m >= 20""")
 def l7_screen(p):
-    none = quality.negative_volume(p.faulty)
-    pool = screening.merge_pool(screening.build_metrics(p.prices, p.income, p.companies, none), _factors(p))
-    return _rounded(screen_columns(screening.screen(pool, ["ret_6m", "roe", "vol_252"], {"rank_ret_6m": (20, None)}, status="active", min_years=1.0)))
+    return _rounded(screen_columns(screening.screen(_full_pool(p), _CHOSEN, {"rank_ret_6m": (20, None)}, status="active", min_years=1.0)))
+
+
+@_query(f"""with {_METRICS} select Ticker, f."Fiscal Year" fy, f."Fiscal Period" fp, f."Revenue"::double revenue, f."Net Income"::double net_income, coalesce(n,0) findings, first_date
+  from metrics left join (select *, row_number() over (partition by Ticker order by "Report Date" desc, IsRestated desc, Period='A' desc) r from income) f using (Ticker) left join (select Ticker, count(*) n, min(Date) first_date from faulty where V<0 group by 1) a using (Ticker) where coalesce(r,1)=1""".replace("metrics left join (select *, row", "(select Ticker from metrics) m left join (select *, row"))
+def l10_detail_lookup(p):
+    found = quality.negative_volume(p.faulty).withColumns({"CheckName": F.lit("negative_volume"), "Severity": F.lit("error")})
+    out = screening.detail_lookup(p.income, found)
+    item = lambda c: F.col("latest").getField(c)
+    return out.select(
+        "Ticker", item("Fiscal Year").alias("fy"), item("Fiscal Period").alias("fp"), item("Revenue").cast("double").alias("revenue"), item("Net Income").cast("double").alias("net_income"),
+        F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("findings"), F.element_at("findings", 1)["Date"].alias("first_date"),
+    )
 
 
 def screen_columns(df: DataFrame) -> DataFrame:
@@ -360,10 +485,18 @@ def m9_peer_groups(p):
     return screening.scope_peer_group(pool, "sector", 10).select("subject", "Ticker", F.col("place").cast("long").alias("place"))
 
 
-@_query()
+_LONG = f"unnest([{', '.join(repr(f) for f in factors.FACTORS)}]) factor, unnest([{', '.join(f'{f}::double' for f in factors.FACTORS)}]) v"
+_FAMILIES = ", ".join(f"('{name}','{f}')" for name, fs in factors.FAMILIES.items() for f in fs)
+
+
+@_query(f"""with {_FULL}, peers as (select * from (select a.Ticker subject, b.*, row_number() over (partition by a.Ticker order by case when a.Ticker=b.Ticker then 0 else 1 end, case when a.mcap>0 and b.mcap>0 then abs(log10(b.mcap)-log10(a.mcap)) end nulls last, b.Ticker) place
+    from pool a join pool b on a.sector=b.sector and (a.sector<>'unknown' or a.Ticker=b.Ticker)) where place<=50),
+  long as (select *, case when factor in ({', '.join(repr(f) for f in factors.LOWER_IS_BETTER)}) then -v else v end key from (select subject, Ticker, {_LONG} from peers) where v is not null),
+  ranked as (select *, 100*(rank() over (partition by subject, factor order by key)+(count(*) over (partition by subject, factor, key)-1)/2.0)/count(*) over (partition by subject, factor) rnk from long),
+  families as (select * from (values {_FAMILIES}) f(family, factor))
+  select p.Ticker, f.family, round(avg(rnk),6) score from pool p cross join families f left join ranked r on r.subject=p.Ticker and r.Ticker=p.Ticker and r.factor=f.factor group by 1,2""")
 def m11_peer_percentiles(p):
-    pool = screening.merge_pool(screening.build_metrics(p.prices, p.income, p.companies, quality.negative_volume(p.faulty)), _factors(p))
-    return _rounded(screening.peer_percentiles(screening.scope_peer_group(pool, "sector", 50)))
+    return _rounded(screening.peer_percentiles(screening.scope_peer_group(_full_pool(p), "sector", 50)))
 
 
 @_query("""select Ticker, round(greatest(lo, q1-1.5*(q3-q1)),8) low, round(least(hi, q3+1.5*(q3-q1)),8) high from (select Ticker, quantile_cont(C,0.25) q1, quantile_cont(C,0.75) q3, min(C) lo, max(C) hi from bars group by 1) where greatest(lo, q1-1.5*(q3-q1)) < least(hi, q3+1.5*(q3-q1))""")
@@ -380,35 +513,54 @@ def n1_latest_restated(p):
     return statements.latest_restated(twice).select("Ticker", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), statements.period_label().alias("label"), col("Restated Date").alias("restated"))
 
 
-@_query("""select Ticker, "Period", IsRestated, item, count(*) n, sum(v) total from (select Ticker, "Period", IsRestated, "Revenue" v, 'Revenue' item from income union all select Ticker, "Period", IsRestated, "Net Income", 'Net Income' from income) group by 1,2,3,4""")
+_INCOME = ["Revenue", "Cost of Revenue", "Gross Profit", "Operating Expenses", "Operating Income (Loss)", "Depreciation & Amortization", "Interest Expense", "Net Income", "Net Income (Common)"]
+_BALANCE = ["Total Assets", "Total Current Assets", "Total Noncurrent Assets", "Total Liabilities", "Total Equity", "Short Term Debt", "Long Term Debt", "Cash & Cash Equivalents"]
+_CASHFLOW = ["Net Cash from Operating Activities", "Change in Fixed Assets & Intangibles", "Net Cash from Investing Activities", "Net Cash from Financing Activities", "Net Change in Cash"]
+_PERIOD = 'Ticker, "Period", IsRestated, "Fiscal Year" fy, "Fiscal Period" fp'
+
+
+def _items(names: list[str], table: str) -> str:
+    return f"""select {_PERIOD}, unnest([{', '.join(f"'{n}'" for n in names)}]) item, unnest([{', '.join(f'"{n}"::double' for n in names)}]) v from {table}"""
+
+
+def _view(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
+    return df.select("Ticker", "Period", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), "item", F.round("value", digits).alias(value))
+
+
+@_query(f"""with long as ({_items(_BALANCE + ["Nothing"], '(select *, case when cast(Ticker as int)%4=0 then null else "Revenue2" end "Nothing" from (select *, "Total Assets" "Revenue2" from balance))')})
+  select Ticker, "Period", IsRestated, item, case when regexp_matches(item, '^(Total |Net (Income|Cash|Change))|Gross Profit|^Revenue$') then 0 when regexp_matches(item, 'Operating|Pretax|Debt|Cash') then 1 else 2 end "level", count(*) n, count(v) filled, coalesce(sum(v),0) total from long group by 1,2,3,4 having count(v)>0""")
 def n2_line_items(p):
-    long = statements.line_items(p.income, ["Revenue", "Net Income"])
-    return long.groupBy("Ticker", "Period", "IsRestated", "item").agg(F.count("*").alias("n"), F.sum("value").cast("decimal(38,0)").alias("total"))
+    """All items of the balance, and one that a fourth of the tickers lack, whose line goes there."""
+    part = p.balance.withColumn("Nothing", F.when(F.col("Ticker").cast("int") % 4 != 0, col("Total Assets")))
+    long = statements.line_items(part)
+    return long.groupBy("Ticker", "Period", "IsRestated", "item", "level").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
 
 
-@_query("""select a.Ticker, a.IsRestated, a."Fiscal Year" fy, a."Fiscal Period" fp, round((a."Revenue"-b."Revenue")/nullif(abs(b."Revenue"),0)*100,4) yoy from income a left join income b on a.Ticker=b.Ticker and a.Period=b.Period and a.IsRestated=b.IsRestated and a."Fiscal Period"=b."Fiscal Period" and a."Fiscal Year"=b."Fiscal Year"+1""")
+@_query(f"""with long as ({_items(_INCOME, "income")}) select a.Ticker, a.Period, a.IsRestated, a.fy, a.fp, a.item, round((a.v-b.v)/nullif(abs(b.v),0)*100,4) yoy from long a left join long b on a.Ticker=b.Ticker and a.Period=b.Period and a.IsRestated=b.IsRestated and a.fp=b.fp and a.item=b.item and a.fy=b.fy+1""")
 def n4_yoy(p):
-    out = statements.yoy(statements.line_items(p.income, ["Revenue"]))
-    return out.select("Ticker", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.round("value", 4).alias("yoy"))
+    return _view(statements.yoy(statements.line_items(p.income)), "yoy")
 
 
-@_query("""select c.Ticker, c.IsRestated, c."Fiscal Year" fy, c."Fiscal Period" fp, round(c."Net Cash from Operating Activities"/nullif(abs(i."Revenue"),0)*100,4) pct from cashflow c left join income i on c.Ticker=i.Ticker and c.Period=i.Period and c.IsRestated=i.IsRestated and c."Fiscal Year"=i."Fiscal Year" and c."Fiscal Period"=i."Fiscal Period" """)
+def _common(statement: str, names: list[str], table: str, base: str) -> str:
+    return f"""select '{statement}' statement, {_PERIOD}, item, round(v/nullif(abs(base),0)*100,4) pct from (select Ticker, "Period", IsRestated, "Fiscal Year", "Fiscal Period", ({base})::double base, unnest([{', '.join(f"'{n}'" for n in names)}]) item, unnest([{', '.join(f'"{n}"::double' for n in names)}]) v from {table})"""
+
+
+@_query(_common("income", _INCOME, "income", '"Revenue"') + " union all " + _common("balance", _BALANCE, "balance", '"Total Assets"') + " union all " + _common("cashflow", _CASHFLOW, """(select c.*, i."Revenue" rev from cashflow c left join income i on c.Ticker=i.Ticker and c.Period=i.Period and c.IsRestated=i.IsRestated and c."Fiscal Year"=i."Fiscal Year" and c."Fiscal Period"=i."Fiscal Period")""", "rev"))
 def n5_common_size(p):
-    out = statements.common_size(p.cashflow, "cashflow", p.income).filter("item = 'Net Cash from Operating Activities'")
-    return out.select("Ticker", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.round("value", 4).alias("pct"))
+    parts = [_view(statements.common_size(p[t], t, p.income), "pct").withColumn("statement", F.lit(t)) for t in ("income", "balance", "cashflow")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@_query("""select Ticker, IsRestated, "Fiscal Year" fy, "Fiscal Period" fp, round("Net Income"/nullif("Shares (Diluted)",0),4) v from income""")
+@_query(f"""select {_PERIOD}, item, round(case when shares>0 then v/shares end,4) v from (select *, unnest([{', '.join(f"'{n}'" for n in _INCOME)}]) item, unnest([{', '.join(f'"{n}"::double' for n in _INCOME)}]) v from (select *, "Shares (Diluted)" shares from income))""")
 def n6_per_share(p):
-    out = statements.per_share(p.income).filter("item = 'Net Income'")
-    return out.select("Ticker", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.round("value", 4).alias("v"))
+    return _view(statements.per_share(p.income), "v")
 
 
-@_query("""select r.Ticker, r."Fiscal Year" fy, r."Fiscal Period" fp, cast(r."Revenue"-f."Revenue" as double) delta from income r join income f on r.Ticker=f.Ticker and r.Period=f.Period and r."Fiscal Year"=f."Fiscal Year" and r."Fiscal Period"=f."Fiscal Period" and r.IsRestated and not f.IsRestated where r."Revenue"<>f."Revenue" """)
+@_query(f"""with long as ({_items(_INCOME, "income")}) select r.Ticker, r.Period, r.fy, r.fp, r.item, r.v-f.v delta from long r join long f on r.Ticker=f.Ticker and r.Period=f.Period and r.fy=f.fy and r.fp=f.fp and r.item=f.item and r.IsRestated and not f.IsRestated where r.v<>f.v""")
 def n7_vintage_diff(p):
-    long = statements.line_items(p.income, ["Revenue"])
+    long = statements.line_items(p.income)
     out = statements.vintage_diff(long.filter("IsRestated"), long.filter("not IsRestated")).filter("value is not null")
-    return out.select("Ticker", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), F.col("value").alias("delta"))
+    return out.select("Ticker", "Period", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), "item", F.col("value").alias("delta"))
 
 
 # Sources and sinks --------------------------------------------------------------------------------------------------
@@ -440,9 +592,9 @@ def a26_plan_increments(p):
     return panels.plan_increments(p.bars, p.bars.select("Ticker"), 10)
 
 
-@_query("select Ticker from companies where Ticker not in (select Ticker from dividends where Dividend > 0.95 and Date > date '2000-09-01')")
+@_query("select Ticker from companies where Ticker not in (select Ticker from splits where Date > date '2001-10-25') and Ticker not in (select Ticker from dividends where Date > date '2001-10-20' and Dividend > 0.95)")
 def a28_todo(p):
-    return panels.todo(p.companies, p.dividends.filter("Dividend > 0.95 and Date > date '2000-09-01'"))
+    return panels.todo(p.companies, p.splits.filter("Date > date '2001-10-25'"), p.dividends.filter("Date > date '2001-10-20' and Dividend > 0.95"))
 
 
 @_query("select Ticker, count(*) n from bars where Ticker in (select Ticker from dividends where Date >= date '1998-11-01') group by 1")
@@ -462,6 +614,28 @@ def c17_as_of_join(p):
     return joins.as_of_join(p.bars.select("Ticker", "Date"), known, ["Ticker"], "Date", "pd").select("Ticker", "Date", F.round(F.col("revenue"), 2).alias("revenue"))
 
 
+_FORMS = """filings as (select Ticker, case (q*7 + fy) % 5 when 0 then '10-K' when 1 then '10-Q' when 2 then '10-K405' when 3 then '8-K' else '10-QSB' end form, case when q % 3 = 0 then null else rd end report_date, pd filing_date, row_number() over (partition by Ticker order by rd, p, r) seq
+  from (select Ticker, Period p, IsRestated r, "Report Date" rd, "Publish Date" pd, cast("Shares (Basic)" as bigint) q, "Fiscal Year" fy from income))"""
+
+
+def _filings(p: Panel) -> DataFrame:
+    kind = (col("Shares (Basic)") * 7 + col("Fiscal Year")) % 5
+    form = F.when(kind == 0, "10-K").when(kind == 1, "10-Q").when(kind == 2, "10-K405").when(kind == 3, "8-K").otherwise("10-QSB")
+    seq = F.row_number().over(Window.partitionBy("Ticker").orderBy("Report Date", "Period", "IsRestated")).cast("long")
+    return p.income.select("Ticker", form.alias("form"), F.when(col("Shares (Basic)") % 3 != 0, col("Report Date")).alias("report_date"), col("Publish Date").alias("filing_date"), seq.alias("seq"))
+
+
+@_query(f"""with {_FORMS}, asked as (select Ticker, "Report Date" + 6 target, "Fiscal Period" fp, row_number() over (partition by Ticker order by "Report Date", "Fiscal Period") n from balance where IsRestated),
+  f as (select *, case when form in ('10-K','10-K405','10-KSB') then '10-K' when form in ('10-Q','10-QSB') then '10-Q' end family from filings), a as (select *, case when fp in ('FY','Q4') then '10-K' else '10-Q' end family from asked),
+  near as (select a.Ticker, n, form, seq, 'report' m, row_number() over (partition by a.Ticker, n order by abs(date_diff('day', report_date, target)), seq) r from a join f on a.Ticker=f.Ticker and a.family=f.family and abs(date_diff('day', report_date, target)) <= 10),
+  late as (select a.Ticker, n, form, seq, 'filing' m, row_number() over (partition by a.Ticker, n order by filing_date, seq) r from a join f on a.Ticker=f.Ticker and a.family=f.family and filing_date >= target and date_diff('day', target, filing_date) <= case a.family when '10-K' then 150 else 60 end)
+  select a.Ticker, target, fp, coalesce(x.form, y.form) form, coalesce(x.seq, y.seq) seq, coalesce(x.m, y.m) "match" from a left join near x on x.Ticker=a.Ticker and x.n=a.n and x.r=1 left join late y on y.Ticker=a.Ticker and y.n=a.n and y.r=1""")
+def c14_nearest_filing(p):
+    asked = p.balance.filter("IsRestated").select("Ticker", F.date_add("Report Date", 6).alias("target"), col("Fiscal Period").alias("fp"))
+    asked = asked.withColumn("id", F.concat_ws("|", "Ticker", "target", "fp"))
+    return joins.nearest_filing(asked, _filings(p), ["Ticker"], "id", "target", "fp").select("Ticker", "target", "fp", "form", "seq", "match")
+
+
 # Reporting ----------------------------------------------------------------------------------------------------------
 
 
@@ -478,9 +652,71 @@ def r3_ticker_diff(p):
     return reporting.ticker_diff(p.companies.filter(n % 3 == 0), p.companies.filter(n % 5 == 0))
 
 
-@_query("select Ticker, count(*) findings, count(distinct c) checks from (select Ticker, 'v' c from faulty where V<0 union all select Ticker, 'p' from faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0) group by 1 order by 2 desc, 1 limit 10")
+_CODES = """codes as (select concat(cast(1 + n_nationkey % 30 as varchar), case when n_nationkey%2=0 then 'Y' else 'M' end, substr(n_name,1,2), case when n_nationkey%3=0 then 'P' else 'Y' end) Ticker from nation union select concat(substr(n_name,1,3), '_I') from nation
+  union select concat(substr(a.n_name,1,3), substr(b.n_name,1,3)) from nation a join nation b on b.n_nationkey = (a.n_nationkey+1)%25 union select distinct Ticker from market_data)"""
+
+
+@_query(f"""with {_CODES}, two as (select substr(n_name,1,2) code, min(n_name) land from nation group by 1), three as (select substr(n_name,1,3) code, concat(min(n_name), ' money') cur from nation group by 1),
+  parts as (select Ticker, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 1) n, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 2) u, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 3) c, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 4) k from codes)
+  select Ticker, case when Ticker='^N' then 'Index N' when n<>'' then concat(land, ' ', n, case when u='M' then '-month ' else '-year ' end, case when k='Y' then 'bond yield' else 'bond price' end) when regexp_matches(Ticker,'^[A-Z]{{3}}_(I|B|B50)$') then concat(x.cur, ' index') when regexp_matches(Ticker,'^[A-Z]{{6}}$') then concat(x.cur, ' / ', y.cur) end Name,
+  case when Ticker='^N' then 'Nowhere' else land end Country from parts left join two on two.code=c left join three x on x.code=substr(Ticker,1,3) and not (n<>'') and Ticker not like '^%' left join three y on y.code=substr(Ticker,4,3) and regexp_matches(Ticker,'^[A-Z]{{6}}$')""")
+def r2_decode_instruments(p):
+    name, key = F.col("n_name"), F.col("n_nationkey")
+    part = lambda c, n: F.substring(c, 1, n)
+    bonds = p.nation.select(F.concat((1 + key % 30).cast("string"), F.when(key % 2 == 0, "Y").otherwise("M"), part(name, 2), F.when(key % 3 == 0, "P").otherwise("Y")).alias("Ticker"))
+    pairs = p.nation.select(part(name, 3).alias("x"), ((key + 1) % 25).alias("k")).join(p.nation.select(part(name, 3).alias("y"), key.alias("k")), "k").select(F.concat("x", "y"))
+    codes = bonds.union(p.nation.select(F.concat(part(name, 3), F.lit("_I")))).union(pairs).union(p.market_data.select("Ticker"))
+    curated = p.market_data.filter("Ticker = '^N'").select("Ticker", F.lit("Index N").alias("Name"), F.lit("Nowhere").alias("Country")).distinct()
+    countries = p.nation.groupBy(part(name, 2).alias("code")).agg(F.min(name).alias("country"))
+    currencies = p.nation.groupBy(part(name, 3).alias("code")).agg(F.concat(F.min(name), F.lit(" money")).alias("currency"))
+    return reporting.decode_instruments(codes, curated, countries, currencies)
+
+
+def _anomalies(p: Panel) -> DataFrame:
+    return quality.run_checks(_tables(p))
+
+
+@_query(f"with {_FOUND} select Ticker, count(*) findings, count(distinct CheckName) checks from anomalies group by 1 order by 2 desc, 1 limit 10")
 def r4_worst_tickers(p):
-    return reporting.worst_tickers(quality.run_checks({"prices": p.faulty, "market_data": p.market_data.filter("C < 0")}, ["nonpositive_price", "negative_volume"]))
+    return reporting.worst_tickers(_anomalies(p))
+
+
+@_query(f"with {_FOUND} select CheckName, Severity, count(*) findings, count(distinct Ticker) tickers, date '1999-01-01' last_run from anomalies group by 1,2")
+def r4_anomaly_summary(p):
+    return reporting.anomaly_summary(_anomalies(p).withColumn("DetectedAt", F.to_date(F.lit("1999-01-01"))))
+
+
+@_query("select Ticker, count(*) findings, min(Date) \"first\", max(Date) \"last\" from faulty where V<0 group by 1 order by 2 desc, 1 limit 20")
+def r4_worst_tickers_of(p):
+    return reporting.worst_tickers_of(_anomalies(p), "negative_volume")
+
+
+@_query("""select Ticker, Key, round(pct,1) size from (select Ticker, """ + _KEY + """ Key, abs("Total Liabilities"+"Total Equity"-"Total Assets")/nullif(abs("Total Assets"::double),0)*100 pct from balance where abs("Total Liabilities"+"Total Equity"-"Total Assets") > greatest(0.01*abs("Total Assets"),100000)) order by round(pct,1) desc, Ticker, Key limit 20""")
+def r4_worst_findings(p):
+    return reporting.worst_findings(_anomalies(p), "balance_identity").select("Ticker", "Key", F.round("size", 1).alias("size"))
+
+
+_PAGE = """found as (select 'ohlc_inconsistent' CheckName, 'error' Severity, 'prices' SrcTable, Ticker, Date, cast(null as varchar) Key from faulty where H<L or O>H or O<L or C>H or C<L union all select 'ohlc_inconsistent', 'error', 'market_data', Ticker, Date, null from market_data where H<L or O>H or O<L or C>H or C<L
+  union all select 'negative_volume', 'error', 'prices', Ticker, Date, null from faulty where V<0 union all select 'bond_yield_bound', 'warn', 'market_data', Ticker, Date, null from market_data where AssetClass='bonds' and abs(C)>50),
+  page as (select * from found where Severity='error' and upper(Ticker) like '%1%' and SrcTable='prices' and not (CheckName='negative_volume' and dayofyear(Date)%2=1))"""
+
+
+def _page(p: Panel) -> dict[str, DataFrame]:
+    found = quality.run_checks(_tables(p), ["bond_yield_bound", "negative_volume", "ohlc_inconsistent"])
+    log = found.filter("CheckName = 'negative_volume' and dayofyear(Date) % 2 = 1").select(F.col("CheckName").alias("check"), F.col("Ticker").alias("ticker"), F.col("Date").alias("date"), F.col("Key").alias("key"))
+    return reporting.open_page(found, log, p.companies.filter(F.col("Ticker").cast("int") % 2 == 0), 40, severity="error", ticker=" 1", tables=["prices"])
+
+
+@_query(f"with {_PAGE} select CheckName, Severity, SrcTable, Ticker, Date, Ticker in (select Ticker from companies where cast(Ticker as int)%2=0) IsStock from page order by Severity, CheckName, Ticker, Date limit 40")
+def r5_open_page(p):
+    return _page(p)["rows"].select("CheckName", "Severity", "SrcTable", "Ticker", "Date", "IsStock")
+
+
+@_query(f"with {_PAGE} select 'total' kind, cast(count(*) as varchar) \"value\" from page union all select distinct 'check', CheckName from found union all select distinct 'table', SrcTable from found")
+def r5_page_totals(p):
+    page = _page(p)
+    kind = lambda k, df: df.select(F.lit(k).alias("kind"), F.col(df.columns[0]).cast("string").alias("value"))
+    return kind("total", page["total"]).unionByName(kind("check", page["checks"])).unionByName(kind("table", page["tables"]))
 
 
 @_query("""select f.Ticker, f.Date, f.Ticker in (select Ticker from companies where cast(Ticker as int)%2=0) IsStock from faulty f where V<0 and dayofyear(Date)%2=0""")
@@ -506,6 +742,33 @@ def r8_statement_coverage(p):
     return reporting.statement_coverage(p.income)
 
 
+_SOME_PRICES = "(select distinct Ticker from bars where cast(Ticker as int)%4<>0)"
+
+
+@_query(f"""select 'all three' kind, count(*) tickers from (select Ticker from income where "Fiscal Year"<1996 intersect select Ticker from balance where "Shares (Basic)"%5=0 intersect select Ticker from cashflow) union all select 'any', count(*) from (select Ticker from income union select Ticker from balance union select Ticker from cashflow)
+  union all select 'no prices', count(*) from (select Ticker from income union select Ticker from balance union select Ticker from cashflow) where Ticker not in {_SOME_PRICES}""")
+def r8_coverage_overlap(p):
+    income, balance = p.income.filter(col("Fiscal Year") < 1996), p.balance.filter(col("Shares (Basic)") % 5 == 0)
+    # Any statement counts as one, so the union needs all of one side.
+    whole = reporting.coverage_overlap(p.income, p.balance, p.cashflow, p.bars.filter(F.col("Ticker").cast("int") % 4 != 0)).filter("kind <> 'all three'")
+    return reporting.coverage_overlap(income, balance, p.cashflow, p.bars).filter("kind = 'all three'").unionByName(whole)
+
+
+@_query("""select "Fiscal Year" "year", count(distinct Ticker) tickers from income where Period='A' group by 1""")
+def r8_tickers_by_year(p):
+    return reporting.tickers_by_year(p.income)
+
+
+@_query("""select Period, cast(floor(d/5.0)+1 as bigint) bin, count(*) "rows" from (select Period, date_diff('day', "Report Date", "Publish Date") d from income where not IsRestated) where d >= 0 and d < 365 group by 1,2""")
+def r9_lag_histogram(p):
+    return reporting.lag_histogram(p.income)
+
+
+@_query("""select "Publish Date" "date", count(*) "rows" from income group by 1 order by 2 desc, 1 limit 10""")
+def r9_frequent_dates(p):
+    return reporting.frequent_dates(p.income)
+
+
 @_query("""select Period, count(*) "rows", round(quantile_cont(d,0.5),4) p50, round(quantile_cont(d,0.9),4) p90, min(d) least, max(d) most from (select Period, date_diff('day', "Report Date", "Publish Date") d from income where not IsRestated) group by 1""")
 def r9_publish_lag(p):
     out = reporting.publish_lag(p.income)
@@ -518,9 +781,15 @@ def r10_restatement_impact(p):
     return reporting.restatement_impact(p.income, ["Revenue"]).select("item", "pairs", "differ", F.round("median_pct", 4).alias("median_pct"))
 
 
-@_query("""select 'Short Term Debt' "column", round(count("Short Term Debt") filter (where Period='A')*1.0/count(*) filter (where Period='A'),6) A, round(count("Short Term Debt") filter (where Period='Q')*1.0/count(*) filter (where Period='Q'),6) Q from balance""")
+def _fills() -> str:
+    share = lambda c, per: f"""round(count("{c}") filter (where Period='{per}')*1.0/count(*) filter (where Period='{per}'),6)"""
+    names = ["Ticker", "Market", "IsRestated", "Fiscal Year", "Fiscal Period", "Report Date", "Publish Date", "Restated Date", "Shares (Basic)", "Shares (Diluted)", *_BALANCE]
+    return " union all ".join(f"""select '{c}' "column", {share(c, 'A')} A, {share(c, 'Q')} Q, {share(c, 'Q')} >= 0.6 usable from balance""" for c in names)
+
+
+@_query(_fills())
 def r11_fill_rates(p):
-    return _rounded(reporting.fill_rates(p.balance).filter(F.col("column") == "Short Term Debt").select("column", "A", "Q"))
+    return _rounded(reporting.fill_rates(p.balance))
 
 
 @_query("""select 'o_orderstatus' "column", count(o_orderstatus) filled, count(try_cast(o_orderstatus as double)) castable from orders union all select 'o_orderpriority', count(o_orderpriority), count(try_cast(o_orderpriority as double)) from orders""")
@@ -541,9 +810,9 @@ def r15_dynamic_range(p):
 # Windows, similarity, data sets -------------------------------------------------------------------------------------
 
 
-@_query("""select Ticker, cast(ofs as bigint) "offset", min(Date) start_date, max(Date) end_date, count(*) n, round(sum(AC),3) total from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from prices) p, range(0, 6000, 15) t(ofs) where ofs+30<=k and i>=ofs and i<ofs+30 group by Ticker, ofs having min(AC)>0""")
+@_query("""select Ticker, cast(ofs as bigint) "offset", min(Date) start_date, max(Date) end_date, count(*) n, round(sum(AC),3) total from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from (select Ticker, Date, AC from prices union all select Ticker, Date, C from market_data)) p, range(0, 6000, 15) t(ofs) where ofs+30<=k and i>=ofs and i<ofs+30 group by Ticker, ofs having min(AC)>0""")
 def o1_segments(p):
-    out = windows.build_segments(panels.price_series(p.prices, p.market_data.filter("1 = 0")), 30, 15)
+    out = windows.build_segments(panels.price_series(p.prices, p.market_data), 30, 15)
     return out.select("Ticker", "offset", "start_date", "end_date", F.size("w").cast("long").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
@@ -593,6 +862,20 @@ def p2_future_trend(p):
     return _label5(_future("trend")(p))
 
 
+_AROUND = "avg(AC) over (partition by Ticker order by Date rows between 3 following and 7 following)"
+
+
+@_query(f"""select Ticker, Date end_date, round(e/AC-1,6) "label" from (with {_DATES}, l as (select *, {_AROUND} e, lead(AC,7) over (partition by Ticker order by Date) a7 from pp) select l.* from l join ref on ref.Date=l.Date) where rn>=20 and a7 is not null""")
+def p2b_mean_exit(p):
+    return _rounded(_future("mean_exit", 2)(p).select("Ticker", "end_date", "label"))
+
+
+@_query(f"""select Ticker, Date end_date, round((e/AC-1)/sd,5) "label" from (with {_DATES}, s as (select *, ln(AC)-ln(lag(AC) over (partition by Ticker order by Date)) step from pp),
+  l as (select *, {_AROUND} e, lead(AC,7) over (partition by Ticker order by Date) a7, stddev_pop(step) over (partition by Ticker order by Date rows between 18 preceding and current row) sd from s) select l.* from l join ref on ref.Date=l.Date) where rn>=20 and a7 is not null and sd>0""")
+def p2c_vol_scaled(p):
+    return _label5(_future("vol_scaled", 2)(p))
+
+
 def _label5(df: DataFrame) -> DataFrame:
     return df.select("Ticker", "end_date", F.round("label", 5).alias("label"))
 
@@ -606,27 +889,16 @@ def _set(p: Panel) -> DataFrame:
     return mldata.split_windows(windows.build_windows(p.prices, 20, 10), 0.2, "recent", 2)
 
 
-@_query()
-def p8_split_windows(p):
-    return _set(p).groupBy("Ticker", "split").agg(F.count("*").alias("n"), F.min("start_date").alias("first"), F.max("end_date").alias("last"))
-
-
-@_query()
-def p10_label_index(p):
-    df = mldata.encode_labels(mldata.attach_labels(_set(p), mldata.ticker_labels(p.companies, "Sector")))
-    return df.groupBy("label", "label_index", "split").agg(F.count("*").alias("n"))
-
-
 @_query("select o_orderpriority \"label\", round((select count(*) from orders)*1.0/((select count(distinct o_orderpriority) from orders)*count(*)),6) weight from orders group by 1")
 def p11_class_weights(p):
     return _rounded(mldata.class_weights(p.orders.withColumnRenamed("o_orderpriority", "label"), "label"))
 
 
-_PRED = "(select Ticker, Date, C target, H - L*0.5 pred from bars where dayofyear(Date)%10=0)"
+_PRED = "(select Ticker, Date, C target, H - L*0.5 pred from bars)"
 
 
 def _pred(p: Panel) -> DataFrame:
-    return p.bars.filter(F.dayofyear("Date") % 10 == 0).select("Ticker", "Date", F.col("C").alias("target"), (F.col("H") - F.col("L") * 0.5).alias("pred"))
+    return p.bars.select("Ticker", "Date", F.col("C").alias("target"), (F.col("H") - F.col("L") * 0.5).alias("pred"))
 
 
 @_query(f"""select round(avg(c),6) spearman, count(c) "groups" from (select Date, case when count(*)>=2 and stddev_pop(a)>0 and stddev_pop(b)>0 then corr(a,b) end c from (select Date, rank() over (partition by Date order by pred)+(count(*) over (partition by Date, pred)-1)/2.0 a, rank() over (partition by Date order by target)+(count(*) over (partition by Date, target)-1)/2.0 b from {_PRED}) group by Date)""")
@@ -684,39 +956,164 @@ def q12_cross_section_sizes(p):
 # Streaming ----------------------------------------------------------------------------------------------------------
 
 
-@_query("""select Ticker, Date, c CheckName from (select Ticker, Date, 'nonpositive_price' c from faulty where O<=0 or H<=0 or L<=0 or C<=0 union all select Ticker, Date, 'ohlc_inconsistent' from faulty where H<L or O>H or O<L or C>H or C<L)""")
-def s3_row_checks(p):
-    return ingest.row_checks(p.faulty.withColumn("AssetClass", F.lit("stocks")))
+def _flat_files(df: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Bars as flat files of the vendor's form."""
+    text = {n: F.col(c).cast("string") for n, c in (("open", "O"), ("high", "H"), ("low", "L"), ("close", "C"))}
+    rows = df.select(F.concat(F.lower("Ticker"), F.lit(".x")).alias("ticker"), F.lit("D").alias("per"), F.date_format("Date", "yyyyMMdd").alias("date"), F.lit("0").alias("time"), *(v.alias(n) for n, v in text.items()), F.lit("0").alias("vol"), F.lit("0").alias("openint"))
+    rows.write.mode(mode).options(**options).csv(path, header=True)
 
 
-_EVENTS = "select event_id, user_id, event_type, round(value,6) \"value\" from events"
+@_query("select Ticker, Date, round(O,8) O, round(case when dayofyear(Date)%5=0 then C*2 else C end,8) C from market_data union all select Ticker, Date + 10000, round(O,8), round(C,8) from market_data where dayofyear(Date)%7=0")
+def s1_stream_upsert(p):
+    """Flat files that land one after another: all of the market's bars, then corrections of a fifth of them, then new days. The later ones win."""
+    root, m = ingest.stream_root(p.spark), p.market_data
+    _flat_files(m, f"{root}/in")
+    run = lambda: ingest.upsert_stream(ingest.stream_bars(p.spark, f"{root}/in"), f"{root}/table", f"{root}/progress").awaitTermination()
+    run()
+    _flat_files(m.filter("dayofyear(Date) % 5 = 0").withColumn("C", F.col("C") * 2), f"{root}/in")
+    run()
+    _flat_files(m.filter("dayofyear(Date) % 7 = 0").withColumn("Date", F.date_add("Date", 10000)), f"{root}/in")
+    run()
+    return _rounded(p.spark.read.parquet(f"{root}/table").select("Ticker", "Date", "O", "C"), 8)
+
+
+@_query("select event_id, user_id, event_type, round(case when event_id%10=0 then value*2 else value end,6) \"value\" from events")
+def s2_late_correction(p):
+    """Events, then all of them again, a tenth corrected, however late: corrections replace what stands."""
+    root, events = ingest.stream_root(p.spark), p.events
+    rows = lambda: ingest.stream_table(p.spark, f"{root}/in", "*.parquet", events.schema)
+    for value in (F.col("value"), F.when(F.col("event_id") % 10 == 0, F.col("value") * 2).otherwise(F.col("value"))):
+        events.withColumn("value", value).write.mode("append").parquet(f"{root}/in")
+        ingest.upsert_stream(rows(), f"{root}/table", f"{root}/progress", ("event_id",)).awaitTermination()
+    return _rounded(p.spark.read.parquet(f"{root}/table").select("event_id", "user_id", "event_type", "value"))
+
+
+@_query("select event_id, user_id, event_type, round(value,6) \"value\" from events")
+def s2_stream_without_repeats(p):
+    """Events twice over as one stream; the repeats go."""
+    root, events = ingest.stream_root(p.spark), p.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        events.write.mode("append").parquet(f"{root}/in")
+    rows = ingest.without_repeats(ingest.stream_table(p.spark, f"{root}/in", "*.parquet", events.schema), ["event_id", "value", "ts"])
+    ingest.append_stream(rows, f"{root}/table", f"{root}/progress").awaitTermination()
+    return _rounded(p.spark.read.parquet(f"{root}/table").select("event_id", "user_id", "event_type", "value"))
 
 
-def _event_columns(df: DataFrame) -> DataFrame:
-    return _rounded(df.select("event_id", "user_id", "event_type", "value"))
+@_query("""select Ticker, Date, c CheckName from (select Ticker, Date, 'nonpositive_price' c from faulty where O<=0 or H<=0 or L<=0 or C<=0 or AC<=0 union all select Ticker, Date, 'ohlc_inconsistent' from faulty where H<L or O>H or O<L or C>H or C<L union all select Ticker, Date, 'negative_volume' from faulty where V<0)""")
+def s3_row_checks(p):
+    """Bars as a stream of files; each micro-batch appends its findings."""
+    root, bars = ingest.stream_root(p.spark), p.faulty
+    bars.write.parquet(f"{root}/in")
+    ingest.append_stream(ingest.row_checks(ingest.stream_table(p.spark, f"{root}/in", "*.parquet", bars.schema)), f"{root}/table", f"{root}/progress").awaitTermination()
+    return p.spark.read.parquet(f"{root}/table")
 
 
-@_query(_EVENTS)
-def s1_stream_upsert(p):
-    """events as a stream, merged by event_id micro-batch for micro-batch."""
+# Scans of documents, ledgers and further views ----------------------------------------------------------------------
+
+
+@_query("select Ticker, Date, round(O,8) O, round(C,8) C, 'indices' AssetClass from market_data")
+def a1_flat_scan(p):
+    """One update file's worth of all instruments, written and scanned; stocks go."""
+    path = f"{ingest.stream_root(p.spark)}/flat"
+    _flat_files(p.market_data.select("Ticker", "Date", *"OHLC").unionByName(p.bars.select("Ticker", "Date", *"OHLC")), path)
+    return _rounded(files.read_update_file(p.spark, path).select("Ticker", "Date", "O", "C", "AssetClass"), 8)
+
+
+@_query("select Ticker, Date, round(C,8) C, case Ticker when '^A' then 'bonds' when '^N' then 'currencies' else 'indices' end AssetClass from market_data")
+def a2_tree_scan(p):
+    """A folder for each class, at different depths and in any case; other folders are out of scope."""
+    root = f"{ingest.stream_root(p.spark)}/tree"
+    for ticker, folder in (("^A", "daily/BONDS"), ("^N", "daily/world/currencies/major"), ("^R", "Indices"), ("^N", "daily/stocks")):
+        _flat_files(p.market_data.filter(F.col("Ticker") == ticker), f"{root}/{folder}", extension="txt")
+    return _rounded(files.read_tree(p.spark, root).select("Ticker", "Date", "C", "AssetClass"), 8)
+
+
+@_query("select Ticker, cast(Date as varchar) Date, round(C,8) C from market_data")
+def a3_zipped_scan(p):
+    """A zip archive for each instrument and year, with a member for each month."""
+    import io
+    import zipfile
+
+    def pack(key, frame):
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for month, part in frame.groupby("month"):
+                z.writestr(f"{month}.csv", part.drop(columns=["month", "year"]).to_csv(index=False))
+        return pd.DataFrame({"content": [out.getvalue()]})
+
+    rows = p.market_data.select("Ticker", F.col("Date").cast("string").alias("Date"), F.col("C").cast("string").alias("C"), F.month("Date").alias("month"), F.year("Date").alias("year"))
+    found = files.unzip_rows(rows.groupBy("Ticker", "year").applyInPandas(pack, "content binary"), "Ticker string, Date string, C string")
+    return found.select("Ticker", "Date", F.round(F.col("C").cast("double"), 8).alias("C"))
+
+
+@_query("""select Ticker, cast(Ticker as bigint) SrcId, Period, IsRestated, 'vendor' Src, "Fiscal Year" fy, "Fiscal Period" fp, "Report Date" report_date, "Revenue"::double revenue, case when Period='Q' then "Net Income"::double end net_income from income where not (Period='A' and not IsRestated)""")
+def a5_statement_scan(p):
+    """Three of four variants; the annual one lacks a column."""
+    root, paths = ingest.stream_root(p.spark), {}
+    for period, restated in (("Q", True), ("Q", False), ("A", True)):
+        items = ["Ticker", "Fiscal Year", "Fiscal Period", "Report Date", "Revenue", *(["Net Income"] if period == "Q" else [])]
+        part = p.income.filter((F.col("Period") == period) & (F.col("IsRestated") == restated)).select(*(col(c) for c in items), F.col("Ticker").alias("SimFinId"))
+        paths[period, restated] = f"{root}/{period}{restated}"
+        part.write.csv(paths[period, restated], sep=";", header=True)
+    out = files.read_statements(p.spark, paths | {("A", False): None})
+    names = {"fy": "Fiscal Year", "fp": "Fiscal Period", "report_date": "Report Date", "revenue": "Revenue", "net_income": "Net Income"}
+    return out.select("Ticker", "SrcId", "Period", "IsRestated", "Src", *(col(c).alias(n) for n, c in names.items()))
+
+
+@_query("""select cast(s_suppkey as varchar) Ticker, s_suppkey SrcId, s_name CompanyName, case when n_nationkey%5<>0 then n_name end Industry, case when n_nationkey%5<>0 then r_name end Sector, length(s_name)*2 + 23 n_chars from supplier join nation on s_nationkey=n_nationkey join region on n_regionkey=r_regionkey""")
+def a6_company_scan(p):
+    """Summaries hold separators, quotes and line breaks; a fifth of the industries is unknown."""
+    root = ingest.stream_root(p.spark)
+    free = F.concat(F.lit('He said: "'), "s_name", F.lit('";\nand more; '), "s_name")
+    companies = p.supplier.select(F.col("s_suppkey").cast("string").alias("Ticker"), F.col("s_suppkey").alias("SimFinId"), F.col("s_name").alias("Company Name"), F.col("s_nationkey").alias("IndustryId"), free.alias("Business Summary"))
+    companies.write.csv(f"{root}/companies", sep=";", header=True, quote='"', escape='"')
+    industries = p.nation.filter("n_nationkey % 5 <> 0").join(p.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("IndustryId"), F.col("n_name").alias("Industry"), F.col("r_name").alias("Sector"))
+    industries.write.csv(f"{root}/industries", sep=";", header=True)
+    out = files.read_companies(p.spark, f"{root}/companies", f"{root}/industries")
+    return out.select("Ticker", "SrcId", "CompanyName", "Industry", "Sector", F.length("BusinessSummary").cast("long").alias("n_chars"))
+
+
+@_query("""select 'negative_volume' CheckName, 'error' Severity, Ticker, Date from faulty where V<0 and dayofyear(Date)%2=0 union all select 'bond_yield_bound', 'warn', Ticker, Date from market_data where AssetClass='bonds' and abs(C)>50""")
+def a13_replace_by_group(p):
+    """Findings of three checks; then one check's shrink, and one's are cleared."""
+    path, found = f"{ingest.stream_root(p.spark)}/anomalies", quality.negative_volume(p.faulty)
+    sinks.replace_findings(p.spark, path, "negative_volume", "warn", found)
+    sinks.replace_findings(p.spark, path, "bond_yield_bound", "warn", quality.bond_yield_bound(p.market_data))
+    sinks.replace_findings(p.spark, path, "invalid_split_ratio", "error", quality.invalid_split_ratio(p.splits.withColumn("Ratio", F.lit(1.0))))
+    sinks.replace_findings(p.spark, path, "negative_volume", "error", found.filter(F.dayofyear("Date") % 2 == 0))
+    sinks.replace_findings(p.spark, path, "invalid_split_ratio", "error", quality.invalid_split_ratio(p.splits.filter("1 = 0")))
+    return p.spark.read.parquet(path).select("CheckName", "Severity", "Ticker", "Date")
+
+
+@_query("select Ticker, CompanyName, Sector from companies where cast(Ticker as int)%2=0")
+def a15_rebuild_table(p):
+    """A table of the catalog, built and built again."""
     root = ingest.stream_root(p.spark)
-    query = ingest.upsert_stream(ingest.stream_table(p.spark, p.sf_dir, "events"), f"{root}/table", f"{root}/progress", ("event_id",))
-    query.awaitTermination()
-    last = max(x["batchId"] for x in query.recentProgress if x["numInputRows"])
-    return _event_columns(p.spark.read.parquet(f"{root}/table/snapshot={last}"))
+    name = "rebuilt_" + root.rpartition("-")[2]
+    for part, df in enumerate((p.companies, p.companies.filter(F.col("Ticker").cast("int") % 2 == 0))):
+        sinks.rebuild_table(df.select("Ticker", "CompanyName", "Sector"), name, f"{root}/{part}")
+    return p.spark.table(name)
 
 
-@_query(_EVENTS)
-def s2_stream_without_repeats(p):
-    """events twice over as one stream; the repeats go."""
+@_query("""select 'even_ones' list, Ticker from companies where cast(Ticker as int)%2=0 union all select 'even_ones', 'NA' union all select 'split', Ticker from splits group by Ticker""")
+def a17_named_lists(p):
+    """Lists saved under names that need cleaning, found again by listing; NA is a ticker."""
     root = ingest.stream_root(p.spark)
-    once = ingest.stream_table(p.spark, p.sf_dir, "events")
-    rows = ingest.latest_per_key(once.union(once).withColumn("ts", F.col("ts").cast("timestamp")))
-    ingest.append_stream(rows, f"{root}/table", f"{root}/progress").awaitTermination()
-    return _event_columns(p.spark.read.parquet(f"{root}/table"))
+    even = p.companies.filter(F.col("Ticker").cast("int") % 2 == 0).select("Ticker")
+    sinks.save_list(even.union(p.companies.limit(1).select(F.lit("NA"))), root, " even ones!")
+    sinks.save_list(p.splits, root, "split")
+    parts = [sinks.load_list(p.spark, root, n).select(F.lit(n).alias("list"), "Ticker") for n in sinks.list_universes(p.spark, root)]
+    return parts[0].unionByName(parts[1])
 
 
-# Scans of documents, ledgers and further views ----------------------------------------------------------------------
+@_query("select least(50, count(*)) n, least(50, count(*)) fitting, least(50, count(*)) different from bars where C > 1000")
+def a24_sample_rows(p):
+    """A sample can't be told beforehand: its size, and whether its rows are different ones of those asked for."""
+    some = panels.sample_rows(p.bars, 50, "C > 1000", seed=4)
+    known = p.bars.select("Ticker", "Date", F.lit(1).alias("known"))
+    return some.join(known, ["Ticker", "Date"]).agg(F.count("*").alias("n"), F.count_if(F.col("C") > 1000).alias("fitting"), F.countDistinct("Ticker", "Date").alias("different"))
 
 
 @_query("select Ticker, Date, round(O,8) O, round(H,8) H, 'indices' AssetClass from market_data")
@@ -783,9 +1180,11 @@ def a25_rows_of(p):
     return _rounded(panels.rows_of(p.bars, "3").select("Ticker", "Date", "C"), 8)
 
 
-@_query("select Ticker, max(Date) FetchedOn from bars group by 1 having date_diff('day', max(Date), date '1998-12-31') >= 30")
+@_query("select c.Ticker, max(d.Date) FetchedOn from companies c left join dividends d using (Ticker) group by 1 having max(d.Date) is null or date_diff('day', max(d.Date), date '2001-11-04') >= 30")
 def a27_due(p):
-    return panels.due(p.bars.groupBy("Ticker").agg(F.max("Date").alias("FetchedOn")), 30, "1998-12-31")
+    """The day of the last dividend stands for that of the last fetch."""
+    fetched = p.companies.select("Ticker").join(p.dividends.groupBy("Ticker").agg(F.max("Date").alias("FetchedOn")), "Ticker", "left")
+    return panels.due(fetched, 30, "2001-11-04")
 
 
 _LEDGER = "(select Ticker ticker, cast(1+cast(Ticker as int)%3 as integer) attempts from companies where cast(Ticker as int)%2=0)"
@@ -845,15 +1244,15 @@ def l5_composite_score(p):
     return _rounded(screening.composite_score(ranked, chosen).select("Ticker", "score"), 4)
 
 
-@_query(f"with {_POOL} select Ticker, sector from pool where (upper(Ticker) like '%1%' or upper(\"name\") like '%1%') and sector in ('ASIA','EUROPE')")
+@_query(f"""with {_METRICS} select Ticker, sector, industry, mcap_bucket from metrics where (upper(Ticker) like '%1%' or upper("name") like '%1%') and sector in ('ASIA','EUROPE','AMERICA') and industry not in ('CHINA') and mcap_bucket in ('nano','micro','small','mid') and dollar_vol >= 1e3 and "years" >= 2 and active and n_anomalies <= 40""")
 def l6_metadata_filters(p):
-    return screening.apply_metadata_filters(_pool(p), search="1", sectors=("ASIA", "EUROPE")).select("Ticker", "sector")
+    lands = sorted(r[0] for r in p.nation.filter("n_name <> 'CHINA'").select("n_name").collect())  # a row for each nation
+    return screening.apply_metadata_filters(_metrics(p), " 1 ", ("ASIA", "EUROPE", "AMERICA"), lands, ("nano", "micro", "small", "mid"), 0.001, 2, "active", 40).select("Ticker", "sector", "industry", "mcap_bucket")
 
 
-@_query("select p.Ticker, p.Date, round(p.AC+1e-9,6) AC, round(m.O,8) Market from prices p join market_data m on m.Date=p.Date and m.Ticker='^N'")
+@_query("select p.Ticker, p.Date, round(p.AC+1e-9,6) AC, round(m.C,8) Market from prices p join market_data m on m.Date=p.Date and m.Ticker='^N'")
 def m3_benchmark_history(p):
-    opens = p.market_data.filter("Ticker = '^N'").select("Date", F.col("O").alias("C"))
-    return series.benchmark_history(p.prices, opens).select("Ticker", "Date", F.round(F.col("AC") + 1e-9, 6).alias("AC"), F.round("Market", 8).alias("Market"))
+    return _history(p).select("Ticker", "Date", F.round(F.col("AC") + 1e-9, 6).alias("AC"), F.round("Market", 8).alias("Market"))
 
 
 @_query("""select coalesce(i.Ticker, b.Ticker) Ticker, coalesce(i."Report Date", b."Report Date") report_date, cast(i."Revenue" as double) revenue, cast(c."Net Cash from Operating Activities" as double) cfo, cast(b."Total Equity" as double) equity
@@ -927,27 +1326,39 @@ def o7_log_returns(p):
     return out.select("Ticker", "start_date", F.round(F.element_at("xf", -1), 5).alias("x"), F.round(F.element_at("xf", 1), 5).alias("bridge"))
 
 
-@_query("""select 'rebase_100' encoding, count(*) pairs, round(corr(d,f),4) correlation from (select a.vec_id i, b.vec_id j, list_distance(a.embedding::double[], b.embedding::double[]) d, list_distance(list_slice(a.embedding,1,8)::double[], list_slice(b.embedding,1,8)::double[]) f
-  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)""")
+_SEGS = """segs as (select row_number() over (order by Ticker, ofs) - 1 id, *, list_transform(list_slice(w,1,20), lambda x: (x-m)/case when sd>0 then sd else 1 end) zh, list_transform(list_slice(w,21,30), lambda x: (x-m)/case when sd>0 then sd else 1 end) zf, list_transform(list_slice(w,1,20), lambda x: (x-lo)/case when hi>lo then hi-lo else 1 end) mh, list_transform(list_slice(w,21,30), lambda x: (x-lo)/case when hi>lo then hi-lo else 1 end) mf
+  from (select Ticker, ofs, list(C order by i) w, avg(C) filter (where i<ofs+20) m, stddev_pop(C) filter (where i<ofs+20) sd, min(C) filter (where i<ofs+20) lo, max(C) filter (where i<ofs+20) hi from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,30) t(ofs) where ofs+30<=k and i>=ofs and i<ofs+30 group by Ticker, ofs)),
+  coded as (select 'zscore' encoding, id, zh h, zf f from segs union all select 'minmax', id, mh, mf from segs),
+  near as (select * from (select a.encoding, a.f af, b.f bf, list_distance(a.h, b.h) d, row_number() over (partition by a.encoding, a.id order by list_distance(a.h, b.h), b.id) place from coded a join coded b on a.encoding=b.encoding and a.id<>b.id) where place<=3)"""
+
+
+@_query(f"with {_SEGS} select encoding, count(*) pairs, round(corr(d, list_distance(af, bf)),4) correlation from near group by 1")
 def o12_distance_correlation(p):
-    v = p.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    both = v.withColumnRenamed("vec_id", "i").join(v.select((F.col("vec_id") - 1).alias("i"), F.col("v").alias("u")), "i")
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = both.select(F.lit("rebase_100").alias("encoding"), "i", (F.col("i") + 1).alias("j"), gap.alias("distance"))
-    futures = v.select(F.lit("rebase_100").alias("encoding"), F.col("vec_id").alias("id"), F.slice("v", 1, 8).alias("v"))
-    return _rounded(similarity.distance_correlation(pairs, futures), 4)
+    """Do windows whose encoded histories are near each other have futures that are near, too?"""
+    whole, found, ahead = windows.with_window_id(_segments(p)), [], []
+    for name in ("zscore", "minmax"):
+        coded = windows.encode(whole, name, 20).withColumn("encoding", F.lit(name))
+        near = similarity.nearest_others(coded, "window_id", "xh", 3)
+        found.append(near.select(F.lit(name).alias("encoding"), F.col("id").alias("i"), F.col("other").alias("j"), "distance"))
+        ahead.append(coded.select("encoding", F.col("window_id").cast("long").alias("id"), F.col("xf").alias("v")))
+    return _rounded(similarity.distance_correlation(found[0].unionByName(found[1]), ahead[0].unionByName(ahead[1])), 4)
 
 
-_WIN = """win as (select Ticker, ofs, min(Date) start_date, max(Date) end_date, sum(C) c from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,10) t(ofs) where ofs+20<=k and i>=ofs and i<ofs+20 group by Ticker, ofs)"""
+_WIN = """win as (select Ticker, ofs, min(Date) start_date, max(Date) end_date, """ + ", ".join(f"arg_min({c}::float::double, i) {c}_first, arg_max({c}::float::double, i) {c}_last, sum({c}::float::double) {c}_sum, avg({c}::float::double) {c}_mean, stddev_pop({c}::float::double) {c}_sd" for c in "OHLCV") + """ from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,10) t(ofs) where ofs+20<=k and i>=ofs and i<ofs+20 group by Ticker, ofs)"""
 
 
 def _wins(p: Panel) -> DataFrame:
     return windows.build_windows(p.bars, 20, 10)
 
 
-@_query(f"with {_WIN} select Ticker, cast(ofs as bigint) \"offset\", start_date, end_date, 20 n from win")
+_CHANNELS = ("O", "H", "L", "C", "V")
+
+
+@_query(f"with {_WIN} select Ticker, cast(ofs as bigint) \"offset\", start_date, end_date, {', '.join(f'round({c}_first,3) {c}_first, round({c}_last,3) {c}_last, round({c}_sum,1) {c}_sum' for c in _CHANNELS)} from win")
 def p1_ohlcv_windows(p):
-    return _wins(p).select("Ticker", "offset", "start_date", "end_date", F.size("V").alias("n"))
+    at = lambda c, i: F.round(F.element_at(c, i).cast("double"), 3)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")), 1)
+    return _wins(p).select("Ticker", "offset", "start_date", "end_date", *(x for c in _CHANNELS for x in (at(c, 1).alias(f"{c}_first"), at(c, -1).alias(f"{c}_last"), total(c).alias(f"{c}_sum"))))
 
 
 @_query(f"with {_WIN} select Ticker, start_date, Sector \"label\" from win join companies using (Ticker) where cast(Ticker as int)%2=0")
@@ -968,14 +1379,34 @@ def p6_split_recent(p):
     return mldata.split_windows(_wins(p), 0.2, "recent", 2).select("Ticker", "start_date", "end_date", "split")
 
 
-@_query()
+_DRAWN = f"""{_WIN}, ranked as (select *, row_number() over (partition by Ticker order by start_date desc, end_date desc) <= 2 test from win),
+  carved as (select *, not test and coalesce(end_date < min(case when test then start_date end) over (partition by Ticker), true) pool from ranked),
+  sides as (select *, case when test then 'test' when pool then case when cast(concat('0x', substr(md5(concat('3|', Ticker, '|', start_date, '|', end_date)),1,8)) as bigint)/4294967296.0 < 0.2 then 'valid' else 'train' end end split from carved),
+  kept as (select * from sides where split is not null and Ticker in (select Ticker from sides where split='train'))"""
+
+
+@_query(f"with {_DRAWN} select Ticker, start_date, end_date, split from kept")
 def p7_split_random(p):
-    return mldata.split_windows(_wins(p), 0.2, "random", 2, seed=3).groupBy("split").agg(F.count("*").alias("n"))
+    return mldata.split_windows(_wins(p), 0.2, "random", 2, seed=3).select("Ticker", "start_date", "end_date", "split")
+
+
+@_query(f"with {_CARVED} select Ticker, split, count(*) n, min(start_date) \"first\", max(end_date) \"last\" from kept group by 1,2")
+def p8_split_windows(p):
+    return _set(p).groupBy("Ticker", "split").agg(F.count("*").alias("n"), F.min("start_date").alias("first"), F.max("end_date").alias("last"))
+
+
+@_query(f"""with {_CARVED}, named as (select kept.*, Sector "label" from kept join companies using (Ticker)), seen as (select "label", row_number() over (order by "label") - 1 idx from (select distinct "label" from named where split='train'))
+  select n."label", coalesce(idx, -1) label_index, split, count(*) n from named n left join seen using ("label") group by 1,2,3""")
+def p10_label_index(p):
+    df = mldata.encode_labels(mldata.attach_labels(_set(p), mldata.ticker_labels(p.companies, "Sector")))
+    return df.groupBy("label", F.col("label_index").cast("long").alias("label_index"), "split").agg(F.count("*").alias("n"))
 
 
-@_query(f"with {_WIN} select Ticker, start_date, 40 n from win")
+@_query(f"with {_WIN} select Ticker, start_date, {', '.join(f'round((({c}_{e}-{c}_mean)/case when {c}_sd>0 then {c}_sd else 1 end)::float::double,3) {c}_{e}' for c in 'CV' for e in ('first', 'last'))} from win")
 def p9_encode_flat(p):
-    return windows.encode_flat(_wins(p), "zscore", ["C", "V"]).select("Ticker", "start_date", F.size("flat").alias("n"))
+    flat = windows.encode_flat(_wins(p), "zscore", ["C", "V"])
+    places = {"C_first": 1, "C_last": 20, "V_first": 21, "V_last": 40}
+    return flat.select("Ticker", "start_date", *(F.round(F.element_at("flat", i).cast("double"), 3).alias(n) for n, i in places.items()))
 
 
 @_query(f"with {_WIN} select Ticker, start_date, dense_rank() over (order by end_date) - 1 qid from win")
@@ -983,9 +1414,10 @@ def p12_group_ids(p):
     return mldata.group_ids(_wins(p)).select("Ticker", "start_date", F.col("qid").cast("long").alias("qid"))
 
 
-@_query("select Ticker, count(*) n from bars where Date <= date '1995-06-30' group by 1")
+@_query("select Ticker, count(*) \"rows\" from bars where Date <= date '1995-06-30' + cast(cast(Ticker as int)%12*30 as int) group by 1")
 def r14_rows_before(p):
-    return panels.ohlcv_series(p.bars.withColumn("AC", F.col("C")), end=F.to_date(F.lit("1995-06-30"))).groupBy("Ticker").agg(F.count("*").alias("n"))
+    cutoffs = p.companies.select("Ticker", F.date_add(F.to_date(F.lit("1995-06-30")), (F.col("Ticker").cast("int") % 12 * 30).cast("int")).alias("cutoff"))
+    return reporting.rows_before(p.bars, cutoffs)
 
 
 # Models: Spark ML on flat windows; no SQL can say what they give.
@@ -999,7 +1431,7 @@ def _flat(p: Panel) -> DataFrame:
 @_query()
 def q1_excess_regressor(p):
     df = _flat(p)
-    return mleval.spearman_by_group(mleval.predict(mleval.fit_regressor(df, rounds=5), df.filter("split = 'test'")), "prediction", "excess", "end_date")
+    return mleval.spearman_by_group(mleval.predict(mleval.fit_regressor(df), df.filter("split = 'test'")), "prediction", "excess", "end_date")
 
 
 @_query()
@@ -1007,12 +1439,12 @@ def q2_window_classifier(p):
     df = mldata.encode_labels(mldata.attach_labels(_flat(p).drop("label"), mldata.ticker_labels(p.companies, "Sector")))
     df = df.filter("label_index >= 0")
     weighted = df.join(F.broadcast(mldata.class_weights(df.filter("split = 'train'"))), "label_index")
-    found = mleval.predict(mleval.fit_classifier(weighted, trees=5), weighted.filter("split = 'test'"))
+    found = mleval.predict(mleval.fit_classifier(weighted), weighted.filter("split = 'test'"))
     return mleval.macro_accuracy(found.withColumn("prediction", F.col("prediction").cast("int")), "prediction", "label_index")
 
 
 @_query()
 def q3_ranker(p):
     df = mldata.relevance_grades(_flat(p), "excess", "end_date")
-    ranked = mleval.predict(mleval.fit_ranker(df, rounds=5), df.filter("split = 'test'"))
+    ranked = mleval.predict(mleval.fit_ranker(df), df.filter("split = 'test'"))
     return mleval.precision_at_k(ranked, "prediction", "excess", "end_date", 0.2)

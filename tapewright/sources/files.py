@@ -21,9 +21,9 @@ def asset_class(ticker: Column) -> Column:
     return F.when(bare.rlike(r"^\d+[MY][A-Z]{2}[YP]$"), "bonds").when(bare.startswith("^"), "indices").when(bare.rlike("^[A-Z]{6}$") | bare.rlike("^[A-Z]{3}_(I|B|B50)$"), "currencies")
 
 
-def canonical_bars(raw: DataFrame, asset: Column) -> DataFrame:
+def canonical_bars(raw: DataFrame, asset: Column, *others: str) -> DataFrame:
     number = lambda c: F.col(c).try_cast("double")
-    return raw.select(F.upper(F.split("ticker", r"\.")[0]).alias("Ticker"), F.to_date("date", "yyyyMMdd").alias("Date"), *(number(c).alias(n) for c, n in (("open", "O"), ("high", "H"), ("low", "L"), ("close", "C"))), asset.alias("AssetClass"))
+    return raw.select(F.upper(F.split("ticker", r"\.")[0]).alias("Ticker"), F.to_date("date", "yyyyMMdd").alias("Date"), *(number(c).alias(n) for c, n in (("open", "O"), ("high", "H"), ("low", "L"), ("close", "C"))), asset.alias("AssetClass"), *others)
 
 
 def read_update_file(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +39,8 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return canonical_bars(raw, F.when(folder != "", folder)).filter("AssetClass is not null")
 
 
-def read_zipped(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """All CSV members of zip files, one task for each zip, in pieces of rows."""
+def unzip_rows(zips: DataFrame, schema: str, sep: str = ",") -> DataFrame:
+    """Rows of all CSV members of zip archives (a binary column content), in pieces of rows."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def unpack(frames):
@@ -52,24 +52,39 @@ def read_zipped(spark: SparkSession, path: str, schema: str, sep: str = ",") ->
                             for part in pd.read_csv(z.open(member), sep=sep, dtype=str, header=0, names=names, keep_default_na=False, chunksize=50_000):
                                 yield part
 
-    as_text = ", ".join(f"{n} string" for n in names)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, as_text)
+    return zips.select("content").mapInPandas(unpack, ", ".join(f"{n} string" for n in names))
+
+
+def read_zipped(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """All CSV members of zip files; a file is read by one task."""
+    return unzip_rows(spark.read.format("binaryFile").load(path), schema, sep)
+
+
+#: Types of statement columns that are no amounts; amounts are double.
+STATEMENT_TYPES = {"Ticker": "string", "SimFinId": "bigint", "Currency": "string", "Fiscal Year": "bigint", "Fiscal Period": "string", "Report Date": "date", "Publish Date": "date", "Restated Date": "date"}
+
+
+def _typed(df: DataFrame, types: dict[str, str], other: str) -> DataFrame:
+    """Text columns cast by name; what can't be cast is null."""
+    return df.select(*(col(c).try_cast(types.get(c, other)).alias(c) for c in df.columns))
 
 
 def read_statements(spark: SparkSession, paths: dict[tuple[str, bool], str], src: str = "vendor", market: str = "us") -> DataFrame:
-    """Variants of a ;-separated statement by (period, restated), tagged and stacked by name; missing ones are left out."""
+    """Variants of a ;-separated statement by (period, restated), tagged and stacked by name; missing ones (None) are left out, and with none at all the result is empty."""
     parts = []
     for (period, restated), path in paths.items():
-        df = spark.read.csv(path, sep=";", header=True, inferSchema=True)
-        df = df.withColumnRenamed("SimFinId", "SrcId")
-        parts.append(df.withColumns({"Src": F.lit(src), "Market": F.lit(market), "Period": F.lit(period), "IsRestated": F.lit(restated)}))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        if path is not None:
+            df = _typed(spark.read.csv(path, sep=";", header=True), STATEMENT_TYPES, "double").withColumnRenamed("SimFinId", "SrcId")
+            parts.append(df.withColumns({"Src": F.lit(src), "Market": F.lit(market), "Period": F.lit(period), "IsRestated": F.lit(restated)}))
+    empty = spark.createDataFrame([], "Ticker string, SrcId bigint, Src string, Market string, Period string, IsRestated boolean")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts or [empty])
 
 
 def read_companies(spark: SparkSession, companies: str, industries: str) -> DataFrame:
     """Companies with free text over lines, left-joined to their industry."""
-    c = spark.read.csv(companies, sep=";", header=True, inferSchema=True, multiLine=True, quote='"', escape='"').withColumnsRenamed({"SimFinId": "SrcId", "Company Name": "CompanyName"})
-    i = spark.read.csv(industries, sep=";", header=True, inferSchema=True)
+    types = {"SimFinId": "bigint", "IndustryId": "bigint", "Number Employees": "bigint"}
+    c = _typed(spark.read.csv(companies, sep=";", header=True, multiLine=True, quote='"', escape='"'), types, "string").withColumnsRenamed({"SimFinId": "SrcId", "Company Name": "CompanyName", "Business Summary": "BusinessSummary", "Number Employees": "NrEmployees"})
+    i = _typed(spark.read.csv(industries, sep=";", header=True), types, "string")
     return c.join(i, "IndustryId", "left")
 
 

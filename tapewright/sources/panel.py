@@ -18,7 +18,7 @@ VIEWS = {
     "bars": "select Ticker, Date, max(case when i=1 then u end) O, max(u) H, min(u) L, max(case when i=n then u end) C, cast(sum(q) as bigint) V from px0 group by Ticker, Date",
     "dividends": "select Ticker, Date, max(disc)*10 Dividend from px0 where disc > 0.085 group by Ticker, Date",
     "splits": "select Ticker, Date, cast(max(ln) as double) Ratio from px0 where ln = 7 group by Ticker, Date",
-    "market_data": "select concat('^', rf) Ticker, Date, min(u) O, max(u) H, min(u) L, round(avg(u), 6) C, case rf when 'R' then 'bonds' when 'A' then 'currencies' else 'indices' end AssetClass from px0 group by rf, Date",
+    "market_data": "select concat('^', rf) Ticker, Date, min(u) O, max(u) H, min(u) L, round(avg(u) + 1.37e-8, 6) C, case rf when 'R' then 'bonds' when 'A' then 'currencies' else 'indices' end AssetClass from px0 group by rf, Date",
     # The same bars with faults: zero opens and lows, swapped highs, negative volumes, closes rounded so that runs repeat.
     "faulty": """select Ticker, Date, case when k%97=0 then 0 else O end O, case when k%89=0 then L*0.5 else H end H, case when k%97 in (0,1) then 0 else L end L,
       case when k%83=0 then -C else C end C, case when k%101=0 then -V else V end V, case when k%83=0 then -C else C end AC

@@ -13,9 +13,9 @@ from tapewright.functions.columns import col
 def upsert(stored: DataFrame | None, incoming: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
     """The table after the merge: incoming rows win by key; columns that they lack keep the stored values. Idempotent.
 
-    Of several incoming rows with one key the first by `order` (default: by all columns) counts.
+    Of several incoming rows with one key the first by `order` counts; ties and rows without an order go by all columns.
     """
-    pick = Window.partitionBy(*(col(k) for k in key)).orderBy(*(order or [col(c) for c in incoming.columns]))
+    pick = Window.partitionBy(*(col(k) for k in key)).orderBy(*(order or []), *(col(c) for c in incoming.columns))
     new = incoming.withColumn("_r", F.row_number().over(pick)).filter("_r = 1").drop("_r")
     if stored is None:
         return new
@@ -38,8 +38,10 @@ def replace_findings(spark: SparkSession, path: str, check: str, severity: str,
     return spark.read.parquet(target).count()
 
 
-def rebuild_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def rebuild_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Replaces a table of the catalog by df; its files lie at path, or else in the warehouse."""
+    out = df.write.mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(name)
 
 
 def list_name(name: str) -> str:
@@ -58,6 +60,13 @@ def load_list(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema("Ticker string").csv(f"{root}/{list_name(name)}", header=True, nullValue="\u0000")
 
 
+def list_universes(spark: SparkSession, root: str) -> list[str]:
+    """Names of the lists saved below root, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()) if files.exists(path) else []
+
+
 def ledger_append(ledger: DataFrame, failed: DataFrame, today) -> DataFrame:
     """New failures (ticker, market) enter with one attempt; tickers that are in it already stay as they are."""
     new = failed.dropDuplicates(["ticker"]).join(ledger.select("ticker"), "ticker", "left_anti")

@@ -1,11 +1,12 @@
 """Hand-computed cases of the panel operators."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import cleaning, factors, mldata, quality, reporting, screening, series, similarity, statements, windows
+from tapewright.operators import cleaning, factors, joins, mldata, quality, reporting, screening, series, similarity, statements, windows
 from tapewright.sources import files, panels, sinks
 from tapewright.streaming import ingest
 
@@ -158,14 +159,84 @@ def test_profiles_and_officers(spark):
     assert [(r.Ticker, r.name, r.age) for r in files.to_officers(docs).collect()] == [("A", "N", 50)]
 
 
-def test_stream_upsert(spark, tmp_path):
+HEAD = "<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\n"
+
+
+def test_stream_upsert_keeps_the_later_arrival(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    head = "<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\n"
-    for i, close in enumerate(("1.5", "9.9")):
-        (src / f"{i}.csv").write_text(head + f"eurusd,D,20260102,0,1,2,0.5,{close},0,0\n")
-        ingest.upsert_stream(ingest.stream_bars(spark, str(src)).drop("arrived"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    assert [r.C for r in spark.read.parquet(f"{tmp_path}/out/snapshot=1").collect()] == [9.9]
+
+    def land(name, rows, at):
+        (src / name).write_text(HEAD + "".join(f"{t},D,{d},0,1,20,0.5,{c},0,0\n" for t, d, c in rows))
+        os.utime(src / name, (at, at))
+
+    def run(files):
+        ingest.upsert_stream(ingest.stream_bars(spark, str(src), files), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+        return {(r.Ticker, r.Date.day): r.C for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    # Two files of one batch: the later one wins, whatever its values or name.
+    land("b.csv", [("eurusd", 20260102, 9.9), ("eurusd", 20260103, 3.0)], 1_700_000_000)
+    land("a.csv", [("eurusd", 20260102, 1.5)], 1_700_000_100)
+    assert run(1000) == {("EURUSD", 2): 1.5, ("EURUSD", 3): 3.0}
+    # Later batches: a late correction of an old day, then another, and a new day.
+    land("c.csv", [("eurusd", 20260103, 7.5)], 1_700_000_200)
+    land("d.csv", [("eurusd", 20260103, 2.5), ("usdjpy", 20260104, 4.0)], 1_700_000_300)
+    want = {("EURUSD", 2): 1.5, ("EURUSD", 3): 2.5, ("USDJPY", 4): 4.0}
+    assert run(1) == want and run(1) == want
+
+
+def test_upsert_order_decides_between_incoming_rows(spark):
+    new = spark.createDataFrame([("A", 9.9, 1), ("A", 1.5, 2)], "k string, c double, arrived int")
+    assert sinks.upsert(None, new, ["k"], [F.col("arrived").desc()]).first().c == 1.5
+
+
+def test_repeats_go_within_the_watermark_and_row_checks_see_volume(spark, tmp_path):
+    rows = [(1, 2.0, dt.datetime(2026, 1, 1)), (1, 2.0, dt.datetime(2026, 1, 1)), (1, 3.0, dt.datetime(2026, 1, 1))]
+    df = spark.createDataFrame(rows, "id int, v double, ts timestamp")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    once = ingest.without_repeats(ingest.stream_table(spark, f"{tmp_path}/in", "*.parquet", df.schema), ["id", "v", "ts"])
+    ingest.append_stream(once, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2.0, 3.0]
+    bad = bars(spark, [1.0, 2.0]).withColumns({"V": F.when(F.col("C") == 1, -1).otherwise(5), "AC": F.when(F.col("C") == 2, -1.0).otherwise(1.0)})
+    assert {(r.Date.day, r.CheckName) for r in ingest.row_checks(bad).collect()} == {(1, "negative_volume"), (2, "nonpositive_price")}
+
+
+def test_nearest_filing_by_report_then_by_filing_date(spark):
+    left = spark.createDataFrame([(1, "c", D(2024, 12, 31), "FY"), (2, "c", D(2024, 3, 31), "Q1"), (3, "c", D(2020, 12, 31), "FY"), (4, "c", D(2020, 3, 31), "Q1"), (5, "x", D(2024, 3, 31), "Q1")], "id int, cik string, day date, fp string")
+    rows = [
+        (1, "10-K", D(2024, 12, 25), D(2025, 2, 1)), (2, "10-K405", D(2025, 1, 6), D(2025, 3, 1)), (3, "10-Q", D(2024, 12, 31), D(2025, 2, 1)), (4, "10-Q", D(2024, 4, 9), D(2024, 5, 1)), (5, "10-Q", D(2024, 4, 11), D(2024, 5, 2)),
+        (6, "10-K", None, D(2021, 5, 30)), (7, "10-K", D(2019, 1, 1), D(2021, 5, 29)), (8, "10-Q", None, D(2020, 5, 31)),
+    ]
+    filings = spark.createDataFrame([("c", *r) for r in rows], "cik string, seq int, form string, report_date date, filing_date date")
+    got = {r.id: (r.seq, r["match"]) for r in joins.nearest_filing(left, filings, ["cik"], "id", "day", "fp").collect()}
+    # Six days either way: the first wins; 150 days for a year's report, 60 for a quarter's (61 are too many).
+    assert got == {1: (1, "report"), 2: (4, "report"), 3: (7, "filing"), 4: (None, None), 5: (None, None)}
+
+
+def test_metadata_filters_and_detail(spark):
+    rows = [("AAA", "Alpha", "s", "i", "small", 5e6, 3.0, True, 0), ("BBB", "Beta", "s", "j", "mega", 1e6, 1.0, False, 9), ("CCC", "alphabet", "t", "i", "small", 2e6, 2.0, True, 1)]
+    df = spark.createDataFrame(rows, "Ticker string, name string, sector string, industry string, mcap_bucket string, dollar_vol double, years double, active boolean, n_anomalies int")
+    found = lambda **kw: sorted(r.Ticker for r in screening.apply_metadata_filters(df, **kw).collect())
+    assert found(search=" alpha ") == ["AAA", "CCC"] and found(search="  ") == ["AAA", "BBB", "CCC"] and found(search="b.b") == []
+    assert found(sectors=["s"], status="active") == ["AAA"] and found(status="delisted") == ["BBB"] and found(min_dollar_vol_mn=2.0) == ["AAA", "CCC"]
+    assert found(min_years=2.0, max_anomalies=0) == ["AAA"] and found(buckets=["mega"]) == ["BBB"] and found(industries=["i"], min_years=2.5) == ["AAA"]
+
+
+def test_dividend_growth_is_null_without_recent_dividends(spark):
+    paid = spark.createDataFrame([("A", D(2024, 1, 5), 1.0), ("B", D(2024, 1, 5), 1.0), ("B", D(2025, 1, 2), 1.25)], "Ticker string, Date date, Dividend double")
+    assert dict(factors.dividend_growth(paid, bars(spark, [1.0], start=D(2025, 6, 1))).collect()) == {"A": None, "B": pytest.approx(0.25)}
+
+
+def test_statement_variants_and_companies(spark, tmp_path):
+    (tmp_path / "q").write_text("Ticker;SimFinId;Fiscal Year;Fiscal Period;Report Date;Revenue\nA;7;2024;Q1;2024-03-31;12\n")
+    (tmp_path / "a").write_text("Ticker;SimFinId;Fiscal Year;Fiscal Period;Revenue;Net Income\nA;7;2024;FY;;3\n")
+    out = files.read_statements(spark, {("Q", True): f"{tmp_path}/q", ("A", True): f"{tmp_path}/a", ("Q", False): None})
+    assert sorted((r.Period, r.SrcId, r.Revenue, r["Net Income"]) for r in out.collect()) == [("A", 7, None, 3.0), ("Q", 7, 12.0, None)]
+    assert files.read_statements(spark, {("Q", True): None}).count() == 0
+    (tmp_path / "c").write_text('Ticker;SimFinId;Company Name;IndustryId;Business Summary\nA;1;"A; Inc";10;"two\nlines ""and quotes"""\nB;2;B;99;\n')
+    (tmp_path / "i").write_text("IndustryId;Industry;Sector\n10;Chips;Tech\n")
+    got = {r.Ticker: (r.CompanyName, r.Sector, r.BusinessSummary) for r in files.read_companies(spark, f"{tmp_path}/c", f"{tmp_path}/i").collect()}
+    assert got == {"A": ("A; Inc", "Tech", 'two\nlines "and quotes"'), "B": ("B", None, None)}
 
 
 def test_beta_by_construction(spark):
