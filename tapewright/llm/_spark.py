@@ -47,12 +47,12 @@ MOST_BITS = 27
 
 
 class BitFilter:
-    """Which 64-bit hashes may be among given ones: about 32 bits for each, within a fixed bound, beyond which more pass falsely."""
+    """Which 64-bit hashes may be among given ones: about `each` bits for each (so one in `each` passes falsely), within a fixed bound, beyond which more do."""
 
-    def __init__(self, hashes: DataFrame):
-        """hashes: distinct values of a long column h; Spark ors them to 64-bit words, of which at most 2**(MOST_BITS - 6) come to the driver."""
+    def __init__(self, hashes: DataFrame, each: int = 32, most: int = MOST_BITS):
+        """hashes: distinct values of a long column h; Spark ors them to 64-bit words, of which at most 2**(most - 6) come to the driver."""
         self.held = hashes.count()
-        self.bits = min(MOST_BITS, max(16, (32 * self.held - 1).bit_length()))
+        self.bits = min(most, max(16, (each * self.held - 1).bit_length()))
         slot = F.col("h").bitwiseAND(2**self.bits - 1)
         words = hashes.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("word")).toArrow()
         packed = np.zeros(2 ** (self.bits - 6), np.int64)
@@ -64,11 +64,11 @@ class BitFilter:
         return (self.packed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared scratch folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,9 +16,15 @@ different by their first h1 or h2, or else by their longest block other than
 the one counted (without one, by their text), so copies and near copies of an article are no template of their
 host.
 
+A page is parsed once: what is kept of it whatever its host repeats, and where
+in it which subtrees stand, is written down; templates are then cut out of
+that, so no page is shuffled with its markup.  Subtrees are hashed from one
+running sum over the page, however deep they are nested.
+
 Edge cases: null and empty pages have an empty text; pages that share a
-page_id are each extracted; pages without page_id or host lose no template
-subtrees; extra columns are ignored; an empty table gives an empty result.
+page_id are each extracted, with the templates of their own host; pages
+without page_id or host lose no template subtrees; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_batches, settle
+from ._bytes import mix64, powers, signed
+from ._spark import BitFilter, map_batches, settle
 
 _ATTRS = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>|<[!?/][^>]*+>|<[a-zA-Z][^<>]*+(?:>|\Z)", re.S)
@@ -62,6 +69,10 @@ UNMARKED, BY_CLASS = frozenset("html body main article".split()), frozenset("p h
 AROUND = frozenset("comment comments comments-area comment-list disqus replies related related-posts related-articles recommended recommendations".split())
 
 
+#: Template subtrees that are sent to all workers at most (32 MB); more are joined by shuffling.
+MOST_SENT = 2**21
+
+
 @dataclass(frozen=True)
 class Template:
     """A subtree is template if it stands in at least `articles` different articles of its host, however many the host has."""
@@ -190,11 +201,8 @@ class Page:
         """Hash by container element, over its tags and text with white space evened out; none for those that hold an article."""
         holds = {a for e in range(1, len(self.tags)) if self.tags[e] in ("article", "main") for a in self._above(e)}
         parts = {self.parents[e] for e, tag in enumerate(self.tags) if tag in CONTAINERS or tag in LEAVES}
-        out = {}
-        for e, tag in enumerate(self.tags):
-            if (tag in CONTAINERS or tag in LEAVES and e not in parts) and e not in holds:
-                out[e] = xxhash.xxh64_intdigest(_SPACE.sub(" ", self.source[self.places[e][0] : self.places[e][1]]).encode("utf-8", "replace"))
-        return out
+        hashed = [e for e, tag in enumerate(self.tags) if (tag in CONTAINERS or tag in LEAVES and e not in parts) and e not in holds]
+        return dict(zip(hashed, _slice_hashes(self.source, [self.places[e] for e in hashed]))) if hashed else {}
 
     def longest(self, hashes: dict[int, int]) -> list[int]:
         """By hash, what near copies of an article mostly share: its first h1 or h2, or else its two longest leaf blocks."""
@@ -208,65 +216,157 @@ class Page:
         own = {h: size(e) for e, h in hashes.items() if self.tags[e] in LEAVES and not hidden[e] and any(a <= self.places[e][0] < b for a, b in roots)}
         return sorted(own, key=lambda h: (-own[h], h))[:2]
 
-    def text(self, template: set[int] = frozenset()) -> str:
+    def kept(self, hashes: dict[int, int]) -> tuple[str, list[int], list[int], list[int]]:
+        """The roots' text without what is left out, raw, and where in it (hash, begin, end) the hashed subtrees stand, if they hold any of it."""
         gone = np.zeros(len(self.pieces) + 1, np.int32)
-        drop = [e for e, out in enumerate(self.out) if out]
-        if template:
-            drop += [e for e, h in self.subtrees().items() if h in template]
-        for e in drop:
-            gone[self.spans[e][0]] += 1
-            gone[self.spans[e][1]] -= 1
-        gone = np.cumsum(gone).tolist()
-        parts = []
+        for e, out in enumerate(self.out):
+            if out:
+                gone[self.spans[e][0]] += 1
+                gone[self.spans[e][1]] -= 1
+        gone = (np.cumsum(gone[:-1]) > 0).tolist()
+        parts, at = [], np.zeros(len(self.pieces) + 1, np.int64)
+        inside, length = np.zeros(len(self.pieces) + 1, bool), 0
         for r in self.roots():
             a, b = self.spans[r]
             parts.append(" ")
-            parts += [(" " if self.pieces[i] is None else self.pieces[i]) for i in range(a, b) if not gone[i] or self.pieces[i] is None]
-        return _SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
+            length += 1
+            for i in range(a, b):
+                at[i] = length
+                piece = " " if self.pieces[i] is None else "" if gone[i] else self.pieces[i]
+                parts.append(piece)
+                length += len(piece)
+            at[b], inside[a : b + 1] = length, True
+        text, found = "".join(parts), ([], [], [])
+        for e, h in hashes.items():
+            a, b = self.spans[e]
+            if inside[a] and inside[b] and text[at[a] : at[b]].strip():
+                for values, x in zip(found, (h, int(at[a]), int(at[b]))):
+                    values.append(x)
+        return text, *found
 
+    def text(self, template: set[int] = frozenset()) -> str:
+        raw, hashes, begins, ends = self.kept(self.subtrees() if template else {})
+        return plain(raw, [(a, b) for h, a, b in zip(hashes, begins, ends) if h in template])
+
+
+def plain(raw: str, cuts: list[tuple[int, int]] = ()) -> str:
+    """Raw text without the given stretches, character references decoded and white space evened out."""
+    if cuts:
+        parts, at = [], 0
+        for a, b in sorted(cuts):
+            parts.append(raw[at : max(at, a)])
+            at = max(at, b)
+        raw = "".join([*parts, raw[at:]])
+    return _SPACE.sub(" ", entities.unescape(raw)).strip(" ")
+
+
+def _slice_hashes(source: str, places: list[list[int]]) -> list[int]:
+    """64-bit hashes of parts of a text, runs of white space counting as one space, from one running sum."""
+    codes = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    count = np.ones(len(codes), bool)
+    count[1:] = ~(space[1:] & space[:-1])
+    place = np.concatenate([[0], np.cumsum(count)])
+    up, down = powers(len(codes) + 1)
+    terms = np.where(count, mix64(np.where(space, np.uint64(33), codes.astype(np.uint64) + np.uint64(1))), np.uint64(0)) * up[place[:-1]]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+    begins, ends = np.array(places).T
+    sizes = (place[ends] - place[begins]).astype(np.uint64)
+    return mix64((sums[ends] - sums[begins]) * down[place[begins]] + sizes * np.uint64(0x9E3779B97F4A7C15)).tolist()
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    """Of each page its raw text, where subtrees stand in it (hs, begins, ends), which article it is, and all subtrees' hashes."""
 
-def _signed(h: int) -> int:
-    return h - 2**64 if h >= 2**63 else h
+    def work(batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            rows = []
+            for source in part.column(4).to_pylist():
+                page = Page(source or "")
+                hashes = page.subtrees()
+                raw, hs, begins, ends = page.kept(hashes)
+                longest = page.longest(hashes)
+                article = xxhash.xxh64_intdigest(plain(raw).encode("utf-8", "replace"))
+                trees = sorted(set(hashes.values()))
+                # A block that tells articles apart doesn't tell what it is itself.
+                articles = [longest[0] if longest and longest[:1] == longest[1:] else next((x for x in longest if x != h), article) for h in trees]
+                rows.append((raw, _longs(hs), begins, ends, _longs(trees), _longs(articles)))
+            names = ("raw", "hs", "begins", "ends", "trees", "articles")
+            yield {c: part.column(i) for i, c in enumerate(("rid", "page_id", "url", "host"))} | dict(zip(names, map(list, zip(*rows))))
 
+    schema = "rid long, page_id long, url string, host long, raw string, hs array<long>, begins array<int>, ends array<int>, trees array<long>, articles array<long>"
+    return map_batches(pages.select("rid", "page_id", "url", "host", "html"), work, schema)
 
-def _subtrees(pages: DataFrame) -> DataFrame:
-    """(page_id, host, article, h): a row for each different container subtree of each page."""
+
+def _longs(hashes: list[int]) -> np.ndarray:
+    return signed(np.array(hashes, np.uint64))
+
+
+def _repeated(trees: DataFrame, wanted: BitFilter) -> DataFrame:
+    """trees without most of those whose hash h is not wanted."""
+    shared = trees.sparkSession.sparkContext.broadcast(wanted)
 
     def work(batch: pa.RecordBatch):
-        ids, hosts, sources = (batch.column(i).to_pylist() for i in range(3))
-        rows = []
-        for page_id, host, source in zip(ids, hosts, sources):
-            page = Page(source or "")
-            hashes = page.subtrees()
-            longest = page.longest(hashes)
-            article = xxhash.xxh64_intdigest(page.text().encode("utf-8", "replace"))
-            rows += [(page_id, host, _signed(longest[0] if longest and longest[:1] == longest[1:] else next((x for x in longest if x != h), article)), _signed(h)) for h in set(hashes.values())]
-        names = ("page_id", "host", "article", "h")
-        yield dict(zip(names, map(list, zip(*rows)))) if rows else {c: [] for c in names}
+        part = batch.filter(pa.array(shared.value.may_hold(batch.column(3).to_numpy())))
+        yield dict(zip(part.schema.names, part.columns))
 
-    return map_batches(pages.select("page_id", "host", "html"), work, "page_id long, host string, article long, h long")
+    return map_batches(trees.select("rid", "host", "article", "h"), work, "rid long, host long, article long, h long")
 
 
 def extract(pages: DataFrame, t: Template = Template()) -> DataFrame:
     """page_id, url, text and n_template (subtrees deleted as template) for each row of pages."""
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    pages = pages.withColumn("host", host)
-    known = pages.filter("page_id is not null and host <> ''")
-    trees = settle(_subtrees(known), "subtrees")
-    counts = trees.select("host", "h", "article").distinct().groupBy("host", "h").agg(F.count("*").alias("held")).filter(F.col("held") >= t.articles)
-    found = trees.join(counts.select("host", "h"), ["host", "h"]).groupBy("page_id").agg(F.collect_set("h").alias("template"))
-    joined = pages.select("page_id", "url", "html").join(found.hint("shuffle_hash"), "page_id", "left")
+    named = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    pages = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = pages.withColumn("host", F.when(F.col("page_id").isNotNull() & (named != ""), F.xxhash64(named)))
+    parsed = settle(_parsed(pages), "parsed", "zstd")
+    trees = parsed.filter("host is not null").select("rid", "host", F.inline(F.arrays_zip(F.col("trees").alias("h"), F.col("articles").alias("article"))))
+    # Few subtrees are on so many pages; the others needn't be told apart by article.
+    often = settle(trees.groupBy("host", "h").agg(F.count("*").alias("pages")).filter(F.col("pages") >= t.articles).select("host", "h"), "often")
+    trees = _repeated(trees, BitFilter(often.select("h").distinct()))
+    held = trees.select("host", "h", "article").distinct().groupBy("host", "h").agg(F.count("*").alias("held")).filter(F.col("held") >= t.articles)
+    template = settle(held.select("host", "h"), "template")
+    columns = ["page_id", "url", "raw", "hs", "begins", "ends", "trees"]
+    schema = "page_id long, url string, text string, n_template long"
+    if template.count() <= MOST_SENT:
+        shared = parsed.sparkSession.sparkContext.broadcast(_Keys(template))
+        own = lambda part: shared.value.among(part.column(7), part.column(6))
+        return map_batches(parsed.select(*columns, "host"), _cutting(own), schema)
+    found = trees.join(template, ["host", "h"]).groupBy("rid").agg(F.collect_set("h").alias("template"))
+    own = lambda part: [set(x or ()) for x in part.column(7).to_pylist()]
+    return map_batches(parsed.select("rid", *columns).join(found, "rid", "left").select(*columns, "template"), _cutting(own), schema)
+
+
+class _Keys:
+    """Template subtrees (host, h), of a checked number, in order of their hosts."""
+
+    def __init__(self, template: DataFrame):
+        rows = template.select("host", "h").toArrow()
+        host, h = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        order = np.argsort(host, kind="stable")
+        self.host, self.h = host[order], h[order]
+
+    def among(self, hosts: pa.Array, trees: pa.Array) -> list[set[int]]:
+        """Which of each page's subtrees are its host's templates."""
+        out, known = [], {}
+        for host, own in zip(hosts.to_pylist(), trees.to_pylist()):
+            if host not in known:
+                a, b = (0, 0) if host is None else (np.searchsorted(self.host, host, side) for side in ("left", "right"))
+                known[host] = set(self.h[a:b].tolist())
+            out.append(known[host].intersection(own))
+        return out
+
+
+def _cutting(templates):
+    """Work on batches whose columns are as in extract(); `templates` gives each page's."""
 
     def work(batch: pa.RecordBatch):
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             texts, n = [], []
-            for source, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                own = {h % 2**64 for h in template or ()}
-                page = Page(source or "")
-                texts.append(page.text(own))
+            for raw, hs, begins, ends, own in zip(*(part.column(i).to_pylist() for i in range(2, 6)), templates(part)):
+                texts.append(plain(raw, [(a, b) for h, a, b in zip(hs, begins, ends) if h in own]))
                 n.append(len(own))
             yield {"page_id": part.column(0), "url": part.column(1), "text": texts, "n_template": n}
 
-    return map_batches(joined.select("page_id", "url", "html", "template"), work, "page_id long, url string, text string, n_template long")
+    return work
