@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from tapewright.llm import _graph, bpe, decontaminate, html, lines, minhash, mpeg, pii, quality, queries, spans
@@ -157,6 +159,73 @@ def test_span_dedup_finds_passages_amid_sentences(spark):
     assert len(got[200].text.split()) >= spans.LEAST_WORDS
 
 
+def brute_shared(docs, least):
+    """By document, the places of words in runs of at least `least` words that a document of another id holds, too, and of those that one with a smaller id holds."""
+    words = {i: re.findall(WORD, lowered(t)) for i, t in docs}
+    held, earlier = {i: set() for i in words}, {i: set() for i in words}
+    for i, v in words.items():
+        known = {j: {tuple(w[k : k + least]) for k in range(len(w) - least + 1)} for j, w in words.items() if j != i}
+        for k in range(len(v) - least + 1):
+            for j, grams in known.items():
+                if tuple(v[k : k + least]) in grams:
+                    held[i] |= set(range(k, k + least))
+                    if j < i:
+                        earlier[i] |= set(range(k, k + least))
+    return words, held, earlier
+
+
+def test_span_dedup_against_brute_force(spark):
+    rng = random.Random(33)
+    # Every word of a document is a different one, so what is left shows what went.
+    pool = [f"w{i}" for i in range(4000)]
+    rng.shuffle(pool)
+    fresh = iter(pool)
+    take = lambda n: [next(fresh) for _ in range(n)]
+    passages = [[w + rng.choice(["", "", "", ".", ",", ";"]) for w in take(n)] for n in (20, 30, 33, 50, 51, 58, 70, 110)]
+    docs = []
+    for i in range(14):
+        out = take(rng.randrange(5, 40))
+        for p in rng.sample(passages, 3):
+            out += p + take(rng.randrange(3, 25))
+        docs.append((i, " ".join(out)))
+    words, held, earlier = brute_shared(docs, 50)
+    _, some, _ = brute_shared(docs, spans.LEAST_GONE)
+    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, docs)).collect()}
+    caught = 0
+    for i, _ in docs:
+        left = set(re.findall(WORD, lowered(got[i].text)))
+        gone = {k for k, w in enumerate(words[i]) if w not in left}
+        assert gone <= some[i] and got[i].n_words_removed == len(gone)
+        # Of each passage at most REACH words stay at either end.
+        inner = {k for k in earlier[i] if all(k + d in earlier[i] for d in range(-spans.REACH, spans.REACH + 1))}
+        assert inner <= gone
+        caught += len(gone)
+    assert caught > 300
+
+
+def test_span_dedup_leaves_repeats_inside_a_document_unless_asked(spark):
+    rng = random.Random(35)
+    block = prose(rng, 60)
+    docs = [(1, f"{block}. {prose(rng, 20)}. {block}."), (2, prose(rng, 90)), (3, "the " * 90 + prose(rng, 30)), (4, "the " * 95)]
+    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, docs)).collect()}
+    assert all(got[i].n_removed == 0 and got[i].text == t for i, t in docs)
+    assert {r.doc_id: r.n_words_removed for r in spans.dedup_spans(frame(spark, docs), within=True).collect()}[1] >= 44
+
+
+def test_span_dedup_edges(spark):
+    rng = random.Random(37)
+    long = " ".join(f"x{i}" for i in range(60_000))
+    same = prose(rng, 60)
+    docs = EDGES + [(30, long), (31, long), (40, same), (40, same), (40, prose(rng, 70)), (41, same), (None, same)]
+    rows = spans.dedup_spans(frame(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    assert sorted(len(r.text) for r in rows if r.doc_id == 31) == [0] and [r.text for r in rows if r.doc_id == 30] == [long]
+    assert sorted(r.n_removed > 0 for r in rows if r.doc_id == 40) == [False] * 3 and [r.text for r in rows if r.doc_id == 41] == [""]
+    assert all(r.text == (t or "") for r, t in zip(sorted((r for r in rows if r.doc_id in (1, 2, 3)), key=lambda r: r.doc_id), (None, "", " \n \t")))
+    assert [r.text for r in rows if r.doc_id is None and r.text == same]
+    assert spans.dedup_spans(frame(spark, [])).count() == 0
+
+
 def test_byte_bpe_equals_tiktoken_and_returns_the_text(spark):
     tiktoken = pytest.importorskip("tiktoken")
     ranks, pattern = queries.vocabulary()
@@ -187,9 +256,26 @@ def test_mpeg_round_trip_and_resynchronisation(spark):
     broken = bytearray(stream)
     broken[whole.offsets[2] + 10] ^= 1
     assert mpeg.read_stream(bytes(broken)).bad_crc == 1
+    assert whole.toc_off <= 1 and again.toc_off is not None
+    assert [whole.frame_at(t) for t in (0, 1151 / 48000, 1152 / 48000, -1, 99)] == [whole.offsets[0], whole.offsets[0], whole.offsets[1], None, None]
+    ape = b"APETAGEX" + struct.pack("<IIII", 2000, 40, 1, 0) + bytes(8)
+    tagged = mpeg.read_stream(stream + b"item: x" + b"\0" + ape + b"TAG".ljust(128, b"\0"))
+    assert tagged.tags == ["ID3v2.3", "ID3v1", "APE"] and tagged.skipped == 0 and tagged.payload == whole.payload
     assert mpeg.read_stream(b"").payload == b"" and mpeg.read_stream(b"\xff\xff\xff").skipped == 3
 
 
+def test_mpeg_layer_one_checksums_and_vbri_table():
+    head = bytes((0xFF, 0xFE, 0x44, 0xC0))  # Layer I, 128 kbit/s, 48 kHz, mono: 128 bytes
+    body = bytes(range(16))
+    crc = int(mpeg.crc16(np.frombuffer(head[2:] + body, np.uint8)[None])[0])
+    frame_ = (head + struct.pack(">H", crc) + body).ljust(128, b"\x11")
+    s = mpeg.read_stream(frame_ * 3 + frame_[:8] + b"\x7f" + frame_[9:])
+    assert (len(s.offsets), s.samples, s.checked, s.bad_crc) == (4, 4 * 384, 4, 1)
+    first = bytes((0xFF, 0xFB, 0x64, 0xC0)).ljust(36, b"\0") + b"VBRI" + struct.pack(">HHHII", 1, 0, 0, 4321, 77)
+    s = mpeg.read_stream(first.ljust(240, b"\0") + bytes((0xFF, 0xFB, 0x64, 0xC0)).ljust(240, b"\0") * 2)
+    assert (s.vbr_bytes, s.vbr_frames, len(s.offsets), s.checked) == (4321, 77, 2, 0)
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits))) % 10 == 0
 
