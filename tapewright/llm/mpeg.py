@@ -3,11 +3,13 @@
 write_stream lays a payload out as the ancillary bytes of MPEG-1 Layer III
 frames (mono, 48 kHz, checksummed, silent), 192 bytes to a frame, at two bit
 rates, behind an ID3v2 tag and a frame with a Xing table.  read_stream parses
-tags at either end, finds frame headers, resynchronises after foreign bytes
-(a header that does not directly follow a frame counts only if another one or
-the end follows its own frame),
-checks the checksums, reads the Xing table, and gives exact durations (samples
-and rate) and the byte offset of every frame, which is the seek table.
+tags at either end (ID3v2, ID3v1, APE), finds frame headers, resynchronises
+after foreign bytes (a header that does not directly follow a frame counts only
+if another one or the end follows its own frame), checks the checksums of
+Layers I and III (what one of Layer II covers depends on its allocation, so
+those frames count as not checked), reads the Xing or VBRI table and holds its
+marks against the frames, and gives exact durations (samples and rate) and the
+byte offset of every frame, which is the seek table.
 
 Edge cases: null and empty texts are 192 spaces; equal texts give equal bytes;
 a stream without any frame has no frames, rate 0 and an empty payload; a null
@@ -51,6 +53,8 @@ class Header:
     size: int
     checked: bool
     side: int
+    #: Bytes behind the checksum that it covers; 0 if that is not known.
+    covered: int
 
 
 @cache
@@ -67,7 +71,9 @@ def header_of(b1: int, b2: int, b3: int) -> Header | None:
     size = (samples // 32 * kbps * 1000 // rate + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + padding
     mono = b3 >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if major == 1 else (9 if mono else 17)
-    return Header(layer, kbps, rate, samples, size, not b1 & 1, side)
+    bound = 4 * (b3 >> 4 & 3) + 4 if b3 >> 6 == 1 else 32  # from here on both channels share their allocation
+    covered = {1: 16 if mono else bound + (32 - bound) // 2, 2: 0, 3: side}[layer]
+    return Header(layer, kbps, rate, samples, size, not b1 & 1, side, covered)
 
 
 @cache
@@ -127,6 +133,8 @@ class Stream:
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
     toc: bytes = b""
+    #: How far a mark of the table is from its frame at most, in 256ths of the stream; None without a table.
+    toc_off: int | None = None
     payload: bytes = b""
 
     @property
@@ -137,6 +145,11 @@ class Stream:
     def rate(self) -> int:
         return self.headers[0].rate if self.headers else 0
 
+    def frame_at(self, seconds: float) -> int | None:
+        """The byte offset of the frame that sounds at a time; None outside the stream."""
+        at = np.searchsorted(np.cumsum([h.samples for h in self.headers]), seconds * self.rate, side="right")
+        return self.offsets[at] if seconds >= 0 and at < len(self.offsets) else None
+
 
 def _header_at(data: bytes, at: int) -> Header | None:
     return header_of(data[at + 1], data[at + 2], data[at + 3]) if at + 4 <= len(data) and data[at] == 0xFF else None
@@ -153,7 +166,13 @@ def read_stream(data: bytes) -> Stream:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         s.tags.append("ID3v1")
         end -= 128
-    first, synced = True, False
+    if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        size, flags = (int.from_bytes(data[end - k : end - k + 4], "little") for k in (20, 12))
+        size += 32 * (flags >> 31)
+        if 32 <= size <= end - at:
+            s.tags.append("APE")
+            end -= size
+    first, synced, begin = True, False, at
     while at < end:
         h = _header_at(data, at)
         after = at + h.size if h else 0
@@ -172,20 +191,27 @@ def read_stream(data: bytes) -> Stream:
                 s.vbr_bytes, mark = int.from_bytes(data[mark : mark + 4], "big"), mark + 4
             if flags & 4:
                 s.toc = data[mark : mark + 100]
+            begin = at
+        elif first and data[at + 36 : at + 40] == b"VBRI":
+            s.vbr_bytes, s.vbr_frames = (int.from_bytes(data[at + 46 + k : at + 50 + k], "big") for k in (0, 4))
         else:
             s.offsets.append(at)
             s.headers.append(h)
         first, synced, at = False, True, after
     _check(s, data)
+    if len(s.toc) == 100 and s.offsets:
+        n = len(s.offsets)
+        exact = (np.array(s.offsets)[np.arange(100) * n // 100] - begin) * 256 // max(1, s.vbr_bytes or end - begin)
+        s.toc_off = int(np.abs(np.minimum(255, exact) - np.frombuffer(s.toc, np.uint8)).max())
     return s
 
 
 def _check(s: Stream, data: bytes) -> None:
-    """Checksums of Layer III frames, and the payload of frames that have room for it."""
+    """Checksums of frames, and the payload of those that have room for it."""
     raw, at = np.frombuffer(data, np.uint8), np.array(s.offsets, np.int64)
-    side = np.array([h.side if h.checked and h.layer == 3 else -1 for h in s.headers], np.int64)
-    for n in {int(x) for x in side if x >= 0}:
-        own = at[side == n]
+    sizes = np.array([h.covered if h.checked and h.covered and h.size >= 6 + h.covered else 0 for h in s.headers], np.int64)
+    for n in {int(x) for x in sizes if x > 0}:
+        own = at[sizes == n]
         stored = raw[own + 4].astype(np.uint32) << 8 | raw[own + 5]
         covered = np.concatenate([raw[own[:, None] + np.arange(2, 4)], raw[own[:, None] + 6 + np.arange(n)]], 1)
         s.checked += len(own)
@@ -218,10 +244,10 @@ def read(media: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x.offsets) for x in s])]).astype(np.int32)
             yield {
                 "doc_id": batch.column(0).slice(a, b - a), "n_bytes": batch.column(1).slice(a, b - a), "media": batch.column(2).slice(a, b - a),
-                "payload": pa.array([x.payload for x in s], pa.binary()), "frames": [len(x.offsets) for x in s], "samples": [x.samples for x in s], "rate": [x.rate for x in s],
+                "payload": pa.array([x.payload for x in s], pa.binary()), "frames": [len(x.offsets) for x in s], "samples": [x.samples for x in s], "rate": [x.rate for x in s], "seconds": [x.samples / x.rate if x.rate else 0.0 for x in s], "toc_off": [x.toc_off for x in s],
                 "kbps": [sorted({h.kbps for h in x.headers}) for x in s], "checked": [x.checked for x in s], "bad_crc": [x.bad_crc for x in s], "skipped": [x.skipped for x in s], "tags": [x.tags for x in s],
                 "vbr_frames": [x.vbr_frames for x in s], "vbr_bytes": [x.vbr_bytes for x in s], "toc": pa.array([x.toc for x in s], pa.binary()),
                 "seek": pa.ListArray.from_arrays(ends, np.concatenate([np.array(x.offsets, np.int64) for x in s])),
             }
 
-    return map_batches(media.select("doc_id", "n_bytes", "media"), work, "doc_id long, n_bytes long, media binary, payload binary, frames long, samples long, rate long, kbps array<int>, checked long, bad_crc long, skipped long, tags array<string>, vbr_frames long, vbr_bytes long, toc binary, seek array<long>")
+    return map_batches(media.select("doc_id", "n_bytes", "media"), work, "doc_id long, n_bytes long, media binary, payload binary, frames long, samples long, rate long, seconds double, toc_off long, kbps array<int>, checked long, bad_crc long, skipped long, tags array<string>, vbr_frames long, vbr_bytes long, toc binary, seek array<long>")

@@ -43,8 +43,8 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mpeg.read(mpeg.store(_table(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in {
-        "frames": F.col("frames"), "samples": F.col("samples"), "rate": F.col("rate"), "kbps": F.concat_ws("+", F.col("kbps").cast("array<string>")), "crc": F.concat(F.col("checked") - F.col("bad_crc"), F.lit("/"), F.col("checked")),
-        "tags": F.concat_ws("+", "tags"), "vbr": F.concat(F.col("vbr_frames"), F.lit("/"), F.col("vbr_bytes")), "toc": F.crc32("toc"), "seek": F.concat(F.element_at("seek", 1), F.lit("-"), F.element_at("seek", -1)),
+        "frames": F.col("frames"), "samples": F.col("samples"), "rate": F.col("rate"), "seconds": F.format_number("seconds", 6), "kbps": F.concat_ws("+", F.col("kbps").cast("array<string>")), "crc": F.concat(F.col("checked") - F.col("bad_crc"), F.lit("/"), F.col("checked")),
+        "tags": F.concat_ws("+", "tags"), "vbr": F.concat(F.col("vbr_frames"), F.lit("/"), F.col("vbr_bytes")), "toc": F.crc32("toc"), "toc_off": F.col("toc_off"), "seek": F.crc32(F.concat_ws(",", F.col("seek").cast("array<string>")).cast("binary")),
     }.items()))
     tail = F.crc32(F.substring("payload", -16, 16))
     return stored.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
