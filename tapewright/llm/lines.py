@@ -65,6 +65,22 @@ class LineRuns:
     def standing(self) -> list[DataFrame]:
         return [run for level in reversed(self.levels) for run in level]
 
+    def save(self, path: str) -> None:
+        """Writes the runs that stand to a new folder, from where a later job takes them up."""
+        for level, runs in enumerate(self.levels):
+            for i, run in enumerate(runs):
+                run.write.parquet(f"{path}/level={level}/run={i}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, fanout: int = 4) -> LineRuns:
+        """Runs that save() has written."""
+        whole = spark.read.parquet(path)
+        places = sorted(tuple(r) for r in whole.select("level", "run").distinct().collect())  # a row for each run
+        levels: list[list[DataFrame]] = [[] for _ in range(max((x for x, _ in places), default=-1) + 1)]
+        for level, i in places:
+            levels[level].append(whole.filter((F.col("level") == level) & (F.col("run") == i)).drop("level", "run"))
+        return cls(fanout, levels)
+
     def keys(self, spark: SparkSession) -> DataFrame:
         out = spark.createDataFrame([], "k1 long, k2 long, first_doc long")
         for run in self.standing():
@@ -79,12 +95,15 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return lines.select("doc_id", "at", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(17), "key").alias("k2"))
 
 
-def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc_id, places): where lines to drop stand in any row of a document, and the first half of their keys."""
+def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3, runs: LineRuns | None = None) -> DataFrame:
+    """(doc_id, places): where lines to drop stand in any row of a document, and the first half of their keys.
+
+    runs: those of earlier jobs, whose doc_ids are all less than those of docs; the new ones are added to them.
+    """
     lines = settle(_lines(docs, least), "lines")
     cuts = lines.agg(F.expr(f"approx_percentile(doc_id, {'array(' + ', '.join(str(i / batches) for i in range(1, batches)) + ')'}, 1000)").alias("q")).first().q or []
     bounds = sorted(set(cuts))
-    runs = LineRuns(fanout)
+    runs = LineRuns(fanout) if runs is None else runs
     for low, high in zip([None, *bounds], [*bounds, None]):
         batch = lines if low is None else lines.filter(F.col("doc_id") > low)
         runs.add(batch if high is None else batch.filter(F.col("doc_id") <= high))
@@ -92,9 +111,9 @@ def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: i
     return late.groupBy("doc_id").agg(F.collect_set(F.struct("at", "k1")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with the text that stays; n_lines and n_dropped come last. A null text stays null."""
-    places = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), least, batches, fanout)
+def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3, runs: LineRuns | None = None) -> DataFrame:
+    """docs with the text that stays; n_lines and n_dropped come last. A null text stays null. runs: see repeated_lines."""
+    places = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), least, batches, fanout, runs)
     rows = docs.select(whole_row(docs).alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long"))
     text = F.col("row.text").cast("string")
     joined = rows.join(places.hint("shuffle_hash"), "doc_id", "left").withColumn("lines", F.split(F.coalesce(text, F.lit("")), "\n"))
@@ -103,7 +122,10 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int
     joined = joined.withColumn("gone", F.when(F.col("places").isNotNull(), F.transform(own, lambda p: p["at"])))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n")
-    text = F.when(F.size("gone") > 0, kept).otherwise(text)
-    columns = dict(zip(docs.columns, columns_of(F.col("row"), docs.columns))) | {"text": text.alias("text")}
-    counts = {"n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    return joined.select(*(c for k, c in columns.items() if k not in counts), *(c.alias(k) for k, c in counts.items()))
+    new = {"text": F.when(F.size("gone") > 0, kept).otherwise(text), "n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    joined = joined.select("row", F.struct(*(c.alias(k) for k, c in new.items())).alias("new"))
+    columns = dict(zip(docs.columns, columns_of(F.col("row"), docs.columns)))
+    for k in ("n_lines", "n_dropped"):
+        columns.pop(k, None)  # they come last
+    columns |= {k: F.col("new").getField(k).alias(k) for k in new}
+    return joined.select(*columns.values())

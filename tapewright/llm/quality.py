@@ -198,4 +198,5 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, t: Training = Training(
             yield batch.filter(pa.array(np.concatenate(keep)))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(work, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any name may be among them
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
