@@ -44,6 +44,10 @@ def _market(p: Panel) -> DataFrame:
     return p.market_data.filter("Ticker = '^N'").select("Date", "C")
 
 
+#: What factors and metrics read many times.
+_REUSED = ("bars", "dividends", "prices", "income")
+
+
 def _factors(p: Panel) -> DataFrame:
     return factors.build_factors(p.prices, p.dividends, _market(p), p.income, p.balance, p.cashflow, p.companies)
 
@@ -189,6 +193,7 @@ def i17_quarters_vs_fy(p):
 
 
 def _tables(p: Panel) -> dict[str, DataFrame]:
+    p.settle("bars", "income")
     return {"prices": p.faulty, "market_data": p.market_data, "dividends": p.dividends, "splits": p.splits, "income": p.income, "balance": p.balance, "cashflow": p.cashflow}
 
 
@@ -406,7 +411,7 @@ _ALL_FACTORS = f"{_FUND}, {_PF}, {_GROWTH}, factors as (select * from ident left
 
 @_query(f"""with {_ALL_FACTORS} select Ticker, "name", sector, industry, round("close"+1e-8,6) "close", round(mcap+1.3e-5,2) mcap, mcap_bn, {_SIX}, round(ret_12_1,6) ret_12_1, round(ret_6m,6) ret_6m, round(high_52w,6) high_52w, round(vol_252,6) vol_252, round(beta,4) beta, round(div_growth,6) div_growth from factors""")
 def k9_build_factors(p):
-    built = _factors(p).withColumns({"close": F.col("close") + 1e-8, "mcap": F.round(F.col("mcap") + 1.3e-5, 2), "beta": F.round("beta", 4)})
+    built = _factors(p.settle(*_REUSED)).withColumns({"close": F.col("close") + 1e-8, "mcap": F.round(F.col("mcap") + 1.3e-5, 2), "beta": F.round("beta", 4)})
     return _rounded(built)
 
 
@@ -425,6 +430,7 @@ def _metrics(p: Panel) -> DataFrame:
 
 
 def _full_pool(p: Panel) -> DataFrame:
+    p.settle(*_REUSED)
     return screening.merge_pool(_metrics(p), _factors(p))
 
 

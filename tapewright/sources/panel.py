@@ -94,6 +94,17 @@ class Panel:
             raise AttributeError(name)
         return self[name]
 
+    def settle(self, *names: str) -> Panel:
+        """Writes these views once, in the shared scratch folder, for queries that use them many times; views over them then read what is written."""
+        from tapewright.streaming.ingest import stream_root
+
+        root = stream_root(self.spark)
+        for name in names:
+            df = self.prices if name == "prices" else self[name]
+            df.write.parquet(f"{root}/{name}")
+            self._known[name] = self.spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        return self
+
     @property
     def prices(self) -> DataFrame:
         """Bars with the dividend-adjusted close AC."""
