@@ -1,0 +1,205 @@
+"""Defined results of the corpus operators for nulls, empty, long and repeated rows, empty tables and clashing columns."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tapewright.llm import bpe, decontaminate, html, lines, minhash, mpeg, pii, quality, queries, spans
+
+from test_corpus import EDGES, WORD, frame, lowered, prose
+
+#: Names that the operators use inside, or add.
+CLASHING = ["row", "digest", "rid", "gone", "_gone", "_bad", "_id", "_lines", "places", "lines", "spans", "items", "h", "at", "score", "kept", "rep", "component_id", "n_lines", "n dots.and `ticks`"]
+
+
+def clashing(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("doc_id", *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)), "text")
+
+
+def labels(spark, bad=()):
+    return spark.createDataFrame([(i, int(i not in bad), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+
+
+def test_every_operator_takes_empty_tables_and_clashing_columns(spark):
+    ranks, pattern = queries.vocabulary()
+    items = spark.createDataFrame([(1, "a b c d", 0)], "item_id long, text string, h int")
+    for rows in ([], [(1, "one two three"), (2, None), (None, "x"), (1, "one two three")]):
+        docs = clashing(spark, rows)
+        assert decontaminate.contamination(docs, items).count() == len(rows)
+        assert bpe.round_trip(docs, ranks, pattern).count() == bpe.encode(docs, ranks, pattern).count() == len(rows)
+        assert bpe.section_counts(docs, ranks, pattern).count() == len(rows)
+        assert minhash.near_duplicates(docs).count() == len(rows)
+        assert mpeg.read(mpeg.store(docs)).count() == len(rows)
+        assert pii.personal_data(docs).count() == len(rows)
+        assert spans.dedup_spans(docs).count() == len(rows)
+        assert quality.score(docs, quality.train(docs, quality.learnable(labels(spark)))).count() == len(rows)
+        assert lines.dedup_lines(docs).count() == len(rows)
+        kept = [minhash.drop_near_duplicates(docs), decontaminate.drop_contaminated(docs, items), quality.drop_low_quality(docs, labels(spark))]
+        for df in kept:
+            assert df.columns == docs.columns and df.count() <= len(rows)
+        assert lines.dedup_lines(docs).columns == [*(c for c in docs.columns if c != "n_lines"), "n_lines", "n_dropped"]
+
+
+def test_drops_judge_each_row_by_its_own_text(spark):
+    rng = random.Random(41)
+    good, other = prose(rng, 80), prose(rng, 80)
+    item = " ".join(f"bench{i}" for i in range(10))
+    docs = clashing(spark, [(1, good), (1, f"{other} {item}"), (2, f"{item} {good[:40]}"), (None, item), (None, other), (3, None)])
+    got = sorted((str(r.doc_id), r.text) for r in decontaminate.drop_contaminated(docs, spark.createDataFrame([("q", item)], "item_id string, text string")).collect())
+    assert got == sorted([("1", good), ("None", other), ("3", None)], key=str)
+
+    bad = lambda: prose(rng, 60).upper().replace(" ", "!! ")
+    rows = [(i, prose(rng, 60) if i % 4 else bad()) for i in range(200)]
+    marks = labels(spark, bad={i for i in range(0, 200, 4)})
+    mixed = [(1, bad()), (300, prose(rng, 60)), (300, bad()), (None, prose(rng, 60)), (None, bad())]
+    kept = quality.drop_low_quality(clashing(spark, rows + mixed), marks).collect()
+    texts = {r.text for r in kept}
+    assert {t for _, t in mixed} & texts == {mixed[1][1], mixed[3][1]}
+
+
+def test_near_duplicate_drop_keeps_one_of_equal_rows(spark):
+    rng = random.Random(43)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, a), (2, a), (5, b), (5, b + " one more"), (6, b), (None, a), (None, a), (7, None), (7, "")]
+    got = sorted((str(r.doc_id), r.text or "") for r in minhash.drop_near_duplicates(clashing(spark, rows)).collect())
+    assert got == sorted([("1", a), ("5", b), ("5", b + " one more"), ("None", a), ("None", a), ("7", ""), ("7", "")])
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    first = "a common line one"
+    rows = [(1, first), (2, f"{first}\ntail of the second"), (2, "unique first line here\nanother unique line"), (2, f"tail of the second\n{first}"), (None, first)]
+    got = sorted((str(r.doc_id), r.text, r.n_dropped) for r in lines.dedup_lines(clashing(spark, rows)).collect())
+    assert got == sorted([("1", first, 0), ("2", "tail of the second", 1), ("2", "unique first line here\nanother unique line", 0), ("2", "tail of the second", 1), ("None", first, 0)])
+    long = "\n".join(f"line number {i} of many" for i in range(30_000))
+    got = {r.doc_id: r for r in lines.dedup_lines(frame(spark, [(1, long), (2, long + "\nthe last line is new"), (3, None)])).collect()}
+    assert got[1].n_dropped == 0 and got[2].text == "the last line is new" and got[2].n_dropped == 30_000 and got[3].text is None
+
+
+def test_line_runs_are_taken_up_by_a_later_job(spark, tmp_path):
+    rng = random.Random(57)
+    pool = [f"a line that is common {i}" for i in range(40)]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(5))) for i in range(60)]
+    whole = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs)).collect()}
+    runs = lines.LineRuns(2)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs[:35]), batches=3, runs=runs).collect()}
+    runs.save(f"{tmp_path}/runs")
+    got |= {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs[35:]), batches=2, runs=lines.LineRuns.load(spark, f"{tmp_path}/runs", 2)).collect()}
+    assert got == whole
+
+
+def test_offsets_and_counts_equal_brute_force(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = queries.vocabulary()
+    ref = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.parse_ranks(ranks), special_tokens={})
+    rng = random.Random(45)
+    alphabet = [*"ab cd\n\n .1", "é", "ß", "あ", "中", "😀", "́", "\U0010ffff"]
+    docs = EDGES + [(100 + i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(80)))) for i in range(200)]
+    starts = {(r.doc_id, tuple(r.ids)): list(r.starts) for r in bpe.encode(frame(spark, docs), ranks, pattern).collect()}
+    counted = {}
+    for r in bpe.section_counts(frame(spark, docs), ranks, pattern).collect():
+        counted.setdefault(r.doc_id, r)
+    for i, t in docs:
+        t, ids = t or "", ref.encode_ordinary(t or "")
+        char_at, at = [], 0
+        for k, c in enumerate(t):
+            char_at += [k] * len(c.encode())
+        heads = {len(t[:k].encode()) for k in range(len(t) + 1)}
+        line_of = np.cumsum([0, *(c == "\n" for c in t)])
+        first, tokens, crossing, split = [], [0] * (t.count("\n") + 1), 0, 0
+        for x in ids:
+            n = len(ref.decode_single_token_bytes(x))
+            a, b = char_at[at], char_at[at + n - 1]
+            first.append(a)
+            tokens[line_of[a]] += 1
+            crossing += line_of[b] > line_of[a]
+            split += at not in heads or at + n not in heads
+            at += n
+        assert starts[i, tuple(ids)] == first
+        r = counted[i]
+        assert (list(r.tokens), r.n_crossing, r.n_split, r.n_tokens) == (tokens, crossing, split, len(ids)), t
+        assert list(r.starts) == [0, *(k + 1 for k, c in enumerate(t) if c == "\n")]
+
+
+def test_long_texts_are_scored_as_short_ones_are():
+    rng = random.Random(47)
+    table = np.random.default_rng(1).normal(0, 1, (quality.GROUPS, 2**quality.BITS)).astype(np.float32)
+    for text in (prose(rng, 40_000).encode(), b"x" * 600_000, b"a b c " * 90_000):
+        assert np.allclose(quality._mean_of_long(text, table), quality._means([text], table), rtol=1e-4, atol=1e-5)
+
+
+def test_quality_of_repeated_rows_and_edges(spark):
+    rows = EDGES + [(7, "same text"), (7, "same text"), (7, "other text")]
+    docs = frame(spark, rows)
+    got = quality.score(docs, quality.train(docs, quality.learnable(labels(spark)))).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    empty = frame(spark, [])
+    assert quality.score(empty, quality.train(empty, quality.learnable(labels(spark)))).count() == 0
+
+
+def test_personal_data_of_repeated_rows(spark):
+    rows = [(1, "a@b.cd"), (1, "a@b.cd"), (1, "no"), (None, "10.0.0.1"), (2, None), (3, "x" * 200_000 + " a@b.cd")]
+    got = sorted((str(r.doc_id), [(s.kind, s.start) for s in r.spans]) for r in pii.personal_data(clashing(spark, rows)).collect())
+    assert got == sorted([("1", [("email", 0)]), ("1", [("email", 0)]), ("1", []), ("None", [("ip", 0)]), ("2", []), ("3", [("email", 200_001)])])
+
+
+def test_pages_of_two_hosts_with_one_id_deep_and_long_pages(spark):
+    rng = random.Random(49)
+    box = {h: f"<div class=x><b>{h} says hello to all of you</b></div>" for h in "ab"}
+    rows = [(i, f"https://{h}.example/{i}", f"<body>{box[h]}<p>{prose(rng, 12)}</p></body>") for h in "ab" for i in range(6)]
+    # A page of host a that quotes what host b repeats.
+    rows.append((3, "https://a.example/quote", f"<body>{box['b']}<p>{prose(rng, 12)}</p></body>"))
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    long = "<p>" + prose(rng, 60_000) + "</p>"
+    rows += [(50, "https://c.example/1", deep), (51, "https://c.example/2", long), (52, None, "<p>no host</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("raw", "host", "rid", "trees", "template", "h")})
+    got = {r.url: r.text for r in html.extract(pages).collect()}
+    assert len(got) == len(rows)
+    for _, url, source in rows[:12]:
+        assert got[url] == re.search("<p>(.*?)</p>", source)[1]
+    assert got["https://a.example/quote"].startswith("b says hello") and got["https://c.example/1"] == "deep text" and len(got["https://c.example/2"]) == len(long) - 7 and got[None] == "no host"
+
+
+def test_templates_are_the_same_whichever_way_they_travel(spark, monkeypatch):
+    rng = random.Random(51)
+    rows = [(i, f"https://h{i % 3}.example/{i}", f"<body><div><i>menu {i % 3}</i></div><article><p>{prose(rng, 15)}</p><p>read on here</p></article></body>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent = sorted(html.extract(pages).collect())
+    monkeypatch.setattr(html, "MOST_SENT", -1)
+    assert sorted(html.extract(pages).collect()) == sent and any(r.n_template for r in sent)
+
+
+def test_contamination_of_repeated_rows_and_many_items(spark):
+    rng = random.Random(53)
+    items = [(k, prose(rng, 12)) for k in range(50)]
+    rows = [(1, items[3][1]), (1, "clean words only"), (1, items[3][1]), (None, re.sub("[a-z]", lambda m: m[0].upper(), items[7][1])), (2, None)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(clashing(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == sorted([("1", 12, 12, ["3"]), ("1", 3, 0, []), ("1", 12, 12, ["3"]), ("None", 12, 12, ["7"]), ("2", 0, 0, [])])
+    assert len(re.findall(WORD, lowered(items[7][1]))) == 12
+
+
+def test_pipeline_takes_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(55)
+    docs = [(i, prose(rng, 60), "en", "s", 0) for i in range(40)] + [(900, None, None, None, None), (901, "", "en", "s", 0), (None, prose(rng, 60), "en", "s", 0), (5, prose(rng, 60), "en", "s", 0), (902, "x" * 50_000, "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("some", docs), ("none", [])):
+        root = f"{tmp_path}/{name}"
+        df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in ("row", "digest", "gone", "places")})
+        df.write.parquet(f"{root}/documents.parquet")
+        labels(spark).write.parquet(f"{root}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+        kept = df
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, kept, root)
+            if stage_name != "encoding":
+                assert out.columns == df.columns
+            out.write.parquet(f"{root}/{stage_name}")
+            kept = spark.read.parquet(f"{root}/{stage_name}")
+        ids = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, root).collect())
+        assert ids == sorted(str(r.doc_id) for r in kept.collect())
+        assert len(ids) <= len(rows) and (not rows or {"None", "5"} <= set(ids))
