@@ -75,21 +75,21 @@ def _positions(docs: DataFrame, maybe: BitFilter, sizes: list[int], window: int)
             lists = {"h": signed(h), "at": (at - first).astype(np.int32), "back": (at - begin).astype(np.int32), "around": pa.array(around, pa.string())}
             yield {"rid": rids.slice(a, b - a), "doc_id": ids.slice(a, b - a), "n_words": counts} | {c: pa.ListArray.from_arrays(ends, x) for c, x in lists.items()}
 
-    return map_batches(docs, work, f"rid {docs.schema['rid'].dataType.simpleString()}, doc_id long, n_words long, h array<long>, at array<int>, back array<int>, around array<string>")
+    return map_batches(docs, work, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, h array<long>, at array<int>, back array<int>, around array<string>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted item ids as strings) and spans (start, m) of window occurrences for each row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _contained(rows, items, window, k).drop("rid")
+    return _contained(rows, items, window, k)
 
 
 def _contained(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """contamination() with rid for rows (rid, doc_id, text); those that share a rid have one text."""
+    """contamination() for rows (rid, doc_id, text), each with a rid of its own; doc_id is only passed on and may be of any type."""
     windows = settle(benchmark_windows(items, window, k), "windows")
     parts = windows.select("win", "m", F.size("hs").alias("per"), F.posexplode("hs").alias("o", "h")).distinct()
     sizes = sorted(m - per + 1 for m, per in parts.select("m", "per").distinct().collect())
-    found = settle(_positions(docs, BitFilter(parts.select("h").distinct()), sorted(set(sizes)), window), "positions")
+    found = settle(_positions(docs, BitFilter(parts.select("h").distinct(), 1024), sorted(set(sizes)), window), "positions")
     hits = found.select("rid", "n_words", F.inline(F.arrays_zip("h", "at", "back", "around")))
     counts = hits.groupBy("h").agg(F.count("*").alias("held"))
     # A shingle that no document holds rules its window out.
@@ -104,13 +104,13 @@ def _contained(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFr
     words = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["m"] - 1))))
     out = found.select("rid", "doc_id", "n_words").join(spans, "rid", "left").join(named, "rid", "left")
     none: Column = F.array().cast("array<string>")
-    return out.select("rid", "doc_id", "n_words", F.coalesce(F.size(words), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), "spans")
+    return out.select("doc_id", "n_words", F.coalesce(F.size(words), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), "spans")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose own text holds a benchmark window; all columns are kept."""
     text = F.col("row.text").cast("string")
-    rows = docs.select(whole_row(docs).alias("row")).withColumn("rid", F.unhex(F.md5(text.cast("binary"))))
-    found = _contained(rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text")), items, WINDOW, SHINGLE)
-    bad = settle(found.filter("n_hit > 0").select("rid").distinct(), "contaminated")
-    return rows.join(bad, "rid", "left_anti").select(*columns_of(F.col("row"), docs.columns))
+    rows = docs.select(whole_row(docs).alias("row")).withColumn("digest", F.unhex(F.md5(text.cast("binary"))))
+    found = _contained(rows.select(F.monotonically_increasing_id().alias("rid"), F.col("digest").alias("doc_id"), text.alias("text")), items, WINDOW, SHINGLE)
+    bad = settle(found.filter("n_hit > 0").select(F.col("doc_id").alias("digest")).distinct(), "contaminated")
+    return rows.join(bad, "digest", "left_anti").select(*columns_of(F.col("row"), docs.columns))
