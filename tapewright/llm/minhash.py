@@ -205,7 +205,10 @@ def _rest(scored: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFram
     centre = labels.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
     stars = scored.join(homes, "b").join(named, "b", "left").join(centre, "a", "left")
     stars = stars.select("a", "b", "nb", "shared", "home", F.coalesce("of_b", "b").alias("of_b"), (F.coalesce("of_b", "b") != F.coalesce("of_a", "a")).alias("apart"))
+    # Settled, so that a star's rows aren't counted in the task that joined its centre.
+    stars = settle(stars, "placed")
     split = stars.groupBy("a").agg(F.max("apart").alias("some"), F.count("*").alias("held"), F.min("home").alias("h1"), F.max("home").alias("h2")).filter("some and held > 1 and (h1 <> h2 or h1 = a)").select("a")
+    split = settle(split, "split")
     stars = settle(stars.join(split, "a", "left_semi"), "apart")
     outside = _beside(stars, sets).select("a", "b", "nb", "shared", "home", "of_b", "apart", F.explode(F.array_except("s_b", "s_a")).alias("h"))
     outside = settle(outside, "outside")
