@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,6 +35,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system (where its C library can): workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def columns_of(row: Column, names: list[str]) -> list[Column]:
     """The fields of a struct under their own names: rows travel as one struct, so that no name of theirs meets an inner one."""
     return [row.getField(c).alias(c) for c in names]
@@ -92,5 +101,6 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]],
             if batch.num_rows:
                 for columns in work(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in target], schema=target)
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -55,7 +55,7 @@ class ByteBPE:
     """Each match of `pattern` is encoded by itself; matches met before come from a bounded memory."""
 
     #: Matches of either of two generations, and the longest match that is remembered.
-    REMEMBERED, LONGEST = 150_000, 64
+    REMEMBERED, LONGEST = 100_000, 64
 
     def __init__(self, content: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,7 +66,7 @@ class ByteBPE:
         shown = byte_characters()
         name = {t: "".join(shown[b] for b in t) for t in ranks}
         merges = [(name[t[:i]], name[t[i:]]) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.tokenizer = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges))
+        self.tokenizer = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}  # ids as 32-bit numbers
