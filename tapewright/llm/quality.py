@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, SLICE_BYTES, mix64, shingles, slices, words_of
-from ._spark import bounded_batches, map_batches
+from ._spark import bounded_batches, give_back, map_batches
 
 BITS, DIM, GROUPS = 16, 8, 3
 
@@ -52,7 +52,7 @@ def char_grams(text: bytes, starts: int) -> Iterator[np.ndarray]:
 
 
 def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each group the buckets of all texts' features, and their bounds by text."""
+    """For each group the buckets of all texts' features, and which text each is of."""
     sizes = np.array([len(t) + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts)), sizes)
     left = np.cumsum(sizes)[owner] - 1 - np.arange(len(owner))
@@ -61,7 +61,7 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         inside = left[: len(buckets)] >= n
         grams.append(buckets[inside])
         owners.append(owner[: len(buckets)][inside])
-    return [_grouped(np.concatenate(grams), np.concatenate(owners), len(texts)), *word_features(texts)]
+    return [(np.concatenate(grams), np.concatenate(owners)), *word_features(texts)]
 
 
 def word_features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -71,17 +71,12 @@ def word_features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     pairs = shingles(w.hashes, 2)
     same = text_of[1:] == text_of[:-1]
     top = np.uint64(64 - BITS)
-    words = _grouped(np.concatenate([mix64(w.hashes) >> top, pairs[same] >> top]), np.concatenate([text_of, text_of[1:][same]]), len(texts))
-    again = np.zeros(len(w.hashes), np.int64)
+    words = np.concatenate([mix64(w.hashes) >> top, pairs[same] >> top]).astype(np.uint32)
+    again = np.zeros(len(w.hashes), np.uint32)
     for lag in (1, 2):
         if len(again) > lag:
-            again[lag:] |= ((w.hashes[lag:] == w.hashes[:-lag]) & (text_of[lag:] == text_of[:-lag])).astype(np.int64)
-    return [words, (again, w.bounds)]
-
-
-def _grouped(buckets: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(owner, kind="stable")
-    return buckets[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+            again[lag:] |= (w.hashes[lag:] == w.hashes[:-lag]) & (text_of[lag:] == text_of[:-lag])
+    return [(words, np.concatenate([text_of, text_of[1:][same]])), (again, text_of)]
 
 
 def fit(texts: list[bytes], labels: list[int], t: Training) -> tuple[np.ndarray, float]:
@@ -89,15 +84,15 @@ def fit(texts: list[bytes], labels: list[int], t: Training) -> tuple[np.ndarray,
     rng = np.random.Generator(np.random.PCG64(t.seed))
     vectors = rng.normal(0, 1 / DIM, (GROUPS, 2**BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    rows = []
-    for text in texts:
-        rows.append([(u, (c / c.sum()).astype(np.float32)) for u, c in (np.unique(b, return_counts=True) for b, _ in features([text]))])
+    # Buckets in 16 bits and shares in 32: the sample's features are held while it is gone over.
+    rows = [[(u.astype(np.uint16), (c / c.sum()).astype(np.float32)) for u, c in (np.unique(b, return_counts=True) for b, _ in features([text]))] for text in texts]
     steps, done = t.epochs * len(rows), 0
     for _ in range(t.epochs):
         for i in rng.permutation(len(rows)):
+            row = [(u.astype(np.intp), w) for u, w in rows[i]]
             rate = t.rate * (1 - done / steps)
             done += 1
-            v = sum(w @ vectors[g, u] for g, (u, w) in enumerate(rows[i]) if len(u))
+            v = sum(w @ vectors[g, u] for g, (u, w) in enumerate(row) if len(u))
             if np.isscalar(v):
                 v = np.zeros(DIM, np.float32)
             z = v @ out + bias
@@ -107,7 +102,7 @@ def fit(texts: list[bytes], labels: list[int], t: Training) -> tuple[np.ndarray,
             back = out @ p
             out -= rate * np.outer(v, p)
             bias -= rate * p
-            for g, (u, w) in enumerate(rows[i]):
+            for g, (u, w) in enumerate(row):
                 vectors[g, u] -= (rate * len(u) ** 0.5) * w[:, None] * back
     side = out[:, 1] - out[:, 0]
     return (vectors @ side).astype(np.float32), float(bias[1] - bias[0])
@@ -129,6 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> tuple
             found.sort()
             table, bias = fit([x[1] for x in found], [int(x[2]) for x in found], t)
             yield pa.RecordBatch.from_pydict({"table": pa.array([table.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+        del found
+        give_back()
 
     bounded_batches(docs.sparkSession)
     model = rows.repartition(1).mapInArrow(work, "table binary, bias double").collect()
@@ -140,9 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> tuple
 def _means(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """Of each text, the sum of its groups' means."""
     z = np.zeros(len(texts))
-    for g, (buckets, bounds) in enumerate(features(texts)):
-        sums = np.concatenate([[0.0], np.cumsum(table[g][buckets].astype(np.float64))])
-        z += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
+    for g, (buckets, owner) in enumerate(features(texts)):
+        sums, counts = np.bincount(owner, table[g][buckets], len(texts)), np.bincount(owner, minlength=len(texts))
+        z += sums / np.maximum(counts, 1)
     return z
 
 
@@ -153,8 +150,8 @@ def _mean_of_long(text: bytes, table: np.ndarray) -> np.ndarray:
         for buckets in char_grams(text[a : a + SLICE_BYTES + 3], SLICE_BYTES):
             sums, n = sums + table[0][buckets].sum(dtype=np.float64), n + len(buckets)
     z = sums / max(n, 1)
-    for g, buckets in enumerate(word_features([text])[:2], 1):
-        z += table[g][buckets[0]].sum(dtype=np.float64) / max(len(buckets[0]), 1)
+    for g, (buckets, _) in enumerate(word_features([text]), 1):
+        z += table[g][buckets].sum(dtype=np.float64) / max(len(buckets), 1)
     return np.array([z])
 
 
@@ -196,6 +193,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, t: Training = Training(
         for batch in batches:
             keep = [np.zeros(0, bool), *(found >= 0.5 for _, _, found in scores(batch.column(at), shared.value))]
             yield batch.filter(pa.array(np.concatenate(keep)))
+        give_back()
 
     bounded_batches(docs.sparkSession)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any name may be among them
