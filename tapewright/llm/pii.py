@@ -6,9 +6,11 @@ places in code points.  Those two characters are in no expression, so a text
 that holds them is searched with a third one in their place.
 
 email, ip, card and phone are always reported.  iban (as long as its country's
-are, so that what follows is never part of it, and confirmed by mod 97) and
-ssn (a weak pattern, which needs a context word) are added by score.  Edge
-cases: null and empty texts have no spans; every row is returned once, repeated
+are, so that what follows is never part of it, and confirmed by mod 97), ssn and
+secret (weak patterns, which need a context word; a secret is a long run of
+letters with several digits, and well-known prefixes do without context) and key
+(the head of a private key) are added by score.  Edge cases: null and empty
+texts have no spans; every row is returned once, repeated
 ones too; a run of any length of digits or letters is one match at most, as
 the expressions never backtrack over it; extra columns are ignored.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret", "key")
 BASE = KINDS[:4]
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|(?<=0))"
@@ -55,6 +57,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+",
+    "key": r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----",
 }
 #: Words near a span that raise the score of its kind.
 CONTEXT = {
@@ -64,9 +68,13 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|telefon",
     "iban": "iban|account|bank|konto|cuenta|compte",
     "ssn": "ssn|social security|tax id",
+    "secret": "token|secret|password|passwd|pwd|key|apikey|api_key|bearer|credential|credentials",
+    "key": "key",
 }
 #: Score of a confirmed match without context; the bonus of a context word; what an added kind needs.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3, "key": 0.9}
+#: How keys of well-known services begin.
+PREFIXED = r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[baprs]-|AIza)"
 BONUS, NEEDED, REACH = 0.3, 0.5, 48
 
 
@@ -98,6 +106,7 @@ def _valid(kind: Column, match: Column) -> Column:
         F.when(kind == "ip", match.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"))
         .when(kind == "card", F.when(F.length(digits).between(14, 19), _digit_sum(digits) % 10 == 0).otherwise(False))
         .when(kind == "phone", F.length(digits).between(10, 15))
+        .when(kind == "secret", match.rlike("^(?=(?:[^0-9]*+[0-9]){5})(?=(?:[^A-Za-z]*+[A-Za-z]){2})"))
         .when(kind == "iban", F.when(F.length(letters).between(15, 34), _mod97(letters) == 1).otherwise(False))
         .otherwise(True)
     )
@@ -130,6 +139,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     near = F.lower(F.concat_ws(" ", "before", "after"))
     context = F.coalesce(*(F.when(F.col("kind") == k, near.rlike(rf"\b(?:{words})\b")) for k, words in CONTEXT.items()), F.lit(False))
     prior = F.coalesce(*(F.when(F.col("kind") == k, p) for k, p in PRIOR.items()))
+    prior = F.when((F.col("kind") == "secret") & F.col("match").rlike(PREFIXED), 0.8).otherwise(prior)
     score = F.least(F.lit(1.0), prior + F.when(context, BONUS).otherwise(0.0))
     each = each.withColumn("score", F.when(F.col("kind").isNotNull() & _valid(F.col("kind"), F.col("match")), score))
     rank = F.coalesce(*(F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)))

@@ -63,7 +63,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat(x["kind"], F.lit(":"), x["start"], F.lit(":"), x["end"])))
     base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE))
     counts = [_count(k).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, _digest(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, _digest(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"), _count("secret").cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
