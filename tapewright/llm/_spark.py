@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch, in sessions that leave Spark's default of 10,000.
 BATCH_ROWS = 1000
@@ -88,13 +89,13 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow where `work` gives column lists or arrays for a batch; they are cast to `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     bounded_batches(df.sparkSession)
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, lines, minhash, mpeg, pii, quality, spans
+from . import bpe, decontaminate, html, lines, minhash, mpeg, pii, quality, spans, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +85,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", _digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.drop_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_minhash, op4_mpeg, op5_token_counts, op6_pii, op7_span_dedup, op8_quality, op9_html, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_minhash, op4_mpeg, op5_token_counts, op6_pii, op7_span_dedup, op8_quality, op9_html, op10_line_dedup, op13_suffix_dedup)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
