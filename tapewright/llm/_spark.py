@@ -79,14 +79,26 @@ def settle(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of settle() that nothing will read again; other DataFrames are left alone."""
+    for df in tables:
+        if path := vars(df).get("scratch_path"):
+            _delete(df.sparkSession, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what settle() has written in this application; its results can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType) -> DataFrame:

@@ -14,9 +14,9 @@ string of `least` bytes leaves for it.  The choice hangs on that string's bytes
 alone, so wherever it stands, the same place in it is sampled, and none is
 missed.  And a sampled position whose whole surroundings (all strings of
 `least` bytes around it, at most 336 bytes) stand elsewhere too is settled at
-once.  What goes on to the next length are the surroundings of positions that
-share their name with others but not their surroundings, and one position of
-each kind of surroundings among these, as their partner.  At the last length
+once.  What goes on to the next length are the strings around positions that
+share their name with others but not their surroundings, and around one position
+of each kind of surroundings among these, as their partner.  At the last length
 every position left is ranked, and nothing is left open.
 
 Names are 64-bit hashes; two of them, of different hash functions, decide that
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import mix64, powers, slices
-from ._spark import BitFilter, columns_of, map_batches, settle, whole_row
+from ._spark import BitFilter, columns_of, discard, map_batches, settle, whole_row
 
 LEAST = 200
 #: Lengths ranked below the threshold; the pair's second rank stands at (length - part) of this part: half, or the length before.
@@ -54,6 +54,7 @@ _FIRST, _SECOND = (_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2)
 
 
 _RANKS = "id long, off long, k long, c long, b long, e long"
+_PIECES = "id long, off long, text binary, b array<long>, e array<long>"
 
 
 class Names:
@@ -84,49 +85,64 @@ def _extreme(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def sampled(names: np.ndarray, width: int) -> np.ndarray:
-    """Places that are the least of some `width` consecutive ones; equal ones all count."""
-    if width == 1:
-        return np.arange(len(names))
+def sampled(names: np.ndarray, width: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """Places that are the least of some `width` consecutive ones (of those that begin where asked); equal ones all count."""
+    names = np.maximum(names, np.uint64(1))
     least = _extreme(names, width, np.minimum)
+    if asked is not None:
+        least = np.where(asked, least, np.uint64(0))
     edge = np.zeros(width - 1, np.uint64)
     return np.flatnonzero(_extreme(np.concatenate([edge, least, edge]), width, np.maximum) == names)
 
 
-def _ranked(text: bytes, length: int, part: int, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """By chunk: name, name of the surroundings, and where these begin and end, of the sampled positions of a text."""
+def _ranked(text: bytes, length: int, part: int, least: int, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """By chunk: name, name of the surroundings, and where these begin and end, of the sampled positions of a text.
+
+    asked: whether the string of `least` bytes that starts here is still open; None: all are.
+    """
     n, reach = len(text), least - length
-    for at in range(0, n - least + 1, CHUNK):
-        last = min(at + CHUNK, n - least + 1)  # strings that start at at .. last - 1
+    whole = n - least + 1
+    for at in range(0, whole, CHUNK):
+        last = min(at + CHUNK, whole)  # strings that start at at .. last - 1
+        if asked is not None and not asked[at:last].any():
+            continue
         low, high = max(0, at - reach), min(n, last - 1 + least + reach)
         raw = np.frombuffer(text, np.uint8, high - low, low)
         first, second = Names(raw, _FIRST), Names(raw, _SECOND)
         half = first.every(part)
-        inner = half[at - low : last + reach - low]
-        names = mix64(inner * np.uint64(3) + half[at - low + length - part : last + reach - low + length - part])
-        place = sampled(names, reach + 1) + at
-        # A place in two chunks is sampled in each by itself; the second one must not count it again.
-        fresh = place >= at + reach if at else np.ones(len(place), bool)
-        if at and reach:
-            earlier = half[: at + reach - low] * np.uint64(3) + half[length - part : at + reach - low + length - part]
-            fresh |= ~np.isin(place, sampled(mix64(earlier), reach + 1) + low)
-        place = place[fresh]
-        begin, end = np.maximum(place - reach, 0), np.minimum(place + least, n)
+        name = lambda a, b: mix64(half[a - low : b - low] * np.uint64(3) + half[a - low + length - part : b - low + length - part])  # noqa: E731, B023
+        names = name(at, last + reach)
+        place = sampled(names, reach + 1, None if asked is None else asked[at:last]) + at
+        if at and reach:  # a place in two chunks is sampled in each by itself; the second one must not count it again
+            place = place[~np.isin(place, sampled(name(low, at + reach), reach + 1, None if asked is None else asked[low:at]) + low)]
+        begin, end = np.maximum(place - reach, 0), np.minimum(place, whole - 1)
+        if asked is not None:  # from the first open string around the place to the last one
+            near = np.flatnonzero(asked[low : last + reach]) + low
+            begin, end = near[np.searchsorted(near, begin)], near[np.searchsorted(near, end, side="right") - 1]
+        end = end + least
         around = second.of(begin - low, end - low) + (place - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         yield names[place - at], mix64(around), begin, end
 
 
 def _positions(pieces: DataFrame, length: int, part: int, least: int) -> DataFrame:
-    """(id, off, k, c, b, e) of the sampled positions of pieces (id, off, text): name, surroundings' name, where these begin and end in the document."""
+    """(id, off, k, c, b, e) of the sampled positions of pieces (id, off, text, b, e): name, surroundings' name, where these begin and end in the document.
+
+    b, e of a piece: the stretches whose strings are open (null: all of it).
+    """
 
     def work(batch: pa.RecordBatch):
         ids, offs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, b, texts in slices(batch.column(2)):
             out: list[tuple[np.ndarray, ...]] = []
             for i, text in enumerate(texts):
-                for k, c, begin, end in _ranked(text, length, part, least):
-                    off = offs[a + i]
-                    out.append((np.full(len(k), ids[a + i]), np.full(len(k), off), k.view(np.int64), c.view(np.int64), begin + off, end + off))
+                off, begin, asked = offs[a + i], batch.column(3)[a + i], None
+                if begin.is_valid:
+                    edges = np.zeros(len(text) + 2, np.int32)
+                    np.add.at(edges, begin.values.to_numpy() - off, 1)
+                    np.add.at(edges, batch.column(4)[a + i].values.to_numpy() - off - least + 1, -1)
+                    asked = np.cumsum(edges)[: len(text) - least + 1] > 0
+                for k, c, x, y in _ranked(text, length, part, least, asked):
+                    out.append((np.full(len(k), ids[a + i]), np.full(len(k), off), k.view(np.int64), c.view(np.int64), x + off, y + off))
             if out:
                 yield dict(zip(("id", "off", "k", "c", "b", "e"), (np.concatenate(x) for x in zip(*out))))
 
@@ -134,21 +150,23 @@ def _positions(pieces: DataFrame, length: int, part: int, least: int) -> DataFra
 
 
 def _cut(pieces: DataFrame, zones: DataFrame) -> DataFrame:
-    """The zones (id, off, b, e) of pieces as pieces of their own, joined where they overlap."""
+    """The zones (id, off, b, e) of pieces as pieces of their own: bytes of zones that overlap are one piece, which lists them."""
     held = zones.groupBy("id", "off").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("zones"))
-    joined = pieces.join(held.hint("shuffle_hash"), ["id", "off"]).select("id", "off", "text", F.col("zones.b").alias("b"), F.col("zones.e").alias("e"))
+    joined = pieces.select("id", "off", "text").join(held.hint("shuffle_hash"), ["id", "off"]).select("id", "off", "text", F.col("zones.b").alias("b"), F.col("zones.e").alias("e"))
 
     def work(batch: pa.RecordBatch):
         ids, offs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, b, texts in slices(batch.column(2)):
-            out: dict[str, list] = {"id": [], "off": [], "text": []}
+            out: dict[str, list] = {"id": [], "off": [], "text": [], "b": [], "e": []}
             for i, text in enumerate(texts):
                 begin, end = (batch.column(c)[a + i].values.to_numpy() for c in (3, 4))
                 for x, y in zip(*merged(begin, end)):
+                    own = slice(*np.searchsorted(begin, [x, y]))
                     out["id"].append(ids[a + i]), out["off"].append(x), out["text"].append(text[x - offs[a + i] : y - offs[a + i]])
+                    out["b"].append(begin[own]), out["e"].append(end[own])
             yield out
 
-    return map_batches(joined, work, "id long, off long, text binary")
+    return map_batches(joined, work, _PIECES)
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,21 +181,27 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(id, b, e): spans of bytes of docs (id, text) that hold a string of `least` bytes found elsewhere, overlapping; ids are distinct."""
     spans = None
-    pieces = docs.select("id", F.lit(0).cast("long").alias("off"), F.col("text").cast("binary").alias("text"))
+    all_of_it = F.lit(None).cast("array<long>")
+    pieces = docs.select("id", F.lit(0).cast("long").alias("off"), F.col("text").cast("binary").alias("text"), all_of_it.alias("b"), all_of_it.alias("e"))
     shorter = [x for x in LENGTHS if x < least]
     for i, length in enumerate([*shorter, least]):
-        before = shorter[i - 1] if i else 0
-        ranks = settle(_positions(pieces, length, before if 2 * before >= length else -(-length // 2), least), f"ranks{length}", "zstd")
+        shorter_by_one = shorter[i - 1] if i else 0
+        part = shorter_by_one if 2 * shorter_by_one >= length else -(-length // 2)
+        ranks = settle(_positions(pieces, length, part, least), f"ranks{length}", "zstd")
         several = settle(ranks.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "shared")
         shared = settle(_maybe(ranks, BitFilter(several.select(F.col("k").alias("h")), 16)).join(several, "k", "left_semi"), "sharing")
         kinds = settle(shared.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "off", "b", "e")).alias("one")), "kinds")
+        discard(ranks, several)
         found = settle(shared.join(kinds.filter("n > 1").select("k", "c"), ["k", "c"], "left_semi").select("id", "b", "e"), "spans")
         spans = found if spans is None else spans.union(found)
+        discard(shared)
         if length == least:
+            discard(kinds, pieces)
             return spans
         lone = kinds.filter("n = 1")
         zones = lone.union(kinds.filter("n > 1").join(lone.select("k").distinct(), "k", "left_semi")).select("one.*")
-        pieces = settle(_cut(pieces, zones), f"pieces{length}", "zstd")
+        pieces, before = settle(_cut(pieces, zones), f"pieces{length}", "zstd"), pieces
+        discard(kinds, before)
     return spans
 
 
