@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, lines, minhash, mpeg, pii, quality, spans, suffixes
+from . import bpe, centroids, decontaminate, dialogue, html, lines, minhash, mpeg, pii, quality, spans, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,13 +85,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", _digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    centre = _digest(F.array_join(F.col("centroid").cast("array<string>"), ","))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centre.alias("centroid_sha256"))
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.damaged(_table(spark, sf_dir, "conversations"))
+    return dialogue.repair_summary(dialogue.repaired_rows(rows))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.drop_repeated_bytes(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_minhash, op4_mpeg, op5_token_counts, op6_pii, op7_span_dedup, op8_quality, op9_html, op10_line_dedup, op13_suffix_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_minhash, op4_mpeg, op5_token_counts, op6_pii, op7_span_dedup, op8_quality, op9_html, op10_line_dedup, op11_centroids, op12_dialogue_repair, op13_suffix_dedup)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
@@ -99,8 +110,25 @@ _ALNUM = _WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BLACK = _WORDS.format(r"[^\x20\x09-\x0D]+")
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Each round's assignment and centroids as two tables."""
+    near = "(select vec_id, v, arg_min(n, (d, n)) n, min(d) d from (select vec_id, v, n, list_sum(list_transform(list_zip(v, c), p -> (p[1] - p[2]) * (p[1] - p[2]))) d from x cross join c{}) group by vec_id, v)"
+    steps = [f"""x as materialized (select vec_id, list_transform(embedding, e -> cast(floor(1024 * e::double) as bigint)) v from embeddings
+  where len(embedding) = {size} and len(list_filter(embedding, e -> e is null or not isfinite(e))) = 0)""",
+        f"c0 as materialized (select row_number() over (order by sha256('3:' || vec_id)) - 1 n, v c from x order by sha256('3:' || vec_id) limit {k})"]
+    for r in range(rounds):
+        mean = "((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))"
+        steps.append(f"a{r} as materialized {near.format(r)}")
+        steps.append(f"m{r} as (select n, list(m order by j) c from (select n, j, cast({mean} as bigint) m from (select n, unnest(v) e, unnest(range({size})) j from a{r}) group by n, j) group by n)")
+        steps.append(f"c{r + 1} as materialized (select n, coalesce(m.c, o.c) c from c{r} o left join m{r} m using (n))")
+    return f"""with {", ".join(steps)}, z as materialized {near.format(rounds)}
+select vec_id, cast(n as int) as cluster, cast(d as bigint) distance, cast(sum(d) over (partition by n) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia,
+  sha256(array_to_string(c, ',')) centroid_sha256 from z join c{rounds} using (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_centroids": _clusters_sql(),
         "op1_decontaminate": f"""
 with d as (select doc_id, {_ALNUM} w from documents),
 b as (select cast(item_id as varchar) item_id, {_ALNUM} w from benchmark),
