@@ -133,18 +133,21 @@ def _positions(pieces: DataFrame, length: int, part: int, least: int) -> DataFra
     def work(batch: pa.RecordBatch):
         ids, offs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, b, texts in slices(batch.column(2)):
-            out: list[tuple[np.ndarray, ...]] = []
-            for i, text in enumerate(texts):
-                off, begin, asked = offs[a + i], batch.column(3)[a + i], None
-                if begin.is_valid:
-                    edges = np.zeros(len(text) + 2, np.int32)
-                    np.add.at(edges, begin.values.to_numpy() - off, 1)
-                    np.add.at(edges, batch.column(4)[a + i].values.to_numpy() - off - least + 1, -1)
-                    asked = np.cumsum(edges)[: len(text) - least + 1] > 0
-                for k, c, x, y in _ranked(text, length, part, least, asked):
-                    out.append((np.full(len(k), ids[a + i]), np.full(len(k), off), k.view(np.int64), c.view(np.int64), x + off, y + off))
-            if out:
-                yield dict(zip(("id", "off", "k", "c", "b", "e"), (np.concatenate(x) for x in zip(*out))))
+            # Texts are ranked end to end; no string that crosses from one to the next is open.
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            starts = np.cumsum(sizes) - sizes
+            edges = np.zeros(int(sizes.sum()) + 2, np.int32)
+            of = np.arange(len(texts))
+            whole = batch.column(3).slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
+            listed = np.repeat(of, np.where(whole, 0, batch.column(3).slice(a, b - a).value_lengths().fill_null(0).to_numpy()))
+            begin, end = (batch.column(c).slice(a, b - a).flatten().to_numpy() - offs[a:b][listed] + starts[listed] for c in (3, 4))
+            np.add.at(edges, np.concatenate([starts[whole], begin]), 1)
+            np.add.at(edges, np.concatenate([(starts + sizes)[whole], end]) - least + 1, -1)
+            asked = np.cumsum(edges)[: max(0, len(edges) - 2 - least + 1)] > 0
+            for k, c, x, y in _ranked(b"".join(texts), length, part, least, asked):
+                i = np.searchsorted(starts, x, side="right") - 1
+                move = offs[a + i] - starts[i]
+                yield {"id": ids[a + i], "off": offs[a + i], "k": k.view(np.int64), "c": c.view(np.int64), "b": x + move, "e": y + move}
 
     return map_batches(pieces.filter(F.octet_length("text") >= least), work, _RANKS)
 
