@@ -7,14 +7,18 @@ recurs; subtrees that recur in many are the host's template and are deleted.
 Besides those, elements whose tag, or whole role, class name or id, says that
 they are no article text (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments) are left out; articles and what holds them
-are never left out by class, nor headings and paragraphs by id.  If a page has article elements, or
-else a main element, only these count.
-
-Paragraphs, headings, list items and the like are hashed as well as containers.
-What recurs with 3 different articles of a host is template.  Articles count as
-different by their first h1 or h2, or else by their longest block other than
-the one counted (without one, by their text), so copies and near copies of an article are no template of their
-host.
+are never left out by class, nor headings and paragraphs by id, and inside an
+article words like notice or share say nothing of paragraphs and sections.  An
+article's own header stays if it holds a heading.  If a page has article
+elements, or else a main element, only these count.
+
+Paragraphs, list items and the like are hashed as well as containers.  What
+recurs with 3 different articles of a host is template, but inside an article
+or main element only what at least 5 and at least half of the host's articles
+have: "Yes." may well stand in a few.  Headings are never template.  Articles
+count as different by their first h1 or h2, or else by their longest block
+other than the one counted (without one, by their text), so copies and near
+copies of an article are no template of their host.
 
 A page is parsed once: what is kept of it whatever its host repeats, and where
 in it which subtrees stand, is written down; templates are then cut out of
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import mix64, powers, signed
+from ._bytes import mix64, powers, signed, slices
 from ._spark import BitFilter, map_batches, settle
 
 _ATTRS = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+"""
@@ -54,6 +58,7 @@ LEFT_OUT = frozenset("nav header footer aside form script style noscript templat
 CONTAINERS = frozenset("div section aside ul ol dl table form figure nav header footer menu details fieldset center".split())
 #: Blocks that are hashed as well, where they hold no other block.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote address pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp math object audio video canvas map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -63,6 +68,9 @@ MARKS = frozenset("""ad ads adv advert adverts advertisement advertisements adse
 footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments
 disqus respond reply replies login signup toolbar pagination pager widget widgets complementary contentinfo search skip site-header site-footer site-nav main-nav nav-menu ad-banner ad-slot cookie-banner cookie-notice cookie-consent
 share-buttons social-share related-posts related-articles comments-area comment-list skip-link""".split())
+#: Marks that are plain words, too: inside an article they don't mark these elements.
+WORDS = frozenset("notice notices share sharing social search skip promo promotion sponsor related recommended recommendations comment comments reply replies respond login signup subscribe subscription banner header footer menu menus navigation widget widgets modal overlay popup pager toolbar".split())
+PROSE = frozenset("p section blockquote li dl dt dd ul ol table td th tr figure figcaption pre address span b i em strong".split())
 #: Never marked; the second ones not by their id, which names what they are about.
 UNMARKED, BY_CLASS = frozenset("html body main article".split()), frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Marks that hold also around articles, if another one stands outside.
@@ -75,9 +83,11 @@ MOST_SENT = 2**21
 
 @dataclass(frozen=True)
 class Template:
-    """A subtree is template if it stands in at least `articles` different articles of its host, however many the host has."""
+    """A subtree is template if it stands with at least `articles` different articles of its host; inside an article or main element with `inside` and `share` of the host's."""
 
     articles: int = 3
+    inside: int = 5
+    share: float = 0.5
 
 
 class Page:
@@ -89,6 +99,7 @@ class Page:
         self.spans: list[list[int]] = [[0, 0]]
         self.places: list[list[int]] = [[0, len(source)]]
         self.out: list[bool] = [False]
+        self.hid: list[bool] = [False]
         self.marks: dict[int, frozenset[str]] = {}
         self.pieces: list[str | None] = []
         self.source = source
@@ -143,8 +154,11 @@ class Page:
             self.spans.append([len(self.pieces), 0])
             self.places.append([m.start(), n])
             hidden, marks = self._marked(m[3], tag) if m[3] else (False, frozenset())
+            if marks and tag in PROSE and any(self.tags[e] in ("article", "main") for e in stack):
+                marks -= WORDS
             if marks:
                 self.marks[len(self.out)] = marks
+            self.hid.append(hidden)
             self.out.append(hidden or bool(marks) or tag in LEFT_OUT and not (tag == "dialog" and _OPEN.search(m[3])))
             stack.append(len(self.tags) - 1)
             if tag in RAW:
@@ -153,6 +167,7 @@ class Page:
                 close(len(stack) - 1, at)
         close(1, n)
         self.spans[0][1] = len(self.pieces)
+        self._keep_headings()
         if self.marks:
             self._unmark_wrappers()
 
@@ -168,6 +183,15 @@ class Page:
                 marks |= MARKS.intersection(value.split())
         return False, frozenset(marks) if tag not in UNMARKED else frozenset()
 
+    def _keep_headings(self) -> None:
+        """An article's own header with a heading in it is left in, unless it is marked or hidden."""
+        for e, tag in enumerate(self.tags):
+            if tag in HEADINGS:
+                above = list(self._above(e))
+                at = next((i for i, a in enumerate(above) if self.tags[a] == "header"), None)
+                if at is not None and any(self.tags[a] == "article" for a in above[at + 1 :]) and above[at] not in self.marks and not self.hid[above[at]]:
+                    self.out[above[at]] = False
+
     def _unmark_wrappers(self) -> None:
         """Marks say nothing of what holds an article or main element, but for comments and links beside another one."""
         held = [e for e, t in enumerate(self.tags) if t in ("article", "main")]
@@ -184,7 +208,8 @@ class Page:
         hidden = self.hidden()
         for tag in ("article", "main"):
             if found := [e for e, t in enumerate(self.tags) if t == tag and not hidden[e]]:
-                return [e for e in found if not any(a in found for a in self._above(e))]
+                every = set(found)
+                return [e for e in found if not any(a in every for a in self._above(e))]
         return [0]
 
     def _above(self, e: int):
@@ -216,6 +241,13 @@ class Page:
         own = {h: size(e) for e, h in hashes.items() if self.tags[e] in LEAVES and not hidden[e] and any(a <= self.places[e][0] < b for a, b in roots)}
         return sorted(own, key=lambda h: (-own[h], h))[:2]
 
+    def within(self, hashes: dict[int, int]) -> set[int]:
+        """Hashes that stand inside an article or main element."""
+        held = {0: False}
+        for e in range(1, len(self.tags)):
+            held[e] = held[self.parents[e]] or self.tags[e] in ("article", "main")
+        return {h for e, h in hashes.items() if held[e]}
+
     def kept(self, hashes: dict[int, int]) -> tuple[str, list[int], list[int], list[int]]:
         """The roots' text without what is left out, raw, and where in it (hash, begin, end) the hashed subtrees stand, if they hold any of it."""
         gone = np.zeros(len(self.pieces) + 1, np.int32)
@@ -239,7 +271,7 @@ class Page:
         text, found = "".join(parts), ([], [], [])
         for e, h in hashes.items():
             a, b = self.spans[e]
-            if inside[a] and inside[b] and text[at[a] : at[b]].strip():
+            if self.tags[e] not in HEADINGS and inside[a] and inside[b] and text[at[a] : at[b]].strip():
                 for values, x in zip(found, (h, int(at[a]), int(at[b]))):
                     values.append(x)
         return text, *found
@@ -279,11 +311,11 @@ def _parsed(pages: DataFrame) -> DataFrame:
     """Of each page its raw text, where subtrees stand in it (hs, begins, ends), which article it is, and all subtrees' hashes."""
 
     def work(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
+        for first, last, sources in slices(batch.column(4)):
+            part = batch.slice(first, last - first)
             rows = []
-            for source in part.column(4).to_pylist():
-                page = Page(source or "")
+            for source in sources:
+                page = Page(source.decode("utf-8", "replace"))
                 hashes = page.subtrees()
                 raw, hs, begins, ends = page.kept(hashes)
                 longest = page.longest(hashes)
@@ -291,11 +323,13 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 trees = sorted(set(hashes.values()))
                 # A block that tells articles apart doesn't tell what it is itself.
                 articles = [longest[0] if longest and longest[:1] == longest[1:] else next((x for x in longest if x != h), article) for h in trees]
-                rows.append((raw, _longs(hs), begins, ends, _longs(trees), _longs(articles)))
-            names = ("raw", "hs", "begins", "ends", "trees", "articles")
+                inside = page.within(hashes)
+                story = longest[0] if longest else article
+                rows.append((raw, _longs(hs), begins, ends, _longs(trees), _longs(articles), [h in inside for h in trees], int(_longs([story])[0])))
+            names = ("raw", "hs", "begins", "ends", "trees", "articles", "inside", "story")
             yield {c: part.column(i) for i, c in enumerate(("rid", "page_id", "url", "host"))} | dict(zip(names, map(list, zip(*rows))))
 
-    schema = "rid long, page_id long, url string, host long, raw string, hs array<long>, begins array<int>, ends array<int>, trees array<long>, articles array<long>"
+    schema = "rid long, page_id long, url string, host long, raw string, hs array<long>, begins array<int>, ends array<int>, trees array<long>, articles array<long>, inside array<boolean>, story long"
     return map_batches(pages.select("rid", "page_id", "url", "host", "html"), work, schema)
 
 
@@ -311,7 +345,7 @@ def _repeated(trees: DataFrame, wanted: BitFilter) -> DataFrame:
         part = batch.filter(pa.array(shared.value.may_hold(batch.column(3).to_numpy())))
         yield dict(zip(part.schema.names, part.columns))
 
-    return map_batches(trees.select("rid", "host", "article", "h"), work, "rid long, host long, article long, h long")
+    return map_batches(trees.select("rid", "host", "article", "h", "inside"), work, "rid long, host long, article long, h long, inside boolean")
 
 
 def extract(pages: DataFrame, t: Template = Template()) -> DataFrame:
@@ -320,12 +354,14 @@ def extract(pages: DataFrame, t: Template = Template()) -> DataFrame:
     pages = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = pages.withColumn("host", F.when(F.col("page_id").isNotNull() & (named != ""), F.xxhash64(named)))
     parsed = settle(_parsed(pages), "parsed", "zstd")
-    trees = parsed.filter("host is not null").select("rid", "host", F.inline(F.arrays_zip(F.col("trees").alias("h"), F.col("articles").alias("article"))))
+    trees = parsed.filter("host is not null").select("rid", "host", F.inline(F.arrays_zip(F.col("trees").alias("h"), F.col("articles").alias("article"), "inside")))
     # Few subtrees are on so many pages; the others needn't be told apart by article.
     often = settle(trees.groupBy("host", "h").agg(F.count("*").alias("pages")).filter(F.col("pages") >= t.articles).select("host", "h"), "often")
     trees = _repeated(trees, BitFilter(often.select("h").distinct()))
-    held = trees.select("host", "h", "article").distinct().groupBy("host", "h").agg(F.count("*").alias("held")).filter(F.col("held") >= t.articles)
-    template = settle(held.select("host", "h"), "template")
+    held = trees.groupBy("host", "h", "article").agg(F.max("inside").alias("inside")).groupBy("host", "h").agg(F.count("*").alias("held"), F.max("inside").alias("inside")).filter(F.col("held") >= t.articles)
+    stories = parsed.filter("host is not null").select("host", "story").distinct().groupBy("host").agg(F.count("*").alias("stories"))
+    enough = ~F.col("inside") | (F.col("held") >= t.inside) & (F.col("held") >= t.share * F.col("stories"))
+    template = settle(held.join(stories, "host").filter(enough).select("host", "h"), "template")
     columns = ["page_id", "url", "raw", "hs", "begins", "ends", "trees"]
     schema = "page_id long, url string, text string, n_template long"
     if template.count() <= MOST_SENT:
@@ -361,8 +397,8 @@ def _cutting(templates):
     """Work on batches whose columns are as in extract(); `templates` gives each page's."""
 
     def work(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for first, last, _ in slices(batch.column(2)):
+            part = batch.slice(first, last - first)
             texts, n = [], []
             for raw, hs, begins, ends, own in zip(*(part.column(i).to_pylist() for i in range(2, 6)), templates(part)):
                 texts.append(plain(raw, [(a, b) for h, a, b in zip(hs, begins, ends) if h in own]))
