@@ -82,23 +82,51 @@ def apply_all(df: DataFrame, fixes: list[Fix], dividends: DataFrame | None = Non
     return df
 
 
-def fix_entries(action: str, findings: DataFrame, column: str | None = None, value=None, reason: str = "") -> DataFrame:
-    """Selected findings (SrcTable, Ticker, Date) as fix records (fix_type, table, tickers, start, end, column, value, reason)."""
-    if not reason:
+#: Tables whose rows are told by ticker and date.
+DATED = ("prices", "market_data", "dividends")
+ACTIONS = {"delete_rows": "delete_date_range", "delete_span": "delete_date_range", "delete_ticker": "delete_date_range", "clear_value": "set_value", "set_value": "set_value", "rebuild_adjusted_close": "rebuild_adjusted_close"}
+
+
+def _guard(action: str, findings: DataFrame, column: str | None, value, reason: str) -> None:
+    """Raises unless the findings can be mended that way: a fix without dates would reach a ticker's whole history."""
+    if action not in ACTIONS:
+        raise ValueError(f"unknown action: {action}")
+    if not reason.strip():
         raise ValueError("a reason is needed")
+    named = F.coalesce(F.col("SrcTable"), F.lit(""))
+    seen = findings.agg(F.count("*").alias("rows"), F.collect_set(named).alias("tables"), F.count_if(F.col("Date").isNull()).alias("undated")).first()
+    if not seen.rows:
+        raise ValueError("no findings are given")
+    if "" in seen.tables:
+        raise ValueError("every finding needs a table")
+    if action in ("delete_rows", "delete_span", "set_value", "clear_value"):
+        if others := sorted(set(seen.tables) - set(DATED)):
+            raise ValueError(f"{action} needs tables with dates, not {', '.join(others)}")
+        if seen.undated:
+            raise ValueError(f"{action} needs a date for every finding")
     if action in ("set_value", "clear_value") and not column:
         raise ValueError("a column is needed")
-    if action == "set_value" and findings.count() != 1:
-        raise ValueError("set_value takes exactly one row")
+    if action == "set_value" and seen.rows != 1:
+        raise ValueError("set_value takes exactly one finding")
+    if action == "set_value" and value is None:
+        raise ValueError("set_value needs a value")
+    if action == "rebuild_adjusted_close" and seen.tables != ["prices"]:
+        raise ValueError("only prices have adjusted closes to rebuild")
+
+
+def fix_entries(action: str, findings: DataFrame, column: str | None = None, value=None, reason: str = "") -> DataFrame:
+    """Selected findings (SrcTable, Ticker, Date) as fix records (fix_type, table, tickers, start, end, column, value, reason)."""
+    _guard(action, findings, column, value, reason)
     tickers = F.sort_array(F.collect_set("Ticker")).alias("tickers")
     none = F.lit(None).cast("date")
     if action in ("delete_rows", "clear_value", "set_value"):
         out = findings.groupBy("SrcTable", "Date").agg(tickers).select("SrcTable", "tickers", F.col("Date").alias("start"), F.col("Date").alias("end"))
     elif action == "delete_span":
         out = findings.groupBy("SrcTable", "Ticker").agg(F.min("Date").alias("start"), F.max("Date").alias("end")).select("SrcTable", F.array("Ticker").alias("tickers"), "start", "end")
-    elif action in ("delete_ticker", "rebuild_adjusted_close"):
-        out = findings.groupBy("SrcTable").agg(tickers).select("SrcTable", "tickers", none.alias("start"), none.alias("end"))
     else:
-        raise ValueError(f"unknown action: {action}")
-    kind = {"delete_rows": "delete_date_range", "delete_span": "delete_date_range", "delete_ticker": "delete_date_range", "clear_value": "set_value"}.get(action, action)
-    return out.select(F.lit(kind).alias("fix_type"), F.col("SrcTable").alias("table"), "tickers", "start", "end", F.lit(column).cast("string").alias("column"), F.lit(None if action == "clear_value" else value).cast("string").alias("value"), F.lit(reason).alias("reason"))
+        out = findings.groupBy("SrcTable").agg(tickers).select("SrcTable", "tickers", none.alias("start"), none.alias("end"))
+    of_values = action in ("set_value", "clear_value")
+    return out.select(
+        F.lit(ACTIONS[action]).alias("fix_type"), F.col("SrcTable").alias("table"), "tickers", "start", "end", F.lit(column if of_values else None).cast("string").alias("column"),
+        F.lit(value if action == "set_value" else None).cast("string").alias("value"), F.lit(reason.strip()).alias("reason"),
+    )

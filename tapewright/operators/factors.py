@@ -97,7 +97,8 @@ def dividend_growth(dividends: DataFrame, prices: DataFrame) -> DataFrame:
     """Dividends of the last 365 days before the panel's last date against the 365 days before those; null where there are none in either."""
     anchor = F.broadcast(prices.agg(F.max("Date").alias("_d")))
     age = F.datediff("_d", "Date")
-    within = lambda lo, hi: F.sum(F.when((age >= lo) & (age < hi), F.col("Dividend")))
+    # Sums of decimals don't hang on their order.
+    within = lambda lo, hi: F.sum(F.when((age >= lo) & (age < hi), F.col("Dividend").cast("decimal(28,12)")))
     sums = dividends.crossJoin(anchor).groupBy("Ticker").agg(within(0, 365).alias("now"), within(365, 730).alias("prior"))
     return sums.select("Ticker", growth("now", "prior").alias("div_growth"))
 

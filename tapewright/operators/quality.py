@@ -115,7 +115,7 @@ def income_chain(income: DataFrame, **kw) -> DataFrame:
 
 def cashflow_identity(cashflow: DataFrame, **kw) -> DataFrame:
     parts = [f"Net Cash from {x} Activities" for x in ("Operating", "Investing", "Financing")]
-    return sum_check(cashflow, "cashflow", parts, ["Effect of Foreign Exchange Rates", "Net Cash from Discontinued Operations"], "Net Change in Cash", "cash flow", **kw)
+    return sum_check(cashflow, "cashflow", parts, ["Effect of Foreign Exchange Rates", "Change in Cash from Disc. Operations and Other"], "Net Change in Cash", "cash flow", **kw)
 
 
 def hard_invariants(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFrame:

@@ -29,23 +29,27 @@ def company_counts(merged: DataFrame) -> DataFrame:
 def decode_instruments(tickers: DataFrame, curated: DataFrame, countries: DataFrame, currencies: DataFrame) -> DataFrame:
     """(Ticker, Name, Country) by a curated list, or by the forms of bond, currency index and currency pair codes; else nulls.
 
-    curated (Ticker, Name, Country), countries (code, country) and currencies (code, currency) are lookup tables.
+    curated (Ticker, Name, Country), countries (code, country) and currencies
+    (code, currency) are lookup tables; a code that isn't in them names itself.
     """
     bond = r"^(\d+)([MY])([A-Z]{2})([YP])$"
     t = tickers.select("Ticker").distinct()
     part = lambda n: F.regexp_extract("Ticker", bond, n)
-    pair = F.col("Ticker").rlike("^[A-Z]{6}$")
-    index = F.regexp_extract("Ticker", r"^([A-Z]{3})_(I|B|B50)$", 1)
+    pair, special = F.col("Ticker").rlike("^[A-Z]{6}$"), r"^([A-Z]{3})_(I|B|B50)$"
+    index, suffix = F.regexp_extract("Ticker", special, 1), F.regexp_extract("Ticker", special, 2)
     t = t.withColumns({"_country": part(3), "_from": F.when(pair, F.substring("Ticker", 1, 3)).otherwise(index), "_to": F.when(pair, F.substring("Ticker", 4, 3))})
-    t = t.join(curated.select("Ticker", F.col("Name").alias("_name"), F.col("Country").alias("_where")), "Ticker", "left")
+    t = t.join(curated.select("Ticker", F.col("Name").alias("_name"), F.col("Country").alias("_where"), F.lit(True).alias("_known")), "Ticker", "left")
     t = t.join(countries.select(F.col("code").alias("_country"), F.col("country").alias("_land")), "_country", "left")
     for side in ("_from", "_to"):
         t = t.join(currencies.select(F.col("code").alias(side), F.col("currency").alias(f"{side}_name")), side, "left")
-    span = F.concat(part(1), F.when(part(2) == "M", "-month ").otherwise("-year "))
-    bond_name = F.when(F.col("_land").isNotNull(), F.concat(F.col("_land"), F.lit(" "), span, F.when(part(4) == "Y", "bond yield").otherwise("bond price")))
-    pair_name = F.concat(F.col("_from_name"), F.lit(" / "), F.col("_to_name"))
-    index_name = F.when(index != "", F.concat(F.col("_from_name"), F.lit(" index")))
-    return t.select("Ticker", F.coalesce("_name", bond_name, index_name, pair_name).alias("Name"), F.when(F.col("_name").isNotNull(), F.col("_where")).otherwise(F.col("_land")).alias("Country"))
+    first, second = F.coalesce("_from_name", "_from"), F.coalesce("_to_name", "_to")
+    # The wording of names.
+    bond_name = F.concat(part(1), F.when(part(2) == "M", "-month").otherwise("-year"), F.lit(" government bond "), F.when(part(4) == "Y", "yield").otherwise("price"))
+    index_name = F.when(suffix == "I", F.concat(first, F.lit(" index (likely trade-weighted), suffix meaning unconfirmed"))).otherwise(F.concat(first, F.lit(" special variant (_"), suffix, F.lit("), meaning unconfirmed")))
+    pair_name = F.concat(first, F.lit("/"), second, F.lit(" exchange rate"))
+    is_bond = part(1) != ""
+    name = F.when(F.col("_known"), F.col("_name")).when(is_bond, bond_name).when(index != "", index_name).when(pair, pair_name)
+    return t.select("Ticker", name.alias("Name"), F.when(F.col("_known"), F.col("_where")).when(is_bond, F.coalesce("_land", "_country")).alias("Country"))
 
 
 def ticker_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ BUCKETS = (("nano", 50e6), ("micro", 300e6), ("small", 2e9), ("mid", 10e9), ("la
 
 
 def mcap_bucket(mcap: Column) -> Column:
-    pairs = [(mcap <= top if top else F.lit(True), name) for name, top in BUCKETS]
-    out = F.when(pairs[0][0], pairs[0][1])
-    for cond, name in pairs[1:]:
-        out = out.when(cond, name)
-    return F.when(mcap > 0, out)
+    """Null without a market cap; one of 0 or less is in the first bucket."""
+    out = F.when(mcap <= BUCKETS[0][1], BUCKETS[0][0])
+    for name, top in BUCKETS[1:]:
+        out = out.when(mcap <= top if top else mcap.isNotNull(), name)
+    return out
 
 
 def build_metrics(prices: DataFrame, income: DataFrame, companies: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -30,22 +30,19 @@ def build_metrics(prices: DataFrame, income: DataFrame, companies: DataFrame, an
     basic = F.coalesce(col("Shares (Basic)"), col("Shares (Diluted)")).cast("double")
     order = F.struct(col("Report Date"), col("IsRestated"), col("Period"))
     shares = income.groupBy("Ticker").agg(F.max_by(basic, F.when(basic.isNotNull(), order)).alias("shares"), F.count("*").alias("n_periods"))
+    companies = companies.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("Country", "string"), ("NrEmployees", "long")) if c not in companies.columns))
     found = anomalies.groupBy("Ticker").agg(F.count("*").alias("n_anomalies"))
     df = reduce(lambda a, b: a.join(b, "Ticker", "left"), (traded, shares, found, companies), span)
     df = df.crossJoin(F.broadcast(prices.agg(F.max("Date").alias("_last"))))
     other = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     mcap = F.col("close") * F.col("shares")
     return df.select(
-        "Ticker", other("CompanyName", "").alias("name"), other("Sector", "unknown").alias("sector"), other("Industry", "unknown").alias("industry"), "first_date", "last_date", "n_days", "close", "dollar_vol",
+        "Ticker", other("CompanyName", "").alias("name"), other("Sector", "unknown").alias("sector"), other("Industry", "unknown").alias("industry"), other("Country", "unknown").alias("country"), F.col("NrEmployees").alias("employees"), "first_date", "last_date", "n_days", "close", "dollar_vol",
         other("n_periods", 0).alias("n_periods"), other("n_anomalies", 0).alias("n_anomalies"), F.round(F.datediff("last_date", "first_date") / 365.25, 1).alias("years"),
-        (F.col("last_date") >= F.date_sub("_last", 7)).alias("active"), mcap.alias("mcap"), other_bucket(mcap).alias("mcap_bucket"),
+        (F.col("last_date") >= F.date_sub("_last", 7)).alias("active"), mcap.alias("mcap"), mcap_bucket(mcap).alias("mcap_bucket"),
     )
 
 
-def other_bucket(mcap: Column) -> Column:
-    return F.coalesce(mcap_bucket(mcap), F.lit("unknown"))
-
-
 def merge_pool(metrics: DataFrame, factors: DataFrame) -> DataFrame:
     return metrics.join(factors.select("Ticker", *FACTORS), "Ticker", "left")
 
@@ -100,24 +97,57 @@ def screen(pool: DataFrame, selected: list[str], filters: dict | None = None, ex
 
 def _capped(pairs: DataFrame, cap: int) -> DataFrame:
     """Self first, then the nearest by log market cap; without an own one, by Ticker."""
-    gap = F.when((F.col("_own") > 0) & (F.col("mcap") > 0), F.abs(F.log10("mcap") - F.log10("_own")))
+    gap = F.abs(F.col("_log") - F.col("_own"))
     order = Window.partitionBy("subject").orderBy((F.col("Ticker") != F.col("subject")).cast("int"), gap.asc_nulls_last(), "Ticker")
-    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).drop("_own")
+    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).select("subject", "Ticker", "place")
+
+
+def _near_by_cap(rows: DataFrame, cap: int) -> DataFrame:
+    """(subject, Ticker, _own, _log): in each scope (_scope, Ticker, mcap) candidates for the cap nearest of every ticker, some 6 x cap each, not all pairs.
+
+    Tickers are sorted by log market cap.  From the end of a subject's run of
+    equal caps the next `cap` places on either side are taken, and the first
+    `cap` of the run itself; tickers without a market cap follow by name.
+    """
+    rows = rows.withColumn("_log", F.when(F.col("mcap") > 0, F.log10("mcap"))).select("_scope", "Ticker", "_log")
+    scope, run = Window.partitionBy("_scope"), Window.partitionBy("_scope", "_log")
+    number = lambda w, *by: F.row_number().over(w.orderBy(*by))
+    known = F.col("_log").isNotNull()
+    rows = rows.select(
+        "*", number(scope, F.col("_log").asc_nulls_last(), "Ticker").alias("up"), number(scope, F.col("_log").desc_nulls_last(), "Ticker").alias("down"),
+        number(run, "Ticker").alias("in_run"), F.count("*").over(run).alias("of_run"), number(scope, "Ticker").alias("by_name"), F.count("_log").over(scope).alias("known"),
+    )
+    subject = rows.withColumnRenamed("Ticker", "subject").withColumnRenamed("_log", "_own")
+    has = F.col("_own").isNotNull()
+    found = []
+    for side in ("up", "down"):
+        after = F.col(side) - F.col("in_run") + F.col("of_run")
+        asking = subject.filter(has).select("_scope", "subject", "_own", after.alias("after"))
+        asking = asking.withColumn("part", F.explode(F.array(F.floor(F.col("after") / cap), F.floor(F.col("after") / cap) + 1)))
+        there = rows.filter(known).select("_scope", "Ticker", "_log", F.col(side).alias("at"), F.floor((F.col(side) - 1) / cap).alias("part"))
+        found.append(asking.join(there, ["_scope", "part"]).filter((F.col("at") > F.col("after")) & (F.col("at") <= F.col("after") + cap)))
+    equal = rows.filter(known & (F.col("in_run") <= cap)).select("_scope", "Ticker", "_log", F.col("_log").alias("_own"))
+    found.append(subject.filter(has).select("_scope", "subject", "_own").join(equal, ["_scope", "_own"]))
+    nameless = rows.filter(~known & (F.col("in_run") <= cap)).select("_scope", "Ticker", "_log")
+    found.append(subject.filter(has & (F.col("known") < cap)).select("_scope", "subject", "_own").join(nameless, "_scope"))
+    found.append(subject.filter(~has).select("_scope", "subject", "_own").join(rows.filter(F.col("by_name") <= cap).select("_scope", "Ticker", F.lit(None).cast("double").alias("_log")), "_scope"))
+    found.append(subject.select("subject", "_own", F.col("subject").alias("Ticker"), F.col("_own").alias("_log")))
+    columns = ["subject", "Ticker", "_own", "_log"]
+    return reduce(lambda a, b: a.union(b), (f.select(*columns) for f in found)).dropDuplicates(["subject", "Ticker"])
 
 
 def scope_peer_group(pool: DataFrame, scope: str = "industry", cap: int = 100) -> DataFrame:
     """(subject, place, ...): for every ticker the rows of its industry or sector; those of 'unknown' only itself."""
-    own = pool.select(F.col("Ticker").alias("subject"), F.col(scope).alias("_scope"), F.col("mcap").alias("_own"))
-    same = (F.col(scope) == F.col("_scope")) & ((F.col(scope) != "unknown") | (F.col("Ticker") == F.col("subject")))
-    return _capped(own.join(pool, same).drop("_scope"), cap)
+    # An own scope for each row of 'unknown', and for a missing one.
+    named = F.when(F.col(scope) != "unknown", F.concat(F.lit("="), F.col(scope))).otherwise(F.concat(F.lit("#"), F.col("Ticker")))
+    pairs = _near_by_cap(pool.select(named.alias("_scope"), "Ticker", "mcap"), cap)
+    return _capped(pairs, cap).join(pool, "Ticker")
 
 
 def universe_peer_group(pool: DataFrame, members: DataFrame, cap: int = 100) -> DataFrame:
     """As scope_peer_group within named lists (list, Ticker): every member is compared with the others of each of its lists."""
-    listed = members.select("list", "Ticker").distinct().join(pool, "Ticker")
-    own = listed.select("list", F.col("Ticker").alias("subject"), F.col("mcap").alias("_own"))
-    pairs = own.join(listed, "list").drop("list").dropDuplicates(["subject", "Ticker"])
-    return _capped(pairs, cap)
+    listed = members.select(F.col("list").alias("_scope"), "Ticker").distinct().join(pool.select("Ticker", "mcap"), "Ticker")
+    return _capped(_near_by_cap(listed, cap), cap).join(pool, "Ticker")
 
 
 def peer_percentiles(peers: DataFrame, factors: list[str] = FACTORS) -> DataFrame:
@@ -129,25 +159,40 @@ def peer_percentiles(peers: DataFrame, factors: list[str] = FACTORS) -> DataFram
 
 
 def own_vs_peers(peers: DataFrame, factors: list[str]) -> DataFrame:
-    """(Ticker, factor, percentile, verdict): share of other peers that the subject is at least as good as."""
+    """(Ticker, factor, percentile, verdict): share of other peers whose value is at most the subject's; of 100 less it where lower is better.
+
+    Factors without an orientation get no verdict.
+    """
     long = peers.unpivot(["subject", "Ticker"], [col(f).cast("double").alias(f) for f in factors], "factor", "value").filter("value is not null")
     own = long.filter("Ticker = subject").select("subject", "factor", F.col("value").alias("own"))
-    better = F.when(F.col("factor").isin(*LOWER_IS_BETTER), F.col("value") >= F.col("own")).otherwise(F.col("value") <= F.col("own"))
-    out = long.filter("Ticker <> subject").join(own, ["subject", "factor"]).groupBy("subject", "factor").agg((F.avg(better.cast("double")) * 100).alias("percentile"))
+    out = long.filter("Ticker <> subject").join(own, ["subject", "factor"]).groupBy("subject", "factor").agg((F.avg((F.col("value") <= F.col("own")).cast("double")) * 100).alias("percentile"))
+    p = F.when(F.col("factor").isin(*LOWER_IS_BETTER), 100 - F.col("percentile")).otherwise(F.col("percentile"))
+    out = out.withColumn("percentile", p)
     p = F.col("percentile")
-    verdict = F.when(p >= 80, "strong").when(p >= 60, "good").when(p >= 40, "average").when(p >= 20, "weak").otherwise("poor")
-    return out.select(F.col("subject").alias("Ticker"), "factor", "percentile", verdict.alias("verdict"))
+    verdict = F.when(p >= 80, "strong").when(p >= 60, "good").when(p > 40, "average").when(p > 20, "weak").otherwise("poor")
+    return out.select(F.col("subject").alias("Ticker"), "factor", "percentile", F.when(F.col("factor").isin(*FACTORS), verdict).alias("verdict"))
 
 
-def robust_fences(values: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, low, high): quartiles widened by 1.5 ranges, held within the data; null if degenerate."""
+def robust_fences(values: DataFrame, group: str, value: str, own: DataFrame | None = None) -> DataFrame:
+    """(group, low, high): quartiles widened by 1.5 ranges, held within the data, then widened to the own value (group, own); null if degenerate."""
     q = lambda p: F.percentile(value, F.lit(p))
     out = values.groupBy(group).agg(q(0.25).alias("q1"), q(0.75).alias("q3"), F.min(value).alias("least"), F.max(value).alias("most"))
+    out = out.withColumn("own", F.lit(None).cast("double")) if own is None else out.join(own.select(group, F.col("own").cast("double").alias("own")), group, "left")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    low, high = F.greatest(F.col("least"), F.col("q1") - reach), F.least(F.col("most"), F.col("q3") + reach)
+    # least() and greatest() skip a missing own value.
+    low, high = F.least(F.greatest(F.col("least"), F.col("q1") - reach), "own"), F.greatest(F.least(F.col("most"), F.col("q3") + reach), "own")
     return out.select(group, F.when(low < high, low).alias("low"), F.when(low < high, high).alias("high"))
 
 
+def flag_outliers(values: DataFrame, fences: DataFrame, group: str, value: str) -> DataFrame:
+    """values with shown, held within the fences of its group, and beyond: -1 below them, 1 above, 0 inside or without fences."""
+    v = F.col(value)
+    joined = values.join(fences.select(group, F.col("low").alias("_low"), F.col("high").alias("_high")), group, "left")
+    beyond = F.when(v < F.col("_low"), -1).when(v > F.col("_high"), 1).otherwise(0)
+    shown = F.when(v.isNotNull(), F.least(F.greatest(v, "_low"), "_high"))
+    return joined.withColumns({"shown": shown, "beyond": beyond}).drop("_low", "_high")
+
+
 def detail_lookup(income: DataFrame, anomalies: DataFrame) -> DataFrame:
     """(Ticker, latest, findings) for every ticker that has either: its newest income row, and its findings by date."""
     shown = ["Fiscal Year", "Fiscal Period", "Revenue", "Gross Profit", "Operating Income (Loss)", "Net Income", "Shares (Basic)"]

@@ -10,6 +10,30 @@ from tapewright.functions.columns import col, dbl
 META = ["Ticker", "SrcId", "Src", "Market", "Period", "IsRestated", "Fiscal Year", "Fiscal Period", "Report Date", "Publish Date", "Restated Date", "Shares (Basic)", "Shares (Diluted)", "Currency"]
 KEYS = ["Ticker", "Market", "Period", "IsRestated", "Fiscal Year", "Fiscal Period"]
 
+#: Each statement's totals.
+TOTALS = {
+    "income": ["Gross Profit", "Operating Income (Loss)", "Pretax Income (Loss)", "Net Income", "Net Income (Common)"],
+    "balance": ["Total Current Assets", "Total Noncurrent Assets", "Total Assets", "Total Current Liabilities", "Total Noncurrent Liabilities", "Total Liabilities", "Total Equity", "Total Liabilities & Equity"],
+    "cashflow": ["Net Cash from Operating Activities", "Net Cash from Investing Activities", "Net Cash from Financing Activities", "Net Change in Cash"],
+}
+#: The lines of each statement's summary, in its order.
+SUMMARY = {
+    "income": [
+        "Revenue", "Cost of Revenue", "Gross Profit", "Operating Expenses", "Operating Income (Loss)", "Non-Operating Income (Loss)", "Pretax Income (Loss), Adj.", "Abnormal Gains (Losses)", "Pretax Income (Loss)",
+        "Income Tax (Expense) Benefit, Net", "Income (Loss) from Continuing Operations", "Net Extraordinary Gains (Losses)", "Net Income", "Net Income (Common)",
+    ],
+    "balance": [
+        "Cash, Cash Equivalents & Short Term Investments", "Accounts & Notes Receivable", "Inventories", "Other Short Term Assets", "Total Current Assets", "Property, Plant & Equipment, Net", "Long Term Investments & Receivables",
+        "Intangible Assets", "Other Long Term Assets", "Total Noncurrent Assets", "Total Assets", "Payables & Accruals", "Short Term Debt", "Other Short Term Liabilities", "Total Current Liabilities", "Long Term Debt", "Other Long Term Liabilities",
+        "Total Noncurrent Liabilities", "Total Liabilities", "Preferred Equity", "Share Capital & Additional Paid-In Capital", "Treasury Stock", "Retained Earnings", "Other Equity", "Minority Interest", "Total Equity", "Total Liabilities & Equity",
+    ],
+    "cashflow": [
+        "Net Income/Starting Line", "Depreciation & Amortization", "Non-Cash Items", "Change in Working Capital", "Net Cash from Operating Activities", "Change in Fixed Assets & Intangibles", "Net Change in Long Term Investment",
+        "Net Cash from Acquisitions & Divestitures", "Other Investing Activities", "Net Cash from Investing Activities", "Dividends Paid", "Cash from (Repayment of) Debt", "Cash from (Repurchase of) Equity", "Other Financing Activities",
+        "Net Cash from Financing Activities", "Effect of Foreign Exchange Rates", "Net Change in Cash",
+    ],
+}
+
 
 def latest_restated(df: DataFrame) -> DataFrame:
     """One row per ticker and fiscal period: the latest Restated Date, a missing one counting as latest."""
@@ -26,17 +50,30 @@ def period_label(year="Fiscal Year", period="Fiscal Period") -> Column:
     return F.when(col(period) == "FY", F.concat(F.lit("FY "), y)).otherwise(F.concat(y, F.lit(" "), col(period)))
 
 
-def line_items(df: DataFrame, items: list[str] | None = None) -> DataFrame:
-    """(keys, Report Date, label, item, value, level): a row for each item that has any value in its ticker; level 0 total, 1 summary, 2 detail."""
+def statement_of(items: list[str]) -> str:
+    """The statement whose totals and summary name most of the items."""
+    return max(SUMMARY, key=lambda k: len(set(items) & {*SUMMARY[k], *TOTALS[k]}))
+
+
+def line_items(df: DataFrame, items: list[str] | None = None, statement: str | None = None) -> DataFrame:
+    """(keys, Report Date, label, item, value, level): a row for each item that has any value in its ticker; level 0 total, 1 summary, 2 detail.
+
+    statement: income, balance or cashflow; None tells it by the items.
+    """
     items = items or items_of(df)
+    statement = statement or statement_of(items)
     keep = [*KEYS, "Report Date"]
     long = df.select(*(col(k) for k in keep), *(dbl(i).alias(i) for i in items)).unpivot([col(k) for k in keep], [col(i) for i in items], "item", "value")
-    total = F.col("item").rlike("^(Total |Net (Income|Cash|Change))|Gross Profit|^Revenue$")
-    level = F.when(total, 0).when(F.col("item").rlike("Operating|Pretax|Debt|Cash"), 1).otherwise(2)
+    level = F.when(F.col("item").isin(TOTALS[statement]), 0).when(F.col("item").isin(SUMMARY[statement]), 1).otherwise(2)
     some = F.count("value").over(Window.partitionBy("Ticker", "Period", "IsRestated", "item"))
     return long.withColumns({"label": period_label(), "level": level, "_n": some}).filter("_n > 0").drop("_n")
 
 
+def summary_lines(long: DataFrame, statement: str) -> DataFrame:
+    """The lines of line_items that the summary shows, with place, their order in it."""
+    return long.withColumn("place", F.array_position(F.lit(SUMMARY[statement]), F.col("item")).cast("int")).filter("place > 0")
+
+
 def table_data(long: DataFrame, labels: list[str]) -> DataFrame:
     """Items as rows, the given period labels as columns."""
     return long.groupBy("Ticker", "Period", "IsRestated", "item", "level").pivot("label", labels).agg(F.first("value"))
@@ -78,7 +115,34 @@ def vintage_diff(restated: DataFrame, filed: DataFrame) -> DataFrame:
     return pair.withColumn("_n", some).filter("_n > 0").drop("_n")
 
 
-def involved_items(findings: DataFrame, items: DataFrame) -> DataFrame:
-    """findings with the statement items that a check and the head of its details (CheckName, prefix, items) concern."""
-    matches = (findings["CheckName"] == items["CheckName"]) & F.startswith(findings["Details"], items["prefix"])
-    return findings.join(F.broadcast(items), matches, "left").drop(items["CheckName"]).drop("prefix")
+#: What each part of a check is calculated from; label: the head of its details before the colon.
+INVOLVED = {
+    ("balance_identity", "L + E vs A"): ["Total Liabilities", "Total Equity", "Total Assets"],
+    ("balance_subtotals", "assets"): ["Total Current Assets", "Total Noncurrent Assets", "Total Assets"],
+    ("balance_subtotals", "liabilities"): ["Total Current Liabilities", "Total Noncurrent Liabilities", "Total Liabilities"],
+    ("income_chain", "gross profit"): ["Revenue", "Cost of Revenue", "Gross Profit"],
+    ("income_chain", "operating income"): ["Gross Profit", "Operating Expenses", "Other Operating Income", "Operating Income (Loss)"],
+    ("income_chain", "pretax income"): ["Operating Income (Loss)", "Non-Operating Income (Loss)", "Pretax Income (Loss), Adj."],
+    ("cashflow_identity", "cash flow"): [
+        "Net Cash from Operating Activities", "Net Cash from Investing Activities", "Net Cash from Financing Activities", "Effect of Foreign Exchange Rates", "Change in Cash from Disc. Operations and Other", "Net Change in Cash",
+    ],
+    ("hard_invariants", "nonpositive shares"): ["Shares (Basic)", "Shares (Diluted)"],
+    ("hard_invariants", "negative assets"): ["Total Assets"],
+}
+
+
+def involved_items(findings: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """findings with items, those of a statement that a finding is about (empty where the check has none).
+
+    items (CheckName, prefix, items) replaces the table of this module.
+    quarters_vs_fy names its item in its details, and negative_revenue has one.
+    """
+    if items is None:
+        rows = [(check, label, names) for (check, label), names in INVOLVED.items()]
+        items = findings.sparkSession.createDataFrame(rows, "CheckName string, prefix string, items array<string>")
+    head = F.trim(F.substring_index(F.col("Details"), ":", 1))
+    known = items.select(F.col("CheckName").alias("_check"), F.col("prefix").alias("_prefix"), "items")
+    matches = (F.col("CheckName") == F.col("_check")) & F.startswith(F.col("Details"), F.col("_prefix"))
+    found = findings.join(known, matches, "left").drop("_check", "_prefix")
+    own = F.when(F.col("CheckName") == "quarters_vs_fy", F.array(head)).when(F.col("CheckName") == "negative_revenue", F.array(F.lit("Revenue")))
+    return found.withColumn("items", F.coalesce(own, "items", F.array().cast("array<string>")))

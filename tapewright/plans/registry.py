@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl
-from tapewright.operators import cleaning, factors, joins, mldata, mleval, quality, reporting, screening, series, similarity, statements, windows
+from tapewright.operators import boosting, cleaning, factors, joins, mldata, mleval, neighbours, quality, reporting, screening, series, similarity, statements, windows
 from tapewright.sources import files, panels, sinks
 from tapewright.sources.panel import Panel, with_views
+from tapewright.sources.scratch import settle
 from tapewright.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,9 +255,24 @@ def j4_set_value(p):
     return cleaning.apply_fix(p.bars, cleaning.Fix("set_value", "prices", ("5",), "1995-01-01", column="V")).select("Ticker", "Date", "V")
 
 
-@_query("select 'delete_date_range' fix_type, Ticker, min(Date) \"start\", max(Date) \"end\" from faulty where V<0 group by Ticker")
+_NEG = "(select 'prices' tab, Ticker, Date from faulty where V<0)"
+_FIX = "union all select '{}', '{}', tab, array_to_string(list_sort(list(distinct Ticker)), ','), {}, {}, {} from {} group by {}"
+
+
+@_query(
+    f"""select * from (select 'x' act, 'x' fix_type, 'x' tab, 'x' tickers, current_date as "start", current_date as "end", 'x' as "column" where false
+  {_FIX.format("delete_rows", "delete_date_range", "Date", "Date", "null", _NEG, "tab, Date")} {_FIX.format("clear_value", "set_value", "Date", "Date", "'V'", _NEG, "tab, Date")}
+  {_FIX.format("delete_span", "delete_date_range", "min(Date)", "max(Date)", "null", _NEG, "tab, Ticker")} {_FIX.format("delete_ticker", "delete_date_range", "null", "null", "null", _NEG, "tab")}
+  {_FIX.format("rebuild_adjusted_close", "rebuild_adjusted_close", "null", "null", "null", _NEG, "tab")} {_FIX.format("set_value", "set_value", "Date", "Date", "'V'", f"(select * from {_NEG} order by Date, Ticker limit 1)", "tab, Date")})"""
+)
 def j6_fix_entries(p):
-    return cleaning.fix_entries("delete_span", quality.negative_volume(p.faulty), reason="negative volume").select("fix_type", F.element_at("tickers", 1).alias("Ticker"), "start", "end")
+    """What each action makes of all findings of negative volumes; a value is set for the first of them."""
+    found, parts = quality.negative_volume(p.faulty), []
+    for action in cleaning.ACTIONS:
+        some = found.orderBy("Date", "Ticker").limit(1) if action == "set_value" else found
+        fixes = cleaning.fix_entries(action, some, "V", 0, "negative volume")
+        parts.append(fixes.select(F.lit(action).alias("act"), "fix_type", F.col("table").alias("tab"), F.array_join("tickers", ",").alias("tickers"), "start", "end", "column"))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # Series -------------------------------------------------------------------------------------------------------------
@@ -385,8 +402,8 @@ def k6_fundamental_factors(p):
     return _rounded(factors.fundamental_factors(ident, p.income, p.balance, p.cashflow))
 
 
-_GROWTH = """growth as (select d.Ticker, case when sum(case when age>=365 and age<730 then Dividend end)>0 then sum(case when age>=0 and age<365 then Dividend end)/sum(case when age>=365 and age<730 then Dividend end)-1 end div_growth
-  from (select *, date_diff('day', Date, (select max(Date) from bars)) age from dividends) d group by d.Ticker)"""
+_GROWTH = """growth as (select Ticker, case when was>0 then is_/was-1 end div_growth from (select Ticker, sum(case when age>=365 and age<730 then Dividend::decimal(28,12) end)::double was, sum(case when age>=0 and age<365 then Dividend::decimal(28,12) end)::double is_
+  from (select *, date_diff('day', Date, (select max(Date) from bars)) age from dividends) d group by d.Ticker))"""
 
 
 @_query(f"with {_GROWTH} select Ticker, round(div_growth,6) div_growth from growth")
@@ -415,18 +432,20 @@ def k9_build_factors(p):
     return _rounded(built)
 
 
-_METRICS = """metrics as (select b.Ticker, coalesce(CompanyName,'') "name", coalesce(Sector,'unknown') sector, coalesce(Industry,'unknown') industry, first_date, last_date, n_days, cl "close", dollar_vol, coalesce(n_periods,0) n_periods, coalesce(n_anomalies,0) n_anomalies,
+_METRICS = """metrics as (select b.Ticker, coalesce(CompanyName,'') "name", coalesce(Sector,'unknown') sector, coalesce(Industry,'unknown') industry, coalesce(Country,'unknown') country, NrEmployees employees, first_date, last_date, n_days, cl "close", dollar_vol, coalesce(n_periods,0) n_periods, coalesce(n_anomalies,0) n_anomalies,
     round(date_diff('day', first_date, last_date)/365.25,1) "years", last_date >= (select max(Date) from bars) - 7 active, cl*sh mcap,
-    case when cl*sh<=0 or cl*sh is null then 'unknown' when cl*sh<=50e6 then 'nano' when cl*sh<=300e6 then 'micro' when cl*sh<=2e9 then 'small' when cl*sh<=10e9 then 'mid' when cl*sh<=200e9 then 'large' else 'mega' end mcap_bucket
+    case when cl*sh is null then null when cl*sh<=50e6 then 'nano' when cl*sh<=300e6 then 'micro' when cl*sh<=2e9 then 'small' when cl*sh<=10e9 then 'mid' when cl*sh<=200e9 then 'large' else 'mega' end mcap_bucket
   from (select Ticker, min(Date) first_date, max(Date) last_date, count(*) n_days, arg_max(C, Date) cl from bars group by 1) b
   left join (select Ticker, median(C*V) dollar_vol from (select *, row_number() over (partition by Ticker order by Date desc) r from bars) where r<=252 group by 1) t using (Ticker)
   left join (select Ticker, max(case when r=1 then "Shares (Basic)"::double end) sh, count(*) n_periods from (select *, row_number() over (partition by Ticker order by "Report Date" desc, IsRestated desc, Period desc) r from income) group by 1) i using (Ticker)
-  left join (select Ticker, count(*) n_anomalies from faulty where V<0 group by 1) a using (Ticker) left join companies using (Ticker))"""
+  left join (select Ticker, count(*) n_anomalies from faulty where V<0 group by 1) a using (Ticker) left join (select *, case when cast(Ticker as int)%7<>0 then Industry end Country, case when cast(Ticker as int)%5<>0 then cast(Ticker as bigint)*10 end NrEmployees from companies) using (Ticker))"""
 _FULL = f"{_ALL_FACTORS}, {_METRICS}, pool as (select metrics.*, {', '.join(factors.FACTORS)} from metrics left join factors using (Ticker))"
 
 
 def _metrics(p: Panel) -> DataFrame:
-    return screening.build_metrics(p.prices, p.income, p.companies, quality.negative_volume(p.faulty))
+    number = F.col("Ticker").cast("int")
+    companies = p.companies.withColumns({"Country": F.when(number % 7 != 0, F.col("Industry")), "NrEmployees": F.when(number % 5 != 0, number.cast("long") * 10)})
+    return screening.build_metrics(p.prices, p.income, companies, quality.negative_volume(p.faulty))
 
 
 def _full_pool(p: Panel) -> DataFrame:
@@ -439,7 +458,7 @@ def l2_merge_pool(p):
     return _rounded(_full_pool(p).select("Ticker", "sector", "mcap_bucket", "n_anomalies", "roe", "vol_252", "div_growth"))
 
 
-@_query(f"""with {_METRICS} select Ticker, "name", sector, industry, first_date, last_date, n_days, round("close",8) "close", round(dollar_vol+1e-5,2) dollar_vol, n_periods, n_anomalies, "years", active, round(mcap+1.3e-5,2) mcap, mcap_bucket from metrics""")
+@_query(f"""with {_METRICS} select Ticker, "name", sector, industry, country, employees, first_date, last_date, n_days, round("close",8) "close", round(dollar_vol+1e-5,2) dollar_vol, n_periods, n_anomalies, "years", active, round(mcap+1.3e-5,2) mcap, mcap_bucket from metrics""")
 def l1_metrics(p):
     out = _metrics(p)
     return out.withColumns({"close": F.round("close", 8), "dollar_vol": F.round(F.col("dollar_vol") + 1e-5, 2), "mcap": F.round(F.col("mcap") + 1.3e-5, 2), "n_periods": F.col("n_periods").cast("long"), "n_anomalies": F.col("n_anomalies").cast("long")})
@@ -505,9 +524,17 @@ def m11_peer_percentiles(p):
     return _rounded(screening.peer_percentiles(screening.scope_peer_group(_full_pool(p), "sector", 50)))
 
 
-@_query("""select Ticker, round(greatest(lo, q1-1.5*(q3-q1)),8) low, round(least(hi, q3+1.5*(q3-q1)),8) high from (select Ticker, quantile_cont(C,0.25) q1, quantile_cont(C,0.75) q3, min(C) lo, max(C) hi from bars group by 1) where greatest(lo, q1-1.5*(q3-q1)) < least(hi, q3+1.5*(q3-q1))""")
+@_query(
+    """with q as (select Ticker, quantile_cont(C,0.25) q1, quantile_cont(C,0.75) q3, min(C) lo, max(C) hi, arg_max(C, Date)*(1 + cast(Ticker as int)%3) own from bars group by 1),
+  f as (select Ticker, least(greatest(lo, q1-1.5*(q3-q1)), own) low, greatest(least(hi, q3+1.5*(q3-q1)), own) high from q)
+  select Ticker, round(any_value(low),8) low, round(any_value(high),8) high, count(*) filter (where C<low) below, count(*) filter (where C>high) above, round(sum(least(greatest(C,low),high)),2) shown from bars join f using (Ticker) where low<high group by 1"""
+)
 def m13_robust_fences(p):
-    return _rounded(screening.robust_fences(p.bars, "Ticker", "C").filter("low is not null"),8)
+    """Fences of each ticker's closes, widened to a value of its own that may lie outside them, and what they leave outside."""
+    own = p.bars.groupBy("Ticker").agg((F.max_by("C", "Date") * (1 + F.col("Ticker").cast("int") % 3)).alias("own"))
+    fences = screening.robust_fences(p.bars, "Ticker", "C", own).filter("low is not null")
+    flagged = screening.flag_outliers(p.bars, fences, "Ticker", "C").groupBy("Ticker").agg(F.count_if(F.col("beyond") < 0).alias("below"), F.count_if(F.col("beyond") > 0).alias("above"), F.round(F.sum("shown"), 2).alias("shown"))
+    return _rounded(fences.join(flagged, "Ticker"), 8)
 
 
 # Statement views ----------------------------------------------------------------------------------------------------
@@ -533,13 +560,27 @@ def _view(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
     return df.select("Ticker", "Period", "IsRestated", col("Fiscal Year").alias("fy"), col("Fiscal Period").alias("fp"), "item", F.round("value", digits).alias(value))
 
 
-@_query(f"""with long as ({_items(_BALANCE + ["Nothing"], '(select *, case when cast(Ticker as int)%4=0 then null else "Revenue2" end "Nothing" from (select *, "Total Assets" "Revenue2" from balance))')})
-  select Ticker, "Period", IsRestated, item, case when regexp_matches(item, '^(Total |Net (Income|Cash|Change))|Gross Profit|^Revenue$') then 0 when regexp_matches(item, 'Operating|Pretax|Debt|Cash') then 1 else 2 end "level", count(*) n, count(v) filled, coalesce(sum(v),0) total from long group by 1,2,3,4 having count(v)>0""")
+def _quoted(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def _levels(statement: str, items: list[str], table: str) -> str:
+    total, summary = _quoted(statements.TOTALS[statement]), _quoted(statements.SUMMARY[statement])
+    return f"""select '{statement}' statement, Ticker, "Period", IsRestated, item, case when item in ({total}) then 0 when item in ({summary}) then 1 else 2 end "level", nullif(coalesce(list_position([{summary}], item), 0), 0)::int place, count(*) n, count(v) filled, coalesce(sum(v),0) total
+  from ({_items(items, table)}) group by all having count(v)>0"""
+
+
+@_query(" union all ".join((_levels("income", _INCOME, "income"), _levels("cashflow", _CASHFLOW, "cashflow"), _levels("balance", _BALANCE + ["Nothing"], '(select *, case when cast(Ticker as int)%4=0 then null else "Total Assets" end "Nothing" from balance)'))))
 def n2_line_items(p):
-    """All items of the balance, and one that a fourth of the tickers lack, whose line goes there."""
-    part = p.balance.withColumn("Nothing", F.when(F.col("Ticker").cast("int") % 4 != 0, col("Total Assets")))
-    long = statements.line_items(part)
-    return long.groupBy("Ticker", "Period", "IsRestated", "item", "level").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
+    """All items of the statements, and one that a fourth of the tickers lack, whose line goes there; place is that in the summary."""
+    found = []
+    for name in ("income", "balance", "cashflow"):
+        part = p[name].withColumn("Nothing", F.when(F.col("Ticker").cast("int") % 4 != 0, col("Total Assets"))) if name == "balance" else p[name]
+        long = statements.line_items(part, statement=name)
+        short = statements.summary_lines(long, name).select("item", "place").distinct()
+        long = long.join(F.broadcast(short), "item", "left")  # a row for each item
+        found.append(long.groupBy(F.lit(name).alias("statement"), "Ticker", "Period", "IsRestated", "item", "level", "place").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @_query(f"""with long as ({_items(_INCOME, "income")}) select a.Ticker, a.Period, a.IsRestated, a.fy, a.fp, a.item, round((a.v-b.v)/nullif(abs(b.v),0)*100,4) yoy from long a left join long b on a.Ticker=b.Ticker and a.Period=b.Period and a.IsRestated=b.IsRestated and a.fp=b.fp and a.item=b.item and a.fy=b.fy+1""")
@@ -659,19 +700,22 @@ def r3_ticker_diff(p):
 
 
 _CODES = """codes as (select concat(cast(1 + n_nationkey % 30 as varchar), case when n_nationkey%2=0 then 'Y' else 'M' end, substr(n_name,1,2), case when n_nationkey%3=0 then 'P' else 'Y' end) Ticker from nation union select concat(substr(n_name,1,3), '_I') from nation
-  union select concat(substr(a.n_name,1,3), substr(b.n_name,1,3)) from nation a join nation b on b.n_nationkey = (a.n_nationkey+1)%25 union select distinct Ticker from market_data)"""
+  union select concat(substr(a.n_name,1,3), substr(b.n_name,1,3)) from nation a join nation b on b.n_nationkey = (a.n_nationkey+1)%25 union select distinct Ticker from market_data union select unnest(['10YXXY', 'ABCDEF', 'XYZ_I', 'XYZ_B50', 'XYZ_B', '3MXXP', 'nothing']))"""
 
 
 @_query(f"""with {_CODES}, two as (select substr(n_name,1,2) code, min(n_name) land from nation group by 1), three as (select substr(n_name,1,3) code, concat(min(n_name), ' money') cur from nation group by 1),
   parts as (select Ticker, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 1) n, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 2) u, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 3) c, regexp_extract(Ticker, '^(\\d+)([MY])([A-Z]{{2}})([YP])$', 4) k from codes)
-  select Ticker, case when Ticker='^N' then 'Index N' when n<>'' then concat(land, ' ', n, case when u='M' then '-month ' else '-year ' end, case when k='Y' then 'bond yield' else 'bond price' end) when regexp_matches(Ticker,'^[A-Z]{{3}}_(I|B|B50)$') then concat(x.cur, ' index') when regexp_matches(Ticker,'^[A-Z]{{6}}$') then concat(x.cur, ' / ', y.cur) end Name,
-  case when Ticker='^N' then 'Nowhere' else land end Country from parts left join two on two.code=c left join three x on x.code=substr(Ticker,1,3) and not (n<>'') and Ticker not like '^%' left join three y on y.code=substr(Ticker,4,3) and regexp_matches(Ticker,'^[A-Z]{{6}}$')""")
+  select Ticker, case when Ticker='^N' then 'Index N' when n<>'' then concat(n, case when u='M' then '-month' else '-year' end, ' government bond ', case when k='Y' then 'yield' else 'price' end)
+    when regexp_matches(Ticker,'^[A-Z]{{3}}_I$') then concat(coalesce(x.cur, substr(Ticker,1,3)), ' index (likely trade-weighted), suffix meaning unconfirmed') when regexp_matches(Ticker,'^[A-Z]{{3}}_(B|B50)$') then concat(coalesce(x.cur, substr(Ticker,1,3)), ' special variant (', substr(Ticker,4), '), meaning unconfirmed')
+    when regexp_matches(Ticker,'^[A-Z]{{6}}$') then concat(coalesce(x.cur, substr(Ticker,1,3)), '/', coalesce(y.cur, substr(Ticker,4,3)), ' exchange rate') end Name,
+  case when Ticker='^N' then 'Nowhere' when n<>'' then coalesce(land, c) end Country from parts left join two on two.code=c left join three x on x.code=substr(Ticker,1,3) left join three y on y.code=substr(Ticker,4,3)""")
 def r2_decode_instruments(p):
     name, key = F.col("n_name"), F.col("n_nationkey")
     part = lambda c, n: F.substring(c, 1, n)
     bonds = p.nation.select(F.concat((1 + key % 30).cast("string"), F.when(key % 2 == 0, "Y").otherwise("M"), part(name, 2), F.when(key % 3 == 0, "P").otherwise("Y")).alias("Ticker"))
     pairs = p.nation.select(part(name, 3).alias("x"), ((key + 1) % 25).alias("k")).join(p.nation.select(part(name, 3).alias("y"), key.alias("k")), "k").select(F.concat("x", "y"))
-    codes = bonds.union(p.nation.select(F.concat(part(name, 3), F.lit("_I")))).union(pairs).union(p.market_data.select("Ticker"))
+    unknown = p.nation.limit(1).select(F.explode(F.array(*(F.lit(x) for x in ("10YXXY", "ABCDEF", "XYZ_I", "XYZ_B50", "XYZ_B", "3MXXP", "nothing")))))
+    codes = bonds.union(p.nation.select(F.concat(part(name, 3), F.lit("_I")))).union(pairs).union(p.market_data.select("Ticker")).union(unknown)
     curated = p.market_data.filter("Ticker = '^N'").select("Ticker", F.lit("Index N").alias("Name"), F.lit("Nowhere").alias("Country")).distinct()
     countries = p.nation.groupBy(part(name, 2).alias("code")).agg(F.min(name).alias("country"))
     currencies = p.nation.groupBy(part(name, 3).alias("code")).agg(F.concat(F.min(name), F.lit(" money")).alias("currency"))
@@ -830,18 +874,18 @@ def o3_zscore(p):
 
 @_query("""select vec_id id, arg_min(other, d) other, round(min(d),4) distance from (select a.vec_id, b.vec_id other, list_distance(a.embedding::double[], b.embedding::double[]) d from embeddings a join embeddings b on a.vec_id<>b.vec_id) group by 1""")
 def o9_nearest_other(p):
-    return similarity.nearest_others(p.embeddings, "vec_id", "embedding").select("id", "other", F.round("distance", 4).alias("distance"))
+    return neighbours.nearest_others(p.embeddings, "vec_id", "embedding").select("id", "other", F.round("distance", 4).alias("distance"))
 
 
 @_query("""select id, other, place from (select a.vec_id id, b.vec_id other, row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) place from embeddings a join embeddings b on a.vec_id<>b.vec_id where a.vec_id%20=0) where place<=10""")
 def o10_nearest_others(p):
-    found = similarity.nearest_others(p.embeddings, "vec_id", "embedding", 10, p.embeddings.filter("vec_id % 20 = 0"))
+    found = neighbours.nearest_others(p.embeddings, "vec_id", "embedding", 10, p.embeddings.filter("vec_id % 20 = 0"))
     return found.select("id", "other", F.col("place").cast("long").alias("place"))
 
 
 @_query("""select i, j, round(d,4) distance from (select least(a.vec_id,b.vec_id) i, greatest(a.vec_id,b.vec_id) j, min(list_distance(a.embedding::double[], b.embedding::double[])) d from embeddings a join embeddings b on a.vec_id<>b.vec_id group by 1,2) order by d, i, j limit 20""")
 def o11_closest_pairs(p):
-    return _rounded(similarity.closest_pairs(similarity.nearest_others(p.embeddings, "vec_id", "embedding", 20), 20), 4)
+    return _rounded(similarity.closest_pairs(neighbours.nearest_others(p.embeddings, "vec_id", "embedding", 20), 20), 4)
 
 
 @_query()
@@ -964,8 +1008,12 @@ def q12_cross_section_sizes(p):
 
 def _flat_files(df: DataFrame, path: str, mode: str = "append", **options) -> None:
     """Bars as flat files of the vendor's form."""
+    _vendor_files(df.withColumn("ticker", F.concat(F.lower("Ticker"), F.lit(".x"))), path, mode, **options)
+
+
+def _vendor_files(df: DataFrame, path: str, mode: str = "append", **options) -> None:
     text = {n: F.col(c).cast("string") for n, c in (("open", "O"), ("high", "H"), ("low", "L"), ("close", "C"))}
-    rows = df.select(F.concat(F.lower("Ticker"), F.lit(".x")).alias("ticker"), F.lit("D").alias("per"), F.date_format("Date", "yyyyMMdd").alias("date"), F.lit("0").alias("time"), *(v.alias(n) for n, v in text.items()), F.lit("0").alias("vol"), F.lit("0").alias("openint"))
+    rows = df.select("ticker", F.lit("D").alias("per"), F.date_format("Date", "yyyyMMdd").alias("date"), F.lit("0").alias("time"), *(v.alias(n) for n, v in text.items()), F.lit("0").alias("vol"), F.lit("0").alias("openint"))
     rows.write.mode(mode).options(**options).csv(path, header=True)
 
 
@@ -1017,11 +1065,19 @@ def s3_row_checks(p):
 # Scans of documents, ledgers and further views ----------------------------------------------------------------------
 
 
-@_query("select Ticker, Date, round(O,8) O, round(C,8) C, 'indices' AssetClass from market_data")
+#: Vendor tickers by kind: a bond, a stock of six letters, a coin, a pair, a code with a suffix of another kind, a stock.
+_KINDS = ("concat('SHORT', Ticker, '.B')", "'ABCDEF.US'", "'BTC.V'", "'eurusd'", "'USD_I'", "concat('S', Ticker, '.US')")
+_VENDOR = f"case cast(Ticker as int)%6 {' '.join(f'when {i} then {k}' for i, k in enumerate(_KINDS))} end"
+
+
+@_query(f"""select Ticker, Date, round(O,8) O, round(C,8) C, 'indices' AssetClass from market_data union all
+  select upper(split_part(t, '.', 1)), Date, round(O,8), round(C,8), case when t like '%.B' then 'bonds' else 'currencies' end from (select *, {_VENDOR} t from bars) where t like '%.B' or t='eurusd'""")
 def a1_flat_scan(p):
-    """One update file's worth of all instruments, written and scanned; stocks go."""
+    """One update file's worth of all instruments, written and scanned; stocks, coins and other codes go."""
     path = f"{ingest.stream_root(p.spark)}/flat"
-    _flat_files(p.market_data.select("Ticker", "Date", *"OHLC").unionByName(p.bars.select("Ticker", "Date", *"OHLC")), path)
+    vendor = F.expr(_VENDOR)
+    both = p.market_data.select(F.concat(F.lower("Ticker"), F.lit(".x")).alias("ticker"), "Date", *"OHLC").unionByName(p.bars.select(vendor.alias("ticker"), "Date", *"OHLC"))
+    _vendor_files(both, path)
     return _rounded(files.read_update_file(p.spark, path).select("Ticker", "Date", "O", "C", "AssetClass"), 8)
 
 
@@ -1171,7 +1227,7 @@ def a11_officers(p):
     return files.to_officers(docs).select("Ticker", "name", "age", "totalPay")
 
 
-@_query()
+@_query("select Ticker from (select distinct Ticker from bars where Ticker<>'1') order by md5('0|' || Ticker), Ticker limit 5")
 def a22_sample_tickers(p):
     return panels.sample_tickers(p.bars, 5, exclude=("1",))
 
@@ -1279,17 +1335,39 @@ def m10_listed_peers(p):
     return screening.universe_peer_group(pool.select("Ticker", "mcap"), members, 10).select("subject", "Ticker", F.col("place").cast("long").alias("place"))
 
 
-@_query(f"""{_LISTS} select Ticker, round(p,4) percentile, case when p>=80 then 'strong' when p>=60 then 'good' when p>=40 then 'average' when p>=20 then 'weak' else 'poor' end verdict from (select a.Ticker, avg(case when b.n<=a.n then 100.0 else 0 end) p from m a join m b on a.sector=b.sector and a.Ticker<>b.Ticker group by 1)""")
+@_query(f"""with {_POOL}, {_PF}, m as (select Ticker, sector, unnest(['n', 'ret_6m', 'vol_252', 'beta']) factor, unnest([n::double, round(ret_6m,2), round(vol_252,2), round(beta,1)]) v from pool left join pf using (Ticker))
+  select Ticker, factor, round(p,4) percentile, case when factor='n' then null when p>=80 then 'strong' when p>=60 then 'good' when p>40 then 'average' when p>20 then 'weak' else 'poor' end verdict
+  from (select a.Ticker, a.factor, case when a.factor in ({", ".join(repr(f) for f in factors.LOWER_IS_BETTER)}) then 100 - avg(case when b.v<=a.v then 100.0 else 0 end) else avg(case when b.v<=a.v then 100.0 else 0 end) end p from m a join m b on a.sector=b.sector and a.factor=b.factor and a.Ticker<>b.Ticker and a.v is not null and b.v is not null group by 1,2)""")
 def m12_own_vs_peers(p):
-    peers = screening.scope_peer_group(_pool(p), "sector", 100_000)
-    return _rounded(screening.own_vs_peers(peers, ["n"]).select("Ticker", "percentile", "verdict"), 4)
+    """A metric without orientation, and factors rounded so that peers tie."""
+    found = factors.price_factors(p.settle("prices").prices, _market(p)).select("Ticker", F.round("ret_6m", 2).alias("ret_6m"), F.round("vol_252", 2).alias("vol_252"), F.round("beta", 1).alias("beta"))
+    peers = screening.scope_peer_group(_pool(p).join(found, "Ticker", "left"), "sector", 100_000)
+    return _rounded(screening.own_vs_peers(peers, ["n", "ret_6m", "vol_252", "beta"]), 4)
+
+
+def _involved(check: str, found: str, items: str) -> str:
+    return f"select '{check}' CheckName, Ticker, Key, array_to_string(list_sort({items}), ';') items from ({found})"
+
 
+def _missed(table: str, parts: str, total: str) -> str:
+    return f"""select *, {_KEY} Key from {table} where abs({parts} - "{total}") > greatest(0.01*abs("{total}"), 100000)"""
 
-@_query("""select Ticker, Key, case when abs("Total Liabilities"+"Total Equity"-"Total Assets") > greatest(0.01*abs("Total Assets"),100000) then 3 end n from (select *, """ + _KEY + """ Key from balance) where abs("Total Liabilities"+"Total Equity"-"Total Assets") > greatest(0.01*abs("Total Assets"),100000)""")
+
+@_query(" union all ".join((
+    _involved("balance_identity", _missed("balance", '"Total Liabilities"+"Total Equity"', "Total Assets"), "['Total Liabilities', 'Total Equity', 'Total Assets']"),
+    _involved("balance_subtotals", _missed("balance", '"Total Current Assets"+"Total Noncurrent Assets"', "Total Assets"), "['Total Current Assets', 'Total Noncurrent Assets', 'Total Assets']"),
+    _involved("income_chain", _missed("income", '"Revenue"+"Cost of Revenue"', "Gross Profit"), "['Revenue', 'Cost of Revenue', 'Gross Profit']"),
+    _involved("income_chain", _missed("income", '"Gross Profit"+"Operating Expenses"', "Operating Income (Loss)"), "['Gross Profit', 'Operating Expenses', 'Other Operating Income', 'Operating Income (Loss)']"),
+    _involved("negative_volume", "select Ticker, null as Key from faulty where V<0", "[]::varchar[]"),
+    *(_involved("quarters_vs_fy", f"""select q.Ticker, concat(q.Market,'|A|',cast(q.fy as varchar),'|FY|',cast(q.IsRestated as varchar)) Key from (select Ticker, Market, IsRestated, "Fiscal Year" fy, sum("{i}"::double) four from {t} where Period='Q' and "{i}" is not null group by all having count(*)=4) q
+      join {t} a on a.Ticker=q.Ticker and a.Market=q.Market and a.IsRestated=q.IsRestated and a."Fiscal Year"=q.fy and a.Period='A' where abs(four-a."{i}") > greatest(0.01*abs(a."{i}"),100000)""", f"['{i}']") for t, i in (("income", "Revenue"), ("income", "Net Income"), ("cashflow", "Net Cash from Operating Activities"))),
+)))
 def n8_involved_items(p):
-    found = quality.balance_identity(p.balance).withColumn("CheckName", F.lit("balance_identity"))
-    items = p.spark.createDataFrame([("balance_identity", "", ["Total Liabilities", "Total Equity", "Total Assets"])], "CheckName string, prefix string, items array<string>")
-    return statements.involved_items(found, items).select("Ticker", "Key", F.size("items").alias("n"))
+    """The items that findings of statement checks are about; findings of other checks have none."""
+    faulty = {t: p[t] for t in ("balance", "income", "cashflow")}
+    found = {"balance_identity": quality.balance_identity(faulty["balance"]), "balance_subtotals": quality.balance_subtotals(faulty["balance"]), "income_chain": quality.income_chain(faulty["income"]), "quarters_vs_fy": quality.quarters_vs_fy(faulty), "negative_volume": quality.negative_volume(p.faulty)}
+    rows = functools.reduce(lambda a, b: a.unionByName(b), (df.withColumn("CheckName", F.lit(name)) for name, df in found.items()))
+    return statements.involved_items(rows).select("CheckName", "Ticker", "Key", F.array_join(F.sort_array("items"), ";").alias("items"))
 
 
 # Each encoding's last future value, against statistics of the first 20 of 30 closes.
@@ -1334,20 +1412,24 @@ def o7_log_returns(p):
 
 _SEGS = """segs as (select row_number() over (order by Ticker, ofs) - 1 id, *, list_transform(list_slice(w,1,20), lambda x: (x-m)/case when sd>0 then sd else 1 end) zh, list_transform(list_slice(w,21,30), lambda x: (x-m)/case when sd>0 then sd else 1 end) zf, list_transform(list_slice(w,1,20), lambda x: (x-lo)/case when hi>lo then hi-lo else 1 end) mh, list_transform(list_slice(w,21,30), lambda x: (x-lo)/case when hi>lo then hi-lo else 1 end) mf
   from (select Ticker, ofs, list(C order by i) w, avg(C) filter (where i<ofs+20) m, stddev_pop(C) filter (where i<ofs+20) sd, min(C) filter (where i<ofs+20) lo, max(C) filter (where i<ofs+20) hi from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,30) t(ofs) where ofs+30<=k and i>=ofs and i<ofs+30 group by Ticker, ofs)),
-  coded as (select 'zscore' encoding, id, zh h, zf f from segs union all select 'minmax', id, mh, mf from segs),
+  coded as (select 'zscore' encoding, id, zh h, zf f from segs union all select 'minmax', id, mh, mf from segs
+    union all select 'demean', id, list_transform(w[1:20], lambda x: x-m), list_transform(w[21:30], lambda x: x-m) from segs
+    union all select 'rebase_100', id, list_transform(w[1:20], lambda x: x/w[1]*100), list_transform(w[21:30], lambda x: x/w[1]*100) from segs union all select 'rebase_1', id, list_transform(w[1:20], lambda x: x/w[1]), list_transform(w[21:30], lambda x: x/w[1]) from segs
+    union all select 'log_returns', id, list_transform(list_zip(w[2:20], w[1:19]), lambda p: ln(p[1]/p[2])), list_transform(list_zip(w[21:30], w[20:29]), lambda p: ln(p[1]/p[2])) from segs),
   near as (select * from (select a.encoding, a.f af, b.f bf, list_distance(a.h, b.h) d, row_number() over (partition by a.encoding, a.id order by list_distance(a.h, b.h), b.id) place from coded a join coded b on a.encoding=b.encoding and a.id<>b.id) where place<=3)"""
 
 
 @_query(f"with {_SEGS} select encoding, count(*) pairs, round(corr(d, list_distance(af, bf)),4) correlation from near group by 1")
 def o12_distance_correlation(p):
     """Do windows whose encoded histories are near each other have futures that are near, too?"""
-    whole, found, ahead = windows.with_window_id(_segments(p)), [], []
-    for name in ("zscore", "minmax"):
+    whole, found, ahead = settle(windows.with_window_id(_segments(p)), "segments"), [], []
+    for name in windows.ENCODERS:
         coded = windows.encode(whole, name, 20).withColumn("encoding", F.lit(name))
-        near = similarity.nearest_others(coded, "window_id", "xh", 3)
+        near = neighbours.nearest_others(coded, "window_id", "xh", 3)
         found.append(near.select(F.lit(name).alias("encoding"), F.col("id").alias("i"), F.col("other").alias("j"), "distance"))
         ahead.append(coded.select("encoding", F.col("window_id").cast("long").alias("id"), F.col("xf").alias("v")))
-    return _rounded(similarity.distance_correlation(found[0].unionByName(found[1]), ahead[0].unionByName(ahead[1])), 4)
+    together = lambda parts: functools.reduce(lambda a, b: a.unionByName(b), parts)
+    return _rounded(similarity.distance_correlation(together(found), together(ahead)), 4)
 
 
 _WIN = """win as (select Ticker, ofs, min(Date) start_date, max(Date) end_date, """ + ", ".join(f"arg_min({c}::float::double, i) {c}_first, arg_max({c}::float::double, i) {c}_last, sum({c}::float::double) {c}_sum, avg({c}::float::double) {c}_mean, stddev_pop({c}::float::double) {c}_sd" for c in "OHLCV") + """ from (select *, row_number() over (partition by Ticker order by Date)-1 i, count(*) over (partition by Ticker) k from bars) p, range(0,6000,10) t(ofs) where ofs+20<=k and i>=ofs and i<ofs+20 group by Ticker, ofs)"""
@@ -1442,15 +1524,25 @@ def q1_excess_regressor(p):
 
 @_query()
 def q2_window_classifier(p):
+    """Sectors told from windows by boosted softmax trees with class weights, stopped by the weighted log loss of the valid windows."""
     df = mldata.encode_labels(mldata.attach_labels(_flat(p).drop("label"), mldata.ticker_labels(p.companies, "Sector")))
     df = df.filter("label_index >= 0")
-    weighted = df.join(F.broadcast(mldata.class_weights(df.filter("split = 'train'"))), "label_index")
-    found = mleval.predict(mleval.fit_classifier(weighted), weighted.filter("split = 'test'"))
-    return mleval.macro_accuracy(found.withColumn("prediction", F.col("prediction").cast("int")), "prediction", "label_index")
+    weights = mldata.class_weights(df.filter("split = 'train'"))
+    weighted = settle(df.join(F.broadcast(weights), "label_index"), "windows")
+    model = boosting.fit_classifier(weighted, weights.count())
+    return mleval.macro_accuracy(boosting.predict(model, weighted.filter("split = 'test'")), "prediction", "label_index")
 
 
 @_query()
 def q3_ranker(p):
-    df = mldata.relevance_grades(_flat(p), "excess", "end_date")
-    ranked = mleval.predict(mleval.fit_ranker(df), df.filter("split = 'test'"))
-    return mleval.precision_at_k(ranked, "prediction", "excess", "end_date", 0.2)
+    """Tickers of a date ordered by boosted trees on pairs, stopped by the NDCG of the valid windows."""
+    df = settle(mldata.relevance_grades(_flat(p), "excess", "end_date", 20), "windows")
+    model = boosting.fit_ranker(df)
+    ranked = settle(boosting.predict(model, df.filter("split = 'test'")), "ranked")
+    return mleval.precision_at_k(ranked, "prediction", "excess", "end_date", 0.2).crossJoin(boosting.ndcg(ranked).select("ndcg"))
+
+
+@_query()
+def o13_search_report(p):
+    """What the triangle inequality spares of an exact search among all embeddings."""
+    return _rounded(neighbours.search_report(p.embeddings, "vec_id", "embedding", 10, block_rows=256), 4)

@@ -16,9 +16,8 @@ FLAT = "ticker string, per string, date string, time string, open string, high s
 
 
 def asset_class(ticker: Column) -> Column:
-    """By the form of a ticker: ^XXX index, six letters a pair, NNY... a bond; anything else is out of scope."""
-    bare = F.upper(F.split(ticker, r"\.")[0])
-    return F.when(bare.rlike(r"^\d+[MY][A-Z]{2}[YP]$"), "bonds").when(bare.startswith("^"), "indices").when(bare.rlike("^[A-Z]{6}$") | bare.rlike("^[A-Z]{3}_(I|B|B50)$"), "currencies")
+    """By the form of the whole ticker: suffix .B a bond, ^ in front an index, six letters alone a pair; anything else is out of scope."""
+    return F.when(ticker.endswith(".B"), "bonds").when(ticker.startswith("^"), "indices").when(ticker.rlike(r"\A\p{L}{6}\z"), "currencies")
 
 
 def canonical_bars(raw: DataFrame, asset: Column, *others: str) -> DataFrame:

@@ -32,10 +32,10 @@ def list_tickers(prices: DataFrame, market_data: DataFrame, classes=CLASSES) ->
 
 
 def sample_tickers(prices: DataFrame, n: int, seed: int = 0, exclude=()) -> DataFrame:
-    """n tickers in the order of a seeded hash: the same ones wherever it runs."""
+    """n tickers in the order of a seeded digest: the same ones wherever it runs."""
     t = prices.select("Ticker").distinct()
     t = t.filter(~F.col("Ticker").isin(*exclude)) if exclude else t
-    return t.orderBy(F.xxhash64("Ticker", F.lit(seed)), "Ticker").limit(n)
+    return t.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("Ticker")).cast("binary")), "Ticker").limit(n)
 
 
 def sample_rows(df: DataFrame, n: int, where=None, seed: int = 0) -> DataFrame:

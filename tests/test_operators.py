@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import cleaning, factors, joins, mldata, quality, reporting, screening, series, similarity, statements, windows
+from tapewright.operators import cleaning, factors, joins, mldata, quality, reporting, screening, series, similarity, statements, windows, neighbours
 from tapewright.sources import files, panels, sinks
 from tapewright.streaming import ingest
 
@@ -74,7 +74,7 @@ def test_percentile_ranks(spark):
 
 def test_buckets_are_right_closed(spark):
     df = spark.createDataFrame([(50e6,), (50e6 + 1,), (3e11,), (0.0,), (None,)], "m double")
-    assert [r.b for r in df.select(screening.mcap_bucket(F.col("m")).alias("b")).collect()] == ["nano", "micro", "mega", None, None]
+    assert [r.b for r in df.select(screening.mcap_bucket(F.col("m")).alias("b")).collect()] == ["nano", "micro", "mega", "nano", None]
 
 
 def test_upsert_is_idempotent_and_keeps_absent_columns(spark):
@@ -131,7 +131,7 @@ def test_splits_do_not_leak(spark):
 def test_pca_and_neighbours(spark):
     df = spark.createDataFrame([(i, [float(i * i), 2.0 * i * i, 1.0]) for i in range(5)], "id long, v array<double>")
     assert len(similarity.pca_reduce(df, "v", variance=0.999).first().reduced) == 1
-    near = {r.id: (r.other, r.distance) for r in similarity.nearest_others(df, "id", "v", blocks=3).collect()}
+    near = {r.id: (r.other, r.distance) for r in neighbours.nearest_others(df, "id", "v", pivots=3).collect()}
     assert near[4][0] == 3 and near[0] == (1, pytest.approx(5**0.5))
 
 
@@ -148,8 +148,8 @@ def test_decoding_and_files(spark, tmp_path):
     countries = spark.createDataFrame([("US", "United States")], "code string, country string")
     currencies = spark.createDataFrame([("EUR", "Euro"), ("USD", "US dollar")], "code string, currency string")
     got = {r.Ticker: (r.Name, r.Country) for r in reporting.decode_instruments(t, curated, countries, currencies).collect()}
-    assert got == {"^SPX": ("S&P 500", "United States"), "10YUSY": ("United States 10-year bond yield", "United States"), "EURUSD": ("Euro / US dollar", None), "^NOTREAL": (None, None)}
-    (tmp_path / "u.csv").write_text("<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\neurusd,D,20260102,0,1,2,0.5,1.5,0,0\naapl.us,D,20260102,0,1,2,0.5,1.5,9,0\n10yusy.b,D,20260102,0,4,4,4,4,0,0\n")
+    assert got == {"^SPX": ("S&P 500", "United States"), "10YUSY": ("10-year government bond yield", "United States"), "EURUSD": ("Euro/US dollar exchange rate", None), "^NOTREAL": (None, None)}
+    (tmp_path / "u.csv").write_text("<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\neurusd,D,20260102,0,1,2,0.5,1.5,0,0\naapl.us,D,20260102,0,1,2,0.5,1.5,9,0\n10YUSY.B,D,20260102,0,4,4,4,4,0,0\n")
     assert sorted((r.Ticker, r.AssetClass, r.C) for r in files.read_update_file(spark, f"{tmp_path}/u.csv").collect()) == [("10YUSY", "bonds", 4.0), ("EURUSD", "currencies", 1.5)]
 
 
@@ -256,11 +256,11 @@ def test_neighbours_break_ties_by_id_and_pairs_are_all_pairs(spark):
     rows = [(i, [float(i % 3), 0.1 * (i % 3)]) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = {}
-    for r in similarity.nearest_others(df, "id", "v", 4, blocks=2, block_rows=20).collect():
+    for r in neighbours.nearest_others(df, "id", "v", 4, block_rows=20).collect():
         got.setdefault(r.id, {})[r.place] = r.other
     for i, _ in rows:
         same = [j for j, _ in rows if j % 3 == i % 3 and j != i]
         assert [got[i][k] for k in range(1, 5)] == same[:4]
     line = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [1.5]), (3, [10.0])], "id long, v array<double>")
-    pairs = similarity.closest_pairs(similarity.nearest_others(line, "id", "v", 3), 3).collect()
+    pairs = similarity.closest_pairs(neighbours.nearest_others(line, "id", "v", 3), 3).collect()
     assert [(r.i, r.j, r.distance) for r in pairs] == [(1, 2, 0.5), (0, 1, 1.0), (0, 2, 1.5)]

@@ -45,7 +45,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_only_these_have_no_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"a22_sample_tickers", "o8_pca", "q1_excess_regressor", "q2_window_classifier", "q3_ranker"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"o8_pca", "o13_search_report", "q1_excess_regressor", "q2_window_classifier", "q3_ranker"}
 
 
 def test_sample_of_tickers_repeats_itself(spark):
@@ -65,10 +65,13 @@ def test_components_equal_numpy(spark):
     assert np.allclose([got[r.vec_id] for r in rows], want, atol=1e-3)
 
 
-@pytest.mark.parametrize("name, column, low, high", [("q1_excess_regressor", "spearman", -1, 1), ("q2_window_classifier", "macro_accuracy", 0, 1), ("q3_ranker", "precision", 0, 1)])
-def test_models_give_their_metric(spark, name, column, low, high):
-    rows = registry.queries()[name](spark, SF).collect()
-    assert len(rows) == 1 and rows[0][column] is not None and low <= rows[0][column] <= high
+def test_a_panel_without_signal_gives_no_more_than_chance(spark):
+    """Windows of the generated panel tell nothing: accuracy and rank correlation stay near those of a constant."""
+    sectors = 5
+    assert abs(registry.queries()["q2_window_classifier"](spark, SF).first().macro_accuracy - 1 / sectors) < 0.1
+    ranked = registry.queries()["q3_ranker"](spark, SF).first()
+    assert abs(ranked.precision - 0.2) < 0.2 and 0 < ranked.ndcg < 1
+    assert abs(registry.queries()["q1_excess_regressor"](spark, SF).first().spearman) < 0.3
 
 
 def test_regressor_finds_what_windows_show(spark):
