@@ -13,7 +13,7 @@ from tapewright.operators import boosting, cleaning, factors, joins, mldata, mle
 from tapewright.sources import files, panels, sinks
 from tapewright.sources.panel import Panel, with_views
 from tapewright.sources.scratch import settle
-from tapewright.streaming import ingest
+from tapewright.streaming import ingest, latest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -1042,6 +1042,16 @@ def s2_late_correction(p):
     return _rounded(p.spark.read.parquet(f"{root}/table").select("event_id", "user_id", "event_type", "value"))
 
 
+@_query("select event_id, user_id, event_type, round(case when event_id%10=0 then value*2 else value end,6) \"value\" from events")
+def s2_keyed_state(p):
+    """The same through keyed state: the log holds the events and a tenth of them anew, and what stands is the last change of each."""
+    root, events = ingest.stream_root(p.spark), p.events
+    for value in (F.col("value"), F.when(F.col("event_id") % 10 == 0, F.col("value") * 2).otherwise(F.col("value"))):
+        events.withColumn("value", value).write.mode("append").parquet(f"{root}/in")
+        latest.log_changes(ingest.stream_table(p.spark, f"{root}/in", "*.parquet", events.schema), f"{root}/log", f"{root}/progress", ("event_id",)).awaitTermination()
+    return _rounded(latest.standing(p.spark.read.parquet(f"{root}/log"), ("event_id",)).select("event_id", "user_id", "event_type", "value"))
+
+
 @_query("select event_id, user_id, event_type, round(value,6) \"value\" from events")
 def s2_stream_without_repeats(p):
     """Events twice over as one stream; the repeats go."""
