@@ -14,8 +14,9 @@ elements, or else a main element, only these count.
 
 Paragraphs, list items and the like are hashed as well as containers.  What
 recurs with 3 different articles of a host is template, but inside an article
-or main element only what at least 5 and at least half of the host's articles
-have: "Yes." may well stand in a few.  Headings are never template.  Articles
+or main element only a sentence at its edge, or else what at least 5 and at
+least half of the host's articles have: "Yes." may well stand in a few.
+Headings are never template.  Articles
 count as different by their first h1 or h2, or else by their longest block
 other than the one counted (without one, by their text), so copies and near
 copies of an article are no template of their host.
@@ -77,13 +78,15 @@ UNMARKED, BY_CLASS = frozenset("html body main article".split()), frozenset("p h
 AROUND = frozenset("comment comments comments-area comment-list disqus replies related related-posts related-articles recommended recommendations".split())
 
 
+#: Words of a block that hardly recurs by chance.
+SENTENCE = 5
 #: Template subtrees that are sent to all workers at most (32 MB); more are joined by shuffling.
 MOST_SENT = 2**21
 
 
 @dataclass(frozen=True)
 class Template:
-    """A subtree is template if it stands with at least `articles` different articles of its host; inside an article or main element with `inside` and `share` of the host's."""
+    """A subtree is template if it stands with at least `articles` different articles of its host; inside an article or main element, but for a sentence at its edge, with `inside` and `share` of the host's."""
 
     articles: int = 3
     inside: int = 5
@@ -241,12 +244,21 @@ class Page:
         own = {h: size(e) for e, h in hashes.items() if self.tags[e] in LEAVES and not hidden[e] and any(a <= self.places[e][0] < b for a, b in roots)}
         return sorted(own, key=lambda h: (-own[h], h))[:2]
 
-    def within(self, hashes: dict[int, int]) -> set[int]:
-        """Hashes that stand inside an article or main element."""
-        held = {0: False}
+    def guarded(self, hashes: dict[int, int]) -> set[int]:
+        """Hashes that stand inside an article or main element, but for a sentence that is its first or last block."""
+        held = [False] * len(self.tags)
         for e in range(1, len(self.tags)):
             held[e] = held[self.parents[e]] or self.tags[e] in ("article", "main")
-        return {h for e, h in hashes.items() if held[e]}
+        hidden, free = self.hidden(), set()
+        leaves = [e for e in sorted(hashes) if held[e] and self.tags[e] in LEAVES and self.tags[e] not in HEADINGS and not hidden[e]]
+        for r in self.roots():
+            a, b = self.places[r]
+            own = [e for e in leaves if a <= self.places[e][0] < b]
+            free |= {e for e in (own[:1] + own[-1:]) if self._words(e) >= SENTENCE}
+        return {h for e, h in hashes.items() if held[e] and e not in free}
+
+    def _words(self, e: int) -> int:
+        return len(" ".join(p or " " for p in self.pieces[slice(*self.spans[e])]).split())
 
     def kept(self, hashes: dict[int, int]) -> tuple[str, list[int], list[int], list[int]]:
         """The roots' text without what is left out, raw, and where in it (hash, begin, end) the hashed subtrees stand, if they hold any of it."""
@@ -323,7 +335,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 trees = sorted(set(hashes.values()))
                 # A block that tells articles apart doesn't tell what it is itself.
                 articles = [longest[0] if longest and longest[:1] == longest[1:] else next((x for x in longest if x != h), article) for h in trees]
-                inside = page.within(hashes)
+                inside = page.guarded(hashes)
                 story = longest[0] if longest else article
                 rows.append((raw, _longs(hs), begins, ends, _longs(trees), _longs(articles), [h in inside for h in trees], int(_longs([story])[0])))
             names = ("raw", "hs", "begins", "ends", "trees", "articles", "inside", "story")

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tapewright.llm import centroids, dialogue, queries, suffixes
+from tapewright.llm import centroids, dialogue, html, queries, suffixes
 
 # -- suffixes
 
@@ -278,3 +278,43 @@ def test_queries_cover_their_tables(spark):
     assert registered["op11_centroids"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert registered["op12_dialogue_repair"](spark, sf).count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
     assert registered["op13_suffix_dedup"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+# -- pages
+
+
+def story(i, extra=""):
+    own = " ".join(f"word{i}x{k}" for k in range(60))
+    return f"<html><body><div id='wrap'><article><h1>Story {i}</h1><p>{own}</p>{extra}</article></div></body></html>"
+
+
+def extracted(spark, sources, host="news.example"):
+    rows = [(i, f"https://{host}/{i}", s) for i, s in enumerate(sources)]
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_blocks_that_a_few_articles_share_stay(spark):
+    """Three stories of one host, and thirty of another of which five share their blocks."""
+    common = "<h2>Conclusion</h2><p>Yes.</p><ul><li>Salt</li></ul>"
+    for got in (extracted(spark, [story(i, common) for i in range(3)]), extracted(spark, [story(i, common if i < 5 else "") for i in range(30)])):
+        assert all(got[i].endswith("Conclusion Yes. Salt") for i in range(3))
+
+
+def test_notices_on_most_articles_go_and_headings_stay(spark):
+    notice = "<h2>About</h2><p>All rights are reserved by the paper and its authors.</p><p>So there.</p>"
+    got = extracted(spark, [story(i, notice if i % 4 else "") for i in range(12)])
+    assert got[1].endswith("About") and all("rights" not in t and "there" not in t for t in got.values())
+
+
+def test_templates_equal_a_count_by_hand(spark):
+    """Containers outside articles go from 3 different pages of a host on, whatever they are called."""
+    page = lambda i, box: f"<html><body><div>{box}</div><div><p>{' '.join(f'w{i}k{k}' for k in range(40))}</p></div></body></html>"
+    boxes = ["shared by three", "shared by two"]
+    sources = [page(i, boxes[0] if i < 3 else boxes[1] if i < 5 else f"own {i}") for i in range(7)]
+    got = extracted(spark, sources)
+    assert ["shared" in got[i] for i in range(7)] == [False] * 3 + [True] * 2 + [False] * 2 and "own 5" in got[5]
+
+
+def test_plain_words_mark_no_paragraphs_inside_an_article():
+    source = "<article><header><h1>Title</h1></header><p>a</p><section class='notice'>legal</section><p class='share'>share price fell</p><div class='ad'>buy</div><p hidden>no</p><header class='banner'><h2>x</h2></header></article>"
+    assert html.Page(source).text() == "Title a legal share price fell"
