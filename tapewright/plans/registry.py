@@ -1100,24 +1100,30 @@ def a2_tree_scan(p):
     return _rounded(files.read_tree(p.spark, root).select("Ticker", "Date", "C", "AssetClass"), 8)
 
 
-@_query("select Ticker, cast(Date as varchar) Date, round(C,8) C from market_data")
+@_query("select Ticker, Date, round(C,8) C from market_data")
 def a3_zipped_scan(p):
-    """A zip archive for each instrument and year, with a member for each month."""
-    import io
+    """A zip archive for each instrument, with a member for each month; its members are read by many tasks."""
     import zipfile
 
+    import pyarrow.fs as fs
+
+    root = ingest.stream_root(p.spark)
+
     def pack(key, frame):
         import pandas as pd
 
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
+        system, folder = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        system.create_dir(folder)
+        name = f"{folder}/{key[0].strip('^')}.zip"
+        with system.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for month, part in frame.groupby("month"):
-                z.writestr(f"{month}.csv", part.drop(columns=["month", "year"]).to_csv(index=False))
-        return pd.DataFrame({"content": [out.getvalue()]})
+                z.writestr(f"data/{month}.csv", part.drop(columns="month").to_csv(index=False))
+        return pd.DataFrame({"path": [name]})
 
-    rows = p.market_data.select("Ticker", F.col("Date").cast("string").alias("Date"), F.col("C").cast("string").alias("C"), F.month("Date").alias("month"), F.year("Date").alias("year"))
-    found = files.unzip_rows(rows.groupBy("Ticker", "year").applyInPandas(pack, "content binary"), "Ticker string, Date string, C string")
-    return found.select("Ticker", "Date", F.round(F.col("C").cast("double"), 8).alias("C"))
+    rows = p.market_data.select("Ticker", F.col("Date").cast("string").alias("Date"), F.col("C").cast("string").alias("C"), F.date_format("Date", "yyyy-MM").alias("month"))
+    rows.groupBy("Ticker").applyInPandas(pack, "path string").count()
+    found = files.read_zipped(p.spark, root, "Ticker string, Date string, C string", part_bytes=8192)
+    return found.select("Ticker", F.to_date("Date").alias("Date"), F.round(F.col("C").cast("double"), 8).alias("C"))
 
 
 @_query("""select Ticker, cast(Ticker as bigint) SrcId, Period, IsRestated, 'vendor' Src, "Fiscal Year" fy, "Fiscal Period" fp, "Report Date" report_date, "Revenue"::double revenue, case when Period='Q' then "Net Income"::double end net_income from income where not (Period='A' and not IsRestated)""")
