@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import pct_rank
+from tapewright.functions.places import ranks
+from tapewright.sources.scratch import settle
 
 
 def spearman_by_group(df: DataFrame, pred: str, target: str, group: str) -> DataFrame:
@@ -48,10 +50,9 @@ def worst_predicted(df: DataFrame, pred: str, label: str, n: int = 10) -> DataFr
 def rank_success(df: DataFrame, pred: str, target: str, tolerance: float = 0.1) -> DataFrame:
     """(Ticker, pred_rank, true_rank, success): ranks of mean prediction and mean target, near enough or not."""
     means = df.groupBy("Ticker").agg(F.avg(pred).alias("p"), F.avg(target).alias("t"))
-    # One row for each ticker; the two places come from one range sort each.
-    rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc()))
+    means = settle(means, "means")
     total = F.broadcast(means.agg(F.count("*").alias("_n")))
-    out = means.select("Ticker", rank("p").alias("pred_rank"), rank("t").alias("true_rank")).crossJoin(total)
+    out = ranks(ranks(means, "p", "pred_rank", descending=True), "t", "true_rank", descending=True).select("Ticker", "pred_rank", "true_rank").crossJoin(total)
     near = F.abs(F.col("pred_rank") - F.col("true_rank")) <= F.greatest(F.lit(1), F.bround(F.col("_n") * tolerance).cast("int"))
     return out.withColumn("success", near).drop("_n")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import dbl
+from tapewright.functions.places import running_sums
 
 
 def _checked(length: int, stride: int) -> None:
@@ -47,7 +48,7 @@ def build_segments(series: DataFrame, length: int, stride: int) -> DataFrame:
 def with_window_id(windows: DataFrame) -> DataFrame:
     """Dense ids in (Ticker, offset) order, by counts of windows per ticker; no global sort of the arrays."""
     counts = windows.groupBy("Ticker").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("Ticker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = running_sums(counts, [F.col("Ticker").asc()], "_c", "_before")
     place = F.row_number().over(Window.partitionBy("Ticker").orderBy("offset"))
     return windows.join(before.select("Ticker", "_before"), "Ticker").withColumn("window_id", F.col("_before") + place - 1).drop("_before")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, in_range
+from tapewright.functions.places import row_places
 
 CLASSES = ("stocks", "bonds", "currencies", "indices")
 
@@ -49,9 +50,9 @@ def rows_of(df: DataFrame, ticker: str) -> DataFrame:
 def plan_increments(prices: DataFrame, symbols: DataFrame, batch: int = 75, refetch_days: int = 5) -> DataFrame:
     """(Ticker, last, batch, start): stalest first in batches; a batch starts refetch_days before its earliest last date, or has no start if any of it was never loaded."""
     last = prices.groupBy("Ticker").agg(F.max("Date").alias("last"))
-    # One row for each symbol of the universe list.
-    order = Window.orderBy(F.col("last").asc_nulls_first(), "Ticker")
-    df = symbols.select("Ticker").distinct().join(last, "Ticker", "left").withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch).cast("long"))
+    order = [F.col("last").asc_nulls_first(), F.col("Ticker").asc()]
+    df = row_places(symbols.select("Ticker").distinct().join(last, "Ticker", "left"), order, "_place")
+    df = df.withColumn("batch", F.floor((F.col("_place") - 1) / batch).cast("long")).drop("_place")
     own = Window.partitionBy("batch")
     start = F.when(F.count_if(F.col("last").isNull()).over(own) == 0, F.date_sub(F.min("last").over(own), refetch_days))
     return df.withColumn("start", start)
