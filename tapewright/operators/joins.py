@@ -67,3 +67,35 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: st
     order = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(order))
     return both.filter("_side = 1").select(*left.columns, *(F.col("_v")[c].alias(c) for c in (right_date, *values)))
+
+
+#: Days after its report date by which nine in ten statements of a period are published.
+LAGS = {"Q": 72, "A": 400}
+
+
+def known_on(restated: str = "IsRestated") -> Column:
+    """The day a statement row was known: a restated one on its restated date, another on its publish date, or LAGS days after its report date without one."""
+    late = F.coalesce(*(F.when(F.col("Period") == period, F.date_add(F.col("`Report Date`"), days)) for period, days in LAGS.items()))
+    return F.when(F.col(restated), F.col("`Restated Date`")).otherwise(F.coalesce(F.col("`Publish Date`"), late))
+
+
+def point_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, period_date: str, known: str, tie: str | None = None) -> DataFrame:
+    """Each left row with the right row of the newest period among those known on its date, in the newest vintage known then.
+
+    Two times count: `known`, when a row came to be known, and `period_date`, what
+    it is about.  A correction of an old period that comes late supersedes that
+    period's earlier vintage, not a newer period.  Both sides are sorted by key
+    and time once, and a running maximum by (period, known, tie) goes along; no
+    pairs.  Right rows without either date are never known; left rows without a
+    date or without a known row get nulls.
+    """
+    values = [c for c in right.columns if c not in keys]
+    order = [period_date, known, *([tie] if tie else [])]
+    quoted = lambda c: F.col(f"`{c}`")
+    version = F.struct(*(quoted(c).alias(f"_o{i}") for i, c in enumerate(order)), F.struct(*(quoted(c).alias(f"_v{i}") for i, c in enumerate(values))).alias("_v"))
+    b = right.filter(quoted(period_date).isNotNull() & quoted(known).isNotNull()).select(*(quoted(k) for k in keys), quoted(known).alias("_t"), F.lit(0).alias("_side"), version.alias("_best"))
+    a = left.select("*", quoted(left_date).alias("_t"), F.lit(1).alias("_side"))
+    along = Window.partitionBy(*(quoted(k) for k in keys)).orderBy(F.col("_t").asc_nulls_last(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_best", F.max("_best").over(along)).filter("_side = 1")
+    found = F.when(F.col("_t").isNotNull(), F.col("_best._v"))
+    return both.select(*(quoted(c) for c in left.columns), *(found.getField(f"_v{i}").alias(c) for i, c in enumerate(values) if c not in left.columns))

@@ -47,7 +47,7 @@ def _market(p: Panel) -> DataFrame:
 
 
 #: What factors and metrics read many times.
-_REUSED = ("bars", "dividends", "prices", "income")
+_REUSED = ("px0", "bars", "dividends", "prices", "income")
 
 
 def _factors(p: Panel) -> DataFrame:
@@ -661,6 +661,19 @@ def c17_as_of_join(p):
     return joins.as_of_join(p.bars.select("Ticker", "Date"), known, ["Ticker"], "Date", "pd").select("Ticker", "Date", F.round(F.col("revenue"), 2).alias("revenue"))
 
 
+@_query("""with vintages as (select Ticker, Period, IsRestated, "Report Date" rd, "Revenue" revenue, case when IsRestated then "Restated Date" when "Shares (Basic)"%5<>0 then "Publish Date" else "Report Date" + case Period when 'Q' then 72 else 400 end end known from income)
+  select b.Ticker, b.Date, b.Period, arg_max(v.rd, (v.rd, v.known, v.IsRestated)) report_date, arg_max(v.IsRestated, (v.rd, v.known, v.IsRestated)) restated, arg_max(v.revenue, (v.rd, v.known, v.IsRestated))::double revenue
+  from (select Ticker, Date, unnest(['Q', 'A']) Period from bars) b left join vintages v on v.Ticker=b.Ticker and v.Period=b.Period and v.known<=b.Date group by 1,2,3""")
+def c18_point_in_time(p):
+    """For every bar the newest quarter and year known that day, restated or as filed, with the lag of nine in ten where no publish date stands."""
+    published = F.when(col("Shares (Basic)") % 5 != 0, col("Publish Date"))
+    vintages = p.income.withColumn("Publish Date", published).withColumn("known", joins.known_on())
+    vintages = vintages.select("Ticker", "Period", "IsRestated", "Report Date", "known", col("Revenue").cast("double").alias("revenue"))
+    asked = p.bars.select("Ticker", "Date", F.explode(F.array(F.lit("Q"), F.lit("A"))).alias("Period"))
+    found = joins.point_in_time(asked, vintages, ["Ticker", "Period"], "Date", "Report Date", "known", "IsRestated")
+    return found.select("Ticker", "Date", "Period", col("Report Date").alias("report_date"), F.col("IsRestated").alias("restated"), "revenue")
+
+
 _FORMS = """filings as (select Ticker, case (q*7 + fy) % 5 when 0 then '10-K' when 1 then '10-Q' when 2 then '10-K405' when 3 then '8-K' else '10-QSB' end form, case when q % 3 = 0 then null else rd end report_date, pd filing_date, row_number() over (partition by Ticker order by rd, p, r) seq
   from (select Ticker, Period p, IsRestated r, "Report Date" rd, "Publish Date" pd, cast("Shares (Basic)" as bigint) q, "Fiscal Year" fy from income))"""
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import boosting, cleaning, mldata, mleval, neighbours, screening, statements
+from tapewright.operators import boosting, cleaning, joins, mldata, mleval, neighbours, screening, statements
 from tapewright.sources import files
 
 
@@ -178,3 +178,12 @@ def test_vendor_tickers(spark):
     given = {"ABCDEF.US": None, "USD_I": None, "SHORT.B": "bonds", "^SPX": "indices", "eurusd": "currencies", "BTC.V": None, "ABCDEFG": None, "^X.B": "bonds"}
     df = spark.createDataFrame([(t,) for t in given], "t string")
     assert {r.t: r.c for r in df.select("t", files.asset_class(F.col("t")).alias("c")).collect()} == given
+
+
+def test_late_corrections_of_old_periods_do_not_hide_new_ones(spark):
+    day = lambda m, d: D(2024, m, d)
+    rows = [("A", day(1, 31), day(2, 10), False, 1.0), ("A", day(2, 29), day(3, 10), False, 2.0), ("A", day(1, 31), day(4, 1), True, 1.5), ("A", day(2, 29), day(5, 1), True, 2.5), ("A", None, day(1, 1), False, 9.0), ("A", day(3, 31), None, False, 9.0)]
+    right = spark.createDataFrame(rows, "Ticker string, period date, known date, restated boolean, `v a` double")
+    left = spark.createDataFrame([("A", d) for d in (day(2, 1), day(2, 10), day(3, 9), day(3, 10), day(4, 2), day(5, 1), None)] + [("B", day(5, 1))], "Ticker string, Date date")
+    got = {(r.Ticker, r.Date): r["v a"] for r in joins.point_in_time(left, right, ["Ticker"], "Date", "period", "known", "restated").collect()}
+    assert got == {("A", day(2, 1)): None, ("A", day(2, 10)): 1.0, ("A", day(3, 9)): 1.0, ("A", day(3, 10)): 2.0, ("A", day(4, 2)): 2.0, ("A", day(5, 1)): 2.5, ("A", None): None, ("B", day(5, 1)): None}
