@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl
 
+from . import spans
 from .series import by_date
 
 FINDINGS = ["SrcTable", "Ticker", "Date", "Key", "Details"]
@@ -57,10 +58,15 @@ def extreme_return(prices: DataFrame, splits: DataFrame, max_abs_log_return: flo
     return _findings(found, "prices", F.concat(F.format_string("ret=%.0f %%", (F.col("C") / F.col("before") - 1) * 100), tag))
 
 
-def stale_run(prices: DataFrame, min_stale_run: int = 20) -> DataFrame:
-    new = F.when(F.col("C") == F.lag("C").over(by_date()), 0).otherwise(1)
-    runs = prices.select("Ticker", "Date", "C", new.alias("new")).withColumn("run", F.sum("new").over(by_date()))
-    runs = runs.groupBy("Ticker", "run").agg(F.count("*").alias("n"), F.max("Date").alias("Date"), F.max("C").alias("C")).filter(F.col("n") >= min_stale_run)
+def stale_run(prices: DataFrame, min_stale_run: int = 20, days: int | None = None) -> DataFrame:
+    """days: by spans of so many, for tickers of very many rows."""
+    if days:
+        runs = spans.runs(prices, days)
+    else:
+        new = F.when(F.col("C") == F.lag("C").over(by_date()), 0).otherwise(1)
+        runs = prices.select("Ticker", "Date", "C", new.alias("new")).withColumn("run", F.sum("new").over(by_date()))
+        runs = runs.groupBy("Ticker", "run").agg(F.count("*").alias("n"), F.max("Date").alias("Date"), F.max("C").alias("C"))
+    runs = runs.filter(F.col("n") >= min_stale_run)
     return _findings(runs, "prices", F.concat(F.col("n").cast("string"), F.lit(" equal closes")))
 
 

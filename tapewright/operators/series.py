@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl, ratio_if_positive
 
+from . import spans
+
 HORIZONS = {"1m": 21, "3m": 63, "6m": 126, "1y": 252, "3y": 756, "5y": 1260}
 
 
@@ -69,8 +71,10 @@ def drawdown(history: DataFrame) -> DataFrame:
     return history.select("Ticker", "Date", (F.try_divide("AC", peak) - 1).alias("drawdown"))
 
 
-def drawdown_summary(history: DataFrame) -> DataFrame:
-    return drawdown(history).groupBy("Ticker").agg(F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", "Date").alias("current_drawdown"))
+def drawdown_summary(history: DataFrame, days: int | None = None) -> DataFrame:
+    """days: by spans of so many, for tickers of very many rows."""
+    each = spans.drawdown(history, days) if days else drawdown(history)
+    return each.groupBy("Ticker").agg(F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", "Date").alias("current_drawdown"))
 
 
 def trailing_returns(history: DataFrame) -> DataFrame:

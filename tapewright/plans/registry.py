@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import col, dbl
-from tapewright.operators import boosting, cleaning, factors, joins, mldata, mleval, neighbours, quality, reporting, screening, series, similarity, statements, windows
+from tapewright.operators import boosting, cleaning, factors, joins, mldata, mleval, neighbours, quality, reporting, screening, series, similarity, spans, statements, windows
 from tapewright.sources import files, panels, sinks
 from tapewright.sources.panel import Panel, with_views
 from tapewright.sources.scratch import settle
@@ -119,6 +119,13 @@ def i06_stale_run(p):
     return quality.stale_run(p.rounded, 3)
 
 
+@_query("""select 'prices' SrcTable, Ticker, max(Date) Date, cast(null as varchar) Key, concat(count(*), ' equal closes') Details from (select *, sum(n) over (partition by Ticker order by Date) run from
+  (select *, case when C = lag(C) over (partition by Ticker order by Date) then 0 else 1 end n from rounded)) group by Ticker, run having count(*) >= 3""")
+def i06_stale_run_by_span(p):
+    """The same by spans of half a year, as for a ticker of very many rows."""
+    return quality.stale_run(p.rounded, 3, days=183)
+
+
 @_query("""select 'prices' SrcTable, Ticker, Date, cast(null as varchar) Key, concat(d, ' days') Details from (select Ticker, Date, date_diff('day', lag(Date) over (partition by Ticker order by Date), Date) d from bars) where d > 12""")
 def i07_date_gap(p):
     return quality.date_gap(p.bars, 12)
@@ -283,6 +290,12 @@ def m1_adjusted_close(p):
     return _rounded(p.prices.select("Ticker", "Date", (F.col("AC") + 1e-9).alias("AC")))
 
 
+@_query("select Ticker, Date, round(AC+1e-9,6) AC from prices")
+def m1_adjusted_close_by_span(p):
+    """The same by spans of half a year, as for a ticker of very many rows."""
+    return _rounded(spans.adjusted_close(p.bars, p.dividends, days=183).select("Ticker", "Date", (F.col("AC") + 1e-9).alias("AC")))
+
+
 @_query("select Ticker, round(coalesce(max(case when C>0 then abs(AC-C)/C end),0),6) max_diff, coalesce(max(case when C>0 then abs(AC-C)/C end),0) > 0.001 exceeds from prices group by Ticker")
 def m2_max_difference(p):
     return _rounded(series.max_difference(p.prices, p.bars.withColumn("AC", F.col("C"))))
@@ -305,6 +318,11 @@ def m5_drawdown(p):
     return _rounded(series.drawdown_summary(p.prices))
 
 
+@_query("""select Ticker, round(min(dd),6) max_drawdown, round(arg_max(dd, Date),6) current_drawdown from (select Ticker, Date, AC/max(AC) over (partition by Ticker order by Date rows unbounded preceding)-1 dd from prices) group by Ticker""")
+def m5_drawdown_by_span(p):
+    return _rounded(series.drawdown_summary(p.prices, days=183))
+
+
 @_query(f"""select Ticker, hz horizon, round(max(case when r=1 then AC end)/max(case when r=n+1 then AC end)-1,6) ret, round(max(case when r=1 then Market end)/max(case when r=n+1 then Market end)-1,6) market_ret
   from (select *, row_number() over (partition by Ticker order by Date desc) r from (with {_HISTORY} select * from h)) cross join (values ('1m',21),('3m',63),('6m',126),('1y',252),('3y',756),('5y',1260)) v(hz,n) group by Ticker, hz""")
 def m6_trailing_returns(p):
