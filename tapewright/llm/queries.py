@@ -112,9 +112,9 @@ _BLACK = _WORDS.format(r"[^\x20\x09-\x0D]+")
 
 def _clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
     """Each round's assignment and centroids as two tables."""
-    near = "(select vec_id, v, arg_min(n, (d, n)) n, min(d) d from (select vec_id, v, n, list_sum(list_transform(list_zip(v, c), p -> (p[1] - p[2]) * (p[1] - p[2]))) d from x cross join c{}) group by vec_id, v)"
-    steps = [f"""x as materialized (select vec_id, list_transform(embedding, e -> cast(floor(1024 * e::double) as bigint)) v from embeddings
-  where len(embedding) = {size} and len(list_filter(embedding, e -> e is null or not isfinite(e))) = 0)""",
+    near = "(select vec_id, v, arg_min(n, (d, n)) n, min(d) d from (select vec_id, v, n, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) d from x cross join c{}) group by vec_id, v)"
+    steps = [f"""x as materialized (select vec_id, list_transform(embedding, lambda e: cast(floor(1024 * e::double) as bigint)) v from embeddings
+  where len(embedding) = {size} and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0)""",
         f"c0 as materialized (select row_number() over (order by sha256('3:' || vec_id)) - 1 n, v c from x order by sha256('3:' || vec_id) limit {k})"]
     for r in range(rounds):
         mean = "((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))"
@@ -129,6 +129,16 @@ select vec_id, cast(n as int) as cluster, cast(d as bigint) distance, cast(sum(d
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_centroids": _clusters_sql(),
+        # In hexadecimal, by pieces of 200 bytes and the 200 after them, as a slice far into a text is slow.
+        "op13_suffix_dedup": """
+with d as materialized (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) h, cast(strlen(coalesce(text, '')) as bigint) n from documents),
+c as materialized (select rid, n, j, substr(h, 400*j+1, 800) s from (select rid, n, h, unnest(range(n // 200 + 1)) j from d)),
+w as materialized (select rid, n, 200*j + o i, substr(s, 2*o+1, 2) x, case when 200*j + o + 200 <= n then md5(substr(s, 2*o+1, 400)) end k from (select *, unnest(range(200)) o from c) where 200*j + o < n),
+r as materialized (select k from w where k is not null group by k having count(*) > 1),
+m as (select rid, i, x, coalesce(max(case when r.k is not null then i end) over (partition by rid order by i rows between 199 preceding and current row), -1) >= 0 gone from w left join r on w.k = r.k),
+e as (select *, gone and not coalesce(lag(gone) over (partition by rid order by i), false) first from m),
+a as (select rid, count(*) filter (where gone) n_removed, count(*) filter (where first) n_spans, coalesce(string_agg(x, '' order by i) filter (where not gone), '') kept from e group by rid)
+select d.doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join a using (rid)""",
         "op1_decontaminate": f"""
 with d as (select doc_id, {_ALNUM} w from documents),
 b as (select cast(item_id as varchar) item_id, {_ALNUM} w from benchmark),

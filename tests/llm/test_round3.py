@@ -280,6 +280,20 @@ def test_queries_cover_their_tables(spark):
     assert registered["op13_suffix_dedup"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+@pytest.mark.parametrize("name", ["op11_centroids", "op13_suffix_dedup"])
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    found = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(found.fetchall()) == sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
 # -- pages
 
 
