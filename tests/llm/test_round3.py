@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tapewright.llm import centroids, dialogue, html, queries, suffixes
+from tapewright.llm import centroids, dialogue, html, queries, spans, suffixes
 
 # -- suffixes
 
@@ -332,3 +332,15 @@ def test_templates_equal_a_count_by_hand(spark):
 def test_plain_words_mark_no_paragraphs_inside_an_article():
     source = "<article><header><h1>Title</h1></header><p>a</p><section class='notice'>legal</section><p class='share'>share price fell</p><div class='ad'>buy</div><p hidden>no</p><header class='banner'><h2>x</h2></header></article>"
     assert html.Page(source).text() == "Title a legal share price fell"
+
+
+# -- spans
+
+
+def test_a_passage_that_says_one_thing_over_and_over_is_found(spark):
+    r = random.Random(12)
+    lead = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(80)) + ". "
+    listed = " ".join(f"item {i} price euro net" for i in range(20))
+    docs = [(1, lead() + listed), (2, lead() + listed + ". " + lead()), (3, lead() + " ".join(f"item {i} price euro net" for i in range(300, 320)))]
+    got = {x.doc_id: x.n_words_removed for x in spans.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == got[3] == 0 and got[2] >= 84
