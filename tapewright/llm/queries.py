@@ -67,7 +67,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(_table(spark, sf_dir, "documents"))
+    return spans.dedup_spans(_table(spark, sf_dir, "documents"), within=True)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

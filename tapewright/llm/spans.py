@@ -8,23 +8,24 @@ shortest run of at least 27 words that begins there, and the shortest that ends
 there, are hashed over their words (A-Z lower-cased, punctuation left out).
 Runs are joined globally on the hash.  Those that several documents hold stay in
 the one with the least doc_id; in the others every piece that such a run covers
-is removed, if 34 words or more go together.  What only one document repeats is
-no repeat across documents and stays, unless `within` asks for its later
-occurrences, too.  A run of which two thirds or more are words that stand among
-the eight before them says one thing over and over, as documents may by chance;
-there the shortest runs of 40 words are hashed instead of 27, if a tenth of them
-are new: a few words repeated to no end are no passage.
+is removed, if 34 words or more go together.  With `within` every run counts, and
+what a document itself has said before goes as well: of equal runs in a text the
+first stays, and those that begin behind its end are removed.  Without it, what
+only one document repeats stays, and so do a few words repeated to no end (runs
+of which over nine tenths stand among the eight words before), also where several
+documents have them, since each document repeats them by itself.
 
 Any 50 words that two documents share hold a run of both: of their 49 places,
 the first cut that both have is among the first 8, one that ends the run from
 it is at most 34 places on, and cuts are equal from the 8th to the 42nd place.
 Of a passage of over 50 words at most 8 words stay at either end, and none at
-an end that is a sentence's.  (Of words that are said over and over, any 64.)
+an end that is a sentence's.
 
 Edge cases: null texts give empty ones; a text without words stays as it is;
 rows that share a doc_id count as one document, of which each row loses what
-was found in its own text; rows without a doc_id stay as they are and count
-for nothing; extra columns are ignored; an empty table gives an empty result.
+was found in its own text (also with `within`, which looks at each row alone);
+rows without a doc_id stay as they are and count for nothing; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,8 +44,6 @@ from ._spark import BitFilter, map_batches, settle
 REACH, LEAST_WORDS, LEAST_GONE = 8, 27, 34
 #: A word is said again if it is among so many before it.
 NEAR = 8
-#: Words of a run that says one thing over and over.
-LEAST_SAID_AGAIN = 40
 _END = bytes(int(b in b".!?") for b in range(256))
 _BREAK = bytes(int(b in b" \t\n\r\x0b\x0c\"')]") for b in range(256))
 
@@ -61,6 +60,10 @@ class Sentences:
     hashes: np.ndarray
     words: np.ndarray
 
+    def owners(self) -> np.ndarray:
+        """The text of each run, ascending."""
+        return np.searchsorted(self.bounds, self.first, side="right") - 1
+
 
 def _least_places(new: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Places (before each word) that are least in any REACH neighbouring ones; a sentence's start is less than all others."""
@@ -80,7 +83,7 @@ def _least_places(new: np.ndarray, words: np.ndarray) -> np.ndarray:
     return most == key
 
 
-def sentences_of(texts: list[bytes]) -> Sentences:
+def sentences_of(texts: list[bytes], within: bool) -> Sentences:
     w = words_of(texts, ALNUM)
     n = len(w.starts)
     ends = np.frombuffer(w.blob.translate(_END), np.uint8).astype(bool)
@@ -104,21 +107,17 @@ def sentences_of(texts: list[bytes]) -> Sentences:
     m = len(at)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     each = np.arange(m)
-
-    def runs(least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The shortest runs of so many words that begin, or end, with each piece, and what share of each is said again."""
-        forth = np.searchsorted(total, total[:-1] + least) - 1
-        ok = forth < bounds[owner + 1]
-        back = np.searchsorted(total, total[1:] - least, side="right") - 1
-        ok_back = back >= bounds[owner]
-        pair = np.unique(np.concatenate([each[ok] * m + forth[ok], back[ok_back] * m + each[ok_back]]))
-        begin, end = total[pair // m], total[pair % m + 1]
-        return pair, (again[end] - again[begin]) / (end - begin)
-
-    again = np.concatenate([[0], np.cumsum(_said_again(w.hashes, w.bounds))])
-    (short, said), (longer, also_said) = runs(LEAST_WORDS), runs(LEAST_SAID_AGAIN)
-    pair = np.union1d(short[said < 2 / 3], longer[(also_said >= 2 / 3) & (also_said <= 0.9)])
+    forth = np.searchsorted(total, total[:-1] + LEAST_WORDS) - 1
+    ok = forth < bounds[owner + 1]
+    back = np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1
+    ok_back = back >= bounds[owner]
+    pair = np.unique(np.concatenate([each[ok] * m + forth[ok], back[ok_back] * m + each[ok_back]]))
     first, last = pair // m, pair % m
+    if not within:
+        again = np.concatenate([[0], np.cumsum(_said_again(w.hashes, w.bounds))])
+        begin, end = total[first], total[last + 1]
+        telling = 10 * (again[end] - again[begin]) <= 9 * (end - begin)
+        first, last = first[telling], last[telling]
     up, down = powers(n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[:n], dtype=np.uint64)])
     begin, end = total[first], total[last + 1]
@@ -135,19 +134,38 @@ def _said_again(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(docs: DataFrame, wanted: BitFilter | None = None) -> DataFrame:
-    """(doc_id, h, i, j): runs of sentences i..j of each document, or only those whose hash may be wanted."""
+def _alike(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal runs of a text stand side by side, in the order of the text, and which of them are the first."""
+    order = np.lexsort((hashes, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(owner[order]) != 0) | (np.diff(hashes[order]) != 0)
+    return order, new
+
+
+def _said_before(s: Sentences) -> np.ndarray:
+    """Which runs begin behind the end of an equal one of their text, its first."""
+    order, new = _alike(s.owners(), s.hashes)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    out = np.zeros(len(order), bool)
+    out[order] = s.first[order] > s.last[head]
+    return out
+
+
+def _runs(docs: DataFrame, within: bool, wanted: BitFilter | None = None) -> DataFrame:
+    """(doc_id, h): hashes of the runs of each document, each once for a row, or only those that may be wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def work(batch: pa.RecordBatch):
         ids = batch.column(0).to_numpy()
         for a, b, texts in slices(batch.column(1)):
-            s = sentences_of(texts)
+            s = sentences_of(texts, within)
             at = np.flatnonzero(shared.value.may_hold(s.hashes)) if shared.value else np.arange(len(s.hashes))
-            owner = np.searchsorted(s.bounds, s.first[at], side="right") - 1
-            yield {"doc_id": ids[a:b][owner], "h": signed(s.hashes[at]), "i": (s.first[at] - s.bounds[owner]).astype(np.int32), "j": (s.last[at] - s.bounds[owner]).astype(np.int32)}
+            owner = s.owners()[at]
+            order, new = _alike(owner, s.hashes[at])
+            once = order[new]
+            yield {"doc_id": ids[a:b][owner[once]], "h": signed(s.hashes[at[once]])}
 
-    return map_batches(docs.filter("doc_id is not null").select("doc_id", "text"), work, "doc_id long, h long, i int, j int")
+    return map_batches(docs.filter("doc_id is not null").select("doc_id", "text"), work, "doc_id long, h long")
 
 
 def _long_enough(gone: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -160,34 +178,32 @@ def _long_enough(gone: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def dedup_spans(docs: DataFrame, within: bool = False) -> DataFrame:
-    """doc_id, the text that stays, n_sentences, n_removed and n_words_removed for each row of docs; within: repeats inside one document go as well."""
+    """doc_id, the text that stays, n_sentences, n_removed and n_words_removed for each row of docs; within: every run counts, and repeats inside one document go as well."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Plain numbers unless places inside a document count, too.
-    place = F.struct("doc_id", "i", "j") if within else F.col("doc_id")
-    first = _runs(docs).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
+    first = _runs(docs, within).groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").drop("last")
     first = settle(first, "repeats")
-    later = _runs(docs, BitFilter(first.select("h"), 8, 25)).join(first, "h").filter("doc_id <> first.doc_id or i > first.j" if within else "doc_id <> first")
-    later = later.groupBy("doc_id").agg(F.collect_set(F.struct("h", "i", "j")).alias("runs"))
-    joined = docs.join(later.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("runs.h").alias("h"), F.col("runs.i").alias("i"), F.col("runs.j").alias("j"))
+    later = _runs(docs, within, BitFilter(first.select("h"), 8, 25)).join(first, "h").filter("doc_id <> first")
+    later = later.groupBy("doc_id").agg(F.collect_set("h").alias("h"))
+    joined = docs.join(later.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "h")
 
     def work(batch: pa.RecordBatch):
-        ids = batch.column(0)
-        runs = [batch.column(c) for c in (2, 3, 4)]
+        ids, held = batch.column(0), batch.column(2)
         for a, b, texts in slices(batch.column(1)):
-            s = sentences_of(texts)
-            known = dict(zip(zip(s.first.tolist(), s.last.tolist()), signed(s.hashes).tolist()))
+            s = sentences_of(texts, within)
+            said = _said_before(s) if within else np.zeros(len(s.hashes), bool)
+            of = np.searchsorted(s.owners(), np.arange(b - a + 1))
             out, n_removed, n_words = [], np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
             ends = np.cumsum([len(t) + 1 for t in texts])
             for x in range(b - a):
-                text, h = texts[x], runs[0][a + x].as_py()
+                text, runs = texts[x], slice(of[x], of[x + 1])
                 base, top = int(s.bounds[x]), int(s.bounds[x + 1])
-                if h:
-                    gone = np.zeros(top - base + 1, np.int32)
-                    for hash_, i, j in zip(h, runs[1][a + x].as_py(), runs[2][a + x].as_py()):
-                        if known.get((base + i, base + j)) == hash_:
-                            gone[i] += 1
-                            gone[j + 1] -= 1
-                    gone = _long_enough(np.cumsum(gone[:-1]) > 0, s.words[base:top])
+                if held[a + x].is_valid:
+                    said[runs] |= np.isin(signed(s.hashes[runs]), held[a + x].values.to_numpy())
+                if ids[a + x].is_valid and said[runs].any():
+                    edges = np.zeros(top - base + 1, np.int64)
+                    np.add.at(edges, s.first[runs][said[runs]] - base, 1)
+                    np.add.at(edges, s.last[runs][said[runs]] - base + 1, -1)
+                    gone = _long_enough(np.cumsum(edges[:-1]) > 0, s.words[base:top])
                     n_removed[x], n_words[x] = gone.sum(), s.words[base:top][gone].sum()
                     begin = ends[x] - len(text) - 1
                     cuts = [0, *(s.starts[base + 1 : top] - begin).tolist(), len(text)]

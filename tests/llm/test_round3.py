@@ -344,3 +344,40 @@ def test_a_passage_that_says_one_thing_over_and_over_is_found(spark):
     docs = [(1, lead() + listed), (2, lead() + listed + ". " + lead()), (3, lead() + " ".join(f"item {i} price euro net" for i in range(300, 320)))]
     got = {x.doc_id: x.n_words_removed for x in spans.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1] == got[3] == 0 and got[2] >= 84
+
+
+def spread(windows, n, least):
+    """Places in any of the windows of `least` words that begin at these places."""
+    out = np.zeros(n, bool)
+    for k in windows:
+        out[k : k + least] = True
+    return out
+
+
+def said_earlier(texts, i, least):
+    """Places in text i in windows of `least` words that an earlier text holds, or text i itself before the window begins."""
+    grams = lambda t: {tuple(t[k : k + least]): k for k in reversed(range(len(t) - least + 1))}
+    before, own, t = set().union(*map(grams, texts[:i])), grams(texts[i]), texts[i]
+    return spread([k for k in range(len(t) - least + 1) if (g := tuple(t[k : k + least])) in before or own[g] + least <= k], len(t), least)
+
+
+def test_op7_leaves_out_neither_words_said_to_no_end_nor_repeats_inside_a_document(spark, tmp_path):
+    r = random.Random(70)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    listed = [f"{x}" for i in range(14) for x in ("item", f"i{i}", "price", "euro", "net")]
+    pool = [["the"] * 90, ["buy", "now"] * 40, listed[:55], listed, fresh(60), fresh(51), [x for i in range(9) for x in ["so", f"s{i % 3}"] * 4]]
+    texts = [sum((r.choice(pool) if r.random() < 0.5 else fresh(r.randrange(3, 30)) for _ in range(8)), []) for _ in range(12)]
+    block = fresh(60)
+    texts = [fresh(200), fresh(20) + ["the"] * 90, ["the"] * 70 + fresh(9), block + fresh(30) + block, *texts, [], fresh(5)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(90, None), (None, " ".join(block + block))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op7_span_dedup(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        long, some = said_earlier(texts, i, 50), said_earlier(texts, i, spans.LEAST_WORDS)
+        # At most REACH words stay at either end.
+        inner = sum(all(long[max(0, k - spans.REACH) : k + spans.REACH + 1]) for k in range(len(t)) if spans.REACH <= k < len(t) - spans.REACH)
+        assert inner <= got[i].n_words_removed <= some.sum(), i
+        assert len(got[i].text.split()) == len(t) - got[i].n_words_removed
+    assert got[0].text == docs[0][1] and got[90].text == "" and got[None].text == docs[-1][1]
+    # Of what a document alone repeats, the first stays.
+    assert got[2].n_words_removed >= 54 and got[3].n_words_removed >= 44 and got[3].text.startswith(" ".join(block))
