@@ -61,3 +61,27 @@ def pct_rank(value, partition: list, orientation=None) -> Column:
 def usable(name) -> Column:
     """Neither null nor NaN."""
     return col(name).isNotNull() & ~F.isnan(dbl(name))
+
+
+def fixed(value, digits: int) -> Column:
+    """A double as text with so many digits behind the point, rounded by its exact value and, halfway, to the even digit, as SQL's printf and Python do; Java's formatter rounds the shortest decimal form, up."""
+    x = dbl(value)
+    a = F.when(F.abs(x) < 2.0**53, F.abs(x))
+    whole = F.floor(a).cast("long")
+    # What is behind the point in steps of 2**-52, and what numbers below 1 have beyond these in steps of 2**-92.
+    steps = (a - whole) * 2.0**52
+    rest = F.floor(steps).cast("long")
+    fine = F.floor((steps - rest) * 2.0**40).cast("long")
+    shown = F.lit(0).cast("long")
+    for n in [2] * (digits // 2) + [1] * (digits % 2):
+        fine = fine * 10**n
+        rest, fine = rest * 10**n + F.shiftright(fine, 40), fine.bitwiseAND(F.lit(2**40 - 1))
+        shown, rest = shown * 10**n + F.shiftright(rest, 52), rest.bitwiseAND(F.lit(2**52 - 1))
+    odd = (shown if digits else whole) % 2 == 1
+    up = (rest > 2**51) | ((rest == 2**51) & ((fine > 0) | odd))
+    shown = shown + up.cast("long")
+    carried = shown >= 10**digits if digits else up
+    text = (whole + carried.cast("long")).cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad((shown % 10**digits).cast("string"), digits, "0"))
+    return F.coalesce(F.concat(F.when(x < 0, "-").otherwise(""), text), F.format_string(f"%.{digits}f", x))

@@ -9,7 +9,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.functions.columns import col, dbl
+from tapewright.functions.columns import col, dbl, fixed
 
 from . import spans
 from .series import by_date
@@ -47,7 +47,7 @@ def negative_volume(prices: DataFrame) -> DataFrame:
 
 
 def bond_yield_bound(market_data: DataFrame, max_abs_yield: float = 50.0) -> DataFrame:
-    return _findings(market_data.filter((F.col("AssetClass") == "bonds") & (F.abs("C") > max_abs_yield)), "market_data", F.format_string("C=%.4f", F.col("C")))
+    return _findings(market_data.filter((F.col("AssetClass") == "bonds") & (F.abs("C") > max_abs_yield)), "market_data", F.concat(F.lit("C="), fixed("C", 4)))
 
 
 def extreme_return(prices: DataFrame, splits: DataFrame, max_abs_log_return: float = log(2)) -> DataFrame:
@@ -55,7 +55,7 @@ def extreme_return(prices: DataFrame, splits: DataFrame, max_abs_log_return: flo
     move, back = F.log(F.col("C") / F.col("before")), F.log(F.col("after") / F.col("before"))
     found = steps.filter(F.abs(move) > max_abs_log_return).join(splits.select("Ticker", "Date"), ["Ticker", "Date"], "left_anti")
     tag = F.when(F.abs(back) < 0.25 * F.abs(move), " spike-and-revert").otherwise("")
-    return _findings(found, "prices", F.concat(F.format_string("ret=%.0f %%", (F.col("C") / F.col("before") - 1) * 100), tag))
+    return _findings(found, "prices", F.concat(F.lit("ret="), fixed((F.col("C") / F.col("before") - 1) * 100, 0), F.lit(" %"), tag))
 
 
 def stale_run(prices: DataFrame, min_stale_run: int = 20, days: int | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def nonpositive_dividend(dividends: DataFrame) -> DataFrame:
 
 def oversized_dividend(dividends: DataFrame, prices: DataFrame, max_dividend_frac: float = 0.25) -> DataFrame:
     found = dividends.join(prices.select("Ticker", "Date", "C"), ["Ticker", "Date"]).filter((F.col("C") > 0) & (F.col("Dividend") > max_dividend_frac * F.col("C")))
-    return _findings(found, "dividends", F.format_string("%.1f %% of close", F.col("Dividend") / F.col("C") * 100))
+    return _findings(found, "dividends", F.concat(fixed(F.col("Dividend") / F.col("C") * 100, 1), F.lit(" % of close")))
 
 
 def invalid_split_ratio(splits: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def sum_check(df: DataFrame, table: str, required: list[str], optional: list[str
     parts = reduce(lambda a, b: a + b, [dbl(c) for c in required] + [F.coalesce(dbl(c), F.lit(0.0)) for c in optional if c in df.columns])
     off = F.abs(parts - dbl(total))
     found = df.filter(off > F.greatest(rel_tol * F.abs(dbl(total)), F.lit(float(abs_floor))))
-    return _findings(found, table, F.format_string(f"{label}: off by %.1f %%", F.coalesce(F.try_divide(off, F.abs(dbl(total))) * 100, F.lit(100.0))), None, row_key())
+    return _findings(found, table, F.concat(F.lit(f"{label}: off by "), fixed(F.coalesce(F.try_divide(off, F.abs(dbl(total))) * 100, F.lit(100.0)), 1), F.lit(" %")), None, row_key())
 
 
 def balance_identity(balance: DataFrame, **kw) -> DataFrame:
