@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from tapewright.functions.columns import fixed
 from tapewright.operators import quality, statements
 from tapewright.sources.panel import Panel
@@ -22,3 +20,20 @@ def test_halfway_percentages_go_to_the_even_digit(spark):
     assert [r.Details for r in quality.extreme_return(bars, splits).collect()] == ["ret=928 %"]  # 928.5
     paid = spark.createDataFrame([("a", day, 450.0)], "Ticker string, Date date, Dividend double")
     assert [r.Details for r in quality.oversized_dividend(paid, bars).collect()] == ["56.2 % of close"]  # 56.25
+
+
+def test_sums_of_a_quarter_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """Amounts that add up to one half exactly, in orders whose sums of doubles fall on either side of it."""
+    prices, revenue = [3766.63, 52406.09, 51635.1, 2655.73, 74784.23, 67638.54, 1000.18], []
+    rows = [(1, 1, 1, 1, 1.0, x, 0.0, 0.0, "N", "O", dt.datetime(1998, 1, 5)) for x in prices]
+    fields = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    for i in range(len(rows)):
+        spark.createDataFrame(rows[i:] + rows[:i], fields).coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        revenue += [r.rev for r in Panel(spark, f"{tmp_path}/{i}").quarters.collect()]
+    assert set(revenue) == {253887}  # 253886.5
+
+
+def test_common_size_keeps_lines_without_a_value(spark):
+    row = ("A", "us", "Q", False, 2020, "Q1", dt.date(2020, 3, 28), 1000, None)
+    df = spark.createDataFrame([row], "Ticker string, Market string, Period string, IsRestated boolean, `Fiscal Year` long, `Fiscal Period` string, `Report Date` date, `Total Assets` long, `Short Term Debt` long")
+    assert {r["item"]: r.value for r in statements.common_size(df, "balance").collect()} == {"Total Assets": 100.0, "Short Term Debt": None}
