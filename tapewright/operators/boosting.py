@@ -2,9 +2,10 @@
 
 Features are cut into bins by quantiles over all training rows.  A tree grows
 level by level: each task adds up gradients and hessians of its rows by (tree,
-node, feature, bin), Spark adds these up by group-by, running sums over the bins
-give every split's gain, and one row for each node comes back to the driver.
-Nothing that grows with the rows does.  Sums are of whole numbers (gradients in
+node, feature, bin), Spark adds these up by group-by, and running sums over the bins
+give every split's gain: on the driver where a level has few cells, else in
+Spark, and then one row for each node comes back.  Nothing that grows with the
+rows does.  Sums are of whole numbers (gradients in
 steps of 2**-24), so the trees are the same however rows are partitioned.
 
 A table of rows keeps bins and margins; trees grown since it was written are
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,8 @@ from tapewright.sources.scratch import discard, settle
 UNIT = 2.0**24
 #: Cells (node, feature, bin) of histograms that a task holds at once; more trees than fit are grown in turns.
 CELLS = 1 << 22
+#: Cells whose totals come to the driver, some 60 bytes each; splits of more are found in Spark.
+FEW_CELLS = 1 << 17
 
 
 @dataclass
@@ -211,9 +214,37 @@ def _histograms(rows: DataFrame, model: Model, since: list[Round], trees: dict[i
     return rows.mapInArrow(run, _SUMS)
 
 
+def _totals(histograms: DataFrame) -> DataFrame:
+    return histograms.groupBy("tree", "node", "feature", "bin").agg(*(F.sum(F.col(c).cast("decimal(20,0)")).cast("double").alias(c) for c in "ghn"))
+
+
+def _splits_here(histograms: DataFrame, s: Settings, width: int) -> list[Row]:
+    """What _best_splits gives, found on the driver: for histograms of few cells, however many rows they are of."""
+    total = _totals(histograms).toArrow()
+    tree, node, feature, bin_, *sums = (total.column(c).to_numpy() for c in ("tree", "node", "feature", "bin", "g", "h", "n"))
+    score = lambda g, h: g * g / (h + s.smoothing * UNIT)
+    out = []
+    for t, i in np.unique(np.stack([tree, node]), axis=1).T:
+        here = (tree == t) & (node == i)
+        dense = np.zeros((3, width, s.bins))
+        for d, x in zip(dense, sums):
+            d[feature[here], bin_[here]] = x[here]
+        left = dense.cumsum(2)
+        all_ = left[:, :, -1:]
+        (gl, hl, nl), (gr, hr, nr) = left, all_ - left
+        gain = score(gl, hl) + score(gr, hr) - score(all_[0], all_[1])
+        least = s.least_hessian * UNIT
+        gain = np.where((nl > 0) & (nr > 0) & (hl >= least) & (hr >= least) & (gain > 1e-6 * UNIT), gain, -np.inf)
+        f, b = np.unravel_index(gain.argmax(), gain.shape)
+        split = Row(feature=int(f), bin=int(b), gl=float(gl[f, b]), hl=float(hl[f, b])) if np.isfinite(gain[f, b]) else None
+        some = np.unique(feature[here])
+        out.append(Row(tree=int(t), node=int(i), g=float(all_[0, some].max()), h=float(all_[1, some].max()), split=split))
+    return out
+
+
 def _best_splits(histograms: DataFrame, s: Settings) -> DataFrame:
     """For each (tree, node) its sums and the split of greatest gain: of equals the first feature, then the first bin."""
-    total = histograms.groupBy("tree", "node", "feature", "bin").agg(*(F.sum(F.col(c).cast("decimal(20,0)")).cast("double").alias(c) for c in "ghn"))
+    total = _totals(histograms)
     of = Window.partitionBy("tree", "node", "feature")
     left = of.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = total.select("*", *(F.sum(c).over(left).alias(f"{c}l") for c in "ghn"), *(F.sum(c).over(of).alias(f"{c}t") for c in "ghn"))
@@ -238,7 +269,8 @@ def _grown(rows: DataFrame, model: Model, since: list[Round], s: Settings, gradi
         for i in range(0, len(growing), step):
             part = {t: trees[t] for t in growing[i : i + step]}
             sums = _histograms(rows, model, since, part, level, gradients, loss if level == i == 0 else None, s.bins)
-            for r in _best_splits(sums, s).collect():  # a row for each node
+            few = len(part) * 2**level * len(model.edges) * s.bins <= FEW_CELLS
+            for r in _splits_here(sums, s, len(model.edges)) if few else _best_splits(sums, s).collect():  # a row for each node
                 if r.tree < 0:
                     lost = r.g / r.h if r.h else None
                     continue

@@ -16,8 +16,8 @@ def _checked(length: int, stride: int) -> None:
         raise ValueError("window length and stride must be positive")
 
 
-def _windows(df: DataFrame, channels: list[str], length: int, stride: int, ends: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Windows of `length` rows that end at rows where `ends` holds (given the row number _n), all channels positive numbers throughout; with the columns `keep` of their last row.
+def _windows(df: DataFrame, channels: list[str], length: int, stride: int, ends: Column, keep: tuple[str, ...] = (), gathered: list[str] | None = None) -> DataFrame:
+    """Windows of `length` rows that end at rows where `ends` holds (given the row number _n), all channels positive numbers throughout; with the columns `keep` of their last row, and of the channels only those `gathered`.
 
     A ticker's rows, one for each of its dates, are gathered once, in the
     partition that the row numbers need anyway; each window is a slice of them.
@@ -29,6 +29,7 @@ def _windows(df: DataFrame, channels: list[str], length: int, stride: int, ends:
     df = df.withColumn("_n", F.row_number().over(by_date)).withColumn("_good", good.cast("int"))
     df = df.withColumn("_sound", F.sum("_good").over(by_date.rowsBetween(1 - length, 0)))
     df = df.withColumn("_cut", F.coalesce((F.col("_n") >= length) & (F.col("_sound") == length) & ends, F.lit(False)))
+    channels = gathered or channels
     row = F.struct("_n", "Date", "_cut", F.struct(*(F.col(c) for c in channels)).alias("_v"), F.when(F.col("_cut"), F.struct(F.lit(True).alias("_"), *keep)).alias("_keep"))
     rows = df.groupBy("Ticker").agg(F.array_sort(F.collect_list(row), lambda a, b: a["_n"] - b["_n"]).alias("_rows"))
     cut = rows.select("Ticker", "_rows", F.explode(F.filter("_rows", lambda r: r["_cut"])).alias("_e"))
@@ -60,13 +61,14 @@ def build_windows(series: DataFrame, length: int, stride: int, channels: tuple[s
     return out.select("Ticker", "offset", "start_date", "end_date", *(F.col(f"w_{c}").cast("array<float>").alias(c) for c in channels))
 
 
-def build_windows_with_future_return(series: DataFrame, length: int, stride: int, horizon: int, label: str = "point", exit_halfwidth: int = 0, channels: tuple[str, ...] = ("O", "H", "L", "C", "V")) -> DataFrame:
+def build_windows_with_future_return(series: DataFrame, length: int, stride: int, horizon: int, label: str = "point", exit_halfwidth: int = 0, channels: tuple[str, ...] = ("O", "H", "L", "C", "V"), gathered: tuple[str, ...] | None = None) -> DataFrame:
     """Windows that end on shared reference dates (every stride-th trading date from the length-th on), with a label from AC after their end.
 
     point: AC at +horizon over AC at the end, less 1.  mean_exit: the mean of AC
     over +horizon -/+ exit_halfwidth instead.  vol_scaled: mean_exit over the
     population deviation of log returns in the window.  trend: slope times R2
-    of log AC against the step over 1..horizon.
+    of log AC against the step over 1..horizon.  gathered: the channels that
+    come out, if not all; the others are only looked at for soundness.
     """
     _checked(length, stride)
     if label not in ("point", "mean_exit", "vol_scaled", "trend"):
@@ -99,8 +101,8 @@ def build_windows_with_future_return(series: DataFrame, length: int, stride: int
         cov, var_x, var_y = xy - mean_x * y, F.lit(h * (h * h - 1) / 12), yy - y * y / h
         ret = F.when(var_y > 1e-12, F.pow(cov, F.lit(3)) / (F.pow(var_x, F.lit(2)) * var_y)).otherwise(0.0)
     df = df.withColumn("_label", ret)
-    out = _windows(df, list(channels), length, stride, F.col("_ref").isNotNull() & (F.col("_ok") == 1) & (F.col("_later") == horizon + half) & F.col("_label").isNotNull(), ("_label",))
-    return out.select("Ticker", "start_date", "end_date", F.col("_label").alias("label"), *(F.col(f"w_{c}").cast("array<float>").alias(c) for c in channels))
+    out = _windows(df, list(channels), length, stride, F.col("_ref").isNotNull() & (F.col("_ok") == 1) & (F.col("_later") == horizon + half) & F.col("_label").isNotNull(), ("_label",), list(gathered or channels))
+    return out.select("Ticker", "start_date", "end_date", F.col("_label").alias("label"), *(F.col(f"w_{c}").cast("array<float>").alias(c) for c in gathered or channels))
 
 
 def split_history(w: Column, history: int) -> tuple[Column, Column]:

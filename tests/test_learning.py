@@ -187,3 +187,27 @@ def test_late_corrections_of_old_periods_do_not_hide_new_ones(spark):
     left = spark.createDataFrame([("A", d) for d in (day(2, 1), day(2, 10), day(3, 9), day(3, 10), day(4, 2), day(5, 1), None)] + [("B", day(5, 1))], "Ticker string, Date date")
     got = {(r.Ticker, r.Date): r["v a"] for r in joins.point_in_time(left, right, ["Ticker"], "Date", "period", "known", "restated").collect()}
     assert got == {("A", day(2, 1)): None, ("A", day(2, 10)): 1.0, ("A", day(3, 9)): 1.0, ("A", day(3, 10)): 2.0, ("A", day(4, 2)): 2.0, ("A", day(5, 1)): 2.5, ("A", None): None, ("B", day(5, 1)): None}
+
+
+def test_splits_on_the_driver_equal_those_in_spark(spark):
+    rng = np.random.default_rng(4)
+    cells = [(t, n, f, b) for t in (0, 1) for n in range(4) for f in range(5) for b in range(8) if (b * 7 + n) % 5]
+    rows = [(*c, int(g), int(h), 3) for part in range(2) for c, g, h in zip(cells, rng.integers(-(2**26), 2**26, len(cells)), rng.integers(2**20, 2**26, len(cells)))]
+    # Two features alike: of equal gains the first counts; a node whose hessians are too small; the row of the loss.
+    rows += [(2, 0, f, b, g << 24, 2 << 24, 2) for f in (3, 4) for b, g in ((1, 5), (4, -6))] + [(2, 1, 0, b, 1, 1, 1) for b in range(3)] + [(-1, 0, 0, 0, 7, 9, 0)]
+    sums, s = spark.createDataFrame(rows, boosting._SUMS), boosting.Settings(bins=8)
+    plain = lambda r: (r.tree, r.node, None if r.split is None else tuple(r.split), None if 0 <= r.tree < 2 else (r.g, r.h))
+    here = sorted(map(plain, boosting._splits_here(sums, s, 5)), key=str)
+    assert here == sorted(map(plain, boosting._best_splits(sums, s).collect()), key=str) and len(here) == 11
+    assert any(x[:2] == (2, 0) and x[2][:2] == (3, 1) for x in here)
+
+
+def test_channels_left_behind_still_tell_unsound_windows(spark):
+    from tapewright.operators import windows
+
+    rows = [("A", D(2024, 1, 1) + dt.timedelta(i), None if i == 3 else 1.0 + i, 2.0 + i, 3.0 + i) for i in range(20)]
+    bars = spark.createDataFrame(rows, "Ticker string, Date date, O double, C double, AC double")
+    whole = windows.build_windows_with_future_return(bars, 3, 1, 2, channels=("O", "C"))
+    part = windows.build_windows_with_future_return(bars, 3, 1, 2, channels=("O", "C"), gathered=("C",))
+    assert part.columns == ["Ticker", "start_date", "end_date", "label", "C"]
+    assert sorted(part.collect()) == sorted(whole.drop("O").collect()) and part.count() == 13
