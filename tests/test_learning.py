@@ -211,3 +211,28 @@ def test_channels_left_behind_still_tell_unsound_windows(spark):
     part = windows.build_windows_with_future_return(bars, 3, 1, 2, channels=("O", "C"), gathered=("C",))
     assert part.columns == ["Ticker", "start_date", "end_date", "label", "C"]
     assert sorted(part.collect()) == sorted(whole.drop("O").collect()) and part.count() == 13
+
+
+@pytest.mark.parametrize("lot", [1, 1 << 26])
+def test_neighbours_by_lots_equal_brute_force_and_write_little(spark, monkeypatch, lot):
+    """Vectors without clusters, copies and ties among them: every query meets every block, and no table holds the meetings."""
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=(600, 5)), 1)
+    v[300:330], v[400:410] = v[:30], v[0]
+    monkeypatch.setattr(neighbours, "LOT_BYTES", lot)
+    written, settle = {}, neighbours.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "settle", counted)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {}
+    for r in neighbours.nearest_others(df, "id", "v", 3, block_rows=64, pivots=10).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.other)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: sorted(range(600), key=lambda j: (d[i, j], j))[:3] for i in range(600)}
+    assert max(written.values()) <= 600 * 3
